@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hashtree, lines
+from . import hashtree, langid, lines, pieces, urltrees
 from .common import table
 
 
@@ -18,6 +18,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judge(table(spark, sf_dir, "documents")).drop("_text")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.evaluate(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urltrees.judge(pages, urltrees.learn(pages, table(spark, sf_dir, "labels")))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokens=False)
+
+
 OP3_SQL = r"""
 with d as (select row_number() over () as rid, doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
 w as (select rid, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
@@ -48,6 +61,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_hash_tree": op2_hash_tree,
         "op3_quality_rules": op3_quality_rules,
+        "op6_language_id": op6_language_id,
+        "op7_url_filters": op7_url_filters,
+        "op8_sentencepiece": op8_sentencepiece,
     }
 
 
