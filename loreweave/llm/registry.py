@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hashtree, langid, lines, pieces, urltrees
+from . import fmindex, hashtree, langid, lines, pieces, urltrees
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.digest(fmindex.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashtree.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,22 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokens=False)
 
 
+OP1_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+bw as (select distinct item_id, s, array_to_string(ws[i:i+s-1], ' ') as gram
+       from (select item_id, ws, least(10, len(ws)) as s, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i from b where len(ws) > 0)),
+sizes as (select distinct s from bw),
+dw as (select rid, i, s, array_to_string(ws[i:i+s-1], ' ') as gram
+       from (select rid, ws, s, unnest(range(1, len(ws) - s + 2)) as i from d, sizes where len(ws) >= s)),
+h as (select rid, i, s, item_id from dw join bw using (s, gram)),
+cov as (select rid, count(distinct i + k) as n_hit from h, range(0, 10) t(k) where k < s group by rid),
+it as (select rid, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') as items from h group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join cov using (rid) left join it using (rid)
+"""
+
 OP3_SQL = r"""
 with d as (select row_number() over () as rid, doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
 w as (select rid, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
@@ -59,6 +79,7 @@ from b
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_hash_tree": op2_hash_tree,
         "op3_quality_rules": op3_quality_rules,
         "op6_language_id": op6_language_id,
@@ -68,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL}
