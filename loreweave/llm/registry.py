@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fmindex, hashtree, langid, lines, pieces, urltrees
+from . import fmindex, hashtree, langid, lines, pieces, simhash, urltrees
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judge(table(spark, sf_dir, "documents")).drop("_text")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.evaluate(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_hash_tree": op2_hash_tree,
         "op3_quality_rules": op3_quality_rules,
+        "op4_simhash": op4_simhash,
         "op6_language_id": op6_language_id,
         "op7_url_filters": op7_url_filters,
         "op8_sentencepiece": op8_sentencepiece,
