@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fmindex, hashtree, langid, lines, pieces, simhash, urltrees
+from . import fmindex, hashtree, langid, lines, pieces, semicrf, simhash, urltrees
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokens=False)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semicrf.digest(semicrf.find(table(spark, sf_dir, "documents")))
+
+
 OP1_SQL = r"""
 with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
 b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op7_url_filters": op7_url_filters,
         "op8_sentencepiece": op8_sentencepiece,
+        "op10_pii": op10_pii,
     }
 
 
