@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fmindex, hashtree, langid, lines, pieces, semicrf, simhash, urltrees
+from . import fmindex, hashtree, langid, lines, pieces, semicrf, simhash, suffixes, urltrees
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.evaluate(table(spark, sf_dir, "documents"))
 
@@ -91,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_hash_tree": op2_hash_tree,
         "op3_quality_rules": op3_quality_rules,
         "op4_simhash": op4_simhash,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_language_id": op6_language_id,
         "op7_url_filters": op7_url_filters,
         "op8_sentencepiece": op8_sentencepiece,
