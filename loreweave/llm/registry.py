@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fmindex, hashtree, langid, lines, pieces, semicrf, simhash, suffixes, urltrees
+from . import debruijn, fmindex, hashtree, langid, lines, pieces, semicrf, simhash, suffixes, urltrees
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokens=False)
 
 
+def op9_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semicrf.digest(semicrf.find(table(spark, sf_dir, "documents")))
 
@@ -99,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op7_url_filters": op7_url_filters,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_de_bruijn": op9_de_bruijn,
         "op10_pii": op10_pii,
     }
 

@@ -81,6 +81,12 @@ def minimizers(grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), REACH, np.maximum) == grams)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def byte_symbols(raw: np.ndarray) -> np.ndarray:
     return _BYTES[raw]
 
@@ -107,8 +113,7 @@ class Shard:
             edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
             self.starts, self.stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
             self.first = np.searchsorted(self.starts, offsets)
-            powers = np.cumprod(np.concatenate([[1], np.full(len(self.raw), _BASE, np.uint64)]).astype(np.uint64))
-            inverse = np.cumprod(np.concatenate([[1], np.full(len(self.raw), pow(_BASE, -1, 1 << 64), np.uint64)]).astype(np.uint64))
+            powers, inverse = _powers(_BASE, len(self.raw)), _powers(pow(_BASE, -1, 1 << 64), len(self.raw))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[self.raw] * powers[:-1])])
             lengths = (self.stops - self.starts).astype(np.uint64)
             self.symbols = mix((sums[self.stops] - sums[self.starts]) * inverse[self.starts] + lengths * _M2)
