@@ -1,16 +1,65 @@
-"""The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, tokens."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller may write and read again as the next
+stage's docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loreweave.llm import fmindex, lines, pieces, semicrf, simhash
+from loreweave.llm.common import cut_lineage, map_text, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without the lines that are over their host's limit."""
+    return lines.clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the spans that benchmark windows cover; a document of which no word is left goes."""
+    found = fmindex.annotate(docs, table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("_lw_spans", F.lit(0).cast("long"), lambda total, s: total + (s["end"] - s["start"]))
+    some = found.where((hit == 0) | (hit < F.col("_lw_words"))).drop("_lw_words", "_lw_items")
+
+    def change(columns: dict[str, list]) -> list[str | None]:
+        return [fmindex.without_spans(t, [(s["start"], s["end"]) for s in spans]) for t, spans in zip(columns["text"], columns["_lw_spans"], strict=True)]
+
+    return map_text(some, change, drop=("_lw_spans",))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data masked by its kind."""
+    return semicrf.mask(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with their number, hash, round trip and parity."""
+    return pieces.encode(docs, tokens=True)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("PII", mask_personal_data),
+    ("SentencePiece encoding and decoding", tokenize),
+]
 
-STAGES: list = []
+#: SQL can express neither the near-duplicate components nor the tokens.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each stage's rows are written to the checkpoint folder before the next reads them."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

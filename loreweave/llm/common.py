@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="loreweave-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def map_text(docs: DataFrame, change: Callable[[dict[str, list]], list[str | None]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with texts made anew, batch by batch in Arrow; n_chars follows where it is a column.
+
+    ``change`` gets the columns text and ``drop`` as lists; the columns ``drop`` go.
+    """
+    import pyarrow as pa
+
+    kept = [f for f in docs.schema.fields if f.name not in drop]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            new = change({name: columns[name].to_pylist() for name in ("text", *drop)})
+            columns["text"] = pa.array(new, columns["text"].type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in new], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in kept], names=[f.name for f in kept])
+
+    from pyspark.sql import types as T
+
+    return docs.mapInArrow(run, T.StructType(kept))

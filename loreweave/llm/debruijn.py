@@ -220,7 +220,7 @@ def remove(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
     """
     with screen.stored(shards(docs, words=True, size=shard_bytes)) as table:
         bins = screen.bins_for(table)
-        replies = screen.answer(screen.ask(table, bins, words=True))
+        replies = screen.answer(screen.ask(table, bins, words=True), bins)
 
         def shares(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left):
@@ -262,7 +262,7 @@ def remove(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
             return results(shard, conclude(shard, own, {r: b for r, b in blobs.items() if r >= 0}))
 
         offered = table.select("shard", "blob").groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(offers, "route long, shard long, blob binary")
-        settled = offered.groupBy("route").applyInPandas(settles, "route long, shard long, blob binary")
+        settled = offered.repartition(2 * bins, "route").groupBy("route").applyInPandas(settles, "route long, shard long, blob binary")
         done = table.select("shard", "blob").groupBy("shard").cogroup(settled.groupBy("shard")).applyInPandas(concludes, OUT)
         return cut_lineage(done)
 

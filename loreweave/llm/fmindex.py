@@ -9,18 +9,21 @@ walking to sampled suffix positions; spans of each document are merged.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 10
 #: Bytes to A-Z lower-cased, and all bytes that are no word bytes to a blank: 0-9, a-z and every byte of a non-ASCII character stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
@@ -212,71 +215,91 @@ def search_shard(texts: list[str | None], wanted: Phrases) -> list[tuple[int, np
     return results
 
 
-def _shards(frame: pd.DataFrame, chars: int) -> Iterator[slice]:
+def _shards(texts: list[str | None], chars: int) -> Iterator[slice]:
     start = total = 0
-    for at, text in enumerate(frame["text"].tolist()):
-        size = len(text) if isinstance(text, str) else 0
+    for at, text in enumerate(texts):
+        size = len(text) if text else 0
         if total and total + size > chars:
             yield slice(start, at)
             start, total = at, 0
         total += size
-    if start < len(frame):
-        yield slice(start, len(frame))
-
-
-SPANS = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20, shard_chars: int = 4_000_000, keep_rows: bool = False) -> DataFrame:
-    """Every document with its merged spans (word positions, end exclusive) and the items whose windows it holds.
-
-    The benchmark is cut into blocks of ``block_bytes`` of text, so that what goes to the tasks stays bounded; a
-    benchmark of one block takes one pass without a shuffle, further blocks one pass each, merged by document.
-    With ``keep_rows`` the columns of ``docs`` stay beside the result (one block only).
-    Null texts have no words; repeated rows get equal answers; empty tables give no rows or no hits.
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with touching or overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+FOUND = T.StructType(
+    [
+        T.StructField("_lw_words", T.LongType()),
+        T.StructField("_lw_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+        T.StructField("_lw_items", T.ArrayType(T.StringType())),
+    ]
+)
+
+
+def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20, shard_chars: int = 4_000_000) -> DataFrame:
+    """``docs`` with its words counted, its merged spans (word positions, end exclusive) and the items found.
+
+    The new columns are _lw_words, _lw_spans and _lw_items. The benchmark is cut into blocks of ``block_bytes`` of
+    text, so that what goes to the tasks stays bounded; each block is one more pass over the rows as they stream by,
+    without a shuffle. Null texts have no words; repeated rows get equal answers; an empty table gives no rows.
     """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
     sizes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).head()["n"]
     blocks = max(1, -(-int(sizes) // block_bytes))
     keyed = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    kept = [f"{name} {kind}" for name, kind in docs.dtypes] if keep_rows else ["doc_id long"]
-    if keep_rows and blocks > 1:
-        raise ValueError("rows can be kept beside the result for a benchmark of one block only")
-    rows = docs if keep_rows else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = None
+    kinds = [to_arrow_type(f.dataType) for f in FOUND]
+    rows = docs
     for block in range(blocks):
         own = keyed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        wanted = phrases(sorted((r["item"] or "", r["text"]) for r in own), window)
-        held = docs.sparkSession.sparkContext.broadcast(wanted)
-
-        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for part in _shards(frame, shard_chars):
-                    own = frame.iloc[part]
-                    got = search_shard([t if isinstance(t, str) else None for t in own["text"]], held.value)
-                    out = own.copy() if keep_rows else pd.DataFrame({"doc_id": own["doc_id"].astype("Int64")})
-                    out["n_words"] = [g[0] for g in got]
-                    out["spans"] = [[{"start": s, "end": e} for s, e in zip(g[1].tolist(), g[2].tolist(), strict=True)] for g in got]
-                    out["items"] = [[held.value.items[i] for i in g[3]] for g in got]
-                    yield out
-
-        one = rows.mapInPandas(run, ", ".join([*kept, SPANS]))
-        found = one if found is None else found.unionByName(one)
-    if blocks > 1:
-        found = found.groupBy("doc_id", "n_words").agg(
-            merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-        )
-    return found
-
-
-def merge_spans(spans):
-    """Sorted spans with touching or overlapping ones joined."""
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["start"]), joined).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+        held = docs.sparkSession.sparkContext.broadcast(phrases(sorted((r["item"] or "", r["text"] or "") for r in own), window))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, again=block > 0) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                got = [x for part in _shards(texts, shard_chars) for x in search_shard(texts[part], held.value)]
+                spans = [list(zip(g[1].tolist(), g[2].tolist(), strict=True)) for g in got]
+                items = [[held.value.items[i] for i in g[3]] for g in got]
+                columns, names = list(batch.columns), list(batch.schema.names)
+                if again:
+                    columns, names = columns[:-3], names[:-3]
+                    spans = [merged([*x, *((y["start"], y["end"]) for y in old)]) for x, old in zip(spans, batch.column(len(names) + 1).to_pylist(), strict=True)]
+                    items = [sorted({*x, *old}) for x, old in zip(items, batch.column(len(names) + 2).to_pylist(), strict=True)]
+                new = [[g[0] for g in got], [[{"start": a, "end": b} for a, b in x] for x in spans], items]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, new, kinds)], names=[*names, *FOUND.names])
+
+        rows = rows.mapInArrow(run, T.StructType([*docs.schema.fields, *FOUND.fields]))
+    return rows
+
+
+def find(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
+    """doc_id, n_words, spans and items of every document; see ``annotate``. Other columns are ignored."""
+    rows = annotate(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, **limits)
+    return rows.select("doc_id", F.col("_lw_words").alias("n_words"), F.col("_lw_spans").alias("spans"), F.col("_lw_items").alias("items"))
+
+
+def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without its words ``start`` to ``end`` - 1 and what stands between them."""
+    if not text or not spans:
+        return text
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, done = [], 0
+    for start, end in spans:
+        out.append(text[done : at[start][0]])
+        done = at[end - 1][1]
+    return "".join([*out, text[done:]])
 
 
 def digest(found: DataFrame) -> DataFrame:

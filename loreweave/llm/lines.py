@@ -84,6 +84,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     return four.select(
         "doc_id",
         "_text",
+        # not deterministic, so that a filter on the figures stays above them and doesn't evaluate them over and over
+        F.monotonically_increasing_id().alias("_row"),
         "n_words",
         "word_chars",
         "n_symbols",
@@ -126,13 +128,14 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 5, keep: float = 0.
         lines.join(frequent, ["_host", "_hash"])
         .dropDuplicates(["doc_id", "_text", "_host", "_at"])  # rows that repeat count once
         .groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_t"), "_host")
-        .agg(F.sum("_chars").alias("_lost"))
+        .agg(F.sum("_chars").alias("_lost"), F.collect_list("_at").alias("_gone"))
         .groupBy("_doc", "_t")
-        .agg(F.max("_lost").alias("_lost"))
+        .agg(F.max(F.struct("_lost", "_gone")).alias("_most"))
+        .select("_doc", "_t", "_most.*")
     )
     base = statistics(docs)
     both = base.join(lost, base["doc_id"].eqNullSafe(lost["_doc"]) & (base["_text"] == lost["_t"]), "left")
-    failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
+    failed = (F.col("_row") >= 0) & ((F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words")))
     removed = F.least(F.coalesce(F.col("_lost"), F.lit(0)), F.col("word_chars"))
     return both.select(
         "doc_id",
@@ -143,6 +146,23 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 5, keep: float = 0.
         "n_dup_lines",
         "n_repeat_words",
         removed.cast("long").alias("removed_chars"),
+        F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"),
         failed.alias("base_failed"),
         (~failed & (F.col("word_chars") - removed >= F.lit(keep) * F.col("word_chars"))).alias("kept"),
     )
+
+
+def clean(docs: DataFrame, **limits) -> DataFrame:
+    """The kept rows of ``docs``, all columns, without the lines that are over their host's limit; n_chars follows.
+
+    Of a document with several hosts the one that removes most counts.
+    """
+    verdict = judge(docs, **limits).where("kept").select(F.col("doc_id").alias("_lw_id"), F.col("_text").alias("_lw_judged"), F.col("_gone").alias("_lw_gone"))
+    verdict = verdict.dropDuplicates(["_lw_id", "_lw_judged"])
+    rows = docs.withColumn("_lw_text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    both = rows.join(verdict, rows["doc_id"].eqNullSafe(verdict["_lw_id"]) & (rows["_lw_text"] == verdict["_lw_judged"]))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_lw_gone"), i)), "\n")
+    out = both.withColumn("text", F.when(F.size("_lw_gone") > 0, left).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("_lw_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -89,8 +89,8 @@ def ask(table: DataFrame, bins: int, words: bool) -> DataFrame:
     return table.select("shard", "blob").mapInPandas(run, "bin int, shard long, keys binary, several binary")
 
 
-def answer(asked: DataFrame) -> DataFrame:
-    """(shard, bin, shared): a bit for each of the shard's keys, in its order."""
+def answer(asked: DataFrame, bins: int) -> DataFrame:
+    """(shard, bin, shared): a bit for each of the shard's keys, in its order. Each bin is a partition: few bytes, much work."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         keys = [np.frombuffer(k, np.uint32) for k in frame["keys"]]
@@ -98,10 +98,10 @@ def answer(asked: DataFrame) -> DataFrame:
         every = np.sort(np.concatenate(keys))
         twice = every[1:][every[1:] == every[:-1]]
         shared = np.union1d(twice, np.concatenate([k[s] for k, s in zip(keys, several, strict=True)]))
-        bits = [np.packbits(np.isin(k, shared, assume_unique=False)).tobytes() for k in keys]
+        bits = [np.packbits(shared[np.minimum(np.searchsorted(shared, k), len(shared) - 1)] == k if len(shared) else np.zeros(len(k), bool)).tobytes() for k in keys]
         return pd.DataFrame({"shard": frame["shard"], "bin": frame["bin"], "shared": bits})
 
-    return asked.groupBy("bin").applyInPandas(run, "shard long, bin int, shared binary")
+    return asked.repartition(bins, "bin").groupBy("bin").applyInPandas(run, "shard long, bin int, shared binary")
 
 
 def shared_anchors(shard: Shard, bins: int, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:

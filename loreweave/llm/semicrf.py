@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_text
+
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 14  # tokens of an entity
 
@@ -342,16 +344,14 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     return out
 
 
-def find(docs: DataFrame, keep_rows: bool = False, field: Field | None = None) -> DataFrame:
-    """Spans of every whole text: ``base`` and ``added``, arrays of (start, end, kind) in code points, end exclusive.
+def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """doc_id and the spans of every whole text: ``base`` and ``added``, arrays of (start, end, kind) in code points.
 
-    A null text is empty and has none; repeated rows get equal spans; an empty table gives no rows. With ``keep_rows``
-    the columns of ``docs`` stay beside the spans, else only doc_id. Added spans never overlap base ones.
-    The field's weights (some thousand numbers) go to the tasks by value.
+    Ends are exclusive. A null text is empty and has none; repeated rows get equal spans; an empty table gives no rows;
+    other columns are ignored. Added spans never overlap base ones. The field's weights (some thousand numbers) go to
+    the tasks by value.
     """
     held = docs.sparkSession.sparkContext.broadcast(field or trained())
-    kept = [f"`{name}` {kind}" for name, kind in docs.dtypes] if keep_rows else ["doc_id long"]
-    rows = docs if keep_rows else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def structs(spans: list[Span]) -> list[dict]:
         return [{"start": a, "end": b, "kind": k} for a, b, k in spans]
@@ -364,11 +364,35 @@ def find(docs: DataFrame, keep_rows: bool = False, field: Field | None = None) -
                 own = base_spans(text)
                 base.append(structs(own))
                 added.append(structs(added_spans(text, own, held.value)))
-            out = frame if keep_rows else pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64")})
-            yield out.assign(base=base, added=added)
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "base": base, "added": added})
 
     spans = "array<struct<start:int,end:int,kind:string>>"
-    return rows.mapInPandas(run, ", ".join([*kept, f"base {spans}", f"added {spans}"]))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, f"doc_id long, base {spans}, added {spans}")
+
+
+def masked(text: str, spans: list[Span]) -> str:
+    """The text with each span, or run of overlapping spans, replaced by its first kind in angle brackets."""
+    out, done = [], 0
+    for start, end, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))):
+        if start >= done:
+            out += [text[done:start], f"<{kind.upper()}>"]
+        done = max(done, end)
+    return "".join([*out, text[done:]])
+
+
+def mask(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """``docs`` with the personal data of its texts masked; all rows and columns stay, null texts stay null."""
+    held = docs.sparkSession.sparkContext.broadcast(field or trained())
+
+    def change(columns: dict[str, list]) -> list[str | None]:
+        out = []
+        for text in columns["text"]:
+            base = base_spans(text) if text else []
+            spans = base + added_spans(text, base, held.value) if text else []
+            out.append(masked(text, spans) if spans else text)
+        return out
+
+    return map_text(docs, change)
 
 
 def _joined(spans):

@@ -44,14 +44,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+    """doc_id, a hash of the text (_text) and the fingerprint as a signed long."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = np.array([fingerprint(t if isinstance(t, str) else None, width) for t in frame["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": found.view(np.int64)})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "_text": frame["_text"], "fp": found.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("_text")).mapInPandas(run, "doc_id long, _text long, fp long")
 
 
 class Forest:
@@ -160,6 +161,15 @@ def _by_task(tasks: DataFrame, compare) -> DataFrame:
     return sorted_tasks.mapInPandas(run, "a long, b long")
 
 
+def groups(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """doc_id, _text (a hash of the text), fp and _root (a fingerprint that names the component), for every row."""
+    rows = cut_lineage(fingerprints(docs, width))
+    distinct = rows.select("fp").distinct()
+    roots = components(links(distinct, radius))
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("_root"))
+    return rows.join(named, "fp")
+
+
 def cluster(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links).
 
@@ -167,10 +177,18 @@ def cluster(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     linked by it. Repeated rows stay; null doc_ids get the component of the fingerprints they share (null if alone);
     an empty table gives no rows; other columns are ignored.
     """
-    rows = cut_lineage(fingerprints(docs, width))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("_least"))
-    roots = components(links(distinct.select("fp"), radius))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
-    least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    of = named.select("fp", "_root").join(least, "_root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = groups(docs, radius, width)
+    least = rows.groupBy("_root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "_root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """The rows of ``docs`` with one row for each component: that of the smallest doc_id, then of the least text hash.
+
+    All columns stay. Null doc_ids come after all others; of rows that repeat in doc_id and text one stays.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")).alias("k")
+    kept = groups(docs, radius, width).groupBy("_root").agg(first).select(F.col("k.doc_id").alias("_lw_id"), F.col("k._text").alias("_lw_kept"))
+    rows = docs.withColumn("_lw_text", F.xxhash64(F.col("text").cast("string")))
+    same = rows["doc_id"].cast("long").eqNullSafe(kept["_lw_id"]) & (rows["_lw_text"] == kept["_lw_kept"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_lw_text"]).drop("_lw_text")

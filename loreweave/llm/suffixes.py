@@ -255,7 +255,7 @@ def remove(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
     """
     with screen.stored(shards(docs, words=False, size=shard_bytes)) as table:
         bins = screen.bins_for(table)
-        replies = screen.answer(screen.ask(table, bins, words=False))
+        replies = screen.answer(screen.ask(table, bins, words=False), bins)
 
         def offers(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left):
@@ -287,7 +287,7 @@ def remove(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
             return results(shard, gone)
 
         offered = table.select("shard", "blob").groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(offers, "route long, shard long, blob binary")
-        settled = offered.groupBy("route").applyInPandas(settles, "route long, shard long, blob binary")
+        settled = offered.repartition(2 * bins, "route").groupBy("route").applyInPandas(settles, "route long, shard long, blob binary")
         done = table.select("shard", "blob").groupBy("shard").cogroup(settled.groupBy("shard")).applyInPandas(concludes, OUT)
         return cut_lineage(done)
 
