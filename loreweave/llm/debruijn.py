@@ -83,10 +83,10 @@ class Spans:
 
     def __init__(self, shard: Shard, at: np.ndarray, nodes: np.ndarray, paths: np.ndarray, offsets: np.ndarray) -> None:
         """``nodes`` is sorted; ``paths`` and ``offsets`` belong to it. Grams that it lacks are paths of their own."""
-        every, window = hashes(shard.symbols)
+        every, window = hashes(shard.symbols())
         start = np.flatnonzero(screen.candidates(shard, at))
         anchor = _first_least(every)[start] if len(start) else start
-        shared = np.zeros(len(shard.symbols), bool)
+        shared = np.zeros(shard.count, bool)
         shared[at] = True
         keep = shared[anchor] if len(start) else np.zeros(0, bool)
         start, anchor = start[keep], anchor[keep]
@@ -177,7 +177,7 @@ def conclude(shard: Shard, own: bytes, replies: dict[int, bytes]) -> np.ndarray:
     A window goes if a bin knows a smaller document, or if the shard itself has the same window in one: its bin's
     answer for the span of the smallest document covers equal spans; unequal ones meet in the bin.
     """
-    starts = np.zeros(len(shard.symbols), bool)
+    starts = np.zeros(shard.count, bool)
     if own:
         raw = np.frombuffer(_unzip(own), np.int64)
         n, m, bins = raw[:3].tolist()

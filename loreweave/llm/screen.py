@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 
 from .windows import GRAM, REACH, WINDOW, Shard, gram_hashes, minimizers, unpacked
 
-BIN_BYTES = 32 << 20  # of text for each bin
+BIN_BYTES = 16 << 20  # of text for each bin
+BLOCK = 1 << 15
+_TOP = np.uint64(np.iinfo(np.uint64).max)
 
 
 @contextmanager
@@ -40,12 +42,35 @@ def bins_for(shards: DataFrame) -> int:
     return 1 << max(3, int(-(-total // BIN_BYTES) - 1).bit_length())
 
 
-def anchors(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the minimizers that lie inside one document, and their gram hashes."""
-    grams = gram_hashes(shard.symbols)
-    at = minimizers(grams)
-    at = at[shard.last_start(GRAM)[at]] if len(at) else at
-    return at, grams[at]
+def anchors(shard: Shard, own: bool = False) -> tuple[np.ndarray, ...]:
+    """Positions of the minimizers that lie inside one document, and their gram hashes.
+
+    With ``own`` also the least and largest offset of the windows whose first least gram each is: a window that starts
+    that many symbols before it. They follow from the symbols that these windows can hold. Done block by block, so that
+    the passes over a block stay in the processor's cache.
+    """
+    parts: list[tuple[np.ndarray, ...]] = []
+    side = REACH - 1
+    for start in range(0, shard.count, BLOCK):
+        low, high = max(0, start - side), min(shard.count, start + BLOCK + side + GRAM - 1)
+        grams = gram_hashes(shard.symbols(low, high))
+        at = minimizers(grams)
+        at = at[(at + low >= start) & (at + low < start + BLOCK)]
+        at = at[shard.room(at + low) >= GRAM]
+        value = grams[at]
+        found: tuple[np.ndarray, ...] = (at + low, value)
+        if own:
+            before, after = np.full(len(at), side, np.uint8), np.zeros(len(at), np.uint8)
+            padded = np.concatenate([np.full(side, _TOP), grams, np.full(side, _TOP)])
+            for d in range(side, 0, -1):  # the nearest ones are met last
+                before[padded[at + side - d] <= value] = d - 1
+                after[padded[at + side + d] < value] = REACH - d
+            found += (after, before)
+        parts.append(found)
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return (none, none.view(np.uint64), *[none.astype(np.uint8)] * (2 * own))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def cut(hashes: np.ndarray, bins: int) -> np.ndarray:
@@ -104,26 +129,28 @@ def answer(asked: DataFrame, bins: int) -> DataFrame:
     return asked.repartition(bins, "bin").groupBy("bin").applyInPandas(run, "shard long, bin int, shared binary")
 
 
-def shared_anchors(shard: Shard, bins: int, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors whose grams other documents hold too: positions and gram hashes, by position."""
-    at, grams = anchors(shard)
-    keep = np.zeros(len(at), bool)
+def shared_anchors(shard: Shard, bins: int, replies: dict[int, bytes], own: bool = False) -> tuple[np.ndarray, ...]:
+    """The anchors whose grams other documents hold too, by position; see ``anchors``."""
+    found = anchors(shard, own)
+    grams = found[1]
+    keep = np.zeros(len(grams), bool)
     order = np.argsort(grams, kind="stable")
-    ranked, edges = grams[order], cut(grams[order], bins)
+    ranked = grams[order]
+    edges = cut(ranked, bins)
     for k, bits in replies.items():
         a, b = int(edges[k]), int(edges[k + 1])
         keys = short(ranked[a:b], bins)
         number = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
         keep[order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(number[-1]) + 1).astype(bool)[number]
-    return at[keep], grams[keep]
+    return tuple(x[keep] for x in found)
 
 
-def candidates(shard: Shard, at: np.ndarray) -> np.ndarray:
-    """By symbol: whether a window of one document starts there that holds one of the anchors ``at``."""
-    change = np.zeros(len(shard.symbols) + 1, np.int32)
-    np.add.at(change, np.maximum(at - (REACH - 1), 0), 1)
-    np.add.at(change, at + 1, -1)
-    return (np.cumsum(change)[:-1] > 0) & shard.last_start(WINDOW)
+def candidates(shard: Shard, at: np.ndarray, least: np.ndarray | int = 0, most: np.ndarray | int = REACH - 1) -> np.ndarray:
+    """By symbol: whether a window of one document starts there, ``least`` to ``most`` symbols before one of ``at``."""
+    low, high = np.maximum(at - most, 0), at - least + 1
+    some = high > low
+    change = np.bincount(low[some], minlength=shard.count + 2) - np.bincount(high[some], minlength=shard.count + 2)
+    return (np.cumsum(change)[: shard.count] > 0) & shard.starts_window()
 
 
 def covered(starts: np.ndarray) -> np.ndarray:

@@ -2,8 +2,8 @@
 
 Per shard: the stretches whose windows may repeat (see ``screen``) get a suffix array by Larsson-Sadakane refinement
 (prefix doubling that re-sorts only groups still tied) and Kasai's common prefixes; suffixes that share 50 bytes are
-one group, whose smallest document keeps the bytes. Across shards: the 76 bytes around every shared anchor (all 27
-windows that hold it) go, once per shard, in suffix order, to the anchor's bin; the bin builds for each of the 27
+one group, whose smallest document keeps the bytes. Across shards: the 76 bytes around every shared anchor (all
+windows whose first least gram it is) go, once per shard, in suffix order, to the anchor's bin; the bin builds for each of the 27
 offsets the sorted table of windows with their smallest document and each shard's run is looked up in it by binary
 search. Equal hashes are compared byte by byte, so the result is exact.
 """
@@ -167,10 +167,12 @@ def distinct_rows(rows: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.
 
 def offer(shard: Shard, bins: int, replies: dict[int, bytes]) -> tuple[list[tuple[int, bytes]], bytes]:
     """For each bin the shard's distinct contexts with their smallest documents; and what the shard keeps for itself."""
-    at, grams = screen.shared_anchors(shard, bins, replies)
+    at, grams, low, high = screen.shared_anchors(shard, bins, replies, own=True)
+    some = low <= high  # the first least gram of some window
+    at, grams, low, high = at[some], grams[some], low[some].astype(np.int64), high[some].astype(np.int64)
     if not len(at):
         return [], b""
-    starts = screen.candidates(shard, at)
+    starts = screen.candidates(shard, at, low, high)
     removed, source, rank = repeats_within(shard, starts)
     rows = contexts(shard, at)
     first, kind = distinct_rows(rows, _rows_hash(rows))
@@ -183,16 +185,25 @@ def offer(shard: Shard, bins: int, replies: dict[int, bytes]) -> tuple[list[tupl
     new[order] = np.arange(len(order))
     bin_of = (grams[first[order]] >> np.uint64(64 - (bins.bit_length() - 1))).astype(np.int64)
     edges = np.searchsorted(bin_of, np.arange(bins + 1))
-    sent = [(k, _zip(least[order[a:b]], rows[first[order[a:b]]])) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
+    sent = [(k, _zip(least[order[a:b]], low[first[order[a:b]]].astype(np.uint8), high[first[order[a:b]]].astype(np.uint8), rows[first[order[a:b]]])) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
     own = _zip(np.array([len(at), len(order)], np.int64), np.diff(at, prepend=0).astype(np.int32), new[kind].astype(np.int32), edges.astype(np.int64), np.packbits(removed))
     return sent, own
 
 
-def settle(least: list[np.ndarray], rows: list[np.ndarray]) -> list[np.ndarray]:
+def read_offer(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Smallest documents, least and largest offsets, contexts."""
+    raw = _unzip(blob)
+    n = len(raw) // (10 + CONTEXT)
+    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint8, n, 8 * n), np.frombuffer(raw, np.uint8, n, 9 * n), np.frombuffer(raw, np.uint8, n * CONTEXT, 10 * n).reshape(n, CONTEXT)
+
+
+def settle(blobs: list[bytes]) -> list[np.ndarray]:
     """For each run of contexts: a bit for each offset whose window starts in a document smaller than the context's."""
-    ids, text = np.concatenate(least), np.concatenate(rows)
-    cuts = np.cumsum([0, *map(len, least)])
-    answers = [np.zeros(len(x), np.uint32) for x in least]
+    offers = [read_offer(blob) for blob in blobs]
+    cuts = np.cumsum([0, *(len(x[0]) for x in offers)])
+    answers = [np.zeros(len(x[0]), np.uint32) for x in offers]
+    ids, low, high, text = (np.concatenate(x) for x in zip(*offers, strict=True))
+    del offers
     hashed = np.zeros(len(text), np.uint64)
     for k in range(LEFT, LEFT + WINDOW):
         hashed += _BYTES[text[:, k]] * _POWERS[k - LEFT]
@@ -201,7 +212,7 @@ def settle(least: list[np.ndarray], rows: list[np.ndarray]) -> list[np.ndarray]:
         if j:  # the window that starts one byte earlier
             hashed = (hashed - _BYTES[text[:, LEFT + WINDOW - j]] * top) * base + _BYTES[text[:, LEFT - j]]
         window = text[:, LEFT - j : LEFT - j + WINDOW]
-        whole = np.flatnonzero((window[:, 0] != PAD) & (window[:, -1] != PAD))
+        whole = np.flatnonzero((low <= j) & (j <= high) & (window[:, 0] != PAD) & (window[:, -1] != PAD))
         if not len(whole):
             continue
         key = mix(hashed[whole])
@@ -209,8 +220,10 @@ def settle(least: list[np.ndarray], rows: list[np.ndarray]) -> list[np.ndarray]:
         ranked = key[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         table, smallest = ranked[first], np.minimum.reduceat(ids[whole][order], first)
-        size = np.diff(np.append(first, len(order)))
-        if not np.array_equal(window[whole[order]], window[whole[order[np.repeat(first, size)]]]):
+        again = np.ones(len(order), bool)
+        again[first] = False  # equal hashes are held against the first of their kind, byte by byte
+        head = np.repeat(first, np.diff(np.append(first, len(order))))[again]
+        if not np.array_equal(window[whole[order[again]]], window[whole[order[head]]]):
             kind = np.unique(np.ascontiguousarray(window[whole]).view(f"V{WINDOW}").ravel(), return_inverse=True)[1].ravel()
             smallest = np.full(kind.max() + 1, NONE)
             np.minimum.at(smallest, kind, ids[whole])
@@ -246,7 +259,7 @@ def conclude(shard: Shard, own: bytes, bits: dict[int, np.ndarray]) -> np.ndarra
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
 
-def remove(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
+def remove(docs: DataFrame, shard_bytes: int = 3 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans of every document.
 
     A null text is empty. A null doc_id counts as larger than all others; rows with one doc_id don't remove each
@@ -269,13 +282,7 @@ def remove(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
             route = int(frame["route"].iloc[0])
             if route < 0:
                 return frame
-            least, rows = [], []
-            for blob in frame["blob"]:
-                raw = _unzip(blob)
-                n = len(raw) // (8 + CONTEXT)
-                least.append(np.frombuffer(raw, np.int64, n))
-                rows.append(np.frombuffer(raw, np.uint8, n * CONTEXT, 8 * n).reshape(n, CONTEXT))
-            return frame.assign(blob=[_zip(x) for x in settle(least, rows)])
+            return frame.assign(blob=[_zip(x) for x in settle(list(frame["blob"]))])
 
         def concludes(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left):

@@ -116,16 +116,25 @@ class Shard:
             powers, inverse = _powers(_BASE, len(self.raw)), _powers(pow(_BASE, -1, 1 << 64), len(self.raw))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[self.raw] * powers[:-1])])
             lengths = (self.stops - self.starts).astype(np.uint64)
-            self.symbols = mix((sums[self.stops] - sums[self.starts]) * inverse[self.starts] + lengths * _M2)
+            self.words = mix((sums[self.stops] - sums[self.starts]) * inverse[self.starts] + lengths * _M2)
         else:
-            self.first = offsets
-            self.symbols = byte_symbols(self.raw)
-        self.doc = np.repeat(np.arange(len(ids)), np.diff(self.first))
-
-    def last_start(self, length: int) -> np.ndarray:
-        """By symbol: whether ``length`` symbols of its document start there."""
-        ends = np.repeat(self.first[1:], np.diff(self.first))
-        return np.arange(len(self.doc)) + length <= ends
+            self.first, self.words = offsets, None
+        self.count = int(self.first[-1])
+        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(self.first))
+
+    def symbols(self, low: int = 0, high: int | None = None) -> np.ndarray:
+        return byte_symbols(self.raw[low:high]) if self.words is None else self.words[low:high]
+
+    def room(self, at: np.ndarray) -> np.ndarray:
+        """How many symbols of its document are left from each position on."""
+        return self.first[1:][self.doc[at]] - at
+
+    def starts_window(self) -> np.ndarray:
+        """By symbol: whether a whole window of its document starts there."""
+        out = np.ones(self.count, bool)
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
+            out[max(a, b - WINDOW + 1) : b] = False
+        return out
 
 
 def packed(ids: list, texts: list[bytes], words: bool) -> bytes:
