@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -221,7 +222,7 @@ def _table(raw: bytes) -> Table:
     return Table(parse(raw))
 
 
-def encode_texts(texts: list[str], raw: bytes, chars: int = 4_000_000) -> Iterator[list[int]]:
+def encode_texts(texts: list[str], raw: bytes, chars: int = 1_000_000) -> Iterator[list[int]]:
     """Token ids of each text, in batches of about ``chars`` characters so that memory stays bounded."""
     for part in _batches(texts, chars):
         yield from encode_batch(texts[part], raw)
@@ -231,7 +232,7 @@ def decode_ids(ids: list[list[int]], raw: bytes) -> list[str]:
     return _ready(raw).decode_batch(ids, skip_special_tokens=False)
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, tokens: bool = True, chars: int = 4_000_000, threads: int = 2) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, tokens: bool = True, chars: int = 1_000_000, threads: int = 2) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, round_trip, parity and, with ``tokens``, the ids of every whole text.
 
     The model file is read on the driver and goes to the tasks by value (half a megabyte, whatever the input).
@@ -257,7 +258,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, tokens: bool = True, chars:
                     "parity": [a == b for a, b in zip(ids, _standard(raw).encode(some, num_threads=1), strict=True)],
                 }
                 if tokens:
-                    out["ids"] = ids
+                    out["ids"] = [np.array(x, np.int32) for x in ids]
                 yield pd.DataFrame(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean" + ", ids array<int>" * tokens
