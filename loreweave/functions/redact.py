@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import ascii_edges
+
 #: Names, patterns and markers, in the order in which they apply.
 PATTERNS = (
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
@@ -23,7 +25,7 @@ PATTERNS = (
 
 def redact(text: Column) -> Column:
     for _, pattern, marker in PATTERNS:
-        text = F.regexp_replace(text, pattern, marker)
+        text = F.regexp_replace(text, ascii_edges(pattern), marker)
     return text
 
 
@@ -31,6 +33,6 @@ def findings(text: Column) -> Column:
     """A struct of counts by name, each taken from the text that the earlier patterns have left."""
     counts = []
     for name, pattern, marker in PATTERNS:
-        counts.append(F.regexp_count(text, F.lit(pattern)).alias(name))
-        text = F.regexp_replace(text, pattern, marker)
+        counts.append(F.regexp_count(text, F.lit(ascii_edges(pattern))).alias(name))
+        text = F.regexp_replace(text, ascii_edges(pattern), marker)
     return F.struct(*counts)

@@ -75,4 +75,4 @@ def excerpt(text: Column, tokens: Column, lines: int = 3, chars: int = 240) -> C
     hit = F.filter(every, lambda x: F.exists(tokens, lambda t: F.lower(x).contains(t)))
     full = F.filter(every, lambda x: F.trim(x) != "")
     chosen = F.when(F.size(hit) > 0, F.slice(hit, 1, lines)).otherwise(F.slice(full, 1, 2))
-    return F.substring(F.trim(F.array_join(F.transform(chosen, F.trim), " ")), 1, chars)
+    return F.substring(F.trim(F.array_join(F.transform(chosen, lambda x: F.trim(x)), " ")), 1, chars)
