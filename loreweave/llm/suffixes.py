@@ -203,16 +203,17 @@ def settle(blobs: list[bytes]) -> list[np.ndarray]:
     cuts = np.cumsum([0, *(len(x[0]) for x in offers)])
     answers = [np.zeros(len(x[0]), np.uint32) for x in offers]
     ids, low, high, text = (np.concatenate(x) for x in zip(*offers, strict=True))
+    columns = np.ascontiguousarray(text.T)  # a byte of all contexts at a time
     del offers
     hashed = np.zeros(len(text), np.uint64)
     for k in range(LEFT, LEFT + WINDOW):
-        hashed += _BYTES[text[:, k]] * _POWERS[k - LEFT]
+        hashed += _BYTES[columns[k]] * _POWERS[k - LEFT]
     top, base = _POWERS[WINDOW - 1], np.uint64(_BASE)
     for j in range(REACH):
         if j:  # the window that starts one byte earlier
-            hashed = (hashed - _BYTES[text[:, LEFT + WINDOW - j]] * top) * base + _BYTES[text[:, LEFT - j]]
+            hashed = (hashed - _BYTES[columns[LEFT + WINDOW - j]] * top) * base + _BYTES[columns[LEFT - j]]
         window = text[:, LEFT - j : LEFT - j + WINDOW]
-        whole = np.flatnonzero((low <= j) & (j <= high) & (window[:, 0] != PAD) & (window[:, -1] != PAD))
+        whole = np.flatnonzero((low <= j) & (j <= high) & (columns[LEFT - j] != PAD) & (columns[LEFT - j + WINDOW - 1] != PAD))
         if not len(whole):
             continue
         key = mix(hashed[whole])
@@ -220,10 +221,14 @@ def settle(blobs: list[bytes]) -> list[np.ndarray]:
         ranked = key[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         table, smallest = ranked[first], np.minimum.reduceat(ids[whole][order], first)
-        again = np.ones(len(order), bool)
-        again[first] = False  # equal hashes are held against the first of their kind, byte by byte
-        head = np.repeat(first, np.diff(np.append(first, len(order))))[again]
-        if not np.array_equal(window[whole[order[again]]], window[whole[order[head]]]):
+        # whoever gives way is held, byte by byte, against the smallest document of its hash
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        own = ids[whole][order]
+        holds = own == smallest[group]
+        holder = np.empty(len(first), np.int64)
+        holder[group[holds]] = order[holds]
+        yields = ~holds
+        if not np.array_equal(window[whole[order[yields]]], window[whole[holder[group[yields]]]]):
             kind = np.unique(np.ascontiguousarray(window[whole]).view(f"V{WINDOW}").ravel(), return_inverse=True)[1].ravel()
             smallest = np.full(kind.max() + 1, NONE)
             np.minimum.at(smallest, kind, ids[whole])
