@@ -29,6 +29,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the system; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives memory back when its task ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def map_text(docs: DataFrame, change: Callable[[dict[str, list]], list[str | None]], drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with texts made anew, batch by batch in Arrow; n_chars follows where it is a column.
 
@@ -49,4 +74,4 @@ def map_text(docs: DataFrame, change: Callable[[dict[str, list]], list[str | Non
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType(kept))
+    return docs.mapInArrow(tidy(run), T.StructType(kept))

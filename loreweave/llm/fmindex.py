@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 WINDOW = 10
 #: Bytes to A-Z lower-cased, and all bytes that are no word bytes to a blank: 0-9, a-z and every byte of a non-ASCII character stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -280,7 +282,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
                 new = [[g[0] for g in got], [[{"start": a, "end": b} for a, b in x] for x in spans], items]
                 yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, new, kinds)], names=[*names, *FOUND.names])
 
-        rows = rows.mapInArrow(run, T.StructType([*docs.schema.fields, *FOUND.fields]))
+        rows = rows.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *FOUND.fields]))
     return rows
 
 

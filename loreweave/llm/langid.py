@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 UNKNOWN = "und"
 CELLS = 1 << 13
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -83,14 +85,15 @@ def learn(docs: DataFrame, per_lang: int = 300, k: int = 4) -> LanguageModel:
     The n-grams are counted on the executors; the driver gets ``CELLS`` counts of each chosen text, as sparse pairs.
     Rows without text, language or letters teach nothing.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    chosen = (
-        docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-        .select(F.col("lang").cast("string"), "text")
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= per_lang)
-        .select("lang", "text")
-    )
+    hashed = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.xxhash64("text").alias("_hash"), "text")
+    order = Window.partitionBy("lang").orderBy("_hash")
+    # the choice is made on hashes; only chosen texts move, one of each hash
+    chosen = hashed.select("lang", "_hash").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_lang)
+    edges = {r["lang"]: r["edge"] for r in chosen.groupBy("lang").agg(F.max("_hash").alias("edge")).collect()}
+    if not edges:
+        return fit(np.zeros((0, CELLS), np.float32), np.array([], object), k)
+    edge = F.element_at(F.create_map(*[x for lang, e in sorted(edges.items()) for x in (F.lit(lang), F.lit(e))]), F.col("lang"))
+    chosen = hashed.where(F.col("_hash") <= edge).groupBy("lang", "_hash").agg(F.min("text").alias("text"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -142,7 +145,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             )
 
     schema = "doc_id long, lang_pred string, score double, rejected boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

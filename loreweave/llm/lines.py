@@ -160,7 +160,8 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     verdict = judge(docs, **limits).where("kept").select(F.col("doc_id").alias("_lw_id"), F.col("_text").alias("_lw_judged"), F.col("_gone").alias("_lw_gone"))
     verdict = verdict.dropDuplicates(["_lw_id", "_lw_judged"])
     rows = docs.withColumn("_lw_text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    both = rows.join(verdict, rows["doc_id"].eqNullSafe(verdict["_lw_id"]) & (rows["_lw_text"] == verdict["_lw_judged"]))
+    # the small side is hashed, so that texts are shuffled once and not sorted
+    both = rows.join(verdict.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(verdict["_lw_id"]) & (rows["_lw_text"] == verdict["_lw_judged"]))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_lw_gone"), i)), "\n")
     out = both.withColumn("text", F.when(F.size("_lw_gone") > 0, left).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MARK = "▁"
 WORD = f"{MARK}*[^{MARK}]+|{MARK}+"
 #: Fixed values of the published sentencepiece_model.proto: model types, and types of pieces.
@@ -262,4 +264,4 @@ def encode(docs: DataFrame, model_path: str = MODEL, tokens: bool = True, chars:
                 yield pd.DataFrame(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean" + ", ids array<int>" * tokens
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(tidy(run), schema)

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .windows import GRAM, REACH, WINDOW, Shard, gram_hashes, minimizers, unpacked
 
 BIN_BYTES = 16 << 20  # of text for each bin
@@ -111,7 +112,7 @@ def ask(table: DataFrame, bins: int, words: bool) -> DataFrame:
                 some = [k for k in range(bins) if len(parts[k][0])]
                 yield pd.DataFrame({"bin": some, "shard": number, "keys": [parts[k][0].tobytes() for k in some], "several": [np.packbits(parts[k][1]).tobytes() for k in some]})
 
-    return table.select("shard", "blob").mapInPandas(run, "bin int, shard long, keys binary, several binary")
+    return table.select("shard", "blob").mapInPandas(tidy(run), "bin int, shard long, keys binary, several binary")
 
 
 def answer(asked: DataFrame, bins: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import map_text, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 14  # tokens of an entity
@@ -367,7 +367,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "base": base, "added": added})
 
     spans = "array<struct<start:int,end:int,kind:string>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, f"doc_id long, base {spans}, added {spans}")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(tidy(run), f"doc_id long, base {spans}, added {spans}")
 
 
 def masked(text: str, spans: list[Span]) -> str:

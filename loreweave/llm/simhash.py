@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, tidy
 from .components import components
 
 SEED = 42
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "_text": frame["_text"], "fp": found.view(np.int64)})
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("_text")).mapInPandas(run, "doc_id long, _text long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("_text")).mapInPandas(tidy(run), "doc_id long, _text long, fp long")
 
 
 class Forest:
@@ -191,4 +191,5 @@ def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     kept = groups(docs, radius, width).groupBy("_root").agg(first).select(F.col("k.doc_id").alias("_lw_id"), F.col("k._text").alias("_lw_kept"))
     rows = docs.withColumn("_lw_text", F.xxhash64(F.col("text").cast("string")))
     same = rows["doc_id"].cast("long").eqNullSafe(kept["_lw_id"]) & (rows["_lw_text"] == kept["_lw_kept"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_lw_text"]).drop("_lw_text")
+    # the small side is hashed, so that texts are shuffled once and not sorted for the join
+    return rows.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "_lw_text"]).drop("_lw_text")

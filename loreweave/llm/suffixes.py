@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import screen
-from .common import cut_lineage
+from .common import cut_lineage, release
 from .windows import _BASE, _BYTES, NONE, REACH, WINDOW, Shard, mix, shards, unpacked
 
 LEFT = REACH - 1  # symbols before an anchor that its windows can hold
@@ -279,6 +279,7 @@ def remove(docs: DataFrame, shard_bytes: int = 3 << 20) -> DataFrame:
             if not len(left):
                 return pd.DataFrame({"route": [], "shard": [], "blob": []})
             sent, own = offer(unpacked(left["blob"].iloc[0], False), bins, dict(zip(right["bin"], right["shared"], strict=True)))
+            release()
             number = left["shard"].iloc[0]
             # what a shard keeps goes along, by a route of its own
             return pd.DataFrame({"route": [*(k for k, _ in sent), -1 - number], "shard": number, "blob": [*(b for _, b in sent), own]})
@@ -287,7 +288,9 @@ def remove(docs: DataFrame, shard_bytes: int = 3 << 20) -> DataFrame:
             route = int(frame["route"].iloc[0])
             if route < 0:
                 return frame
-            return frame.assign(blob=[_zip(x) for x in settle(list(frame["blob"]))])
+            out = frame.assign(blob=[_zip(x) for x in settle(list(frame["blob"]))])
+            release()
+            return out
 
         def concludes(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left):

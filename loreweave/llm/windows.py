@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, tidy
 
 WINDOW, GRAM = 50, 24
 REACH = WINDOW - GRAM + 1  # grams in a window
@@ -179,7 +179,7 @@ def shards(docs: DataFrame, words: bool, size: int = 4 << 20) -> DataFrame:
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return cut_lineage(rows.mapInPandas(run, "shard long, raw long, blob binary"))
+    return cut_lineage(rows.mapInPandas(tidy(run), "shard long, raw long, blob binary"))
 
 
 def sha256(parts: list[bytes], joint: bytes = b"") -> str:
