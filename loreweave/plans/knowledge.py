@@ -343,12 +343,12 @@ def entries_hash(read):
     return lint.entries_hash(read("wiki_pages").withColumn("tags", F.array("lang")))
 
 
-_LINKS = """links as (select 'p' || page_id::varchar as page, 'p' || ((page_id * 7 + k) % 300)::varchar as target from pages, range(0, 3) t(k))"""
+_LINKS = """links as (select 'p' || page_id::varchar as page, 'p' || ((page_id * 8 + k) % 300)::varchar as target from pages, range(0, 3) t(k))"""
 
 
 def _links(read):
     return read("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("page"), F.explode(F.array(*map(F.lit, range(3)))).alias("k"), "page_id").select(
-        "page", F.concat(F.lit("p"), ((F.col("page_id") * 7 + F.col("k")) % 300).cast("string")).alias("target")
+        "page", F.concat(F.lit("p"), ((F.col("page_id") * 8 + F.col("k")) % 300).cast("string")).alias("target")
     )
 
 

@@ -16,9 +16,8 @@ SCHEMAS = {
 
 def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The lines of a log that parse, in the log's schema."""
-    schema = SCHEMAS[kind]
-    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad is null").drop("_bad")
+    lines = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    return lines.select(F.from_json("value", SCHEMAS[kind]).alias("r")).select("r.*")
 
 
 def stream(spark: SparkSession, path: str, kind: str, files_per_trigger: int = 100) -> DataFrame:
@@ -34,7 +33,7 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
 
     ``ord`` is the line's number in its file, so a file is read as a whole (sessions are small, folders are not).
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("session"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("session"), "value")
     lines = files.select("session", F.posexplode(F.split("value", "\n")).alias("ord", "line")).where(F.trim("line") != "")
     entry = F.from_json("line", SCHEMAS["transcript"], {"mode": "PERMISSIVE"})
     whole = F.try_parse_json("line")
