@@ -177,7 +177,7 @@ def promoted_texts(read):
     rows = read("claim_rows").select(
         F.concat(F.lit("k"), (F.col("id") % 7).cast("string")).alias("key"), F.col("id").alias("ord"), "text", T.token_set(F.col("text")).alias("tokens"), (F.col("id") % 19 == 0).alias("accepted"), F.lit(False).alias("promoted")
     )
-    return similarity.promote_recurring(rows)
+    return similarity.promote_recurring(rows, 0.25)
 
 
 @query(
