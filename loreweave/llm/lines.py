@@ -116,7 +116,7 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, share: float, least: int,
     return many.join(sizes, "_host").where(F.col("_n") > F.lit(share) * F.col("_docs")).select("_host", "_hash")
 
 
-def judge(docs: DataFrame, share: float = 0.05, least: int = 5, keep: float = 0.5, host: str = "source") -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.05, least: int = 5, keep: float = 0.25, host: str = "source") -> DataFrame:
     """Base figures, ``removed_chars`` (word characters in frequent lines), ``base_failed`` and ``kept``.
 
     ``kept`` is false if the base rules fail or less than ``keep`` of the word characters remain.

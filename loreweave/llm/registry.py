@@ -88,7 +88,7 @@ b as (select d.doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '
       coalesce(lost, 0)::bigint as removed_chars
       from d join w using (rid) left join cov using (rid) left join dup using (rid) left join lost using (rid))
 select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
-       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and word_chars - removed_chars >= 0.5 * word_chars as kept
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and word_chars - removed_chars >= 0.25 * word_chars as kept
 from b
 """
 
