@@ -92,6 +92,28 @@ select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
 from b
 """
 
+OP5_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, coalesce(doc_id, 9223372036854775807) as o, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select rid, o, p, substring(h, 2 * p + 1, 100) as g from (select rid, o, h, unnest(range(0, length(h) // 2 - 49)) as p from d where length(h) >= 100)),
+m as (select g, min(o) as least from w group by g),
+r as (select rid, p, lag(p) over (partition by rid order by p) as before from w join m using (g) where least < o),
+s as (select rid, span, min(p) as a, max(p) + 50 as b from (select *, sum(case when before is null or p - before > 50 then 1 else 0 end) over (partition by rid order by p) as span from r) group by rid, span),
+k as (select rid, string_agg(substring(h, 2 * prior + 1, 2 * (a - prior)), '' order by a) || substring(any_value(h), 2 * max(b) + 1) as kept, sum(b - a) as gone, count(*) as spans
+      from (select s.*, d.h, coalesce(lag(b) over (partition by s.rid order by a), 0) as prior from s join d using (rid)) group by rid)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join k using (rid)
+"""
+
+OP9_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, coalesce(doc_id, 9223372036854775807) as o, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+w as (select rid, o, p, array_to_string(ws[p:p+49], ' ') as g from (select rid, o, ws, unnest(range(1, len(ws) - 48)) as p from d where len(ws) >= 50)),
+m as (select g, min(o) as least from w group by g),
+r as (select distinct rid, p + k as p from w join m using (g), range(0, 50) t(k) where least < o),
+u as (select rid, unnest(ws) as word, generate_subscripts(ws, 1) as p from d),
+k as (select rid, string_agg(word, ' ' order by p) as kept from u anti join r using (rid, p) group by rid),
+c as (select rid, count(*) as gone from r group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(gone, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (rid) left join c using (rid)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -109,4 +131,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op9_de_bruijn": OP9_SQL}
