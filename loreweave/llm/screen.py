@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import tidy
 from .windows import GRAM, REACH, WINDOW, Shard, gram_hashes, minimizers, unpacked
 
-BIN_BYTES = 16 << 20  # of text for each bin
+BIN_BYTES = 8 << 20  # of text for each bin
 BLOCK = 1 << 15
 _TOP = np.uint64(np.iinfo(np.uint64).max)
 

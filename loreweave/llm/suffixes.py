@@ -203,8 +203,8 @@ def settle(blobs: list[bytes]) -> list[np.ndarray]:
     cuts = np.cumsum([0, *(len(x[0]) for x in offers)])
     answers = [np.zeros(len(x[0]), np.uint32) for x in offers]
     ids, low, high, text = (np.concatenate(x) for x in zip(*offers, strict=True))
-    columns = np.ascontiguousarray(text.T)  # a byte of all contexts at a time
     del offers
+    columns = np.ascontiguousarray(text.T)  # a byte of all contexts at a time
     hashed = np.zeros(len(text), np.uint64)
     for k in range(LEFT, LEFT + WINDOW):
         hashed += _BYTES[columns[k]] * _POWERS[k - LEFT]
@@ -264,7 +264,7 @@ def conclude(shard: Shard, own: bytes, bits: dict[int, np.ndarray]) -> np.ndarra
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
 
-def remove(docs: DataFrame, shard_bytes: int = 3 << 20) -> DataFrame:
+def remove(docs: DataFrame, shard_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans of every document.
 
     A null text is empty. A null doc_id counts as larger than all others; rows with one doc_id don't remove each
@@ -288,9 +288,10 @@ def remove(docs: DataFrame, shard_bytes: int = 3 << 20) -> DataFrame:
             route = int(frame["route"].iloc[0])
             if route < 0:
                 return frame
-            out = frame.assign(blob=[_zip(x) for x in settle(list(frame["blob"]))])
+            blobs = frame.pop("blob").tolist()
+            frame["blob"] = [_zip(x) for x in settle(blobs)]
             release()
-            return out
+            return frame
 
         def concludes(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left):
