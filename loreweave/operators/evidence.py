@@ -45,16 +45,18 @@ def contaminated(calls: DataFrame, forbidden: DataFrame, most: int = 10_000) ->
 def affected_claims(claims: DataFrame, changed: DataFrame, most: int = 40) -> DataFrame:
     """The first ``most`` claims, by id, with a file pattern that a changed file matches.
 
-    ``claims``: id, files; ``changed``: path. Patterns without a star meet the changed paths and their folders in an
-    equi-join; only those with a star are matched one by one.
+    ``claims``: id, files; ``changed``: path. Every pattern meets the changed paths and their folders on an equal key:
+    itself, or with a star the folder before it; those with a star are then matched in full.
     """
     parts = F.split("path", "/")
-    above = changed.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("pattern")).select("pattern").distinct()
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    above = changed.select("path", F.explode(folders).alias("key"))
     one = claims.select("id", F.explode("files").alias("raw")).withColumn("pattern", F.regexp_replace(F.regexp_replace("raw", r"^\./", ""), "/+$", ""))
-    plain = one.where(~F.contains("pattern", F.lit("*"))).join(above, "pattern", "left_semi").select("id")
-    starred = one.where(F.contains("pattern", F.lit("*"))).select("raw").distinct()
-    met = starred.join(changed, file_matches(changed["path"], starred["raw"]), "left_semi")
-    return plain.unionByName(one.join(met, "raw", "left_semi").select("id")).distinct().orderBy("id").limit(most)
+    star = F.contains("pattern", F.lit("*"))
+    plain = one.where(~star & (F.col("pattern") != "")).join(above, F.col("pattern") == F.col("key"), "left_semi").select("id")
+    keyed = one.where(star).withColumn("key", F.regexp_replace(F.split_part("pattern", F.lit("*"), F.lit(1)), "/?[^/]*$", ""))
+    met = keyed.join(above, "key").where(file_matches(F.col("path"), F.col("raw"))).select("id")
+    return plain.unionByName(met).distinct().orderBy("id").limit(most)
 
 
 def unbacked_claims(claims: DataFrame, ledger: DataFrame, threshold: float = 0.5, prefix: int = 100) -> DataFrame:

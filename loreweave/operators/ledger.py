@@ -14,11 +14,9 @@ def summary(ledger: DataFrame) -> DataFrame:
 
 def metrics_summary(metrics: DataFrame) -> DataFrame:
     """One row: consultations (toc or ask), searches (ask), distinct pages."""
-    return metrics.agg(
-        F.count_if(F.col("op").isin("toc", "ask")).alias("consultations"),
-        F.count_if(F.col("op") == "ask").alias("searches"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).cast("long").alias("pages"),
-    )
+    counted = metrics.agg(F.count_if(F.col("op").isin("toc", "ask")).alias("consultations"), F.count_if(F.col("op") == "ask").alias("searches"))
+    seen = metrics.select(F.explode("pages").alias("page")).agg(F.count_distinct("page").alias("pages"))
+    return counted.crossJoin(F.broadcast(seen))  # a row each
 
 
 def recent(rows: DataFrame, n: int, *, ts: str = "ts", tie: str = "id") -> DataFrame:

@@ -57,16 +57,22 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "path", "rank", "score")
 
 
-def index_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def index_search(docs: DataFrame, queries: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
     """Score: how many of a query's tokens (repeats count) are part of title, summary or tags.
 
-    The query set is one row of arrays that every document meets; its size is the query set's own.
+    Parts of words count, so no equal key exists: every document meets the query set, ``block`` queries at a time (one
+    broadcast row and one pass over the documents' titles a block).
     """
-    asked = queries.select(F.struct("query_id", tokenize(F.col("query")).alias("tokens")).alias("q")).agg(F.collect_list("q").alias("qs"))
+    count, out = queries.count(), None
     hay = F.lower(F.concat_ws(" ", "title", "rest"))
-    rows = docs.select("path", hay.alias("hay")).crossJoin(F.broadcast(asked)).select("path", "hay", F.explode("qs").alias("q"))
-    score = F.aggregate("q.tokens", F.lit(0).cast("long"), lambda n, t: n + F.when(F.col("hay").contains(t), 1).otherwise(0).cast("long"))
-    return top(rows.select("path", F.col("q.query_id").alias("query_id"), score.alias("score")).where("score > 0"), k)
+    for start in range(0, max(1, count), block):
+        some = queries.orderBy("query_id").offset(start).limit(block)
+        asked = some.select(F.struct("query_id", tokenize(F.col("query")).alias("tokens")).alias("q")).agg(F.collect_list("q").alias("qs"))
+        rows = docs.select("path", hay.alias("hay")).crossJoin(F.broadcast(asked)).select("path", "hay", F.explode("qs").alias("q"))
+        score = F.aggregate("q.tokens", F.lit(0).cast("long"), lambda n, t: n + F.when(F.col("hay").contains(t), 1).otherwise(0).cast("long"))
+        part = top(rows.select("path", F.col("q.query_id").alias("query_id"), score.alias("score")).where("score > 0"), k)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def excerpt(text: Column, tokens: Column, lines: int = 3, chars: int = 240) -> Column:

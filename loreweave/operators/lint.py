@@ -94,7 +94,10 @@ def topic_counts(pages: DataFrame) -> DataFrame:
 
 
 def entries_hash(toc: DataFrame) -> DataFrame:
-    """One row: a fingerprint of the contents, of all rows in order of path (16 hex digits)."""
+    """One row: a fingerprint of one collection's contents, of all rows in order of path (16 hex digits).
+
+    The hash runs over the rows in order, so a collection's contents table (a line a page) is gathered in one row.
+    """
     row = F.concat_ws("\u0000", "path", "title", "type", F.array_join("tags", " "), "summary", "updated")
     listed = F.array_sort(F.collect_list(F.struct("path", row.alias("row"))))
     return toc.agg(F.substring(F.sha2(F.array_join(F.transform(listed, lambda x: x["row"]), "\n"), 256), 1, 16).alias("entries_hash"), F.count(F.lit(1)).alias("pages"))
