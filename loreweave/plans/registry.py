@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import activity, backing, knowledge, retrieval  # noqa: F401  (they register their queries)
+from . import activity, backing, formats, knowledge, retrieval  # noqa: F401  (they register their queries)
 from .base import ORACLES, QUERIES
 
 
