@@ -36,13 +36,18 @@ def _unzip(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def eight_bytes(text: np.ndarray) -> np.ndarray:
+    """By position: the next eight bytes as a number (zeros beyond the end)."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    pair = (padded[:-1].astype(np.uint16) << 8) | padded[1:]
+    four = (pair[:-2].astype(np.uint32) << 16) | pair[2:]
+    return ((four[:-4].astype(np.uint64) << np.uint64(32)) | four[4:])[: len(text)]
+
+
 def suffix_array(text: np.ndarray, depth: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Order and rank of suffixes by their first ``depth`` bytes at least; equal ranks mean equal to that depth."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
+    key = eight_bytes(text)
     order = np.argsort(key)
     ranked = key[order]
     head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -81,7 +86,7 @@ def kasai(text: np.ndarray, order: np.ndarray, rank: np.ndarray, cap: int = WIND
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.zeros(cap + 1, np.uint8)])
+    key = np.concatenate([eight_bytes(text), np.zeros(cap + 1, np.uint64)])
     found = np.zeros(n, np.int64)
     lanes = np.arange(0, n, stride)
     carried = np.zeros(len(lanes), np.int64)
@@ -94,13 +99,14 @@ def kasai(text: np.ndarray, order: np.ndarray, rank: np.ndarray, cap: int = WIND
         tied = (prior >= 0) & (rank[at] == rank[prior])
         length[tied] = cap
         going = np.flatnonzero((prior >= 0) & (length < cap))
-        while len(going):
+        while len(going):  # eight bytes at a time
             i, j, m = at[going], prior[going], length[going]
-            inside = np.maximum(i, j) + m < n
-            same = inside & (padded[np.minimum(i + m, n)] == padded[np.minimum(j + m, n)])
-            going = going[same]
-            length[going] += 1
-            going = going[length[going] < cap]
+            differ = key[i + m] ^ key[j + m]
+            same = np.full(len(going), 8)
+            some = np.flatnonzero(differ)
+            same[some] = sum((differ[some] < np.uint64(1 << (64 - 8 * b))).astype(np.int64) for b in range(1, 8))
+            length[going] = np.minimum(m + np.minimum(same, n - np.maximum(i, j) - m), cap)
+            going = going[(same == 8) & (length[going] < cap) & (np.maximum(i, j) + m + 8 < n)]
         found[at] = length
         carried[live] = np.where(tied, 0, length)
     return found[order]
@@ -118,7 +124,9 @@ def repeats_within(shard: Shard, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     # stretches of one document each, a separator behind each
     source = np.flatnonzero(held)
     ends = np.flatnonzero((np.diff(source, append=source[-1] + 2) > 1) | (np.diff(shard.doc[source], append=-1) != 0))
-    place = np.arange(len(source)) + np.searchsorted(ends, np.arange(len(source)))
+    closed = np.zeros(len(source) + 1, np.int64)
+    closed[ends + 1] = 1
+    place = np.arange(len(source)) + np.cumsum(closed)[:-1]
     text = np.full(len(source) + len(ends), PAD, np.uint8)
     text[place] = shard.raw[source]
     origin = np.full(len(text), -1, np.int64)
@@ -201,9 +209,9 @@ def settle(blobs: list[bytes]) -> list[np.ndarray]:
     """For each run of contexts: a bit for each offset whose window starts in a document smaller than the context's."""
     offers = [read_offer(blob) for blob in blobs]
     cuts = np.cumsum([0, *(len(x[0]) for x in offers)])
-    answers = [np.zeros(len(x[0]), np.uint32) for x in offers]
     ids, low, high, text = (np.concatenate(x) for x in zip(*offers, strict=True))
     del offers
+    answers = np.zeros(len(ids), np.uint32)
     columns = np.ascontiguousarray(text.T)  # a byte of all contexts at a time
     hashed = np.zeros(len(text), np.uint64)
     for k in range(LEFT, LEFT + WINDOW):
@@ -233,12 +241,9 @@ def settle(blobs: list[bytes]) -> list[np.ndarray]:
             smallest = np.full(kind.max() + 1, NONE)
             np.minimum.at(smallest, kind, ids[whole])
             table, key = np.arange(len(smallest)), kind
-        for run, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            x, y = np.searchsorted(whole, [a, b])
-            found = np.searchsorted(table, key[x:y])  # the run's windows in the merged table
-            hit = smallest[found] < ids[whole[x:y]]
-            answers[run][whole[x:y][hit] - a] |= np.uint32(1 << j)
-    return answers
+        hit = smallest[np.searchsorted(table, key)] < ids[whole]  # every run's windows in the merged table
+        answers[whole[hit]] |= np.uint32(1 << j)
+    return [answers[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def conclude(shard: Shard, own: bytes, bits: dict[int, np.ndarray]) -> np.ndarray:
