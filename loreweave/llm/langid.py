@@ -35,7 +35,7 @@ class LanguageModel:
 def gram_counts(text: str) -> np.ndarray | None:
     """Hashed counts of the text's letter n-grams, or None if it has no letter. The whole text counts."""
     bare = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not bare:
+    if not any(map(str.isalpha, bare)):
         return None
     a = np.frombuffer(f" {bare} ".encode(), np.uint8).astype(np.uint32)
     two = a[:-1] * np.uint32(257) + a[1:]

@@ -67,7 +67,7 @@ def emails(text: str) -> Iterator[Span]:
 def base_spans(text: str) -> list[Span]:
     """The contract's spans, by start and then kind as listed."""
     out = list(emails(text))
-    out += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p) < 30 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = _digits(m[0])
         if 12 <= len(digits) <= 19 and luhn(digits):
