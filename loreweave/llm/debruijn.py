@@ -90,7 +90,7 @@ class Spans:
         shared[at] = True
         keep = shared[anchor] if len(start) else np.zeros(0, bool)
         start, anchor = start[keep], anchor[keep]
-        node = every[anchor].view(np.int64) if len(start) else np.zeros(0, np.int64)
+        node = mix(every[anchor]).view(np.int64) if len(start) else np.zeros(0, np.int64)
         path, coordinate = node.copy(), start - anchor
         if len(nodes) and len(node):
             place = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)

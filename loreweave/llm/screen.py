@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import tidy
-from .windows import GRAM, REACH, WINDOW, Shard, gram_hashes, minimizers, unpacked
+from .windows import GRAM, REACH, WINDOW, Shard, gram_hashes, minimizers, mix, unpacked
 
 BIN_BYTES = 8 << 20  # of text for each bin
 BLOCK = 1 << 15
@@ -59,7 +59,8 @@ def anchors(shard: Shard, own: bool = False) -> tuple[np.ndarray, ...]:
         at = at[(at + low >= start) & (at + low < start + BLOCK)]
         at = at[shard.room(at + low) >= GRAM]
         value = grams[at]
-        found: tuple[np.ndarray, ...] = (at + low, value)
+        # least hashes crowd at the low end; mixed once more they spread evenly over bins
+        found: tuple[np.ndarray, ...] = (at + low, mix(value))
         if own:
             before, after = np.full(len(at), side, np.uint8), np.zeros(len(at), np.uint8)
             padded = np.concatenate([np.full(side, _TOP), grams, np.full(side, _TOP)])
