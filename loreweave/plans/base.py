@@ -23,7 +23,7 @@ VIEWS = {
         case when doc_id % 7 = 0 then '2025-12-31' when doc_id % 11 = 0 then null else cast(date '2026-01-01' + cast(doc_id % 300 as int) as string) end as updated,
         replace(substring(text, 41, 60), chr(10), ' ') as summary from {documents} where doc_id % 17 <> 3""",
     # a ledger of decisions from the event log
-    "ledger_rows": """select event_id as id, ts, case when user_id % 3 = 0 then 'jev' when user_id % 3 = 1 then 'agent' else 'code' end as actor,
+    "ledger_rows": """select event_id as id, ts, case when user_id % 3 = 0 then 'judge' when user_id % 3 = 1 then 'agent' else 'code' end as actor,
         case when event_type = 'view' then 'toc' when event_type = 'signup' then 'ask' else 'adjudicate' end as op,
         case when event_type = 'click' then 'file' when event_type = 'purchase' then 'reject_derivable' when event_type = 'error' then 'reject_unsupported' else 'none' end as action,
         case when event_id % 10 = 0 then null else event_id % 97 end as input_tokens, event_id % 31 as output_tokens, case when event_id % 4 = 0 then null else (event_id % 50) * 5e-1 end as cost,

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SKIPPED = (".jev-wiki", "raw", "toc")
+SKIPPED = ("raw", "toc")
 _NUMBER = re.compile(r"-?\d+(\.\d+)?$")
 _PAIR = re.compile(r"([A-Za-z0-9_-]+):(?:\s+(.*))?$")
 _PLAIN = re.compile(r"[A-Za-z0-9_./@ -]+$")
@@ -20,13 +20,13 @@ PAGE = "path string, title string, type string, topic string, summary string, ta
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text): all Markdown files under a folder, but for skipped ones; paths relative to it."""
+    """(path, text): all Markdown files under a folder, but for skipped and hidden folders; paths relative to it."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     base = root.rstrip("/").split("://")[-1] + "/"
     at = F.instr(F.col("_metadata.file_path"), base) + len(base)
     path = F.url_decode(F.substring(F.col("_metadata.file_path"), at, F.lit(10_000)))
     named = files.select(path.alias("path"), F.col("value").alias("text"))
-    return named.where(~F.exists(F.split("path", "/"), lambda s: s.isin(*SKIPPED)))
+    return named.where(~F.exists(F.split("path", "/"), lambda s: s.isin(*SKIPPED) | s.startswith(".")))
 
 
 def scalar(text: str) -> Any:
