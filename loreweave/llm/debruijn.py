@@ -228,13 +228,20 @@ def remove(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
             shard = unpacked(left["blob"].iloc[0], True)
             at, grams = screen.shared_anchors(shard, bins, dict(zip(right["bin"], right["shared"], strict=True)))
             rows = chain_links(shard, at, grams)
-            return pd.DataFrame({"shard": left["shard"].iloc[0], "anchors": [_zip(at.astype(np.int64)), *[None] * len(rows)], "a": [None, *rows[:, 0].tolist()], "b": [None, *rows[:, 1].tolist()], "gap": [None, *rows[:, 2].tolist()]}).astype({"a": "Int64", "b": "Int64", "gap": "Int64"})
+            alone = np.setdiff1d(grams.view(np.int64), rows[:, :2])  # other shards may link them
+            # the first row bears the anchors; whole numbers all along, as 64-bit hashes don't fit a float
+            frame = pd.DataFrame({"shard": left["shard"].iloc[0], "anchors": [_zip(at.astype(np.int64)), *[None] * (len(rows) + len(alone))]})
+            nodes, ends, blank = np.concatenate([[0], rows[:, 0], alone]), np.zeros((2, len(frame)), np.int64), np.ones(len(frame), bool)
+            ends[:, 1 : len(rows) + 1], blank[1 : len(rows) + 1] = rows[:, 1:].T, False
+            frame["a"] = pd.arrays.IntegerArray(nodes, np.arange(len(frame)) == 0)
+            frame["b"], frame["gap"] = (pd.arrays.IntegerArray(x, blank.copy()) for x in ends)
+            return frame
 
         shared = cut_lineage(table.select("shard", "blob").groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(shares, "shard long, anchors binary, a long, b long, gap long"))
-        edges = shared.where("a is not null").select("a", "b", "gap")
+        edges = shared.where("b is not null").select("a", "b", "gap")
         paths = compact(edges)
-        # each shard gets the places of the nodes that its own links hold
-        held = shared.where("a is not null").select("shard", F.explode(F.array("a", "b")).alias("node")).distinct()
+        # each shard gets the places of all shared nodes that it holds, whether or not a link of its own holds them
+        held = shared.where("a is not null").select("shard", F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
         nodes = held.join(paths, "node").groupBy("shard").agg(F.collect_list(F.struct("node", "path", "offset")).alias("nodes"))
         told = shared.where("anchors is not null").select("shard", "anchors").join(nodes, "shard", "left")
 

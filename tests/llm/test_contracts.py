@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from loreweave.llm import debruijn, fmindex, hashtree, langid, lines, pieces, semicrf, simhash, suffixes, urltrees
+from loreweave.llm import debruijn, fmindex, hashtree, langid, lines, pieces, screen, semicrf, simhash, suffixes, urltrees, windows
 
 from .conftest import clashing, corpus, rows
 
@@ -94,6 +94,29 @@ def test_word_span_removal(docs, size):
     assert got == sorted(expected, key=repr)
 
 
+def test_word_spans_in_shards_that_hold_one_gram_of_a_chain(spark, monkeypatch):
+    texts = []
+    # in the seventh, the hash of the only gram that the short piece shares is also a whole float
+    for j, seed in enumerate([*range(1, 7), 23, 24]):
+        r = random.Random(seed)
+        passage = [str(r.randrange(10**6)) for _ in range(140)]
+        for k, part in enumerate([passage, passage, passage[50:102]]):
+            words = [[str(r.randrange(10**6)) for _ in range(60)] for _ in range(2)]
+            texts.append((3 * j + k, " ".join([*words[0], *part, *words[1]])))
+    linked: list = []
+    compact = debruijn.compact
+    monkeypatch.setattr(debruijn, "compact", lambda edges: linked.extend(edges.collect()) or compact(edges))
+    got = rows(debruijn.remove(spark.createDataFrame(texts, "doc_id long, text string"), shard_bytes=1), "doc_id", "n_words", "n_removed", "kept_sha256")
+    expected, grams = [], set()
+    for (i, text), (x, mask) in zip(texts, _brute_windows(texts, str.split, None), strict=True):
+        kept = " ".join(w for w, m in zip(x, mask, strict=True) if not m)
+        expected.append((i, len(x), int(mask.sum()), hashlib.sha256(kept.encode()).hexdigest()))
+        grams |= set(screen.anchors(windows.unpacked(windows.packed([i], [text.encode()], True), True))[1].view(np.int64).tolist())
+    assert [e[2] for e in expected] == [0, 140, 52] * 8
+    assert got == sorted(expected, key=repr)
+    assert linked and all({x.a, x.b} <= grams for x in linked)  # links name grams to the last bit
+
+
 def test_removal_from_nothing(none):
     assert rows(suffixes.remove(none)) == []
     assert rows(debruijn.remove(none)) == []
