@@ -273,7 +273,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 got = [x for part in _shards(texts, shard_chars) for x in search_shard(texts[part], held.value)]
                 spans = [list(zip(g[1].tolist(), g[2].tolist(), strict=True)) for g in got]
-                items = [[held.value.items[i] for i in g[3]] for g in got]
+                items = [sorted({held.value.items[i] for i in g[3]}) for g in got]
                 columns, names = list(batch.columns), list(batch.schema.names)
                 if again:
                     columns, names = columns[:-3], names[:-3]

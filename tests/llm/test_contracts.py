@@ -64,6 +64,14 @@ def test_decontamination(spark, docs):
             assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(expected, key=repr)
 
 
+def test_decontamination_counts_an_item_of_two_rows_once(spark):
+    bench = spark.createDataFrame([(7, "one two three"), (7, "four five six"), (8, "four five six")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x one two three y four five six z"), (2, "x four five six")], "doc_id long, text string")
+    for limits in ({}, {"block_bytes": 120}):
+        got = rows(fmindex.digest(fmindex.find(df, bench, **limits)), "doc_id", "n_hit", "n_items", "items_sha256")
+        assert got == [(1, 6, 2, hashlib.sha256(b"7,8").hexdigest()), (2, 3, 2, hashlib.sha256(b"7,8").hexdigest())]
+
+
 def test_decontamination_of_nothing(spark, docs, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not any(r[5] for r in rows(fmindex.digest(fmindex.find(docs, bench))))
