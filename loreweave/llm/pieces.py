@@ -166,43 +166,13 @@ def _batches(texts: list[str], chars: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-@lru_cache(maxsize=2)
-def _plain(raw: bytes):
-    """For texts already in normal form: the tokenizer without its normaliser, which would keep offsets all along.
-
-    None for models whose normal form takes the library's own steps.
-    """
-    from tokenizers import normalizers, pre_tokenizers
-
-    model = parse(raw)
-    if model.charsmap or model.squeeze or not model.escape or not splits_at_marks(model):
-        return None
-    several = build(model)
-    several.normalizer = normalizers.Sequence([])
-    single = build(model)
-    single.normalizer = normalizers.Sequence([])
-    single.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")  # no run of markers: far cheaper than a pattern
-    return MARK * model.dummy_prefix, single, several
-
-
 def encode_batch(texts: list[str], raw: bytes) -> list[list[int]]:
-    """Ids of each text, by the library's threads."""
-    plain = _plain(raw)
-    if plain is None:
-        return [x.ids for x in _ready(raw).encode_batch_fast(texts, add_special_tokens=False)]
-    lead, single, several = plain
-    normal = [lead + text.replace(" ", MARK) if text else text for text in texts]
-    runs = [MARK + MARK in text for text in normal]
-    out: list[list[int]] = [[]] * len(texts)
-    for tokenizer, kind in ((single, False), (several, True)):
-        at = [i for i, run in enumerate(runs) if run is kind]
-        for i, x in zip(at, tokenizer.encode_batch_fast([normal[i] for i in at], add_special_tokens=False), strict=True):
-            out[i] = x.ids
-    return out
+    """Ids of each text, normalised and encoded by the library's threads."""
+    return [x.ids for x in _ready(raw).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Table:
-    """Decoding by table: a piece's bytes with the marker as a blank, a byte piece's byte, nothing for control pieces.
+    """Decoding by table, to hold the library's against: a piece's bytes with the marker as a blank, a byte piece's byte, nothing for control pieces.
 
     Equals the library's decoder wherever the bytes are valid UTF-8, which ids of an encoded text always are.
     """
@@ -251,12 +221,11 @@ def encode(docs: DataFrame, model_path: str = MODEL, tokens: bool = True, chars:
             for part in _batches(texts, chars):
                 some = texts[part]
                 ids = encode_batch(some, raw)
-                decode = _table(raw).decode
                 out = {
                     "doc_id": frame["doc_id"].iloc[part].astype("Int64"),
                     "n_tokens": [len(x) for x in ids],
                     "ids_sha256": [hashlib.sha256(array("i", x).tobytes()).hexdigest() for x in ids],
-                    "round_trip": [decode(x) == text for x, text in zip(ids, some, strict=True)],
+                    "round_trip": [a == b for a, b in zip(decode_ids(ids, raw), some, strict=True)],
                     "parity": [a == b for a, b in zip(ids, _standard(raw).encode(some, num_threads=1), strict=True)],
                 }
                 if tokens:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from loreweave.llm import debruijn, fmindex, hashtree, langid, lines, pieces, screen, semicrf, simhash, suffixes, urltrees, windows
@@ -294,6 +295,30 @@ def test_tokens(docs, none):
     assert pieces.decode_ids(ids, raw) == odd == [pieces._table(raw).decode(x) for x in ids]
 
 
+def test_the_rebuilt_tokenizer_normalises_and_decodes(spark, monkeypatch):
+    pytest.importorskip("sentencepiece")
+    from tokenizers import decoders, normalizers
+
+    class Local:
+        """Stands for a table of two rows whose functions run in this process."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            frame = pd.concat(run(iter([pd.DataFrame({"doc_id": [1, 2], "text": ["ab c", "AB c"]})])))
+            return list(zip(frame["round_trip"], frame["parity"], strict=True))
+
+    assert pieces.encode(Local()) == [(True, True), (True, True)]
+    other = pieces.build(pieces.parse(open(pieces.MODEL, "rb").read()))
+    rebuilt = other.normalizer, other.decoder
+    monkeypatch.setattr(pieces, "_ready", lambda raw: other)
+    other.normalizer = normalizers.Sequence([normalizers.Lowercase(), rebuilt[0]])
+    assert pieces.encode(Local()) == [(True, True), (False, False)]
+    other.normalizer, other.decoder = rebuilt[0], decoders.Fuse()
+    assert pieces.encode(Local()) == [(False, True), (False, True)]
+
+
 def test_unigram_models_are_rebuilt_too():
     model = pieces.Model([("<unk>", 0.0, pieces.UNKNOWN), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -2.5, 1), ("▁", -3.0, 1)], pieces.UNIGRAM, squeeze=True)
     tokenizer = pieces.build(model)
