@@ -40,7 +40,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), tokens=False)
+    return pieces.encode(table(spark, sf_dir, "documents"))
 
 
 def op9_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:

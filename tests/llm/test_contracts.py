@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loreweave.llm import debruijn, fmindex, hashtree, langid, lines, pieces, screen, semicrf, simhash, suffixes, urltrees, windows
+from loreweave.llm import debruijn, fmindex, hashtree, langid, lines, pieces, registry, screen, semicrf, simhash, suffixes, urltrees, windows
 
 from .conftest import clashing, corpus, rows
 
@@ -295,6 +295,15 @@ def test_tokens(docs, none):
     assert pieces.decode_ids(ids, raw) == odd == [pieces._table(raw).decode(x) for x in ids]
 
 
+def test_the_registered_query_returns_the_ids(docs, tmp_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    docs.limit(20).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["op8_sentencepiece"](docs.sparkSession, str(tmp_path)).collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = dict(docs.select("doc_id", "text").collect())
+    assert len(got) == 20 and all(list(r.ids) == model.encode(texts[r.doc_id] or "") for r in got if r.doc_id is not None)
+
+
 def test_the_rebuilt_tokenizer_normalises_and_decodes(spark, monkeypatch):
     pytest.importorskip("sentencepiece")
     from tokenizers import decoders, normalizers
