@@ -17,18 +17,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the cluster's shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names no folder (local tests) a temporary one is set.
+    Only a session that runs in one process (tests) gets a temporary one where none is named.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loreweave-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loreweave-checkpoint-"))
+    return named or context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Hold batches of rows that go to Python workers to about ``size`` bytes, where the session allows more.
+
+    Spark counts 10,000 rows to a batch, whatever their length; a batch stands in memory on both sides.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not str(now).isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
+
+
 def release() -> None:
     """Give freed memory of this Python worker back to the system; workers outlive their tasks."""
     import ctypes
@@ -54,6 +84,16 @@ def tidy(run: Callable) -> Callable:
     return wrapped
 
 
+def map_rows(docs: DataFrame, run: Callable, fields: list) -> DataFrame:
+    """``docs`` through a function over Arrow batches, whose columns go by place: names of any kind come through."""
+    from pyspark.sql import types as T
+
+    small_batches(docs.sparkSession)
+    placed = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    out = placed.mapInArrow(tidy(run), T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)]))
+    return out.toDF(*[f.name for f in fields])
+
+
 def map_text(docs: DataFrame, change: Callable[[dict[str, list]], list[str | None]], drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with texts made anew, batch by batch in Arrow; n_chars follows where it is a column.
 
@@ -61,17 +101,16 @@ def map_text(docs: DataFrame, change: Callable[[dict[str, list]], list[str | Non
     """
     import pyarrow as pa
 
-    kept = [f for f in docs.schema.fields if f.name not in drop]
+    names = docs.columns
+    kept = [k for k, name in enumerate(names) if name not in drop]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns = dict(zip(names, batch.columns, strict=True))
             new = change({name: columns[name].to_pylist() for name in ("text", *drop)})
             columns["text"] = pa.array(new, columns["text"].type)
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in new], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[f.name] for f in kept], names=[f.name for f in kept])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([columns[names[k]] for k in kept], names=[f"c{at}" for at in range(len(kept))])
 
-    return docs.mapInArrow(tidy(run), T.StructType(kept))
+    return map_rows(docs, run, [docs.schema.fields[k] for k in kept])

@@ -2,10 +2,14 @@
 
 The model's protobuf is read here field by field, and its normaliser, metaspace marker, piece scores and byte fallback
 are rebuilt as a ``tokenizers`` pipeline: a Unigram model from the scores, or for a BPE model the merges that the
-scores order. Batches are encoded by the library's threads; ``parity`` compares with the sentencepiece library.
-
-Where no piece of the vocabulary holds the metaspace marker behind another character, no token crosses the start of a
-run of markers. The text is then cut there first, which changes no token and keeps the merging short.
+scores order. Batches are encoded and decoded by the library's threads; ``parity`` compares with the sentencepiece
+library.
+
+Where no piece of the vocabulary holds the metaspace marker behind another character, neither library can join what
+stands on both sides of the start of a run of markers: the ids of a text are those of its words, laid end to end. Words
+then go through both libraries once, as long as a bounded store knows them, and a text agrees if all its words do.
+A text over a batch's size is cut at blanks, so that memory stays bounded whatever its length. Decoding always sees the
+texts themselves.
 """
 
 from __future__ import annotations
@@ -14,21 +18,19 @@ import hashlib
 import os
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import small_batches, tidy
 
 MARK = "▁"
-WORD = f"{MARK}*[^{MARK}]+|{MARK}+"
 #: Fixed values of the published sentencepiece_model.proto: model types, and types of pieces.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -114,7 +116,7 @@ def splits_at_marks(model: Model) -> bool:
 
 def build(model: Model):
     """A ``tokenizers.Tokenizer`` that encodes and decodes as the model does."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     if model.suffix_marker:
         raise ValueError("models that treat white space as a suffix are not supported")
@@ -135,11 +137,12 @@ def build(model: Model):
     if model.escape:
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    if splits_at_marks(model):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
     tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, kind in model.pieces if kind == USER_DEFINED])
     tail = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
+    # markers become blanks in the joined text: where the marker is a piece, no encoding spells it in bytes
+    blanks, join = decoders.Replace(MARK, " "), [decoders.ByteFallback(), decoders.Fuse()]
+    whole = any(piece == MARK for piece, _, _ in model.pieces)
+    tokenizer.decoder = decoders.Sequence([*join, blanks, *tail] if whole else [blanks, *join, *tail])
     return tokenizer
 
 
@@ -155,15 +158,39 @@ def _standard(raw: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=raw)
 
 
-def _batches(texts: list[str], chars: int) -> Iterator[slice]:
+@lru_cache(maxsize=2)
+def _can_cut(raw: bytes) -> bool:
+    model = parse(raw)
+    return splits_at_marks(model) and model.dummy_prefix and model.escape and not model.squeeze and not model.charsmap
+
+
+def cut_text(text: str, chars: int) -> list[str]:
+    """The text in parts of ``chars`` characters or a little more, cut at blanks that begin a run; those blanks go.
+
+    Every part gets the dummy prefix of a text of its own, which is the blank that went: ids of the parts, laid end to
+    end, are the ids of the text.
+    """
+    parts, start = [], 0
+    while len(text) - start > chars:
+        at = text.find(" ", start + chars)
+        while at > 0 and text[at - 1] in f" {MARK}":
+            at = text.find(" ", at + 1)
+        if at < 0 or at == len(text) - 1:  # an empty text would have no prefix
+            break
+        parts.append(text[start:at])
+        start = at + 1
+    return [*parts, text[start:]]
+
+
+def _batches(lengths: list[int], chars: int) -> Iterator[slice]:
     start = total = 0
-    for at, text in enumerate(texts):
-        if total and total + len(text) > chars:
+    for at, length in enumerate(lengths):
+        if total and total + length > chars:
             yield slice(start, at)
             start, total = at, 0
-        total += len(text) + 1
-    if start < len(texts):
-        yield slice(start, len(texts))
+        total += length + 1
+    if start < len(lengths):
+        yield slice(start, len(lengths))
 
 
 def encode_batch(texts: list[str], raw: bytes) -> list[list[int]]:
@@ -171,66 +198,137 @@ def encode_batch(texts: list[str], raw: bytes) -> list[list[int]]:
     return [x.ids for x in _ready(raw).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-class Table:
-    """Decoding by table, to hold the library's against: a piece's bytes with the marker as a blank, a byte piece's byte, nothing for control pieces.
-
-    Equals the library's decoder wherever the bytes are valid UTF-8, which ids of an encoded text always are.
-    """
-
-    def __init__(self, model: Model) -> None:
-        self.prefix = model.dummy_prefix
-        self.of = [
-            bytes([int(piece[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else piece.replace(MARK, " ").encode()
-            for piece, _, kind in model.pieces
-        ]
-
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.of.__getitem__, ids))
-        return raw[self.prefix and raw[:1] == b" " :].decode("utf-8", "replace")
+def decode_ids(ids: list[list[int]], raw: bytes) -> list[str]:
+    """Texts of ids, decoded by the library's threads."""
+    return _ready(raw).decode_batch(ids, skip_special_tokens=False)
 
 
 @lru_cache(maxsize=2)
-def _table(raw: bytes) -> Table:
-    return Table(parse(raw))
-
-
-def encode_texts(texts: list[str], raw: bytes, chars: int = 1_000_000) -> Iterator[list[int]]:
-    """Token ids of each text, in batches of about ``chars`` characters so that memory stays bounded."""
-    for part in _batches(texts, chars):
-        yield from encode_batch(texts[part], raw)
-
-
-def decode_ids(ids: list[list[int]], raw: bytes) -> list[str]:
-    return _ready(raw).decode_batch(ids, skip_special_tokens=False)
+def _first_of_word(raw: bytes) -> np.ndarray:
+    """By id: whether the piece begins a word."""
+    return np.array([piece.startswith(MARK) for piece, _, _ in parse(raw).pieces])
+
+
+def _worded(text: str) -> bool:
+    """Whether single blanks part the text's words, so that they can be told apart by them."""
+    return bool(text) and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text
+
+
+class Words:
+    """The ids of words met before, and whether the other library agrees on each; emptied when it holds ``most`` words."""
+
+    def __init__(self, raw: bytes, most: int = 1 << 18, run: int = 2000) -> None:
+        self.raw, self.most, self.run = raw, most, run
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.begin, self.agree = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words by both libraries, in runs of words parted by blanks."""
+        runs = [words[k : k + self.run] for k in range(0, len(words), self.run)]
+        texts = [" ".join(r) for r in runs]
+        own, theirs = encode_batch(texts, self.raw), _standard(self.raw).encode(texts, num_threads=1)
+        ids = np.fromiter(chain.from_iterable(own), np.int32, sum(map(len, own)))
+        begin = np.flatnonzero(_first_of_word(self.raw)[ids])
+        agree = [[True] * len(r) if a == b else [encode_batch([w], self.raw)[0] == _standard(self.raw).encode(w) for w in r] for r, a, b in zip(runs, own, theirs, strict=True)]
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.begin = np.concatenate([self.begin[:-1], begin + len(self.ids), [len(self.ids) + len(ids)]])
+        self.ids = np.concatenate([self.ids, ids])
+        self.agree = np.concatenate([self.agree, np.fromiter(chain.from_iterable(agree), bool)])
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        """(ids, agreement) of texts of which ``_worded`` holds."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        told = lists.flatten().dictionary_encode()
+        words = told.dictionary.to_pylist()
+        new = [w for w in words if w not in self.at]
+        if len(self.at) + len(new) > self.most:
+            self.clear()
+            new = words
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))[told.indices.to_numpy()]
+        length = (self.begin[1:] - self.begin[:-1])[at]
+        ends = np.cumsum(length)
+        flat = self.ids[np.repeat(self.begin[at] - ends + length, length) + np.arange(ends[-1])]
+        first = lists.offsets.to_numpy()
+        agree = np.logical_and.reduceat(self.agree[at], first[:-1])
+        return list(zip(np.split(flat, ends[first[1:-1] - 1]), agree.tolist(), strict=True))
+
+
+@lru_cache(maxsize=1)
+def _words(raw: bytes) -> Words:
+    return Words(raw)
+
+
+def _encoded(texts: list[str], raw: bytes) -> list[tuple[np.ndarray, bool]]:
+    """(ids, agreement) of each text; by words where that is the same."""
+    by_words = _can_cut(raw)
+    kinds = [by_words and _worded(t) for t in texts]
+    own = [t for t, k in zip(texts, kinds, strict=True) if k]
+    other = [t for t, k in zip(texts, kinds, strict=True) if not k]
+    found = iter(_words(raw).encode(own) if own else [])
+    ids = encode_batch(other, raw) if other else []
+    rest = iter([(np.fromiter(a, np.int32, len(a)), a == b) for a, b in zip(ids, _standard(raw).encode(other, num_threads=1) if other else [], strict=True)])
+    return [next(found) if k else next(rest) for k in kinds]
+
+
+def encode_texts(texts: list[str], raw: bytes, chars: int = 1_000_000) -> Iterator[tuple[np.ndarray, bool, bool]]:
+    """(token ids, round trip, parity) of each text, in batches of about ``chars`` characters so that memory stays bounded."""
+    parts = [cut_text(t, chars) if len(t) > chars and _can_cut(raw) else [t] for t in texts]
+    flat = list(chain.from_iterable(parts))
+    owed = iter([len(p) for p in parts])
+    left, got, same, alike = next(owed, 0), [], True, True
+    for some in _batches([len(t) for t in flat], chars):
+        units = flat[some]
+        found = _encoded(units, raw)
+        for (ids, agree), text, back in zip(found, units, decode_ids([x[0].tolist() for x in found], raw), strict=True):
+            got.append(ids)
+            same, alike, left = same and back == text, alike and agree, left - 1
+            if not left:
+                yield got[0] if len(got) == 1 else np.concatenate(got), same, alike
+                left, got, same, alike = next(owed, 0), [], True, True
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, tokens: bool = True, chars: int = 1_000_000, threads: int = 2) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, round_trip, parity and, with ``tokens``, the ids of every whole text.
 
     The model file is read on the driver and goes to the tasks by value (half a megabyte, whatever the input).
-    ids_sha256 is of the ids as 32-bit little-endian numbers; round_trip says whether decoding gives the text back, parity whether the
-    sentencepiece library gives the same ids. A null or empty text has no tokens.
+    ids_sha256 is of the ids as 32-bit little-endian numbers; round_trip says whether decoding gives the text back,
+    parity whether the sentencepiece library gives the same ids. A null or empty text has no tokens. A very long text
+    is encoded and checked in parts, see ``cut_text`` (as a whole with models that don't allow that).
     Repeated rows are encoded alike; other columns are ignored; an empty table gives no rows.
     """
+    import pyarrow as pa
+
     raw = Path(model_path).read_bytes()
+    small_batches(docs.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))  # else each task starts a thread for every core of the machine
-        for frame in frames:
-            texts = frame["text"].fillna("").tolist()
-            for part in _batches(texts, chars):
-                some = texts[part]
-                ids = encode_batch(some, raw)
-                out = {
-                    "doc_id": frame["doc_id"].iloc[part].astype("Int64"),
-                    "n_tokens": [len(x) for x in ids],
-                    "ids_sha256": [hashlib.sha256(array("i", x).tobytes()).hexdigest() for x in ids],
-                    "round_trip": [a == b for a, b in zip(decode_ids(ids, raw), some, strict=True)],
-                    "parity": [a == b for a, b in zip(ids, _standard(raw).encode(some, num_threads=1), strict=True)],
-                }
+        for batch in batches:
+            lengths = [n or 0 for n in pa.compute.binary_length(batch.column(1)).to_pylist()]
+            for part in _batches(lengths, chars):
+                size = part.stop - part.start
+                found = list(encode_texts([t or "" for t in batch.column(1).slice(part.start, size).to_pylist()], raw, chars))
+                counts = np.array([len(x[0]) for x in found], np.int64)
+                columns = [
+                    batch.column(0).slice(part.start, size),
+                    pa.array(counts),
+                    pa.array([hashlib.sha256(x[0]).hexdigest() for x in found]),
+                    pa.array([x[1] for x in found], pa.bool_()),
+                    pa.array([x[2] for x in found], pa.bool_()),
+                ]
                 if tokens:
-                    out["ids"] = [np.array(x, np.int32) for x in ids]
-                yield pd.DataFrame(out)
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x[0] for x in found]))))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean" + ", ids array<int>" * tokens
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(tidy(run), schema)
+    names = [x.split()[0] for x in schema.split(", ")]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
