@@ -3,7 +3,7 @@
 Shards are kept in a table bucketed by shard number, so that later rounds meet their replies without moving texts.
 Each shard sends the distinct hashes of its minimizers to hash ranges ("bins"), sorted and packed; a bin finds what
 two documents hold and answers each shard with a bitmap. A gram costs a shard four bytes however often it occurs, so
-no gram, and no group of copies, makes a bin heavy.
+no gram, and no group of copies, makes a bin heavy. Shards send to bins for which they have something only.
 """
 
 from __future__ import annotations
@@ -16,25 +16,37 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import tidy
+from .common import shared_folder, tidy
 from .windows import GRAM, REACH, WINDOW, Shard, gram_hashes, minimizers, mix, unpacked
 
 BIN_BYTES = 8 << 20  # of text for each bin
+MOST = 1 << 14  # partitions
 BLOCK = 1 << 15
 _TOP = np.uint64(np.iinfo(np.uint64).max)
 
 
 @contextmanager
 def stored(shards: DataFrame) -> Iterator[DataFrame]:
-    """``shards`` as a table bucketed by shard in the warehouse, for as long as the block lasts."""
+    """``shards`` as a table bucketed by shard in the shared folder, for as long as the block lasts.
+
+    It is written once: from then on a shard's number and content are fixed, whatever executors are lost.
+    """
     spark = shards.sparkSession
     name = f"loreweave_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards.write.format("parquet").option("compression", "uncompressed").bucketBy(buckets, "shard").saveAsTable(name)
+    shards.write.format("parquet").option("compression", "uncompressed").option("path", folder).bucketBy(buckets, "shard").saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def deal(rows: DataFrame, key: str, bins: int) -> DataFrame:
+    """Rows dealt to partitions by a bin's number: a partition each, or several bins to one beyond ``MOST`` partitions."""
+    return rows.repartition(min(bins, MOST), key)
 
 
 def bins_for(shards: DataFrame) -> int:
@@ -75,31 +87,33 @@ def anchors(shard: Shard, own: bool = False) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def cut(hashes: np.ndarray, bins: int) -> np.ndarray:
-    """Where each bin's part of sorted hashes begins, and the end."""
-    shift = np.uint64(64 - (bins.bit_length() - 1))
-    return np.searchsorted(hashes >> shift, np.arange(bins + 1, dtype=np.uint64))
+def codes(hashes: np.ndarray, bins: int) -> np.ndarray:
+    """The bin's number and the 32 bits behind it."""
+    return hashes >> np.uint64(32 - (bins.bit_length() - 1))
+
+
+def bin_of(hashes: np.ndarray, bins: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - (bins.bit_length() - 1))).astype(np.int64)
 
 
-def short(hashes: np.ndarray, bins: int) -> np.ndarray:
-    """The 32 bits below those that name the bin."""
-    return (hashes >> np.uint64(32 - (bins.bit_length() - 1))).astype(np.uint32)
+def parts_of(numbers: np.ndarray) -> list[tuple[int, int, int]]:
+    """(number, start, end) of each run of equal sorted numbers: what work by bin costs follows what there is, not the bins."""
+    if not len(numbers):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
+    return list(zip(numbers[first].tolist(), first.tolist(), np.append(first[1:], len(numbers)).tolist(), strict=True))
 
 
-def _summary(at: np.ndarray, grams: np.ndarray, shard: Shard, bins: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each bin: the distinct short hashes, and whether two of the shard's documents hold them."""
-    order = np.argsort(grams, kind="stable")  # equal grams stay in document order
-    grams, doc = grams[order], shard.doc[at[order]]
-    ids = shard.ids[doc]
-    out, edges = [], cut(grams, bins)
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        keys = short(grams[a:b], bins)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if b > a else np.zeros(0, np.int64)
-        several = np.zeros(len(first), bool)
-        if b > a:
-            several = np.minimum.reduceat(ids[a:b], first) < np.maximum.reduceat(ids[a:b], first)
-        out.append((keys[first], several))
-    return out
+def _summary(at: np.ndarray, grams: np.ndarray, shard: Shard, bins: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each bin that gets any: the distinct short hashes, and whether two of the shard's documents hold them."""
+    if not len(at):
+        return []
+    order = np.argsort(grams)
+    code, ids = codes(grams[order], bins), shard.ids[shard.doc[at[order]]]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
+    code = code[first]
+    return [(k, code[a:b].astype(np.uint32), several[a:b]) for k, a, b in parts_of((code >> np.uint64(32)).astype(np.int64))]
 
 
 def ask(table: DataFrame, bins: int, words: bool) -> DataFrame:
@@ -110,8 +124,7 @@ def ask(table: DataFrame, bins: int, words: bool) -> DataFrame:
             for number, blob in zip(frame["shard"], frame["blob"], strict=True):
                 shard = unpacked(blob, words)
                 parts = _summary(*anchors(shard), shard, bins)
-                some = [k for k in range(bins) if len(parts[k][0])]
-                yield pd.DataFrame({"bin": some, "shard": number, "keys": [parts[k][0].tobytes() for k in some], "several": [np.packbits(parts[k][1]).tobytes() for k in some]})
+                yield pd.DataFrame({"bin": [k for k, _, _ in parts], "shard": number, "keys": [x.tobytes() for _, x, _ in parts], "several": [np.packbits(x).tobytes() for _, _, x in parts]})
 
     return table.select("shard", "blob").mapInPandas(tidy(run), "bin int, shard long, keys binary, several binary")
 
@@ -128,22 +141,19 @@ def answer(asked: DataFrame, bins: int) -> DataFrame:
         bits = [np.packbits(shared[np.minimum(np.searchsorted(shared, k), len(shared) - 1)] == k if len(shared) else np.zeros(len(k), bool)).tobytes() for k in keys]
         return pd.DataFrame({"shard": frame["shard"], "bin": frame["bin"], "shared": bits})
 
-    return asked.repartition(bins, "bin").groupBy("bin").applyInPandas(run, "shard long, bin int, shared binary")
+    return deal(asked, "bin", bins).groupBy("bin").applyInPandas(run, "shard long, bin int, shared binary")
 
 
 def shared_anchors(shard: Shard, bins: int, replies: dict[int, bytes], own: bool = False) -> tuple[np.ndarray, ...]:
     """The anchors whose grams other documents hold too, by position; see ``anchors``."""
     found = anchors(shard, own)
-    grams = found[1]
-    keep = np.zeros(len(grams), bool)
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    edges = cut(ranked, bins)
+    code, number = np.unique(codes(found[1], bins), return_inverse=True)
+    bins_held = (code >> np.uint64(32)).astype(np.int64)
+    shared = np.zeros(len(code), bool)
     for k, bits in replies.items():
-        a, b = int(edges[k]), int(edges[k + 1])
-        keys = short(ranked[a:b], bins)
-        number = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
-        keep[order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(number[-1]) + 1).astype(bool)[number]
+        a, b = np.searchsorted(bins_held, [k, k + 1]).tolist()
+        shared[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+    keep = shared[number]
     return tuple(x[keep] for x in found)
 
 

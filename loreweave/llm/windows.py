@@ -7,7 +7,6 @@ minimizer also occurs in another document can repeat, so only those take part in
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, tidy
+from .common import small_batches, tidy
 
 WINDOW, GRAM = 50, 24
 REACH = WINDOW - GRAM + 1  # grams in a window
@@ -46,14 +45,14 @@ def _grown(h: np.ndarray, n: int, tail: np.ndarray, at: int) -> np.ndarray:
 
 
 def hashes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Polynomial hashes (mod 2^64, then mixed) of every 24-symbol gram and every 50-symbol window."""
+    """Polynomial hashes (mod 2^64, then mixed) of every 24-symbol gram and of every 49-symbol run."""
     h2 = _grown(symbols, 1, symbols, 1)
     h4 = _grown(h2, 2, h2, 2)
     h8 = _grown(h4, 4, h4, 4)
     h16 = _grown(h8, 8, h8, 8)
     h24 = _grown(h16, 8, h8, 16)
     h48 = _grown(h24, 24, h24, 24)
-    return mix(h24), mix(_grown(h48, 2, h2, 48))
+    return mix(h24), mix(_grown(h48, 1, symbols, 48))
 
 
 def gram_hashes(symbols: np.ndarray) -> np.ndarray:
@@ -63,7 +62,7 @@ def gram_hashes(symbols: np.ndarray) -> np.ndarray:
     return mix(_grown(_grown(h8, 8, h8, 8), 8, h8, 16))
 
 
-def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
+def sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
     """pick (minimum or maximum) over every n neighbours."""
     out, width = x, 1
     while width * 2 <= n:
@@ -76,15 +75,9 @@ def minimizers(grams: np.ndarray) -> np.ndarray:
     """Positions of grams that are the least of some 27 neighbours (ties all count)."""
     if len(grams) < REACH:
         return np.zeros(0, np.int64)
-    least = _sliding(grams, REACH, np.minimum)
+    least = sliding(grams, REACH, np.minimum)
     pad = np.zeros(REACH - 1, np.uint64)
-    return np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), REACH, np.maximum) == grams)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    return np.flatnonzero(sliding(np.concatenate([pad, least, pad]), REACH, np.maximum) == grams)
 
 
 def byte_symbols(raw: np.ndarray) -> np.ndarray:
@@ -97,6 +90,23 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of a number for each byte at its place in the word.
+
+    The numbers don't follow from one another, so no pattern of bytes cancels out as it would in a polynomial.
+    """
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), block):  # blocks stay in the processor's cache
+        first, last = starts[a : a + block], stops[a : a + block]
+        low, high = int(first[0]), int(last[-1])
+        reach = np.diff(np.append(first, high))  # a word and the blanks behind it
+        place = np.arange(high - low) - np.repeat(first - low, reach)
+        value = mix((place.astype(np.uint64) << np.uint64(8) | raw[low:high]) * np.uint64(_BASE))
+        value[_BLANK[raw[low:high]]] = 0
+        out[a : a + block] = np.add.reduceat(value, first - low)
+    return mix(out)
+
+
 class Shard:
     """Whole texts laid end to end, with the symbols that windows are made of.
 
@@ -113,10 +123,7 @@ class Shard:
             edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
             self.starts, self.stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
             self.first = np.searchsorted(self.starts, offsets)
-            powers, inverse = _powers(_BASE, len(self.raw)), _powers(pow(_BASE, -1, 1 << 64), len(self.raw))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[self.raw] * powers[:-1])])
-            lengths = (self.stops - self.starts).astype(np.uint64)
-            self.words = mix((sums[self.stops] - sums[self.starts]) * inverse[self.starts] + lengths * _M2)
+            self.words = word_hashes(self.raw, self.starts, self.stops)
         else:
             self.first, self.words = offsets, None
         self.count = int(self.first[-1])
@@ -153,9 +160,9 @@ def unpacked(blob: bytes, words: bool) -> Shard:
 
 
 def shards(docs: DataFrame, words: bool, size: int = 4 << 20) -> DataFrame:
-    """(shard, raw, blob): whole texts in runs of about ``size`` bytes, compressed, written to the shared folder once.
+    """(shard, raw, blob): whole texts in runs of about ``size`` bytes, compressed.
 
-    After the write a shard's number and content are fixed, whatever executors are lost later.
+    A shard's number and content are fixed once the rows are written, see ``screen.stored``.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,9 +185,6 @@ def shards(docs: DataFrame, words: bool, size: int = 4 << 20) -> DataFrame:
         if texts:
             yield out()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return cut_lineage(rows.mapInPandas(tidy(run), "shard long, raw long, blob binary"))
-
-
-def sha256(parts: list[bytes], joint: bytes = b"") -> str:
-    return hashlib.sha256(joint.join(parts)).hexdigest()
+    return rows.mapInPandas(tidy(run), "shard long, raw long, blob binary")
