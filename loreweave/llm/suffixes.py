@@ -2,10 +2,11 @@
 
 Per shard: the stretches whose windows may repeat (see ``screen``) get a suffix array by Larsson-Sadakane refinement
 (prefix doubling that re-sorts only groups still tied) and Kasai's common prefixes; suffixes that share 50 bytes are
-one group, whose smallest document keeps the bytes. Across shards: the 76 bytes around every shared anchor (all
-windows whose first least gram it is) go, once per shard, in suffix order, to the anchor's bin; the bin builds for each of the 27
-offsets the sorted table of windows with their smallest document and each shard's run is looked up in it by binary
-search. Equal hashes are compared byte by byte, so the result is exact.
+one group, whose smallest document keeps the bytes. Across shards: the suffixes at shared anchors, in the order of the
+shard's array and with the bytes before them that their windows can hold, go once per shard to the anchor's bin. The
+bin merges the shards' sorted runs by binary search, takes common prefixes of neighbours, and does the same for the
+bytes before the anchors, read backward. A window that begins j bytes before its anchor is then the same in two
+documents exactly if the anchors' suffixes share 50 - j bytes and the bytes before them j. No hash decides anything.
 """
 
 from __future__ import annotations
@@ -19,14 +20,12 @@ from pyspark.sql import DataFrame
 
 from . import screen
 from .common import cut_lineage, release
-from .windows import _BASE, _BYTES, NONE, REACH, WINDOW, Shard, mix, shards, unpacked
+from .windows import NONE, REACH, WINDOW, Shard, shards, unpacked
 
 LEFT = REACH - 1  # symbols before an anchor that its windows can hold
 CONTEXT = LEFT + WINDOW
 PAD = 255  # in no UTF-8 text
 
-_POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(CONTEXT)], np.uint64)
-
 
 def _zip(*parts: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
@@ -45,7 +44,10 @@ def eight_bytes(text: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray, depth: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Order and rank of suffixes by their first ``depth`` bytes at least; equal ranks mean equal to that depth."""
+    """Order and rank of suffixes by their first ``depth`` bytes at least; equal ranks mean equal to that depth.
+
+    Refinement stops there, as windows are shorter: a full suffix array only if no two suffixes share ``depth`` bytes.
+    """
     n = len(text)
     key = eight_bytes(text)
     order = np.argsort(key)
@@ -112,15 +114,17 @@ def kasai(text: np.ndarray, order: np.ndarray, rank: np.ndarray, cap: int = WIND
     return found[order]
 
 
-def repeats_within(shard: Shard, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By symbol: whether its window starts in a smaller document of the shard; and (symbol, rank) of candidates.
+def repeats_within(shard: Shard, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By symbol: whether its window starts in a smaller document of the shard; and of the suffix array's text the
+    symbols, their ranks, and the first place of each stretch.
 
     ``starts`` marks the candidate windows; only stretches that they cover enter the suffix array.
     """
     removed = np.zeros(len(shard.raw), bool)
     held = screen.covered(starts)
+    none = np.zeros(0, np.int64)
     if not held.any():
-        return removed, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return removed, none, none, none
     # stretches of one document each, a separator behind each
     source = np.flatnonzero(held)
     ends = np.flatnonzero((np.diff(source, append=source[-1] + 2) > 1) | (np.diff(shard.doc[source], append=-1) != 0))
@@ -143,58 +147,59 @@ def repeats_within(shard: Shard, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(group))))
     removed[symbol[ids > least]] = True
-    return removed, source, rank[place]
+    return removed, source, rank[place], np.concatenate([[0], ends[:-1] + 1])
 
 
-def contexts(shard: Shard, at: np.ndarray) -> np.ndarray:
-    """The bytes around anchors, padded where their document ends."""
-    doc = shard.doc[at]
-    low, high = shard.first[doc], shard.first[doc + 1]
+def contexts(shard: Shard, at: np.ndarray, source: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes around anchors, padded where their stretch ends; and the anchors' places in the suffix array's text."""
+    place = np.searchsorted(source, at)
+    own = np.searchsorted(stretch, place, side="right") - 1
+    low, high = source[stretch[own]], source[np.append(stretch[1:], len(source))[own] - 1]
     out = np.empty((len(at), CONTEXT), np.uint8)
     for k in range(CONTEXT):
-        place = at + (k - LEFT)
-        inside = (place >= low) & (place < high)
-        out[:, k] = np.where(inside, shard.raw[np.where(inside, place, 0)], PAD)
-    return out
-
-
-def _rows_hash(rows: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(rows), np.uint64)
-    for k in range(rows.shape[1]):
-        total += _BYTES[rows[:, k]] * _POWERS[k]
-    return mix(total)
+        spot = at + (k - LEFT)
+        inside = (spot >= low) & (spot <= high)
+        out[:, k] = np.where(inside, shard.raw[np.where(inside, spot, 0)], PAD)
+    return out, place
 
 
-def distinct_rows(rows: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a row of each kind, kind of each row): by hash, and by the bytes themselves should hashes ever collide."""
-    _, first, kind = np.unique(hashed, return_index=True, return_inverse=True)
-    if not np.array_equal(rows, rows[first[kind]]):
-        _, first, kind = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    return first, kind
+def distinct_rows(rows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each kind, kind of each row), kinds in order of their suffixes' rank."""
+    before = np.ascontiguousarray(rows[:, :LEFT]).view(f"S{LEFT}").ravel()
+    after = np.ascontiguousarray(rows[:, LEFT:]).view(f"S{WINDOW}").ravel()
+    order = np.lexsort((before, after, rank))
+    # equal suffixes have equal ranks, unless they differ behind the bytes that count
+    new = np.concatenate([[True], (rows[order][1:] != rows[order][:-1]).any(axis=1)])
+    kind = np.empty(len(rows), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
 
 
 def offer(shard: Shard, bins: int, replies: dict[int, bytes]) -> tuple[list[tuple[int, bytes]], bytes]:
-    """For each bin the shard's distinct contexts with their smallest documents; and what the shard keeps for itself."""
+    """For each bin the shard's distinct contexts in suffix order, with their least documents; and what the shard keeps."""
     at, grams, low, high = screen.shared_anchors(shard, bins, replies, own=True)
     some = low <= high  # the first least gram of some window
     at, grams, low, high = at[some], grams[some], low[some].astype(np.int64), high[some].astype(np.int64)
+    starts = screen.candidates(shard, at, low, high)
+    removed, source, rank, stretch = repeats_within(shard, starts)
+    held = np.zeros(len(shard.raw), bool)
+    held[source] = True
+    met = held[at]  # the others' windows reach over their document's end
+    at, grams, low, high = at[met], grams[met], low[met], high[met]
     if not len(at):
         return [], b""
-    starts = screen.candidates(shard, at, low, high)
-    removed, source, rank = repeats_within(shard, starts)
-    rows = contexts(shard, at)
-    first, kind = distinct_rows(rows, _rows_hash(rows))
+    rows, place = contexts(shard, at, source, stretch)
+    first, kind = distinct_rows(rows, rank[place])
     least = np.full(len(first), NONE)
     np.minimum.at(least, kind, shard.ids[shard.doc[at]])
-    suffix = np.searchsorted(source, at[first])
-    suffix = rank[np.minimum(suffix, max(0, len(rank) - 1))] if len(rank) else np.zeros(len(first), np.int64)
-    order = np.lexsort((suffix, grams[first] >> np.uint64(64 - (bins.bit_length() - 1))))
+    where = screen.bin_of(grams[first], bins)
+    order = np.argsort(where, kind="stable")  # suffix order inside a bin
     new = np.empty(len(order), np.int64)
     new[order] = np.arange(len(order))
-    bin_of = (grams[first[order]] >> np.uint64(64 - (bins.bit_length() - 1))).astype(np.int64)
-    edges = np.searchsorted(bin_of, np.arange(bins + 1))
-    sent = [(k, _zip(least[order[a:b]], low[first[order[a:b]]].astype(np.uint8), high[first[order[a:b]]].astype(np.uint8), rows[first[order[a:b]]])) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
-    own = _zip(np.array([len(at), len(order)], np.int64), np.diff(at, prepend=0).astype(np.int32), new[kind].astype(np.int32), edges.astype(np.int64), np.packbits(removed))
+    first, least = first[order], least[order]
+    parts = screen.parts_of(where[order])
+    sent = [(k, _zip(least[a:b], low[first[a:b]].astype(np.uint8), high[first[a:b]].astype(np.uint8), rows[first[a:b]])) for k, a, b in parts]
+    own = _zip(np.array([len(at), len(order), len(parts)], np.int64), np.diff(at, prepend=0).astype(np.int32), new[kind].astype(np.int32), np.array(parts, np.int64).ravel(), np.packbits(removed))
     return sent, own
 
 
@@ -205,6 +210,31 @@ def read_offer(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint8, n, 8 * n), np.frombuffer(raw, np.uint8, n, 9 * n), np.frombuffer(raw, np.uint8, n * CONTEXT, 10 * n).reshape(n, CONTEXT)
 
 
+def merged(key: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
+    """The order of all rows from sorted runs of them (as row numbers): two by two, each by binary search in the other."""
+    while len(runs) > 1:
+        runs.sort(key=len)
+        pairs = list(zip(runs[::2], runs[1::2], strict=False))
+        rest = runs[-1:] if len(runs) % 2 else []
+        for i, (x, y) in enumerate(pairs):
+            out = np.empty(len(x) + len(y), np.int64)
+            spot = np.searchsorted(key[y], key[x], side="right") + np.arange(len(x))
+            free = np.ones(len(out), bool)
+            free[spot] = False
+            out[spot], out[free] = x, y
+            pairs[i] = out
+        runs = pairs + rest
+    return runs[0] if runs else np.zeros(0, np.int64)
+
+
+def common_prefixes(rows: np.ndarray) -> np.ndarray:
+    """How many bytes each row has in common with the one before it; 0 for the first."""
+    out = np.zeros(len(rows), np.int64)
+    differ = rows[1:] != rows[:-1]
+    out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return out
+
+
 def settle(blobs: list[bytes]) -> list[np.ndarray]:
     """For each run of contexts: a bit for each offset whose window starts in a document smaller than the context's."""
     offers = [read_offer(blob) for blob in blobs]
@@ -212,37 +242,34 @@ def settle(blobs: list[bytes]) -> list[np.ndarray]:
     ids, low, high, text = (np.concatenate(x) for x in zip(*offers, strict=True))
     del offers
     answers = np.zeros(len(ids), np.uint32)
-    columns = np.ascontiguousarray(text.T)  # a byte of all contexts at a time
-    hashed = np.zeros(len(text), np.uint64)
-    for k in range(LEFT, LEFT + WINDOW):
-        hashed += _BYTES[columns[k]] * _POWERS[k - LEFT]
-    top, base = _POWERS[WINDOW - 1], np.uint64(_BASE)
-    for j in range(REACH):
-        if j:  # the window that starts one byte earlier
-            hashed = (hashed - _BYTES[columns[LEFT + WINDOW - j]] * top) * base + _BYTES[columns[LEFT - j]]
-        window = text[:, LEFT - j : LEFT - j + WINDOW]
-        whole = np.flatnonzero((low <= j) & (j <= high) & (columns[LEFT - j] != PAD) & (columns[LEFT - j + WINDOW - 1] != PAD))
-        if not len(whole):
-            continue
-        key = mix(hashed[whole])
-        order = np.argsort(key)
-        ranked = key[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        table, smallest = ranked[first], np.minimum.reduceat(ids[whole][order], first)
-        # whoever gives way is held, byte by byte, against the smallest document of its hash
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        own = ids[whole][order]
-        holds = own == smallest[group]
-        holder = np.empty(len(first), np.int64)
-        holder[group[holds]] = order[holds]
-        yields = ~holds
-        if not np.array_equal(window[whole[order[yields]]], window[whole[holder[group[yields]]]]):
-            kind = np.unique(np.ascontiguousarray(window[whole]).view(f"V{WINDOW}").ravel(), return_inverse=True)[1].ravel()
-            smallest = np.full(kind.max() + 1, NONE)
-            np.minimum.at(smallest, kind, ids[whole])
-            table, key = np.arange(len(smallest)), kind
-        hit = smallest[np.searchsorted(table, key)] < ids[whole]  # every run's windows in the merged table
-        answers[whole[hit]] |= np.uint32(1 << j)
+    after = np.ascontiguousarray(text[:, LEFT:])
+    key = after.view(f"S{WINDOW}").ravel()
+    order = merged(key, [np.arange(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+    common = common_prefixes(after[order])
+    # a window holds 24 bytes from its anchor on at least: only rows that share as many, from two documents, can meet
+    first = np.flatnonzero(common < WINDOW - LEFT)
+    two = np.minimum.reduceat(ids[order], first) < np.maximum.reduceat(ids[order], first)
+    some = np.repeat(two, np.diff(np.append(first, len(order))))
+    order, common = order[some], common[some]
+    if len(order):
+        ids, low, high, text = ids[order], low[order], high[order], text[order]
+        before = np.ascontiguousarray(text[:, LEFT - 1 :: -1])
+        back = np.argsort(before.view(f"S{LEFT}").ravel(), kind="stable")
+        common_before = common_prefixes(before[back])
+        group_before = np.empty(len(order), np.int64)
+        for j in range(REACH):
+            whole = np.flatnonzero((low <= j) & (j <= high) & (text[:, LEFT - j] != PAD) & (text[:, LEFT - j + WINDOW - 1] != PAD))
+            if not len(whole):
+                continue
+            group_before[back] = np.cumsum(common_before < j)
+            group = np.cumsum(common < WINDOW - j) * (len(order) + 1) + group_before
+            own, doc = group[whole], ids[whole]
+            turn = np.argsort(own, kind="stable")
+            ranked = own[turn]
+            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            smallest = np.repeat(np.minimum.reduceat(doc[turn], first), np.diff(np.append(first, len(turn))))
+            gives = turn[smallest < doc[turn]]
+            answers[order[whole[gives]]] |= np.uint32(1 << j)
     return [answers[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
@@ -251,15 +278,14 @@ def conclude(shard: Shard, own: bytes, bits: dict[int, np.ndarray]) -> np.ndarra
     starts = np.zeros(len(shard.raw), bool)
     if own:
         raw = _unzip(own)
-        n, m = np.frombuffer(raw, np.int64, 2).tolist()
-        at = np.cumsum(np.frombuffer(raw, np.int32, n, 16).astype(np.int64))
-        kind = np.frombuffer(raw, np.int32, n, 16 + 4 * n)
-        bins = (len(raw) - 16 - 8 * n - (len(shard.raw) + 7) // 8) // 8 - 1
-        edges = np.frombuffer(raw, np.int64, bins + 1, 16 + 8 * n)
-        starts |= np.unpackbits(np.frombuffer(raw, np.uint8, -1, 16 + 8 * n + 8 * (bins + 1)), count=len(starts)).astype(bool)
+        n, m, p = np.frombuffer(raw, np.int64, 3).tolist()
+        at = np.cumsum(np.frombuffer(raw, np.int32, n, 24).astype(np.int64))
+        kind = np.frombuffer(raw, np.int32, n, 24 + 4 * n)
+        parts = np.frombuffer(raw, np.int64, 3 * p, 24 + 8 * n).reshape(-1, 3)
+        starts |= np.unpackbits(np.frombuffer(raw, np.uint8, -1, 24 + 8 * n + 24 * p), count=len(starts)).astype(bool)
         mask = np.zeros(m, np.uint32)
-        for k, own_bits in bits.items():
-            mask[edges[k] : edges[k + 1]] = own_bits
+        for k, a, b in parts.tolist():
+            mask[a:b] = bits[k]
         of = mask[kind]
         for j in range(REACH):
             starts[at[(of >> np.uint32(j)) & 1 == 1] - j] = True
@@ -308,7 +334,7 @@ def remove(docs: DataFrame, shard_bytes: int = 2 << 20) -> DataFrame:
             return results(shard, gone)
 
         offered = table.select("shard", "blob").groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(offers, "route long, shard long, blob binary")
-        settled = offered.repartition(2 * bins, "route").groupBy("route").applyInPandas(settles, "route long, shard long, blob binary")
+        settled = screen.deal(offered, "route", 2 * bins).groupBy("route").applyInPandas(settles, "route long, shard long, blob binary")
         done = table.select("shard", "blob").groupBy("shard").cogroup(settled.groupBy("shard")).applyInPandas(concludes, OUT)
         return cut_lineage(done)
 
