@@ -4,6 +4,10 @@ A document fails the base rules if it has few words or many repeated five-word w
 normalised (lower case, blanks collapsed) and hashed; the distinct texts of a host that hold the line are counted;
 lines over the host's limit are removed, and a document that loses too much of itself is rejected.
 Copies of one text count once, so that a document isn't held against itself.
+
+A host's frequent lines are few: if more than a twentieth of its texts hold each, there are at most twenty times as many
+as lines in a text. As long as their number stays under a bound, hosts carry theirs to the documents, and a document is
+judged where it is read; beyond it the lines of all documents meet the frequent ones in a join. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -11,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS
+from .common import BLANK_RUN, BLANKS, cut_lineage
 
 SYMBOLS = "#*$%&|<>"
 SPAN = 5
+#: Blanks but the line's end.
+INNER_BLANKS = r"[\x20\x09\x0B-\x0D]+"
 
 
 def split_words(text: Column) -> Column:
@@ -27,6 +33,19 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit(""))
+
+
+def plain_lines(text: Column) -> Column:
+    """The lines of a text, lower-cased, with blanks collapsed; blank lines are empty and keep their place."""
+    return F.transform(F.split(F.lower(F.regexp_replace(text, INNER_BLANKS, " ")), "\n"), lambda x: F.btrim(x, F.lit(" ")))
+
+
 def gram_hashes(words: str) -> Column:
     """Hashes of the five-word windows by position; null if there are fewer than two. ``words`` names a column."""
     at = [lambda i, k=k: F.get(F.col(words), i + k) for k in range(SPAN)]
@@ -36,24 +55,22 @@ def gram_hashes(words: str) -> Column:
     )
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` rows with the contract's base figures; one pass, nothing shuffled.
+def statistics(docs: DataFrame, *more: Column) -> DataFrame:
+    """The contract's base figures of ``docs`` rows, with ``more`` columns; one pass, nothing shuffled.
 
-    Null text counts as empty. Column names of ``docs`` beyond doc_id, text and source are not carried.
+    Null text counts as empty. Other columns of ``docs`` are not carried.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = _text()
     lines = F.filter(F.split(text, "\n"), lambda x: _without(x, BLANKS) != "")
     one = docs.select(
-        "doc_id",
-        F.xxhash64(text).alias("_text"),
+        F.struct("doc_id", *more).alias("_more"),
         F.length(_without(text, BLANKS)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         split_words(F.col("text")).alias("_words"),
         lines.alias("_lines"),
     )
     two = one.select(
-        "doc_id",
-        "_text",
+        "_more",
         F.size("_words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -82,10 +99,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         lambda total, x: total + x,
     )
     return four.select(
-        "doc_id",
-        "_text",
+        "_more.*",
         # not deterministic, so that a filter on the figures stays above them and doesn't evaluate them over and over
-        F.monotonically_increasing_id().alias("_row"),
+        F.monotonically_increasing_id().alias("_figures"),
         "n_words",
         "word_chars",
         "n_symbols",
@@ -95,75 +111,83 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame, host: str = "source") -> DataFrame:
-    """A row for each line that has a word: document key, host, hash of the normalised line, its word characters."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    normal = F.lower(F.btrim(F.regexp_replace("_line", BLANK_RUN, " "), F.lit(" ")))
+    """A row for each line that has a word: hash of the text, host, place, hash of the normalised line."""
     return (
-        docs.select("doc_id", F.xxhash64(text).alias("_text"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
-        .select("doc_id", "_text", "_host", "_at", F.length(_without(F.col("_line"), BLANKS)).cast("long").alias("_chars"), F.xxhash64(normal).alias("_hash"))
-        .where("_chars > 0")
+        docs.select(F.xxhash64(_text()).alias("_text"), _host(host).alias("_host"), F.posexplode(plain_lines(_text())).alias("_at", "_line"))
+        .where("_line <> ''")
+        .select("_text", "_host", "_at", F.xxhash64("_line").alias("_hash"))
     )
 
 
-def frequent_lines(lines: DataFrame, docs: DataFrame, share: float, least: int, host: str = "source") -> DataFrame:
+def frequent_lines(docs: DataFrame, share: float, least: int, host: str = "source") -> DataFrame:
     """(_host, _hash) of lines that over ``least`` and over ``share`` of the host's distinct texts hold."""
-    many = lines.groupBy("_host", "_hash").agg(F.countDistinct("_text").alias("_n")).where(F.col("_n") > least)
-    sizes = (
-        docs.select(F.coalesce(F.col(host), F.lit("")).alias("_host"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))
-        .groupBy("_host")
-        .agg(F.countDistinct("_text").alias("_docs"))
-    )
+    many = line_rows(docs, host).groupBy("_host", "_hash").agg(F.countDistinct("_text").alias("_n")).where(F.col("_n") > least)
+    sizes = docs.select(_host(host).alias("_host"), F.xxhash64(_text()).alias("_text")).groupBy("_host").agg(F.countDistinct("_text").alias("_docs"))
     return many.join(sizes, "_host").where(F.col("_n") > F.lit(share) * F.col("_docs")).select("_host", "_hash")
 
 
-def judge(docs: DataFrame, share: float = 0.05, least: int = 5, keep: float = 0.25, host: str = "source") -> DataFrame:
-    """Base figures, ``removed_chars`` (word characters in frequent lines), ``base_failed`` and ``kept``.
+def _carried(docs: DataFrame, frequent: DataFrame, host: str) -> DataFrame:
+    """``docs``, each row as a struct _row, with its places of frequent lines; hosts carry their frequent lines to it."""
+    by_host = frequent.groupBy("_host").agg(F.collect_list("_hash").alias("_frequent"))
+    rows = docs.select(F.struct(*_all(docs)).alias("_row"), _host(host).alias("_host")).join(F.broadcast(by_host), "_host", "left")
+    listed = F.transform(plain_lines(F.coalesce(F.col("_row.text"), F.lit(""))), lambda x, i: F.when((x != "") & F.array_contains("_frequent", F.xxhash64(x)), i))
+    return rows.select("_row", F.when(F.col("_frequent").isNotNull(), F.filter(listed, lambda i: i.isNotNull())).alias("_gone"))
 
-    ``kept`` is false if the base rules fail or less than ``keep`` of the word characters remain.
-    A null host is a host of its own; repeated rows are judged alike; an empty table gives no rows.
-    """
-    lines = line_rows(docs, host)
-    frequent = frequent_lines(lines, docs, share, least, host)
-    lost = (
-        lines.join(frequent, ["_host", "_hash"])
-        .dropDuplicates(["doc_id", "_text", "_host", "_at"])  # rows that repeat count once
-        .groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_t"), "_host")
-        .agg(F.sum("_chars").alias("_lost"), F.collect_list("_at").alias("_gone"))
-        .groupBy("_doc", "_t")
-        .agg(F.max(F.struct("_lost", "_gone")).alias("_most"))
-        .select("_doc", "_t", "_most.*")
-    )
-    base = statistics(docs)
-    both = base.join(lost, base["doc_id"].eqNullSafe(lost["_doc"]) & (base["_text"] == lost["_t"]), "left")
-    failed = (F.col("_row") >= 0) & ((F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words")))
-    removed = F.least(F.coalesce(F.col("_lost"), F.lit(0)), F.col("word_chars"))
-    return both.select(
-        "doc_id",
-        "_text",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        removed.cast("long").alias("removed_chars"),
-        F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"),
-        failed.alias("base_failed"),
-        (~failed & (F.col("word_chars") - removed >= F.lit(keep) * F.col("word_chars"))).alias("kept"),
+
+def _joined(docs: DataFrame, frequent: DataFrame, host: str) -> DataFrame:
+    """The same by a join of all lines with the frequent ones, whatever their number."""
+    gone = (
+        line_rows(docs, host).join(frequent, ["_host", "_hash"])
+        .groupBy("_text", "_host")
+        .agg(F.sort_array(F.collect_set("_at")).alias("_gone"))  # copies in one host have the same places
     )
+    rows = docs.select(F.struct(*_all(docs)).alias("_row"), F.xxhash64(_text()).alias("_text"), _host(host).alias("_host"))
+    return rows.join(gone.hint("shuffle_hash"), ["_text", "_host"], "left").select("_row", "_gone")
+
+
+def _all(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def judged(docs: DataFrame, share: float = 0.05, least: int = 5, keep: float = 0.25, host: str = "source", most: int = 100_000, each: int = 1_000) -> DataFrame:
+    """Every row of ``docs`` as a struct _row, with its base figures, the places of its lines that go and the verdict.
+
+    Hosts carry their frequent lines if there are at most ``most`` in all and ``each`` in a host; else lines are joined.
+    """
+    frequent = cut_lineage(frequent_lines(docs, share, least, host))
+    sizes = frequent.groupBy("_host").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("widest")).head()
+    marked = (_carried if sizes["n"] <= most and sizes["widest"] <= each else _joined)(docs, frequent, host)
+    gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    # a line's word characters, of those that go only
+    lost = F.aggregate(gone, F.lit(0).cast("long"), lambda total, i: total + F.length(_without(F.get(F.split(text, "\n"), i), BLANKS)))
+    rows = marked.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), "_row", gone.alias("_gone"), lost.alias("removed_chars"))
+    base = statistics(rows, F.col("_row"), F.col("_gone"), F.col("removed_chars"))
+    failed = (F.col("_figures") >= 0) & ((F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words")))
+    return base.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("word_chars") - F.col("removed_chars") >= F.lit(keep) * F.col("word_chars")))
+
+
+def judge(docs: DataFrame, **limits) -> DataFrame:
+    """doc_id, base figures, ``removed_chars`` (word characters in frequent lines), ``base_failed`` and ``kept``.
+
+    ``kept`` is false if the base rules fail or less than ``keep`` of the word characters remain. Null texts are empty.
+    A null host is a host of its own; repeated rows are judged alike, copies under several hosts by each row's own; ties
+    need no rule, as nothing is chosen; an empty table gives no rows; other columns are ignored. See ``judged``.
+    """
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(limits.get("host", "source")))
+    return judged(own, **limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_chars", "base_failed", "kept")
 
 
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The kept rows of ``docs``, all columns, without the lines that are over their host's limit; n_chars follows.
 
-    Of a document with several hosts the one that removes most counts.
+    Null and empty texts have no words and go. Columns of any name are kept; see ``judge`` for the rest.
     """
-    verdict = judge(docs, **limits).where("kept").select(F.col("doc_id").alias("_lw_id"), F.col("_text").alias("_lw_judged"), F.col("_gone").alias("_lw_gone"))
-    verdict = verdict.dropDuplicates(["_lw_id", "_lw_judged"])
-    rows = docs.withColumn("_lw_text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    # the small side is hashed, so that texts are shuffled once and not sorted
-    both = rows.join(verdict.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(verdict["_lw_id"]) & (rows["_lw_text"] == verdict["_lw_judged"]))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_lw_gone"), i)), "\n")
-    out = both.withColumn("text", F.when(F.size("_lw_gone") > 0, left).otherwise(F.col("text")))
+    rows = judged(docs, **limits).where("kept")
+    text, gone = F.col("_row.text"), F.col("_gone")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    fewer = F.size(gone) > 0
+    new = {"text": F.when(fewer, left).otherwise(text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_lw_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(fewer, F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return rows.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

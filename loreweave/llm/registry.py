@@ -19,7 +19,7 @@ def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.judge(table(spark, sf_dir, "documents")).drop("_text", "_gone")
+    return lines.judge(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
