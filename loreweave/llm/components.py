@@ -13,6 +13,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     # a: the node; b: its neighbour. Small stars look at neighbours under the node only: edges hold b < a.
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    if large:
+        least = cut_lineage(least)  # a hub has many neighbours: a plain join, whose large partitions Spark can split
     moved = both.join(least, "a")
     if large:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

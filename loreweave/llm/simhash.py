@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, tidy
+from .common import cut_lineage, small_batches, tidy
 from .components import components
 
 SEED = 42
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "_text": frame["_text"], "fp": found.view(np.int64)})
 
     text = F.col("text").cast("string")
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("_text")).mapInPandas(tidy(run), "doc_id long, _text long, fp long")
 
 
@@ -161,35 +162,41 @@ def _by_task(tasks: DataFrame, compare) -> DataFrame:
     return sorted_tasks.mapInPandas(run, "a long, b long")
 
 
-def groups(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """doc_id, _text (a hash of the text), fp and _root (a fingerprint that names the component), for every row."""
-    rows = cut_lineage(fingerprints(docs, width))
-    distinct = rows.select("fp").distinct()
-    roots = components(links(distinct, radius))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("_root"))
-    return rows.join(named, "fp")
+def groups(rows: DataFrame, radius: int, *least: Column) -> DataFrame:
+    """(fp, _root, then the ``least`` columns) for each distinct fingerprint of ``rows``; _root names its component.
+
+    ``least``: aggregates over the rows of one fingerprint. Copies of one text are one row from here on.
+    """
+    distinct = cut_lineage(rows.groupBy("fp").agg(*least))
+    roots = components(links(distinct.select("fp"), radius))
+    return cut_lineage(distinct.join(roots, distinct["fp"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "fp")).drop("node", "root"))
 
 
 def cluster(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links).
 
-    Null, empty and blank texts have fingerprint 0, which links like any other. Copies share a fingerprint and are
-    linked by it. Repeated rows stay; null doc_ids get the component of the fingerprints they share (null if alone);
-    an empty table gives no rows; other columns are ignored.
+    Null, empty and blank texts have fingerprint 0, which links like any other; a text of any length is hashed whole.
+    Copies share a fingerprint and are linked by it. Repeated rows stay; null doc_ids get the component of the
+    fingerprints they share (null if alone); an empty table gives no rows; other columns are ignored.
     """
-    rows = groups(docs, radius, width)
-    least = rows.groupBy("_root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "_root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = cut_lineage(fingerprints(docs, width).drop("_text"))
+    named = groups(rows, radius, F.min("doc_id").alias("_least"))
+    # written, so that both joins are plain ones, whose large partitions Spark can split
+    least = cut_lineage(named.groupBy("_root").agg(F.min("_least").alias("component_id")))
+    told = cut_lineage(named.join(least, "_root").select("fp", "component_id"))
+    return rows.join(told, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """The rows of ``docs`` with one row for each component: that of the smallest doc_id, then of the least text hash.
 
-    All columns stay. Null doc_ids come after all others; of rows that repeat in doc_id and text one stays.
+    All columns stay, whatever their names. Null doc_ids come after all others; of rows that repeat in doc_id and text
+    one stays; null and empty texts are one component.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")).alias("k")
-    kept = groups(docs, radius, width).groupBy("_root").agg(first).select(F.col("k.doc_id").alias("_lw_id"), F.col("k._text").alias("_lw_kept"))
-    rows = docs.withColumn("_lw_text", F.xxhash64(F.col("text").cast("string")))
-    same = rows["doc_id"].cast("long").eqNullSafe(kept["_lw_id"]) & (rows["_lw_text"] == kept["_lw_kept"])
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text")).alias("_k")
+    rows = cut_lineage(fingerprints(docs, width))
+    kept = groups(rows, radius, order).groupBy("_root").agg(F.min("_k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._text").alias("_kept"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
     # the small side is hashed, so that texts are shuffled once and not sorted for the join
-    return rows.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "_lw_text"]).drop("_lw_text")
+    same = own["_own"].eqNullSafe(kept["_id"]) & (own["_hash"] == kept["_kept"])
+    return own.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["_own", "_hash"]).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
