@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import small_batches, tidy
 
 UNKNOWN = "und"
 CELLS = 1 << 13
@@ -79,30 +79,54 @@ def fit(counts: np.ndarray, langs: np.ndarray, k: int = 4, slack: float = 0.5) -
     return LanguageModel(np.array(names, object), np.vstack(centroids).astype(np.float32), idf, np.array(reach))
 
 
+def _under(edges: dict[str, int]) -> Column:
+    """Whether a row's _hash is at most its language's edge."""
+    edge = F.element_at(F.create_map(*[x for lang, e in sorted(edges.items()) for x in (F.lit(lang), F.lit(e))]), F.col("lang"))
+    return F.col("_hash") <= edge
+
+
+def _edges(hashed: DataFrame, per_lang: int) -> dict[str, int]:
+    """By language the ``per_lang``-th smallest text hash (the largest one, if there are fewer).
+
+    A share of the hash range that holds twice as many, by the language's estimated number of texts, is looked at, and
+    a larger one where that held too few; so a language's rows are never gathered or ranked in one task.
+    """
+    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("n")).collect()}
+    shares = {lang: min(1.0, 2 * per_lang / max(1, n)) for lang, n in sizes.items()}
+    found: dict[str, int] = {}
+    while shares:
+        limits = {lang: min(int(share * 2**64), 2**64 - 1) - 2**63 for lang, share in shares.items()}
+        some: dict[str, list[int]] = {lang: [] for lang in shares}
+        for r in hashed.where(_under(limits)).select("lang", "_hash").distinct().collect():
+            some[r["lang"]].append(r["_hash"])
+        done = [lang for lang, own in some.items() if len(own) >= per_lang or shares[lang] >= 1]
+        found |= {lang: sorted(some[lang])[:per_lang][-1] for lang in done}
+        shares = {lang: min(1.0, 4 * share) for lang, share in shares.items() if lang not in done}
+    return found
+
+
 def learn(docs: DataFrame, per_lang: int = 300, k: int = 4) -> LanguageModel:
     """Fit on at most ``per_lang`` whole texts of each language among ``docs(text, lang)``, chosen by a hash of the text.
 
-    The n-grams are counted on the executors; the driver gets ``CELLS`` counts of each chosen text, as sparse pairs.
+    The n-grams are counted on the executors; the driver gets the cells of each chosen text that are not zero.
     Rows without text, language or letters teach nothing.
     """
     hashed = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.xxhash64("text").alias("_hash"), "text")
-    order = Window.partitionBy("lang").orderBy("_hash")
-    # the choice is made on hashes; only chosen texts move, one of each hash
-    chosen = hashed.select("lang", "_hash").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_lang)
-    edges = {r["lang"]: r["edge"] for r in chosen.groupBy("lang").agg(F.max("_hash").alias("edge")).collect()}
+    edges = _edges(hashed, per_lang)
     if not edges:
         return fit(np.zeros((0, CELLS), np.float32), np.array([], object), k)
-    edge = F.element_at(F.create_map(*[x for lang, e in sorted(edges.items()) for x in (F.lit(lang), F.lit(e))]), F.col("lang"))
-    chosen = hashed.where(F.col("_hash") <= edge).groupBy("lang", "_hash").agg(F.min("text").alias("text"))
+    chosen = hashed.where(_under(edges)).groupBy("lang", "_hash").agg(F.min("text").alias("text"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [(lang, gram_counts(text)) for lang, text in zip(frame["lang"], frame["text"], strict=True)]
-            found = [(lang, x) for lang, x in found if x is not None]
-            yield pd.DataFrame({"lang": [x[0] for x in found], "counts": [x[1].astype(np.uint32).tobytes() for x in found]})
+            found = [(lang, x, np.flatnonzero(x)) for lang, x in found if x is not None]
+            yield pd.DataFrame({"lang": [x[0] for x in found], "cells": [x[2].astype(np.uint16).tobytes() for x in found], "counts": [x[1][x[2]].astype(np.uint32).tobytes() for x in found]})
 
-    rows = sorted((r["lang"], bytes(r["counts"])) for r in chosen.mapInPandas(count, "lang string, counts binary").collect())
-    counts = np.array([np.frombuffer(r[1], np.uint32) for r in rows], np.float32).reshape(-1, CELLS)
+    rows = sorted((r["lang"], bytes(r["cells"]), bytes(r["counts"])) for r in chosen.mapInPandas(count, "lang string, cells binary, counts binary").collect())
+    counts = np.zeros((len(rows), CELLS), np.float32)
+    for row, (_, cells, own) in zip(counts, rows, strict=True):
+        row[np.frombuffer(cells, np.uint16)] = np.frombuffer(own, np.uint32)
     return fit(counts, np.array([r[0] for r in rows], object), k)
 
 
@@ -127,9 +151,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score (cosine with the chosen centroid) and rejected, from the whole text alone.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing could be learned. Equal cosines go to the
-    language that sorts first. Repeated rows get equal answers; other columns are ignored; no rows give no rows.
+    language that sorts first. A text of any length is counted whole. Repeated rows get equal answers; other columns are ignored; no rows give no rows.
     The model goes to the tasks by value: a few centroids a language of ``CELLS`` numbers.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
