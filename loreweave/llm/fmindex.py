@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import map_rows
 
 WINDOW = 10
 #: Bytes to A-Z lower-cased, and all bytes that are no word bytes to a blank: 0-9, a-z and every byte of a non-ASCII character stay.
@@ -38,11 +38,11 @@ class Phrases:
     numbers: dict[bytes, int]
     pairs: np.ndarray  # sorted codes of neighbouring words
     windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: windows, and the pairs (window, item) in them
-    items: list[str]
+    items: list[str | None]
     shortest: int
 
 
-def phrases(items: list[tuple[str, str | None]], window: int = WINDOW) -> Phrases:
+def phrases(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Phrases:
     numbers: dict[bytes, int] = {}
     found: dict[int, dict[tuple[int, ...], list[int]]] = {}
     pairs: set[tuple[int, int]] = set()
@@ -240,56 +240,55 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = T.StructType(
-    [
-        T.StructField("_lw_words", T.LongType()),
-        T.StructField("_lw_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-        T.StructField("_lw_items", T.ArrayType(T.StringType())),
-    ]
-)
+#: Words of a text, its merged spans, the items found in it.
+FOUND = (T.LongType(), T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])), T.ArrayType(T.StringType()))
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20, shard_chars: int = 4_000_000) -> DataFrame:
-    """``docs`` with its words counted, its merged spans (word positions, end exclusive) and the items found.
+def annotate(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str], window: int = WINDOW, block_bytes: int = 8 << 20, shard_chars: int = 4_000_000) -> DataFrame:
+    """``docs`` with three columns more, named by ``names`` (no column of docs): its number of words, its merged spans
+    (word positions, end exclusive) and the item ids found, each once.
 
-    The new columns are _lw_words, _lw_spans and _lw_items. The benchmark is cut into blocks of ``block_bytes`` of
-    text, so that what goes to the tasks stays bounded; each block is one more pass over the rows as they stream by,
-    without a shuffle. Null texts have no words; repeated rows get equal answers; an empty table gives no rows.
+    The benchmark is cut into blocks of ``block_bytes`` of text, so that what goes to the tasks stays bounded; each block
+    is one more pass over the rows as they stream by, without a shuffle. Null texts have no words; a text of any length
+    is indexed whole; repeated rows get equal answers; an empty table gives no rows. An item without an id is searched
+    like any other, its hits count, and it is not listed.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
+    at = docs.columns.index("text")
     sizes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).head()["n"]
     blocks = max(1, -(-int(sizes) // block_bytes))
     keyed = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    kinds = [to_arrow_type(f.dataType) for f in FOUND]
+    kinds = [to_arrow_type(t) for t in FOUND]
     rows = docs
     for block in range(blocks):
         own = keyed.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        held = docs.sparkSession.sparkContext.broadcast(phrases(sorted((r["item"] or "", r["text"] or "") for r in own), window))
+        held = docs.sparkSession.sparkContext.broadcast(phrases(sorted(((r["item"], r["text"]) for r in own), key=lambda x: (x[0] or "", x[1] or "")), window))
 
         def run(batches: Iterator[pa.RecordBatch], held=held, again=block > 0) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                texts = batch.column(at).to_pylist()
                 got = [x for part in _shards(texts, shard_chars) for x in search_shard(texts[part], held.value)]
                 spans = [list(zip(g[1].tolist(), g[2].tolist(), strict=True)) for g in got]
-                items = [sorted({held.value.items[i] for i in g[3]}) for g in got]
-                columns, names = list(batch.columns), list(batch.schema.names)
+                items = [sorted({held.value.items[i] for i in g[3]} - {None}) for g in got]
+                columns = list(batch.columns)
                 if again:
-                    columns, names = columns[:-3], names[:-3]
-                    spans = [merged([*x, *((y["start"], y["end"]) for y in old)]) for x, old in zip(spans, batch.column(len(names) + 1).to_pylist(), strict=True)]
-                    items = [sorted({*x, *old}) for x, old in zip(items, batch.column(len(names) + 2).to_pylist(), strict=True)]
+                    spans = [merged([*x, *((y["start"], y["end"]) for y in old)]) for x, old in zip(spans, columns[-2].to_pylist(), strict=True)]
+                    items = [sorted({*x, *old}) for x, old in zip(items, columns[-1].to_pylist(), strict=True)]
+                    columns = columns[:-3]
                 new = [[g[0] for g in got], [[{"start": a, "end": b} for a, b in x] for x in spans], items]
-                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, new, kinds)], names=[*names, *FOUND.names])
+                columns += list(map(pa.array, new, kinds))
+                yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
 
-        rows = rows.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *FOUND.fields]))
+        rows = map_rows(rows, run, [*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, FOUND, strict=True))])
     return rows
 
 
 def find(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """doc_id, n_words, spans and items of every document; see ``annotate``. Other columns are ignored."""
-    rows = annotate(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, **limits)
-    return rows.select("doc_id", F.col("_lw_words").alias("n_words"), F.col("_lw_spans").alias("spans"), F.col("_lw_items").alias("items"))
+    rows = annotate(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, ("n_words", "spans", "items"), **limits)
+    return rows.select("doc_id", "n_words", "spans", "items")
 
 
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
