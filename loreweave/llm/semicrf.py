@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, tidy
+from .common import map_text, small_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 14  # tokens of an entity
@@ -347,10 +347,11 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id and the spans of every whole text: ``base`` and ``added``, arrays of (start, end, kind) in code points.
 
-    Ends are exclusive. A null text is empty and has none; repeated rows get equal spans; an empty table gives no rows;
+    Ends are exclusive. A null text is empty and has none; a text of any length is searched whole; repeated rows get equal spans; an empty table gives no rows;
     other columns are ignored. Added spans never overlap base ones. The field's weights (some thousand numbers) go to
     the tasks by value.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(field or trained())
 
     def structs(spans: list[Span]) -> list[dict]:

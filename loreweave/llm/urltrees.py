@@ -162,11 +162,11 @@ def train(urls: list[tuple[str, str, str, int]], trees: int = 40, depth: int = 3
     return model
 
 
-def learn(pages: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
-    """Train on at most ``most`` labelled urls, chosen by a hash of the url.
+def labelled(pages: DataFrame, labels: DataFrame, most: int = 20_000) -> list[tuple[str, str, str, int]]:
+    """(url, host, path, label) of at most ``most`` labelled urls, chosen by a hash of the url.
 
     A url is labelled by the labelled document that it names (the number in its path): unwanted if that document is
-    toxic or of low quality. Every url that has a label can be chosen; those without teach nothing.
+    toxic or of low quality in any of its label rows. Every url that has a label can be chosen; null labels say nothing.
     """
     known = pages.select("url", F.try_to_number(F.regexp_extract("url", r"/(\d{1,18})(?=\D|$)", 1), F.lit("9" * 18)).cast("long").alias("_doc"))
     wanted = labels.select(F.col("doc_id").alias("_doc"), ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int").alias("_label"))
@@ -179,7 +179,29 @@ def learn(pages: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
         .limit(most)
         .select("url", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"), "_label")
     )
-    return train(sorted((r["url"], r["h"], r["p"], r["_label"]) for r in rows.collect()))
+    return sorted((r["url"], r["h"], r["p"], r["_label"]) for r in rows.collect())
+
+
+def learn(pages: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
+    """Trees from the labelled urls, see ``labelled``."""
+    return train(labelled(pages, labels, most))
+
+
+def held_out_auc(urls: list[tuple[str, str, str, int]], folds: int = 5) -> float | None:
+    """Chance that an unwanted url ranks above a wanted one, by trees that have seen neither; null without both kinds."""
+    import zlib
+
+    fold = np.array([zlib.crc32(u[0].encode()) % folds for u in urls])
+    score = np.zeros(len(urls))
+    for k in range(folds):
+        model = train([u for u, f in zip(urls, fold, strict=True) if f != k])
+        own = np.flatnonzero(fold == k)
+        rows = np.array([lexical(*urls[i][:3], model.suffixes) for i in own], float).reshape(-1, len(FEATURES))
+        score[own] = model.chance(rows)
+    label = np.array([u[3] for u in urls], bool)
+    bad, good = int(label.sum()), int((~label).sum())
+    rank = pd.Series(score).rank().to_numpy()
+    return float((rank[label].sum() - bad * (bad + 1) / 2) / (bad * good)) if bad and good else None
 
 
 def judge(pages: DataFrame, model: Trees, threshold: float = 0.5, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

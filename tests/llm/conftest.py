@@ -46,7 +46,7 @@ def clashing(df):
     """The same rows with further columns whose names operators might use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["_text", "_words", "_host", "fp", "shard", "blob", "spans", "items", "n_words", "kept", "size", "rule", "chance", "ids", "base", "score", "_cell", "route"]
+    names = ["_text", "_words", "_host", "fp", "shard", "blob", "spans", "items", "n_words", "kept", "size", "rule", "chance", "ids", "base", "score", "_cell", "route", "_row", "_gone", "_more", "_figures", "_hash", "_at", "_frequent", "_lw_words", "_lw_spans", "_lw_items", "_lw_text", "_lw_id", "_lw_kept", "removed_chars", "spot", "base.dot"]
     return df.withColumns({n: F.lit("clash") for n in names})
 
 

@@ -73,6 +73,17 @@ def test_decontamination_counts_an_item_of_two_rows_once(spark):
         assert got == [(1, 6, 2, hashlib.sha256(b"7,8").hexdigest()), (2, 3, 2, hashlib.sha256(b"7,8").hexdigest())]
 
 
+def test_decontamination_by_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (None, "one two three"), (4, "one two"), (5, None), (None, None)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x one two three y"), (2, "one two"), (3, "three"), (None, "One, TWO; three")], "doc_id long, text string")
+    four, none = hashlib.sha256(b"4").hexdigest(), hashlib.sha256(b"").hexdigest()
+    for limits in ({}, {"block_bytes": 70}):
+        got = rows(fmindex.digest(fmindex.find(df, bench, **limits)), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert got == sorted([(1, 5, 3, 1, four, True), (2, 2, 2, 1, four, True), (3, 1, 0, 0, none, False), (None, 3, 3, 1, four, True)], key=repr)
+    alone = spark.createDataFrame([(None, "one two three")], "item_id long, text string")
+    assert rows(fmindex.digest(fmindex.find(df, alone)), "doc_id", "n_hit", "n_items", "items_sha256")[0] == (1, 3, 0, none)
+
+
 def test_decontamination_of_nothing(spark, docs, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not any(r[5] for r in rows(fmindex.digest(fmindex.find(docs, bench))))
@@ -92,20 +103,52 @@ def test_suffix_removal(docs, size):
     assert got == sorted(expected, key=repr)
 
 
-@pytest.mark.parametrize("size", [200, 4 << 20])
-def test_word_span_removal(docs, size):
-    got = rows(debruijn.remove(clashing(docs), shard_bytes=size), "doc_id", "n_words", "n_removed", "kept_sha256")
+def _words_left(texts):
     expected = []
-    texts = _texts()
     for (i, _), (x, mask) in zip(texts, _brute_windows(texts, lambda t: t.encode().split(), None), strict=True):
         kept = [w for w, m in zip(x, mask, strict=True) if not m]
         expected.append((i, len(x), int(mask.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
-    assert got == sorted(expected, key=repr)
+    return sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize(("size", "block"), [(200, 7), (4 << 20, 4096)])
+def test_word_span_removal(docs, size, block):
+    got = rows(debruijn.remove(clashing(docs), shard_bytes=size, block=block), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == _words_left(_texts())
+
+
+def test_word_spans_that_branch_and_turn_in_rings(spark):
+    r = random.Random(11)
+    w = [[f"{k}{r.randrange(10**6)}" for _ in range(90)] for k in range(6)]
+    parts = [w[0] + w[1] + w[2], w[0] + w[1] + w[3], w[4] + w[1] + w[2], w[4] + w[1] + w[3], w[1], w[1][20:80], w[0][40:] + w[1][:30], w[5] * 4, w[5][30:] + w[5] * 2, ["a"] * 200, ["a"] * 130, list("abc") * 60, list("bca") * 50 + ["x"], w[0]]
+    texts = [(3 * i + 1, "  ".join(p)) for i, p in enumerate(parts)] + [(2, " \n".join(parts[3])), (2, "\t".join(parts[0])), (None, " ".join(parts[7])), (40, " ".join(["a"] * 49))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for limits in ({"shard_bytes": 1, "block": 11}, {"shard_bytes": 2500}, {}):
+        assert rows(debruijn.remove(df.repartition(4), **limits), "doc_id", "n_words", "n_removed", "kept_sha256") == _words_left(texts)
 
 
-def test_word_spans_in_shards_that_hold_one_gram_of_a_chain(spark, monkeypatch):
+def test_words_of_which_polynomials_collide_stay_apart(spark):
+    signs = [bin(k).count("1") % 2 for k in range(1024)]
+    one, other = ("".join("ab"[s ^ flip] for s in signs) for flip in (0, 1))
+    tail = [f"w{k}" for k in range(49)]
+    texts = [(1, " ".join([one, *tail])), (2, " ".join([other, *tail])), (3, " ".join([one, *tail, "end"]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = rows(debruijn.remove(df, shard_bytes=1), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert [x[2] for x in got] == [0, 0, 50] and got == _words_left(texts)
+
+
+def test_unequal_words_at_one_place_are_told_apart():
+    """Were hashes ever to agree on different k-mers, the words decide: here three spans claim one path and place."""
+    words = [f"w{k}" for k in range(60)]
+    other = [*words[:55], "odd", *words[56:]]
+    one = np.array([1], np.int64)
+    blobs = [debruijn._zip(one, one * 9, one * 5, one * 11, one * doc, b"".join(w.encode() + b" " for w in text)) for doc, text in ((3, words), (1, other), (7, words))]
+    bits = [np.unpackbits(np.frombuffer(debruijn._unzip(x), np.uint8), count=11).tolist() for x in debruijn.settle(blobs)]
+    assert bits == [[1] * 6 + [0] * 5, [0] * 11, [1] * 11]
+
+
+def test_word_spans_in_shards_that_hold_a_piece_of_a_path(spark, monkeypatch):
     texts = []
-    # in the seventh, the hash of the only gram that the short piece shares is also a whole float
     for j, seed in enumerate([*range(1, 7), 23, 24]):
         r = random.Random(seed)
         passage = [str(r.randrange(10**6)) for _ in range(140)]
@@ -116,14 +159,28 @@ def test_word_spans_in_shards_that_hold_one_gram_of_a_chain(spark, monkeypatch):
     compact = debruijn.compact
     monkeypatch.setattr(debruijn, "compact", lambda edges: linked.extend(edges.collect()) or compact(edges))
     got = rows(debruijn.remove(spark.createDataFrame(texts, "doc_id long, text string"), shard_bytes=1), "doc_id", "n_words", "n_removed", "kept_sha256")
-    expected, grams = [], set()
-    for (i, text), (x, mask) in zip(texts, _brute_windows(texts, str.split, None), strict=True):
-        kept = " ".join(w for w, m in zip(x, mask, strict=True) if not m)
-        expected.append((i, len(x), int(mask.sum()), hashlib.sha256(kept.encode()).hexdigest()))
-        grams |= set(screen.anchors(windows.unpacked(windows.packed([i], [text.encode()], True), True))[1].view(np.int64).tolist())
-    assert [e[2] for e in expected] == [0, 140, 52] * 8
-    assert got == sorted(expected, key=repr)
-    assert linked and all({x.a, x.b} <= grams for x in linked)  # links name grams to the last bit
+    assert [x[2] for x in sorted(got)] == [0, 140, 52] * 8
+    assert got == _words_left(texts)
+    names = set()
+    for i, text in texts:
+        node = windows.hashes(windows.unpacked(windows.packed([i], [text.encode()], True), True).symbols())[1]
+        names |= set(debruijn.edge_ids(node[:-1], node[1:]).view(np.int64).tolist())
+    assert linked and all({x.a, x.b} <= names for x in linked)  # links name k-mers to the last bit
+
+
+def test_without_the_graph_nothing_goes(spark, monkeypatch):
+    words = " ".join(f"w{k}" for k in range(80))
+    df = spark.createDataFrame([(1, words), (2, words)], "doc_id long, text string")
+    assert [r.n_removed for r in debruijn.remove(df).orderBy("doc_id").collect()] == [0, 80]
+    shard = windows.unpacked(windows.packed([1, 2], [words.encode()] * 2, True), True)
+    starts = shard.starts_window()
+    sent, own = debruijn.offer_runs(shard, starts, 8)
+    answers = {k: debruijn.graph([b])[0][0] for k, b in sent}
+    known = debruijn.Known(own, answers)
+    assert known.good.all() and len(known.word) == 62
+    alone = debruijn.offer_runs(windows.unpacked(windows.packed([1], [words.encode()], True), True), starts[:80], 8)
+    nothing = debruijn.Known(alone[1], {k: debruijn.graph([b])[0][0] for k, b in alone[0]})
+    assert not nothing.good.any()  # k-mers of one document are no edges
 
 
 def test_removal_from_nothing(none):
@@ -131,6 +188,20 @@ def test_removal_from_nothing(none):
     assert rows(debruijn.remove(none)) == []
 
 
+def test_runs_are_merged_by_binary_search():
+    r = random.Random(8)
+    for _ in range(20):
+        rows_ = np.array([[r.choice(b"ab\x00") for _ in range(6)] for _ in range(r.randint(1, 60))], np.uint8)
+        key = rows_.view("S6").ravel()
+        cuts = sorted(r.randrange(len(key) + 1) for _ in range(3))
+        runs = [a + np.argsort(key[a:b], kind="stable") for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True)]
+        order = suffixes.merged(key, runs)
+        got = [rows_[k].tobytes() for k in order]
+        assert got == sorted(x.tobytes() for x in rows_)
+        common = suffixes.common_prefixes(rows_[order])
+        assert common.tolist() == [0] + [next((i for i in range(6) if a[i] != b[i]), 6) for a, b in zip(got, got[1:], strict=False)]
+
+
 def test_suffix_array_and_common_prefixes():
     r = random.Random(4)
     for _ in range(30):
@@ -157,6 +228,32 @@ def test_hash_tree(docs, none):
     assert rows(hashtree.shard_documents(none)) == []
 
 
+def test_hash_tree_places_rows_as_its_law_says(docs):
+    """Every row by itself: weighted draws -ln(u) / weight of hashed numbers, level by level."""
+    import math
+    import struct
+    import zlib
+
+    import xxhash
+
+    def draw(key, name, weight):
+        seed = 42 if key is None else xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
+        unit = ((xxhash.xxh64(name.encode(), seed=seed).intdigest() >> 11) + 0.5) / 2**53
+        return -math.log(unit) / weight
+
+    def place(key, regions):
+        region = min(regions, key=lambda r: draw(key, r, sum(len(x) for x in regions[r].values())))
+        rack = min(regions[region], key=lambda x: draw(key, f"{region}/{x}", len(regions[region][x])))
+        return min(regions[region][rack], key=lambda x: draw(key, f"{region}/{rack}/{x}", 1))
+
+    base = {"region0": {"rack0": [0, 1], "rack1": [2, 3]}, "region1": {"rack2": [4, 5], "rack3": [6, 7]}}
+    more = base | {"region-of-8": {"rack-of-8": [8]}}
+    # a single child is taken without a draw, which changes nothing
+    expected = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), place(i, base), place(i, more)) for i, t in _texts()]
+    got = hashtree.shard_documents(clashing(docs))
+    assert rows(got, "doc_id", "size", "text_crc32", "shard", "grown_shard") == sorted(expected, key=repr)
+
+
 def test_hash_tree_moves_only_where_weights_change(spark):
     tree = hashtree.topology()
     heavier = {**tree, "region1": {**tree["region1"], "rack2": {4: 3.0, 5: 1.0}}}
@@ -185,6 +282,12 @@ def test_quality_rules(docs, none):
     assert rows(judged, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == expected
     assert not any(r.kept and r.base_failed for r in judged.collect())
     assert rows(lines.judge(none)) == []
+    for limits in ({"least": 1, "share": 0.0}, {"least": 1, "share": 0.03}):  # carried by hosts, and joined
+        one, other = (lines.clean(clashing(docs), most=most, **limits) for most in (100_000, -1))
+        assert one.columns == other.columns == clashing(docs).columns
+        assert rows(one) == rows(other)
+        assert rows(lines.judge(docs, most=-1, **limits)) == rows(lines.judge(docs, **limits))
+        assert any(r.removed_chars for r in lines.judge(docs, least=1, share=0.0).collect())
 
 
 def test_frequent_lines_go_and_depleted_documents_with_them(spark):
@@ -195,9 +298,19 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert all("reserved" not in r.text and r.n_chars == len(r.text) for r in kept)
 
 
+def _fingerprint(text):
+    """Bit by bit, from the contract alone."""
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UPPER))
+    shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
 def test_simhash(docs, none):
     expected = {}
-    prints = [(i, simhash.fingerprint(t)) for i, t in _texts()]
+    prints = [(i, _fingerprint(t)) for i, t in _texts()]
     parent = list(range(len(prints)))
 
     def root(x):
@@ -261,6 +374,53 @@ def test_language(spark, docs, none):
     assert rows(langid.evaluate(none)) == []
 
 
+def test_languages_are_learned_from_the_least_hashes(spark):
+    texts = [(f"text number {i} of these", "en" if i % 7 else "de") for i in range(3000)] + [("the same text", "en")] * 5000 + [("drei", "xx")] * 3
+    df = spark.createDataFrame(texts, "text string, lang string").repartition(6)
+    hashed = df.selectExpr("lang", "xxhash64(text) as _hash", "text")
+    by_lang: dict = {}
+    for r in hashed.select("lang", "_hash").distinct().collect():
+        by_lang.setdefault(r["lang"], []).append(r["_hash"])
+    for per_lang in (1, 40, 5000):
+        assert langid._edges(hashed, per_lang) == {lang: sorted(own)[:per_lang][-1] for lang, own in by_lang.items()}
+    assert len(langid.learn(df, 40, 2).langs) == 5  # two centroids a language, one of a single text
+
+
+def test_hosts_paths_and_rules_by_hand(spark):
+    r = random.Random(13)
+    parts = ["http://", "https://", "://", "a.", "net", "example.net", "Example.COM", "org", "x.org", "/", "/en/", "/de/", "/fr/", "/fr", "?q=/en/", "#/de/", "b", "NET", ".", "\n", "http://a.org/fr/", "http://b.Example.net/en/", "x://org/fr"]
+    urls = ["".join(r.choice(parts) for _ in range(r.randint(0, 6))) for _ in range(1500)]
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    expected = []
+    for i, url in enumerate(urls):
+        head, sign, rest = url.partition("://")
+        host = re.split("[/?#]", rest)[0].translate(UPPER) if sign else ""
+        path = re.split("[?#]", rest[len(host) :])[0] if sign else ""
+        fits = [rule for rule in rules if (host == rule.split("/")[0] or host.endswith("." + rule.split("/")[0])) and path.startswith(rule[len(rule.split("/")[0]) :])]
+        rule = max(fits, key=len, default=None)
+        expected.append((i, host, path, rule, rules.get(rule, "allow")))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = urltrees.judge(clashing(pages), urltrees.train([]))  # trees that have learned nothing allow
+    assert rows(got, "page_id", "host", "path", "rule", "verdict") == sorted(expected, key=repr)
+    assert len({x[3] for x in expected}) == 5
+
+
+def test_labels_that_repeat_or_clash(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/en/1"), (2, "http://a.org/en/1"), (3, "http://b.org/2?x=3"), (4, "http://c.org/9"), (5, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (1, 1, 0), (2, 1, None), (2, None, 0), (None, 0, 1), (9, None, None)], "doc_id long, quality int, toxic int")
+    got = urltrees.labelled(clashing(pages), clashing(labels))
+    assert got == [("http://a.org/en/1", "a.org", "/en/1", 1), ("http://b.org/2?x=3", "b.org", "/2", 0), ("http://c.org/9", "c.org", "/9", 0)]
+
+
+def test_held_out_rank_of_labelled_urls():
+    r = random.Random(5)
+    hosts = [f"h{k}.org" for k in range(40)]
+    learnable = sorted({(f"http://{h}/{k}{'-sale' if bad else ''}", h, f"/{k}{'-sale' if bad else ''}", bad) for k in range(400) for h, bad in [(r.choice(hosts), int(r.random() < 0.3))]})
+    assert urltrees.held_out_auc(learnable) > 0.95
+    assert abs(urltrees.held_out_auc([(u, h, p, int(r.random() < 0.3)) for u, h, p, _ in learnable]) - 0.5) < 0.15
+    assert urltrees.held_out_auc(learnable[:0]) is None
+
+
 def test_url_rules_and_trees(spark):
     urls = ["http://a.Example.NET/en/1", "http://x.example.com/de/2?a=1", "http://x.example.com/en/3", "https://org/fr/", "http://net", "http://net/", "nonsense", "", None, "http://b.example.net/fr/1#t", "http://notnet/x", "http://a.org/fr?x"]
     pages = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, html string")
@@ -289,10 +449,22 @@ def test_tokens(docs, none):
     assert all(r.n_tokens == 0 for r in got if r.doc_id in (60, 61))
     assert rows(pieces.encode(none)) == []
     raw = open(pieces.MODEL, "rb").read()
-    odd = ["", " ", "  a  b ", "日本語 😀", "<s>x</s>", " lead", "tail  ", "\x00\x01", "<0x0A>", "a" * 3000]
-    ids = list(pieces.encode_texts(odd, raw))
-    assert ids == pieces._standard(raw).encode(odd)
-    assert pieces.decode_ids(ids, raw) == odd == [pieces._table(raw).decode(x) for x in ids]
+    odd = ["", " ", "  a  b ", "日本語 😀", "<s>x</s>", " lead", "tail  ", "\x00\x01", "<0x0A>", "a" * 3000, "a  b   c d", "ab cd  ef\n gh " * 40]
+    whole = pieces._standard(raw).encode(odd)
+    for chars in (1_000_000, 300, 7):  # as wholes, and cut at blanks
+        pieces._words.cache_clear()
+        found = list(pieces.encode_texts(odd, raw, chars))
+        assert [x[0].tolist() for x in found] == whole
+        assert all(same and alike for _, same, alike in found)
+    assert pieces.decode_ids(whole, raw) == odd
+    assert len(pieces.cut_text(odd[11], 7)) > 20 and " ".join(pieces.cut_text(odd[11], 7)) == odd[11]
+    worded = [t for t in [r[1] for r in corpus() if r[1]] + odd if pieces._worded(t)]
+    store = pieces.Words(raw, most=90, run=7)  # too small for some batches: emptied over and over
+    for _ in range(2):
+        for k in range(0, len(worded), 3):
+            some = worded[k : k + 3]
+            assert [(x.tolist(), agree) for x, agree in store.encode(some)] == [(x, True) for x in pieces._standard(raw).encode(some)]
+    assert not next(pieces.encode_texts(["a▁b"], raw))[1]  # the marker itself comes back as a blank
 
 
 def test_the_registered_query_returns_the_ids(docs, tmp_path):
@@ -311,21 +483,30 @@ def test_the_rebuilt_tokenizer_normalises_and_decodes(spark, monkeypatch):
     class Local:
         """Stands for a table of two rows whose functions run in this process."""
 
+        sparkSession = spark
+
         def select(self, *columns):
             return self
 
-        def mapInPandas(self, run, schema):
-            frame = pd.concat(run(iter([pd.DataFrame({"doc_id": [1, 2], "text": ["ab c", "AB c"]})])))
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": ["ab c", "AB c"]})
+            frame = pa.Table.from_batches(run(iter([batch]))).to_pandas()
             return list(zip(frame["round_trip"], frame["parity"], strict=True))
 
+    pieces._words.cache_clear()
     assert pieces.encode(Local()) == [(True, True), (True, True)]
+    pieces._words.cache_clear()
     other = pieces.build(pieces.parse(open(pieces.MODEL, "rb").read()))
     rebuilt = other.normalizer, other.decoder
     monkeypatch.setattr(pieces, "_ready", lambda raw: other)
     other.normalizer = normalizers.Sequence([normalizers.Lowercase(), rebuilt[0]])
     assert pieces.encode(Local()) == [(True, True), (False, False)]
+    pieces._words.cache_clear()
     other.normalizer, other.decoder = rebuilt[0], decoders.Fuse()
     assert pieces.encode(Local()) == [(False, True), (False, True)]
+    pieces._words.cache_clear()
 
 
 def test_unigram_models_are_rebuilt_too():
@@ -368,6 +549,10 @@ def test_personal_data(spark, docs, none):
     assert found[None].spans == ""
     assert rows(semicrf.find(none)) == []
     assert sum(x.n_added for x in semicrf.digest(semicrf.find(docs)).collect()) == 0  # no digits, nothing found
+    long = " ".join(texts) * 40 + " call 988-555-2485 or a@b.cd"
+    (one,) = semicrf.digest(semicrf.find(spark.createDataFrame([(1, long)], "doc_id long, text string"))).collect()
+    assert one.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in _base(long)).encode()).hexdigest()
+    assert f"phone:{long.index('988-555-2485 or')}:{len(long) - len(' or a@b.cd')}" in one.spans.split(",")
 
 
 def test_the_field_finds_what_the_patterns_miss():
