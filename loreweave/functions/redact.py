@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,16 +25,57 @@ PATTERNS = (
 )
 
 
+#: What a text must hold, whatever its case, for a pattern to be tried at all: it is part of every match.
+SIGNS = {
+    "private_key": ("private key-----",),
+    "openai_key": ("sk-",),
+    "openrouter_key": ("sk-or-v1-",),
+    "anthropic_key": ("sk-ant-",),
+    "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    "aws_key": ("akia", "asia"),
+    "bearer_token": ("bearer",),
+    "jwt": ("eyj",),
+    "slack_token": ("xox",),
+    "generic_secret_assignment": ("api_key", "api-key", "apikey", "secret", "password", "passwd", "token"),
+    "email": ("@",),
+}
+
+
+def _step(signs: tuple[str, ...], pattern: str, marker: str) -> Callable[[Column], Column]:
+    """One pattern's turn on a struct of text (t) and counts so far (n)."""
+
+    def run(s: Column) -> Column:
+        low, may = F.lower(s["t"]), F.lit(False)
+        for sign in signs:
+            may = may | F.contains(low, F.lit(sign))
+        after = F.when(may, F.regexp_replace(s["t"], pattern, marker)).otherwise(s["t"])
+        count = F.when(s["t"].isNull(), F.lit(None)).when(may, F.regexp_count(s["t"], F.lit(pattern))).otherwise(0)
+        return F.struct(after.alias("t"), F.concat(s["n"], F.array(count.cast("int"))).alias("n"))
+
+    return run
+
+
+def redacted(text: Column) -> Column:
+    """A struct of the text with its secrets replaced (text) and their counts in the order of the patterns (counts).
+
+    One pass: each pattern is tried where the text has its sign, and its count is taken on the way.
+    """
+    state = F.array(F.struct(text.alias("t"), F.array().cast("array<int>").alias("n")))
+    for name, pattern, marker in PATTERNS:
+        state = F.transform(state, _step(SIGNS[name], ascii_edges(pattern), marker))  # binds the text once, however often it is read
+    last = F.get(state, 0)
+    return F.struct(last["t"].alias("text"), last["n"].alias("counts"))
+
+
+def counts(found: Column) -> Column:
+    """A struct of counts by name, from those of ``redacted``."""
+    return F.struct(*[F.get(found, k).alias(name) for k, (name, _, _) in enumerate(PATTERNS)])
+
+
 def redact(text: Column) -> Column:
-    for _, pattern, marker in PATTERNS:
-        text = F.regexp_replace(text, ascii_edges(pattern), marker)
-    return text
+    return redacted(text)["text"]
 
 
 def findings(text: Column) -> Column:
     """A struct of counts by name, each taken from the text that the earlier patterns have left."""
-    counts = []
-    for name, pattern, marker in PATTERNS:
-        counts.append(F.regexp_count(text, F.lit(ascii_edges(pattern))).alias(name))
-        text = F.regexp_replace(text, ascii_edges(pattern), marker)
-    return F.struct(*counts)
+    return counts(redacted(text)["counts"])

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import file_matches, fold_quotes, normalize, overlap, same_file, same_page, token_set
+from loreweave.functions.formats import truncated_text
+from loreweave.functions.redact import redact
+from loreweave.functions.text import bare_page, base_name, clean_path, file_matches, fold_quotes, normalize, overlap, same_file, same_page, token_set
+
+from .containment import held_names
 
 LEAST = 12
 
@@ -27,19 +31,42 @@ def user_said(claims: DataFrame, turns: DataFrame) -> DataFrame:
     return claims.join(joined, "session", "left").select("id", stated.alias("stated"))
 
 
-def contaminated(calls: DataFrame, forbidden: DataFrame, most: int = 10_000) -> DataFrame:
+def insight_evidence(items: DataFrame, files: DataFrame, commits: DataFrame, excerpt: int = 3500, commit: int = 2000) -> DataFrame:
+    """(id, evidence): what stands behind each insight, item by item in order, with secrets redacted.
+
+    ``items``: id, at, kind (file, commit, user, source or other), ref, quote, terms (of the insight), said (whether the
+    user said it); ``files``: path, text; ``commits``: ref, text. A file gives the lines around the terms.
+    """
+    met = items.join(files.select(F.col("path").alias("ref"), F.col("text").alias("_file")), "ref", "left").join(commits.select("ref", F.col("text").alias("_commit")), "ref", "left")
+    quoted = F.when(F.coalesce("quote", F.lit("")) != "", F.concat(F.lit('\nquote: "'), "quote", F.lit('"'))).otherwise("")
+    part = (
+        F.when((F.col("kind") == "file") & F.col("_file").isNull(), F.concat(F.lit("file: "), "ref", F.lit(" (not found)")))
+        .when(F.col("kind") == "file", F.concat(F.lit("file: "), "ref", F.lit("\n"), F.substring(excerpt_around(F.col("_file"), F.col("terms")), 1, excerpt)))
+        .when(F.col("kind") == "commit", F.concat(F.lit("commit: "), "ref", F.lit("\n"), truncated_text(F.coalesce(F.nullif("_commit", F.lit("")), F.lit("(commit not found)")), commit)))
+        .when(F.col("kind") == "user", F.concat(F.when(F.coalesce("said", F.lit(False)), "user statement").otherwise("agent-stated (unverified)"), F.lit(': "'), F.coalesce("quote", "ref"), F.lit('"')))
+        .otherwise(F.concat("kind", F.lit(": "), "ref", quoted))
+    )
+    listed = F.array_sort(F.collect_list(F.struct("at", part.alias("part"))))
+    joined = met.groupBy("id").agg(F.array_join(F.transform(listed, lambda x: x["part"]), "\n\n").alias("text"))
+    return joined.select("id", redact(F.coalesce(F.nullif("text", F.lit("")), F.lit("(no evidence attached)"))).alias("evidence"))
+
+
+def contaminated(calls: DataFrame, forbidden: DataFrame, block: int = 10_000) -> DataFrame:
     """(session, reasons): sessions whose calls name a forbidden root or whose results hold a canary.
 
-    ``calls``: session, args, result; ``forbidden``: kind (root or canary), value. The forbidden strings go to every
-    task in one row; a list of more than ``most`` strings is refused.
+    ``calls``: session, args, result; ``forbidden``: kind (root or canary), value. The forbidden strings go to the
+    tasks in blocks of about ``block``, each in one row; what the blocks find is put together at the end.
     """
-    count = forbidden.count()
-    if count > most:
-        raise ValueError(f"{count} forbidden strings; {most} at most")
-    listed = forbidden.agg(F.collect_list(F.struct("kind", "value")).alias("f"))
-    rows = calls.crossJoin(F.broadcast(listed)).select("session", "args", "result", F.explode("f").alias("x"))
-    hit = F.when(F.col("x.kind") == "root", F.contains("args", F.col("x.value"))).otherwise(F.contains("result", F.col("x.value")))
-    return rows.where(hit).groupBy("session").agg(F.sort_array(F.collect_set(F.concat_ws(":", "x.kind", "x.value"))).alias("reasons"))
+    blocks = max(1, -(-forbidden.count() // block))
+    found = None
+    for k in range(blocks):
+        own = forbidden.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k) if blocks > 1 else forbidden
+        listed = own.agg(F.collect_set(F.struct("kind", "value")).alias("f"))
+        rows = calls.crossJoin(F.broadcast(listed))
+        held = F.filter("f", lambda x: F.when(x["kind"] == "root", F.contains("args", x["value"])).otherwise(F.contains("result", x["value"])))
+        part = rows.select("session", F.explode(held).alias("x")).select("session", F.concat_ws(":", "x.kind", "x.value").alias("reason"))
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("session").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
 
 
 def affected_claims(claims: DataFrame, changed: DataFrame, most: int = 40) -> DataFrame:
@@ -59,30 +86,54 @@ def affected_claims(claims: DataFrame, changed: DataFrame, most: int = 40) -> Da
     return plain.unionByName(met).distinct().orderBy("id").limit(most)
 
 
-def unbacked_claims(claims: DataFrame, ledger: DataFrame, threshold: float = 0.5, prefix: int = 100) -> DataFrame:
-    """Claims that no accepted ledger subject backs: neither by a common start of the normalised texts nor by overlap.
+def _heads(text: Column, most: int) -> Column:
+    """Every start of a text, up to ``most`` characters."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(text), F.lit(most)))), lambda n: F.substring(text, F.lit(1), n))
+
+
+def unbacked_claims(claims: DataFrame, ledger: DataFrame, threshold: float = 0.5, prefix: int = 100, mentions: DataFrame | None = None) -> DataFrame:
+    """Claims that no accepted ledger subject backs and that no ledger entry has reviewed.
 
-    ``claims``: id, text; ``ledger``: subject. Starts are compared by hash of equal lengths' prefixes where the shorter
-    is at least ``prefix`` long, overlaps through shared tokens; neither needs all pairs.
+    A subject backs a claim if it and the first ``prefix`` characters of the claim begin alike (normalised; one is the
+    start of the other), or by token overlap. An entry of ``mentions`` (text) reviews a claim if it names the claim's
+    page and, where the claim has an id, that id or the claim's first 60 characters.
+    ``claims``: id, text and, with ``mentions``, page and claim_id; ``ledger``: subject. Starts meet as starts of equal
+    length, at most ``prefix`` rows a subject; overlaps meet on shared tokens: neither needs all pairs.
     """
-    c = claims.select("id", F.substring(normalize(F.col("text")), 1, prefix).alias("start"), token_set(F.col("text")).alias("ct"))
-    s = ledger.select(F.substring(normalize(F.col("subject")), 1, prefix).alias("start"), token_set(F.col("subject")).alias("st")).distinct()
-    same = c.join(s.select("start").distinct(), "start", "left_semi").select("id")
+    whole = normalize(F.col("text"))
+    c = claims.select("id", F.substring(whole, 1, prefix).alias("head"), token_set(F.col("text")).alias("ct"))
+    s = ledger.select(normalize(F.col("subject")).alias("subject"), token_set(F.col("subject")).alias("st")).distinct()
+    # the claim's head starts the subject, or the subject (short enough) starts the head; an empty one starts all
+    longer = s.select(F.explode(_heads(F.col("subject"), prefix)).alias("head")).distinct()
+    starts = c.join(longer, "head", "left_semi").select("id")
+    short = s.where((F.length("subject") <= prefix) & (F.col("subject") != "")).select(F.col("subject").alias("start")).distinct()
+    started = c.select("id", F.explode(_heads(F.col("head"), prefix)).alias("start")).join(short, "start", "left_semi").select("id")
+    empty = c.join(s.where("subject = ''").select(F.lit(True)).limit(1), how="left_semi").select("id")
     a, b = c.select("id", "ct", F.explode("ct").alias("token")), s.select("st", F.explode("st").alias("token"))
     near = a.join(b, "token").where(overlap(F.col("ct"), F.col("st")) >= threshold).select("id")
-    return c.join(same.unionByName(near).distinct(), "id", "left_anti").select("id")
+    backed = starts.unionByName(started).unionByName(empty).unionByName(near)
+    if mentions is not None:
+        said = mentions.select(normalize(F.col("text")).alias("said")).distinct()
+        named = held_names(said, claims.select(normalize(F.col("page")).alias("name")).distinct(), "said")
+        own = claims.select("id", F.col("claim_id"), normalize(F.col("page")).alias("name"), F.substring(whole, 1, 60).alias("first"))
+        exact = F.coalesce(F.col("claim_id") == "", F.lit(True)) | F.contains("said", F.col("claim_id")) | F.contains("said", F.col("first"))
+        backed = backed.unionByName(own.join(named, "name").where(exact).select("id"))
+    return c.join(backed.distinct(), "id", "left_anti").select("id")
 
 
 def undocumented(modules: DataFrame, pages: DataFrame) -> DataFrame:
-    """Modules whose base name no architecture page's title, summary or path holds and under which no page declares a file.
+    """Modules that no architecture page documents: by base name in its title, summary or path, or by a declared file.
 
-    ``modules``: module; ``pages``: path, type, title, summary, files. Names are looked up among the pages' words.
+    Architecture pages are those of type ``architecture`` or ``architecture/...``; the root module is left out. Names
+    are looked up as substrings, see ``held_names``. ``modules``: module; ``pages``: path, type, title, summary, files.
     """
-    words = pages.where("type = 'architecture'").select(F.explode(F.split(F.lower(F.concat_ws(" ", "title", "summary", "path")), "[^a-z0-9_]+")).alias("name")).distinct()
+    about = pages.where((F.col("type") == "architecture") | F.col("type").startswith("architecture/"))
+    text = about.select(F.lower(F.concat_ws(" ", "title", "summary", "path")).alias("text")).distinct()
     parts = F.split("file", "/")
-    under = pages.select(F.explode("files").alias("file")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("module")).distinct()
-    named = modules.withColumn("name", F.lower(F.element_at(F.split("module", "/"), -1)))
-    return named.join(words, "name", "left_anti").join(under, "module", "left_anti").select("module")
+    under = about.select(F.explode("files").alias("file")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("module")).distinct()
+    named = modules.where("module not in ('.', '(root)')").withColumn("name", F.lower(base_name(F.col("module"))))
+    known = held_names(text, named.select("name").distinct(), "text").select("name").distinct()
+    return named.join(known, "name", "left_anti").join(under, "module", "left_anti").select("module")
 
 
 def rediscovered(retrievals: DataFrame, links: DataFrame, reads: DataFrame) -> DataFrame:
@@ -93,12 +144,15 @@ def rediscovered(retrievals: DataFrame, links: DataFrame, reads: DataFrame) -> D
     """
 
     def last(x: str) -> Column:
-        return F.regexp_replace(F.element_at(F.split(F.lower(x), "/"), -1), r"\.md$", "")
+        return base_name(bare_page(F.col(x)))
+
+    def file(x: str) -> Column:
+        return base_name(F.lower(clean_path(F.col(x))))
 
     pages = retrievals.withColumn("_k", last("page")).join(links.withColumn("_k", last("path")), "_k").where(same_page(F.col("page"), F.col("path")))
     first = Window.partitionBy("episode", "page").orderBy("path")
-    declared = pages.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("episode", F.explode("files").alias("declared")).withColumn("_b", F.element_at(F.split("declared", "/"), -1))
-    met = declared.join(reads.withColumn("_b", F.element_at(F.split("file", "/"), -1)), ["episode", "_b"]).where(same_file(F.col("file"), F.col("declared"))).select("episode").distinct()
+    declared = pages.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("episode", F.explode("files").alias("declared")).withColumn("_b", file("declared"))
+    met = declared.join(reads.withColumn("_b", file("file")), ["episode", "_b"]).where(same_file(F.col("file"), F.col("declared"))).select("episode").distinct()
     return retrievals.select("episode").distinct().join(met.withColumn("hit", F.lit(True)), "episode", "left").select("episode", F.coalesce("hit", F.lit(False)).alias("rediscovered"))
 
 
@@ -108,15 +162,22 @@ def excerpt_around(text: Column, terms: Column, best: int = 10, around: int = 4,
     ``terms``: lower-case terms; the first twelve of more than three characters count.
     """
     used = F.slice(F.filter(terms, lambda t: F.length(t) > 3), 1, 12)
-    lines = F.split(text, "\n")
-    scored = F.transform(lines, lambda x, i: F.struct((-F.size(F.filter(used, lambda t: F.contains(F.lower(x), t)))).alias("s"), i.alias("i")))
-    top = F.slice(F.array_sort(F.filter(scored, lambda x: x["s"] < 0)), 1, best)
-    wanted = F.array_sort(F.array_distinct(F.flatten(F.transform(top, lambda x: F.sequence(F.greatest(F.lit(0), x["i"] - around), F.least(F.size(lines) - 1, x["i"] + around))))))
-    shown = F.transform(
-        wanted,
-        lambda i, at: F.concat(F.when((at > 0) & (F.get(wanted, at - 1) < i - 1), F.lit("…\n")).otherwise(F.lit("")), (i + 1).cast("string"), F.lit(": "), F.get(lines, i)),
-    )
-    return F.when(F.size(lines) <= longest, text).otherwise(F.array_join(shown, "\n"))
+    hits = lambda x, s: F.size(F.filter(s["used"], lambda t: F.contains(F.lower(x), t)))
+    # step by step, so that each array is made once and not again for every line
+    state = F.array(F.struct(text.alias("text"), F.split(text, "\n").alias("lines"), used.alias("used")))
+    scored = F.transform(state, lambda s: F.struct(s["text"].alias("text"), s["lines"].alias("lines"), F.transform(s["lines"], lambda x, i: F.struct((-hits(x, s)).alias("s"), i.alias("i"))).alias("scored")))
+    near = lambda x, s: F.sequence(F.greatest(F.lit(0), x["i"] - around), F.least(F.size(s["lines"]) - 1, x["i"] + around))
+    top = lambda s: F.slice(F.array_sort(F.filter(s["scored"], lambda x: x["s"] < 0)), 1, best)
+    wanted = F.transform(scored, lambda s: F.struct(s["text"].alias("text"), s["lines"].alias("lines"), F.array_sort(F.array_distinct(F.flatten(F.transform(top(s), lambda x: near(x, s))))).alias("wanted")))
+
+    def shown(s: Column) -> Column:
+        def line(i: Column, at: Column) -> Column:
+            gap = F.when((at > 0) & (F.get(s["wanted"], at - 1) < i - 1), F.lit("…\n")).otherwise(F.lit(""))
+            return F.concat(gap, (i + 1).cast("string"), F.lit(": "), F.get(s["lines"], i))
+
+        return F.when(F.size(s["lines"]) <= longest, s["text"]).otherwise(F.array_join(F.transform(s["wanted"], line), "\n"))
+
+    return F.get(F.transform(wanted, shown), 0)
 
 
 def task_candidates(files: DataFrame, most_files: int = 15, most_lines: int = 400) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import topic_of
+from loreweave.functions.text import base_name, topic_of
+
+from .containment import held_names
 
 
 def is_meta(path: Column) -> Column:
@@ -38,6 +40,64 @@ def toc_entry(pages: DataFrame, today: str) -> DataFrame:
     )
 
 
+def with_contents(docs: DataFrame, toc: DataFrame) -> DataFrame:
+    """Documents with their row of the contents: title (else the path), tags, summary; what search takes as title and rest.
+
+    ``docs``: path, text; ``toc``: path, title, tags, summary. Of several rows of a path one counts.
+    """
+    rows = toc.dropDuplicates(["path"]).select("path", "title", "tags", "summary")
+    both = docs.join(rows, "path", "left")
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    named = both.withColumn("title", F.coalesce("title", "path")).withColumn("tags", tags).withColumn("summary", F.coalesce("summary", F.lit("")))
+    return named.withColumn("rest", F.concat_ws(" ", F.array_join("tags", " "), "summary"))
+
+
+def page_state(files: DataFrame) -> DataFrame:
+    """One row: the number of pages and the newest change of one; generated files don't count. ``files``: path, mtime."""
+    return files.where(F.col("path").endswith(".md") & ~is_generated(F.col("path"))).agg(F.count(F.lit(1)).alias("pages"), F.max("mtime").alias("newest"))
+
+
+def recently_updated(toc: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` rows of the contents that were updated last, the index and log aside; equal dates by path."""
+    return toc.where(~F.col("path").isin("index.md", "log.md")).orderBy(F.desc("updated"), "path").limit(n)
+
+
+def recent_headings(log: DataFrame, n: int = 5) -> DataFrame:
+    """The last ``n`` headings of a log, in its order. ``log``: text; a heading begins with ``## [``."""
+    lines = log.select(F.posexplode(F.split("text", r"\r?\n")).alias("at", "heading")).where(F.col("heading").startswith("## ["))
+    return lines.orderBy(F.desc("at")).limit(n).orderBy("at")
+
+
+def log_entry(today: str, op: str, title: str, details: list[str]) -> str:
+    """An operation's block in the log: its heading, and a line for each detail."""
+    return "\n".join([f"## [{today}] {op} | {title}", *(f"- {x}" for x in details), ""])
+
+
+def topic_listing(toc: DataFrame, size: int = 100) -> DataFrame:
+    """(topic, page, at, path, title): each topic's rows by title, in pages of ``size``."""
+    topic = topic_of(F.col("path"))
+    order = Window.partitionBy("topic").orderBy("title", "path")
+    rows = toc.select(topic.alias("topic"), "path", "title").withColumn("_n", F.row_number().over(order) - 1)
+    return rows.select("topic", F.floor(F.col("_n") / size).cast("int").alias("page"), (F.col("_n") % size).cast("int").alias("at"), "path", "title")
+
+
+def stale_tables(tables: DataFrame, toc: DataFrame) -> DataFrame:
+    """Topics' tables whose topic the contents no longer have. ``tables``: name (without ending)."""
+    from loreweave.functions.text import topic_slug
+
+    topics = toc.select(topic_slug(topic_of(F.col("path"))).alias("name")).distinct()
+    return tables.select("name").distinct().join(topics, "name", "left_anti")
+
+
+def finding_counts(findings: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """(finding, n): how often each was found; ``kinds`` that weren't have 0."""
+    found = findings.groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
+    if not kinds:
+        return found
+    named = findings.sparkSession.createDataFrame([(k,) for k in kinds], "finding string")
+    return named.join(found, "finding", "left").select("finding", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def toc_filter(toc: DataFrame, topic: str | None = None, tag: str | None = None, query: str | None = None) -> DataFrame:
     if topic:
         toc = toc.where(F.col("path").startswith(f"{topic}/"))
@@ -58,14 +118,26 @@ def reconcile(pages: DataFrame, toc: DataFrame) -> DataFrame:
     return both.select("path", finding.alias("finding")).where("finding is not null")
 
 
+def resolved_path(page: Column, link: Column) -> Column:
+    """A link's target relative to the root, seen from its page: ``.`` goes, ``..`` takes the folder before it.
+
+    What climbs over the root keeps its ``..`` and so names nothing inside.
+    """
+    folder = F.regexp_replace(page, "[^/]*$", "")
+    whole = F.when(link.startswith("/"), F.regexp_replace(link, "^/+", "")).otherwise(F.concat(folder, link))
+    parts = F.filter(F.split(whole, "/"), lambda x: ~x.isin("", "."))
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, x: Column) -> Column:
+        climbs = (x == "..") & (F.size(kept) > 0) & (F.coalesce(F.element_at(kept, -1), F.lit("")) != "..")
+        return F.when(climbs, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+
+    return F.array_join(F.aggregate(parts, none, lambda kept, x: F.when(F.size(kept) == 0, F.array(x)).otherwise(step(kept, x))), "/")
+
+
 def resolved_links(links: DataFrame) -> DataFrame:
-    """(page, target): link targets made relative to the root. ``links``: page, link. ``./`` goes, each ``../`` takes a folder."""
-    folder = F.regexp_replace("page", "[^/]*$", "")
-    joined = F.when(F.col("link").startswith("/"), F.substring("link", 2, 10_000)).otherwise(F.concat(folder, "link"))
-    clean = F.regexp_replace(joined, r"(^|/)\./", "$1")
-    for _ in range(4):
-        clean = F.regexp_replace(clean, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return links.select("page", clean.alias("target")).where("target <> ''")
+    """(page, target): link targets made relative to the root, see ``resolved_path``. ``links``: page, link."""
+    return links.select("page", resolved_path(F.col("page"), F.col("link")).alias("target")).where("target <> ''")
 
 
 def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:
@@ -104,12 +176,12 @@ def entries_hash(toc: DataFrame) -> DataFrame:
 
 
 def backlog(raw: DataFrame, pages: DataFrame, text: str = "text") -> DataFrame:
-    """Raw files (sessions aside) that no page names.
+    """Raw files (sessions aside) whose name stands in no page's text. ``raw``: path.
 
-    File names are looked up among the name-like words of the pages, so the join is on equal names. ``raw``: path.
+    Names are looked up as substrings, see ``held_names``.
     """
-    named = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_.-]+)"), F.lit(1))).alias("name")).distinct()
-    own = raw.where(~F.col("path").startswith("raw/sessions/")).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    own = raw.where(~F.col("path").startswith("raw/sessions/")).withColumn("name", base_name(F.col("path")))
+    named = held_names(pages.select(text), own.select("name").distinct(), text).select("name").distinct()
     return own.join(named, "name", "left_anti").select("path")
 
 
@@ -117,7 +189,15 @@ def module_of(path: Column) -> Column:
     """The module of a code file: its first folder, or two of them under a folder of modules."""
     parts = F.split(path, "/")
     deep = F.element_at(parts, 1).isin("src", "packages", "apps", "lib", "modules") & (F.size(parts) > 2)
-    return F.when(F.size(parts) == 1, ".").when(deep, F.concat_ws("/", F.get(parts, 0), F.get(parts, 1))).otherwise(F.get(parts, 0))
+    return F.when(F.size(parts) == 1, "(root)").when(deep, F.concat_ws("/", F.get(parts, 0), F.get(parts, 1))).otherwise(F.get(parts, 0))
+
+
+#: Files by which a project is entered.
+ENTRIES = ("src/index.ts", "src/main.ts", "src/extension.ts", "src/index.js", "index.js", "main.py", "src/main.rs", "src/main.go")
+
+
+def is_entry(path: Column) -> Column:
+    return path.isin(*ENTRIES) | path.rlike(r"^src/(cli|server|index)\.(ts|js|py)$")
 
 
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -131,7 +211,7 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
 def modules(files: DataFrame, edges: DataFrame) -> DataFrame:
     """(module, n_files, imports, imported_by, entry): what each module holds and touches."""
     own = files.groupBy(module_of(F.col("path")).alias("module")).agg(
-        F.count(F.lit(1)).alias("n_files"), F.bool_or(F.col("path").rlike(r"(^|/)(index|main|app|cli)\.[a-z]+$")).alias("entry")
+        F.count(F.lit(1)).alias("n_files"), F.bool_or(is_entry(F.col("path"))).alias("entry")
     )
     out = edges.groupBy(F.col("src_module").alias("module")).agg(F.sort_array(F.collect_set("dst_module")).alias("imports"))
     into = edges.groupBy(F.col("dst_module").alias("module")).agg(F.sort_array(F.collect_set("src_module")).alias("imported_by"))
