@@ -54,3 +54,28 @@ def messages(lines: DataFrame) -> DataFrame:
         "session", "ord", e["id"].alias("id"), e["parentId"].alias("parent_id"), m["role"].alias("role"), m["stopReason"].alias("stop_reason"), e["timestamp"].alias("ts"), text.alias("text"), total.alias("total_tokens"),
         F.coalesce(m["usage"]["cost"]["total"], F.lit(0.0)).alias("cost"),
     )
+
+
+def headers(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """(session, root, cwd, ts): the first line of every session file, where it is a header with a folder.
+
+    ``root`` names the place that the files come from (the folder itself, if it isn't given).
+    """
+    first = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("session"), F.split_part("value", F.lit("\n"), F.lit(1)).alias("line"))
+    entry = first.where(F.try_parse_json("line").isNotNull()).select("session", F.from_json("line", SCHEMAS["transcript"]).alias("e"))
+    return entry.where("e.type = 'session' and e.cwd is not null").select("session", F.lit(root or path).alias("root"), F.col("e.cwd").alias("cwd"), F.col("e.timestamp").alias("ts"))
+
+
+def retrievals(spark: SparkSession, path: str) -> DataFrame:
+    """(ts, query, pages) of the asks that a metrics log holds with a time."""
+    return retrieval_events(read(spark, path, "metrics"))
+
+
+def retrieval_events(metrics: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return metrics.where("op = 'ask' and ts is not null").select("ts", "query", F.coalesce("pages", none).alias("pages"))
+
+
+def user_runs(runs: DataFrame) -> DataFrame:
+    """Runs that a user started with a prompt. ``runs``: message_type, prompt and any others."""
+    return runs.where((F.coalesce("message_type", F.lit("user")) == "user") & F.col("prompt").isNotNull())

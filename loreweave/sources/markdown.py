@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreweave.functions.formats import cell
+
 SKIPPED = ("raw", "toc")
 _NUMBER = re.compile(r"-?\d+(\.\d+)?$")
 _PAIR = re.compile(r"([A-Za-z0-9_-]+):(?:\s+(.*))?$")
@@ -23,8 +25,8 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, text): all Markdown files under a folder, but for skipped and hidden folders; paths relative to it."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     base = root.rstrip("/").split("://")[-1] + "/"
-    at = F.instr(F.col("_metadata.file_path"), base) + len(base)
-    path = F.url_decode(F.substring(F.col("_metadata.file_path"), at, F.lit(10_000)))
+    file = F.col("_metadata.file_path")
+    path = F.url_decode(F.right(file, F.length(file) - F.instr(file, base) - (len(base) - 1)))
     named = files.select(path.alias("path"), F.col("value").alias("text"))
     return named.where(~F.exists(F.split("path", "/"), lambda s: s.isin(*SKIPPED) | s.startswith(".")))
 
@@ -165,7 +167,7 @@ def contents(files: DataFrame) -> DataFrame:
 
 def contents_line(title: str = "title", path: str = "path") -> Any:
     """The contents table's row of a page, bars escaped."""
-    safe = [F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("|"), F.lit("\\|")) for c in (title, "type", "summary", "updated")]
+    safe = [cell(F.coalesce(F.col(c), F.lit(""))) for c in (title, "type", "summary", "updated")]
     return F.concat(F.lit("| ["), safe[0], F.lit("]("), F.col(path), F.lit(") | "), safe[1], F.lit(" | "), F.array_join("tags", " "), F.lit(" | "), safe[2], F.lit(" | "), safe[3], F.lit(" |"))
 
 

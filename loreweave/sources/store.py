@@ -10,6 +10,8 @@ from loreweave.operators.chunking import counts, upsert
 
 CHUNK = "path string, key string, kind string, claim_id string, status string, title string, text string, hash string, model string, dim int, embedding array<float>, updated_at string, wiki string, fingerprint string"
 
+STATE = "wiki string, fingerprint string, model string, dim int, chunks long, updated_at string"
+
 
 class ChunkStore:
     """A missing folder is an empty store. One writer at a time: partition overwrite is not transactional."""
@@ -29,7 +31,15 @@ class ChunkStore:
 
     def hashes(self, wiki: str, fingerprint: str, paths: list[str] | None = None) -> DataFrame:
         rows = self.read().where((F.col("wiki") == wiki) & (F.col("fingerprint") == fingerprint))
-        return (rows.where(F.col("path").isin(paths)) if paths is not None else rows).select("path", "key", "hash")
+        return (rows.where(F.col("path").isin(paths)) if paths is not None else rows).select("path", "key", "kind", "hash")
+
+    def _drop(self, emptied: DataFrame) -> None:
+        """Remove the folders of partitions that have no rows left: overwriting by partition never touches those."""
+        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for r in emptied.select("wiki", "fingerprint").distinct().collect():  # a row for each partition
+            gone = path(path(self.folder, name("wiki", r["wiki"])), name("fingerprint", r["fingerprint"]))
+            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     def _write(self, rows: DataFrame) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("wiki", "fingerprint").parquet(self.folder)
@@ -46,10 +56,42 @@ class ChunkStore:
         keys = ["wiki", "fingerprint", "path", "key"]
         touched = gone.select("wiki", "fingerprint").distinct()
         old = self.read().join(touched, ["wiki", "fingerprint"], "left_semi")
-        self._write(old.join(gone, keys, "left_anti").checkpoint())
+        left = old.join(gone, keys, "left_anti").checkpoint()
+        emptied = old.select("wiki", "fingerprint").distinct().join(left.select("wiki", "fingerprint").distinct(), ["wiki", "fingerprint"], "left_anti").checkpoint()
+        self._write(left)
+        self._drop(emptied)
+
+    def purge(self, wiki: str) -> None:
+        """All chunks of a wiki gone, whatever their fingerprint."""
+        self._drop(self.read().where(F.col("wiki") == wiki).select("wiki", "fingerprint").distinct().checkpoint())
+
+    def purge_others(self, wiki: str, fingerprint: str) -> None:
+        """A wiki's chunks of other fingerprints gone."""
+        self._drop(self.read().where((F.col("wiki") == wiki) & (F.col("fingerprint") != fingerprint)).select("wiki", "fingerprint").distinct().checkpoint())
+
+    def state(self) -> DataFrame:
+        """(wiki, fingerprint, model, dim, chunks, updated_at): what each wiki was last indexed with; a row a wiki."""
+        try:
+            rows = self.spark.read.schema(STATE).parquet(f"{self.folder}_state")
+            rows.limit(1).count()
+        except AnalysisException:
+            return self.spark.createDataFrame([], STATE)
+        return rows
+
+    def set_state(self, rows: DataFrame) -> None:
+        """States in place of those of their wikis."""
+        new = rows.select(*[c.split()[0] for c in STATE.split(", ")])
+        new = self.state().join(new.select("wiki"), "wiki", "left_anti").unionByName(new).checkpoint()
+        new.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}_state")
+
+    def warm(self, wiki: str, fingerprint: str) -> bool:
+        """Whether a wiki was indexed with a fingerprint: its state says so (even if it has no chunks), or chunks do."""
+        own = (F.col("wiki") == wiki) & (F.col("fingerprint") == fingerprint)
+        return not self.state().where(own).isEmpty() or not self.read().where(own).isEmpty()
 
     def counts(self) -> DataFrame:
         return counts(self.read())
 
     def any(self) -> bool:
-        return not self.read().isEmpty()
+        """Whether any wiki has chunks or a state."""
+        return not self.read().isEmpty() or not self.state().isEmpty()

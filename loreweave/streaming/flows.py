@@ -28,6 +28,24 @@ def once(rows: DataFrame, *keys: str, ts: str = "ts", late: str = "1 hour") -> D
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def open_reviews(items: DataFrame) -> DataFrame:
+    """Events (key, ts, op, id) of a review queue as they change it: an item opens unless its key is open already; a
+    resolution closes its key, so that it may open again."""
+
+    def step(state, frame: pd.DataFrame):
+        now, done = bool(state[0]) if state else False, []
+        for r in frame.sort_values("ts").itertuples():
+            if r.op == "enqueue" and not now:
+                now = True
+                done.append((r.key, r.ts, "opened", r.id))
+            elif r.op == "resolve" and now:
+                now = False
+                done.append((r.key, r.ts, "closed", r.id))
+        return (now,), pd.DataFrame(done, columns=["key", "ts", "change", "id"])
+
+    return _stateful(items, "key", "key string, ts timestamp, change string, id string", "open boolean", step)
+
+
 def _stateful(rows: DataFrame, key: str, out: str, state: str, step: Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame]]) -> DataFrame:
     def run(group: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else None
@@ -100,14 +118,20 @@ def attributed(events: DataFrame, spans: DataFrame, late: str = "1 hour", longes
     return e.join(s, inside).select("e.session", "e.event_id", "s.episode")
 
 
-def refresh_index(pages: DataFrame, store, wiki: str, embedder, checkpoint: str):
-    """A streaming query that keeps a chunk store current: each batch embeds only new or changed chunks."""
+def refresh_index(pages: DataFrame, store, wiki: str, embedder, checkpoint: str, claims: DataFrame | None = None):
+    """A streaming query that keeps a chunk store current: each batch embeds only new or changed chunks.
+
+    ``claims`` (a table: path, id, text, status) are read anew with each batch, for its pages; without them the claims'
+    chunks in the store stay as they are.
+    """
     from loreweave.models import embed
     from loreweave.operators.chunking import chunks, index_diff
 
     def apply(batch: DataFrame, _: int) -> None:
-        now = chunks(batch)
-        todo = index_diff(now, store.hashes(wiki, embedder.fingerprint()).join(batch.select("path").distinct(), "path", "left_semi"))
+        now = chunks(batch, claims)
+        stored = store.hashes(wiki, embedder.fingerprint()).join(batch.select("path").distinct(), "path", "left_semi")
+        # settled before anything is written: a plan cannot read the files that its own changes replace
+        todo = index_diff(now, stored if claims is not None else stored.where("kind <> 'claim'")).checkpoint()
         new = now.join(todo.where("action = 'embed'").select("path", "key"), ["path", "key"], "left_semi")
         fixed = {"wiki": wiki, "fingerprint": embedder.fingerprint(), "model": "hashing", "updated_at": ""}
         rows = embed(new, embedder).withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("dim", F.lit(embedder.dims))
