@@ -41,10 +41,16 @@ def triage(ledger: DataFrame) -> DataFrame:
     own = ledger.where("op = 'adjudicate'").withColumn("group", F.when(F.col("action").startswith("reject"), "rejected").when(F.col("action").isin("file", "file_user_stated", "reinforce"), "accepted"))
     long = own.select("group", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("derivable", "grounded")])).alias("x")).select("group", "x.field", "x.value")
     wanted = long.where("group is not null and value is not null and not (group = 'accepted' and field = 'grounded')")
-    # the upper median is the row at floor(n / 2): found by rank, so that no group is gathered in one place
-    order = Window.partitionBy("group", "field").orderBy("value")
-    ranked = wanted.withColumn("at", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("group", "field")))
-    return ranked.groupBy("group", "field").agg(F.max("n").alias("n"), F.min("value").alias("min"), F.max(F.when(F.col("at") == F.floor(F.col("n") / 2), F.col("value"))).alias("median"), F.max("value").alias("max"))
+    # the upper median has the rank floor(n / 2): rows below an estimate of it are only counted, and the few around it
+    # ranked by their distinct values, so that no group is gathered or sorted in one place
+    sizes = wanted.groupBy("group", "field").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile_approx("value", [0.499, 0.501], 10_000).alias("around"))
+    near = wanted.join(F.broadcast(sizes.select("group", "field", "around")), ["group", "field"])  # three rows
+    below = near.groupBy("group", "field").agg(F.count_if(F.col("value") < F.get("around", 0)).alias("below"))
+    inside = near.where((F.col("value") >= F.get("around", 0)) & (F.col("value") <= F.get("around", 1))).groupBy("group", "field", "value").agg(F.count(F.lit(1)).alias("c"))
+    running = F.sum("c").over(Window.partitionBy("group", "field").orderBy("value"))
+    placed = inside.withColumn("upto", running).join(F.broadcast(below), ["group", "field"]).join(F.broadcast(sizes.drop("around")), ["group", "field"])
+    reached = placed.where(F.col("below") + F.col("upto") > F.floor(F.col("n") / 2))
+    return reached.groupBy("group", "field").agg(F.first("n").alias("n"), F.first("min").alias("min"), F.min("value").alias("median"), F.first("max").alias("max"))
 
 
 def overlaps(triaged: DataFrame) -> DataFrame:

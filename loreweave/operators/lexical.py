@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.text import tokenize
 
+from .containment import held_names
+
 K1, B = 1.2, 0.75
 
 
@@ -41,14 +43,16 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     wanted = asked.select("token").distinct()
     words = docs.select("path", "title", "rest", tokenize(F.coalesce("text", F.lit(""))).alias("_tokens"))
     hits = words.select("path", "title", "rest", F.size("_tokens").alias("len"), F.explode("_tokens").alias("token")).join(wanted, "token")
-    tf = hits.groupBy("path", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), F.first("title").alias("title"), F.first("rest").alias("rest"))
+    # the boost is worked out beside the page, so that titles don't move with its tokens
+    own = hits.select("path", "token", "len", boost(F.col("token"), F.col("title"), F.col("rest")).alias("boost"))
+    tf = own.groupBy("path", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), F.first("boost").alias("boost"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(docs)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    one = idf * part * boost(F.col("token"), F.col("title"), F.col("rest")) * F.col("n")
-    scored = tf.join(df, "token").crossJoin(F.broadcast(stats)).join(asked, "token")  # stats: a single row
-    total = scored.groupBy("query_id", "path").agg(F.round(F.sum(one), 6).alias("score")).where("score > 0")
+    weighed = asked.join(df, "token").crossJoin(F.broadcast(stats)).select("query_id", "token", (idf * F.col("n")).alias("weight"), "avg_len")  # stats: a single row
+    scored = tf.join(weighed, "token")
+    total = scored.groupBy("query_id", "path").agg(F.round(F.sum(F.col("weight") * part * F.col("boost")), 6).alias("score")).where("score > 0")
     return top(total, k)
 
 
@@ -57,22 +61,17 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "path", "rank", "score")
 
 
-def index_search(docs: DataFrame, queries: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
+def index_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Score: how many of a query's tokens (repeats count) are part of title, summary or tags.
 
-    Parts of words count, so no equal key exists: every document meets the query set, ``block`` queries at a time (one
-    broadcast row and one pass over the documents' titles a block).
+    Parts of words count: each distinct token of the queries is looked up in the titles once, see ``held_names``, and
+    what was found meets the queries on the token.
     """
-    count, out = queries.count(), None
-    hay = F.lower(F.concat_ws(" ", "title", "rest"))
-    for start in range(0, max(1, count), block):
-        some = queries.orderBy("query_id").offset(start).limit(block)
-        asked = some.select(F.struct("query_id", tokenize(F.col("query")).alias("tokens")).alias("q")).agg(F.collect_list("q").alias("qs"))
-        rows = docs.select("path", hay.alias("hay")).crossJoin(F.broadcast(asked)).select("path", "hay", F.explode("qs").alias("q"))
-        score = F.aggregate("q.tokens", F.lit(0).cast("long"), lambda n, t: n + F.when(F.col("hay").contains(t), 1).otherwise(0).cast("long"))
-        part = top(rows.select("path", F.col("q.query_id").alias("query_id"), score.alias("score")).where("score > 0"), k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = query_tokens(queries)
+    hay = docs.select("path", F.lower(F.concat_ws(" ", "title", "rest")).alias("hay"))
+    held = held_names(hay, asked.select(F.col("token").alias("name")).distinct(), "hay").select("path", F.col("name").alias("token"))
+    scored = held.join(asked, "token").groupBy("query_id", "path").agg(F.sum("n").alias("score"))
+    return top(scored, k)
 
 
 def excerpt(text: Column, tokens: Column, lines: int = 3, chars: int = 240) -> Column:

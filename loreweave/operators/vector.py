@@ -30,7 +30,7 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) ->
 
         def near(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             ids, q, dims = held.value
-            best: list[pd.DataFrame] = []
+            best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]  # of each query: scores and keys, k at most
             for frame in frames:
                 frame = frame[frame["embedding"].map(lambda e: e is not None and len(e) == dims)]
                 if not len(frame) or not len(ids):
@@ -42,10 +42,11 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) ->
                 keep = min(k, len(keys))
                 for i in range(len(ids)) if keep else ():
                     edge = np.partition(score[i], len(keys) - keep)[len(keys) - keep]
-                    at = np.flatnonzero(score[i] >= edge)  # ties at the edge stay
-                    best.append(pd.DataFrame({"query_id": ids[i], "key": keys[at], "score": score[i][at]}))
-            if best:
-                yield pd.concat(best, ignore_index=True)
+                    at = np.flatnonzero(score[i] >= edge)  # ties at the edge stay until keys decide
+                    s, own = np.concatenate([best[i][0], score[i][at]]), np.concatenate([best[i][1], keys[at]])
+                    order = np.lexsort((own, -s))[:k]
+                    best[i] = s[order], own[order]
+            yield pd.DataFrame({"query_id": np.repeat(ids, [len(s) for s, _ in best]), "key": np.concatenate([x[1] for x in best]), "score": np.concatenate([x[0] for x in best])} if len(ids) else {"query_id": [], "key": [], "score": []})
 
         part = chunks.select("key", "embedding").mapInPandas(near, "query_id long, key long, score double")
         out = part if out is None else out.unionByName(part)
