@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreweave.functions.text import collection_name
+
+from .lint import resolved_path
+
 
 def union_keep_last(first: DataFrame, second: DataFrame, *keys: str) -> DataFrame:
     """Rows of both; where keys meet, the second's."""
@@ -61,3 +65,66 @@ def unique_names(rows: DataFrame) -> DataFrame:
     """Registry names made unique: the first keeps its name, others get -2, -3 and so on. ``rows``: name, ord."""
     n = F.row_number().over(Window.partitionBy("name").orderBy("ord"))
     return rows.withColumn("unique_name", F.when(n == 1, F.col("name")).otherwise(F.concat_ws("-", "name", n)))
+
+
+def register(registry: DataFrame, roots: DataFrame, now: str, home: str = "") -> DataFrame:
+    """``registry`` (name, root, enabled, added) with new roots, each under a name of its own.
+
+    ``roots``: root, name (or null), ord. A root that is registered keeps its row. A name that is taken gets -2, -3 and
+    so on, past the ones that are there.
+    """
+    plain = F.regexp_replace(F.regexp_replace("root", r"\\", "/"), "/+$", "")
+    new = roots.withColumn("root", plain).dropDuplicates(["root"]).join(registry.select("root"), "root", "left_anti")
+    new = new.withColumn("base", F.coalesce(F.nullif(F.trim("name"), F.lit("")), collection_name(F.col("root"), home)))
+    taken = registry.select("name").withColumn("base", F.regexp_replace("name", r"-[0-9]+$", ""))
+    used = taken.groupBy("base").agg(F.collect_set("name").alias("_used")).withColumnRenamed("base", "_base")
+    bare = registry.select(F.col("name").alias("_name")).distinct()
+    nth = F.row_number().over(Window.partitionBy("base").orderBy("ord", "root"))
+    placed = new.withColumn("_nth", nth).join(used, F.col("base") == F.col("_base"), "left").join(bare, F.col("base") == F.col("_name"), "left")
+    # the free names of a base in order: itself, then with numbers, as many as there are rows and names that are taken
+    offered = F.transform(F.sequence(F.lit(1), F.col("_nth") + F.size(F.coalesce("_used", F.array().cast("array<string>"))) + 1), lambda n: F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n)))
+    free = F.filter(offered, lambda x: ~F.array_contains(F.coalesce("_used", F.array().cast("array<string>")), x) & ~F.coalesce(x == F.col("_name"), F.lit(False)))
+    rows = placed.select(F.get(free, F.col("_nth") - 1).alias("name"), "root", F.lit(True).alias("enabled"), F.lit(now).alias("added"))
+    return registry.select("name", "root", "enabled", "added").unionByName(rows)
+
+
+def set_enabled(registry: DataFrame, names: list[str], enabled: bool) -> DataFrame:
+    return registry.withColumn("enabled", F.when(F.col("name").isin(names), enabled).otherwise(F.col("enabled")))
+
+
+def unregister(registry: DataFrame, names: list[str]) -> DataFrame:
+    return registry.where(~F.col("name").isin(names))
+
+
+def enabled_names(registry: DataFrame) -> DataFrame:
+    return registry.where("enabled").select("name")
+
+
+def resolve_pages(asked: DataFrame, files: DataFrame, wiki: str, root: str, base: str | None = None) -> DataFrame:
+    """(page, file): the first place where each named page exists; pages that exist nowhere are left out.
+
+    Places, in order: as it stands, if it is absolute; else under ``base`` (the caller's folder, only inside one
+    collection), under the collection's ``wiki`` folder, under its ``root``. ``asked``: page; ``files``: path (absolute).
+    """
+    absolute = F.col("page").startswith("/")
+    places = [F.when(absolute, F.col("page")), *[F.when(~absolute, resolved_path(F.lit(f"{x.rstrip('/')}/_"), F.col("page"))) for x in (base, wiki, root) if x]]
+    slash = lambda x: F.when(x.startswith("/"), x).otherwise(F.concat(F.lit("/"), x))
+    one = asked.distinct().select("page", F.posexplode(F.array(*[slash(p) for p in places])).alias("at", "file")).where("file is not null")
+    there = one.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
+    return there.groupBy("page").agg(F.min_by("file", "at").alias("file"))
+
+
+def project_roots(roots: DataFrame, entries: DataFrame, most: int = 5) -> DataFrame:
+    """(root, project): the nearest folder above a collection's root (itself included) that holds a repository.
+
+    Without one within ``most`` folders: the folder above, or two above if that is one of documents. ``roots``: root;
+    ``entries``: path of every repository folder (ending in .git).
+    """
+    parts = F.split(F.regexp_replace("root", "/+$", ""), "/")
+    up = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda n: F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - n, F.lit(1))), "/"))
+    held = entries.select(F.regexp_replace("path", r"/\.git$", "").alias("project"), F.lit(True).alias("held"))
+    near = roots.select("root", F.posexplode(up).alias("at", "project")).join(held, "project").groupBy("root").agg(F.min_by("project", "at").alias("found"))
+    above = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), "/")
+    second = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1))), "/")
+    documents = F.lower(F.element_at(F.split(above, "/"), -1)).isin("docs", "documentation")
+    return roots.join(near, "root", "left").select("root", F.coalesce("found", F.when(documents, second).otherwise(above)).alias("project"))
