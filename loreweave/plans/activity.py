@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loreweave.operators import ledger, sessions, stats
+from loreweave.operators import harness, ledger, sessions, stats
 
 from .base import query
 
@@ -102,7 +102,7 @@ def episode_endings(read):
 
 @query("last_timestamps", "select session, max(ts) as last_ts from messages group by session")
 def last_timestamps(read):
-    return read("messages").groupBy("session").agg(F.max_by("ts", "ord").alias("last_ts"))
+    return sessions.last_timestamps(read("messages"))
 
 
 _SPANS = """spans as (select user_id::varchar as session, event_id as episode, ts as started, ts + interval 3 hour as ended from events where event_type = 'signup')"""
@@ -236,14 +236,11 @@ def paired_runs(read):
 
 @query(
     "paired_report",
-    f"""with {_VALID}, p as (select ln(a.cost / b.cost) as r from ok a join ok b on a.task = b.task and a.repeat = b.repeat and a.arm = 'wiki' and b.arm = 'off' where a.cost > 0 and b.cost > 0)
-    select count(*) as n, round(avg(r), 6) as mean, round(median(r), 6) as median, round(stddev_samp(r), 6) as sd, ceil(8 * stddev_samp(r) ** 2 / ln(1.2) ** 2)::bigint as pairs_needed from p""",
+    f"""with {_VALID}, p as (select ln(a.cost / b.cost) as r from ok a join ok b on a.task = b.task and a.repeat = b.repeat and a.arm = 'wiki' and b.arm = 'off' where a.cost > 0 and b.cost > 0), s as (select stddev_samp(r) as sd from p)
+    select count(*) as n, round(avg(r), 6) as mean, round(median(r), 6) as median, round(any_value(sd), 6) as sd, {", ".join(f"ceil(8 * any_value(sd) ** 2 / ln(1 + {e}) ** 2)::bigint as pairs_for_{round(100 * e)}" for e in (0.1, 0.2, 0.3, 0.5))} from p, s""",
 )
 def paired_report(read):
-    r = F.log(F.col("treated") / F.col("control"))
-    rows = stats.pairs(_valid(read), "wiki", "off").select(r.alias("r"))
-    sd = F.stddev_samp("r")
-    return rows.agg(F.count("r").alias("n"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.median("r"), 6).alias("median"), F.round(sd, 6).alias("sd"), stats.required_pairs(sd, 0.2).alias("pairs_needed"))
+    return stats.paired_report(stats.pairs(_valid(read), "wiki", "off"))
 
 
 @query("arm_summary", f"with {_VALID} select arm, count(cost) as n, round(avg(cost), 6) as mean, round(stddev_samp(cost), 6) as sd, round(median(cost), 6) as median from ok group by arm")
@@ -251,10 +248,29 @@ def arm_summary(read):
     return stats.describe(_valid(read), "cost", "arm")
 
 
-@query("judge_table", f"with {_VALID}, t as (select task, arm, count(*) as n, avg(cost) as m, max(cost) - min(cost) as spread from ok group by 1, 2) select arm, sum(n)::bigint as n, round(avg(m), 6) as mean, round(avg(spread), 6) as within_task_range from t group by arm")
+_BY_TASK = "t as (select task, arm, count(cost) as n, avg(cost) as m, min(cost) as low, max(cost) as high from ok group by 1, 2)"
+
+
+@query("judge_rows", f"with {_VALID}, {_BY_TASK} select task, arm, n, round(m, 9) as mean, low, high from t")
+def judge_rows(read):
+    return stats.judged_by_task(_valid(read).withColumnRenamed("cost", "total")).withColumn("mean", F.round("mean", 9))
+
+
+@query("judge_table", f"with {_VALID}, {_BY_TASK}, a as (select arm, count(cost) as n, round(avg(cost), 6) as mean from ok group by arm) select arm, a.n, a.mean, round(avg(high - low), 6) as within_task_range from t join a using (arm) group by 1, 2, 3")
 def judge_table(read):
-    by_task = _valid(read).groupBy("task", "arm").agg(F.count(F.lit(1)).alias("n"), F.avg("cost").alias("m"), (F.max("cost") - F.min("cost")).alias("spread"))
-    return by_task.groupBy("arm").agg(F.sum("n").alias("n"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.avg("spread"), 6).alias("within_task_range"))
+    rows = stats.judged_by_arm(stats.judged_by_task(_valid(read).withColumnRenamed("cost", "total")))
+    return rows.withColumn("mean", F.round("mean", 6)).withColumn("within_task_range", F.round("within_task_range", 6))
+
+
+@query(
+    "run_outcomes",
+    f"""with {_VALID}, p as (select a.cost as ca, b.cost as cb, case when a.ordinal % 5 = 0 then null else a.ordinal % 3 > 0 end as pa, case when b.ordinal % 5 = 0 then null else b.ordinal % 3 > 0 end as pb
+      from ok a join ok b on a.task = b.task and a.repeat = b.repeat and a.arm = 'wiki' and b.arm = 'off' where a.cost > 0 and b.cost > 0)
+    select count(*) as pairs, count_if(pa) as treated_passed, count_if(pb) as control_passed, count_if(pa and not pb) as only_treated, count_if(pb and not pa) as only_control from p""",
+)
+def run_outcomes(read):
+    passed = F.when(F.col("ordinal") % 5 != 0, F.col("ordinal") % 3 > 0)
+    return stats.outcomes(_valid(read).withColumn("passed", passed), "wiki", "off")
 
 
 @query("average_ranks", "select event_id, rank() over (partition by user_id order by event_id % 20) + (count(*) over (partition by user_id, event_id % 20) - 1) / 2.0::double as rank from events")
@@ -272,12 +288,52 @@ def normal_p_values(read):
     return read("events").select("event_id", F.round(stats.normal_two_sided_p((F.col("event_id") % 400) * 0.01 - 2), 6).alias("p"))
 
 
+_RANKS = """d as (select contrast, diff, abs(diff) as size from {source} where diff <> 0), r as (select *, rank() over (partition by contrast order by size) + (count(*) over (partition by contrast, size) - 1) / 2.0::double as rank from d),
+w as (select contrast, count(*) as n, sum(case when diff > 0 then rank else 0 end) as plus, count(*) * (count(*) + 1) / 2.0::double as total from r group by contrast)"""
+
+# more than fifteen pairs: the normal form, with corrections for ties and continuity
+_NORMAL_SQL = f"""with {_VALID}, p as (select 'wiki-off' as contrast, a.cost - b.cost as diff from ok a join ok b on a.task = b.task and a.repeat = b.repeat and a.arm = 'wiki' and b.arm = 'off' where a.cost > 0 and b.cost > 0),
+{_RANKS.format(source="p")},
+ties as (select contrast, sum(t ** 3 - t) as c from (select contrast, size, count(*) as t from r group by 1, 2) group by 1),
+z as (select *, abs(abs(plus - total / 2) - case when plus = total / 2 then 0 else 0.5 end) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::double - c / 48) / sqrt(2) as x from w join ties using (contrast)),
+e as (select *, 1 / (1 + 0.3275911::double * x) as t from z)
+select contrast, n, least(plus, total - plus) as statistic, round(((((1.061405429::double * t - 1.453152027::double) * t + 1.421413741::double) * t - 0.284496736::double) * t + 0.254829592::double) * t * exp(-x * x), 6) as p from e"""
+
+
+@query("signed_ranks", _NORMAL_SQL)
+def signed_ranks(read):
+    rows = stats.paired_tests(stats.pairs(_valid(read), "wiki", "off").withColumn("contrast", F.lit("wiki-off")))
+    return rows.select("contrast", "n", "statistic", F.round("p", 6).alias("p"))
+
+
+# a few pairs of each task: all subsets of the ranks, one by one
+_EXACT_SQL = f"""with recursive {_VALID}, p as (select a.task as contrast, round(a.cost) - round(b.cost) as diff from ok a join ok b on a.task = b.task and a.repeat = b.repeat and a.arm = 'wiki' and b.arm = 'off' where a.cost > 0 and b.cost > 0),
+{_RANKS.format(source="p")},
+o as (select contrast, rank, row_number() over (partition by contrast order by size, diff) as k from r),
+s as (select contrast, 0 as k, 0::double as total from w union all select s.contrast, s.k + 1, s.total + case when c.take = 1 then o.rank else 0 end from s join o on o.contrast = s.contrast and o.k = s.k + 1, (values (0), (1)) c(take)),
+x as (select s.contrast, count_if(abs(s.total - w.total / 2) >= abs(w.plus - w.total / 2) - 1e-9) / count(*)::double as p from s join w on w.contrast = s.contrast and s.k = w.n group by 1)
+select a.contrast, coalesce(w.n, 0) as n, coalesce(least(plus, total - plus), 0) as statistic, round(coalesce(p, 1), 6) as p from (select distinct contrast from p) a left join w using (contrast) left join x using (contrast)"""
+
+
+@query("signed_ranks_of_tasks", _EXACT_SQL)
+def signed_ranks_of_tasks(read):
+    paired = stats.pairs(_valid(read), "wiki", "off").withColumn("contrast", F.col("task")).withColumn("treated", F.round("treated")).withColumn("control", F.round("control"))
+    return stats.paired_tests(paired).select("contrast", "n", "statistic", F.round("p", 6).alias("p"))
+
+
 @query("paired_tests")
 def paired_tests(read):
     return stats.paired_tests(stats.pairs(_valid(read), "wiki", "off").withColumn("contrast", F.lit("wiki-off")))
 
 
-@query("toolset_differences", "select user_id, list_sort(list_distinct(list(event_type) filter (event_id % 2 = 0))) as a, count(distinct event_type) filter (event_id % 2 = 1) as n_b from events group by user_id")
+@query(
+    "toolset_differences",
+    """with t as (select user_id, list(event_type) filter (event_id % 3 = 0) || ['wiki_ask', 'read'] as a, list(case when event_id % 7 = 0 then 'wiki_' || event_type else event_type end) filter (event_id % 3 <> 0) || ['read'] as b from events group by user_id),
+    x as (select user_id, list_sort(list_distinct(list_filter(coalesce(a, ['wiki_ask', 'read']), lambda v: not starts_with(v, 'wiki_')))) as a, list_sort(list_distinct(list_filter(coalesce(b, ['read']), lambda v: not starts_with(v, 'wiki_')))) as b, len(list_distinct(list_filter(coalesce(b, ['read']), lambda v: starts_with(v, 'wiki_')))) as w from t)
+    select user_id, array_to_string(list_filter(a, lambda v: not list_contains(b, v)), ',') as only_off, array_to_string(list_filter(b, lambda v: not list_contains(a, v)), ',') as only_on, len(a)::int as shared, w::int as wiki_tools, list_sort(a) = list_sort(b) as comparable from x""",
+)
 def toolset_differences(read):
-    even = F.col("event_id") % 2 == 0
-    return read("events").groupBy("user_id").agg(F.sort_array(F.collect_set(F.when(even, F.col("event_type")))).alias("a"), F.count_distinct(F.when(~even, F.col("event_type"))).alias("n_b"))
+    third, kind = F.col("event_id") % 3 == 0, F.col("event_type")
+    named = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("wiki_"), kind)).otherwise(kind)
+    rows = read("events").groupBy("user_id").agg(F.concat(F.collect_list(F.when(third, kind)), F.array(F.lit("wiki_ask"), F.lit("read"))).alias("off"), F.concat(F.collect_list(F.when(~third, named)), F.array(F.lit("read"))).alias("on"))
+    return harness.toolset_differences(rows).select("user_id", F.array_join("only_off", ",").alias("only_off"), F.array_join("only_on", ",").alias("only_on"), "shared", "wiki_tools", "comparable")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import auto_query, tokenize
+from loreweave.functions.text import auto_query, same_file, same_page, tokenize
 from loreweave.operators import evidence
 from loreweave.operators.sessions import previous_user
 
@@ -14,36 +14,38 @@ from .retrieval import set_sql, tokens_sql
 
 @query(
     "verified_quotes",
-    r"""with q as (select doc_id, text, case when doc_id % 4 = 0 then 'not in this text at all' when doc_id % 4 = 1 then substring(text, 1, 8) else replace(substring(text, 20, 40), ' ', '  ') end as quote from documents)
+    r"""with q as (select doc_id, text, case when doc_id % 4 = 0 then 'not in this text at all' when doc_id % 4 = 1 then substring(text, 1, 8) when doc_id % 4 = 2 then replace(text, ' ', '  ') else substring(text, (length(text) // 2)::int) || ' no' end as quote from documents)
     select doc_id, length(trim(quote, ' ')) >= 12 and contains(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), trim(regexp_replace(quote, '\s+', ' ', 'g'), ' ')) as holds from q""",
 )
 def verified_quotes(read):
     d = F.col("doc_id") % 4
-    quote = F.when(d == 0, "not in this text at all").when(d == 1, F.substring("text", 1, 8)).otherwise(F.replace(F.substring("text", 20, 40), F.lit(" "), F.lit("  ")))
+    half = F.substring(F.col("text"), F.floor(F.length("text") / 2).cast("int"), F.length("text"))
+    quote = F.when(d == 0, "not in this text at all").when(d == 1, F.substring("text", 1, 8)).when(d == 2, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.concat(half, F.lit(" no")))
     return read("documents").select("doc_id", evidence.quote_holds(quote, F.col("text")).alias("holds"))
 
 
 @query(
     "user_statements",
     r"""with s as (select session, trim(regexp_replace(lower(string_agg(text, chr(10) order by ord)), '\s+', ' ', 'g'), ' ') as said from messages where role = 'user' group by session),
-    c as (select session || '/' || ord::varchar as id, session, substring(text, 5, 30) as ev from messages)
+    c as (select session || '/' || ord::varchar as id, session, case when ord % 3 = 0 then replace(text, 'e', 'E') when ord % 3 = 1 then text || ' not' else replace(text, ' ', chr(10)) end as ev from messages)
     select id, coalesce(length(trim(regexp_replace(lower(ev), '\s+', ' ', 'g'), ' ')) >= 12 and contains(said, trim(regexp_replace(lower(ev), '\s+', ' ', 'g'), ' ')), false) as stated from c left join s using (session)""",
 )
 def user_statements(read):
     m = read("messages")
-    claims = m.select(F.concat_ws("/", "session", F.col("ord").cast("string")).alias("id"), "session", F.substring("text", 5, 30).alias("evidence"))
+    claims = m.select(F.concat_ws("/", "session", F.col("ord").cast("string")).alias("id"), "session", F.when(F.col("ord") % 3 == 0, F.replace("text", F.lit("e"), F.lit("E"))).when(F.col("ord") % 3 == 1, F.concat("text", F.lit(" not"))).otherwise(F.replace("text", F.lit(" "), F.lit("\n"))).alias("evidence"))
     return evidence.user_said(claims, m.select("session", "ord", "role", "text"))
 
 
 @query(
     "contaminated_sessions",
-    """with f as (select substring(text, 1, 5) as v, item_id from benchmark)
-    select conv_id::varchar as session, array_to_string(list_sort(list(distinct case when item_id % 2 = 0 then 'root:' else 'canary:' end || v)), '|') as reasons from conversations, f where contains(text, v) group by conv_id""",
+    """with f as (select distinct split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) as v, item_id % 2 as odd from benchmark)
+    select conv_id::varchar as session, array_to_string(list_sort(list(distinct case when odd = 0 then 'root:' else 'canary:' end || v)), '|') as reasons from conversations, f where contains(text, v) group by conv_id""",
 )
 def contaminated_sessions(read):
     calls = read("conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("text").alias("args"), F.col("text").alias("result"))
-    forbidden = read("benchmark").select(F.when(F.col("item_id") % 2 == 0, "root").otherwise("canary").alias("kind"), F.substring("text", 1, 5).alias("value"))
-    return evidence.contaminated(calls, forbidden).select("session", F.array_join("reasons", "|").alias("reasons"))
+    two = F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(2)), F.split_part("text", F.lit(" "), F.lit(3)))
+    forbidden = read("benchmark").select(F.when(F.col("item_id") % 2 == 0, "root").otherwise("canary").alias("kind"), two.alias("value"))
+    return evidence.contaminated(calls, forbidden, block=50).select("session", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query("affected_claims", "select id from claim_rows where file_a in ('src/3.py', 'src/5.py') or (id % 5 = 0 and file_b like 'src/%.ts' and file_b = 'src/1.ts') order by id limit 40")
@@ -53,23 +55,42 @@ def affected_claims(read):
     return evidence.affected_claims(claims.withColumn("files", F.when(F.col("files")[1].contains("*"), F.col("files")).otherwise(F.slice("files", 1, 1))), changed)
 
 
+_NORM = "trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'), ' ')"
+
+
 @query(
     "unbacked_claims",
-    f"""with c as (select id, substring(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), 1, 100) as st, {set_sql("text")} as ts from claim_rows), s as (select distinct substring(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), 1, 100) as st, {set_sql("text")} as ss from benchmark union
-      select distinct substring(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), 1, 100), {set_sql("text")} from claim_rows where id % 7 = 0)
-    select id from c where not exists (select 1 from s where s.st = c.st) and not exists (select 1 from s where least(len(ss), len(ts)) > 0 and len(list_intersect(ss, ts)) / least(len(ss), len(ts))::double >= 0.5)""",
+    f"""with c as (select id, {_NORM.format(x="page")} as page, {_NORM.format(x="text")} as whole, substring({_NORM.format(x="text")}, 1, 100) as head, {set_sql("text")} as ts from claim_rows),
+    s as (select distinct {_NORM.format(x="subject")} as subject, {set_sql("subject")} as ss from accepted_rows), m as (select distinct {_NORM.format(x="outcome")} as said from accepted_rows)
+    select id from c where not exists (select 1 from s where starts_with(s.subject, c.head) or starts_with(c.head, s.subject) or (least(len(ss), len(ts)) > 0 and len(list_intersect(ss, ts)) / least(len(ss), len(ts))::double >= 0.5))
+    and not exists (select 1 from m where contains(said, page) and (contains(said, id::varchar) or contains(said, substring(whole, 1, 60))))""",
 )
 def unbacked_claims(read):
-    claims = read("claim_rows")
-    subjects = read("benchmark").select(F.col("text").alias("subject")).unionByName(claims.where("id % 7 = 0").select(F.col("text").alias("subject")))
-    return evidence.unbacked_claims(claims.select("id", "text"), subjects)
+    claims = read("claim_rows").select("id", "page", "text", F.col("id").cast("string").alias("claim_id"))
+    rows = read("accepted_rows")
+    return evidence.unbacked_claims(claims, rows.select("subject"), mentions=rows.select(F.col("outcome").alias("text")))
 
 
-@query("undocumented_modules", "select distinct source as module from documents where source not in ('src1', 'src2') and source <> 'src3'")
+@query(
+    "undocumented_modules",
+    """with m as (select distinct module, lower(regexp_extract(module, '([^/]+)$', 1)) as name from module_rows), a as (select distinct lower(concat_ws(' ', title, '', path)) as t, file from module_rows where starts_with(type, 'architecture/'))
+    select module from m where not exists (select 1 from a where contains(t, name)) and not exists (select 1 from a where file = module or starts_with(file, module || '/'))""",
+)
 def undocumented_modules(read):
-    docs = read("documents")
-    pages = docs.select(F.concat("source", F.lit(".md")).alias("path"), F.when(F.col("source").isin("src1", "src2"), "architecture").otherwise("concept").alias("type"), F.col("source").alias("title"), F.lit("").alias("summary"), F.when(F.col("source") == "src3", F.array(F.lit("src3/a.ts"))).otherwise(F.array().cast("array<string>")).alias("files"))
-    return evidence.undocumented(docs.select(F.col("source").alias("module")).distinct(), pages)
+    rows = read("module_rows")
+    pages = rows.select("path", "type", "title", F.lit("").alias("summary"), F.array("file").alias("files"))
+    return evidence.undocumented(rows.select("module").distinct(), pages)
+
+
+@query(
+    "same_pages",
+    r"""with x as (select doc_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '[\\/]+', '/', 'g'), '^\./', ''), '^wiki/', ''), '\.md$', '')) as x, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '[\\/]+', '/', 'g'), '^\./', ''), '^wiki/', ''), '\.md$', '')) as y,
+      lower(regexp_replace(regexp_replace(a, '[\\/]+', '/', 'g'), '^\./', '')) as f, lower(regexp_replace(regexp_replace(replace(b, '//', chr(92)), '[\\/]+', '/', 'g'), '^\./', '')) as g from spellings)
+    select doc_id, x = y or ends_with(x, '/' || y) or ends_with(y, '/' || x) as page, f = g or ends_with(f, '/' || g) or ends_with(g, '/' || f) or regexp_extract(f, '([^/]*)$', 1) = regexp_extract(g, '([^/]*)$', 1) as file from x""",
+)
+def same_pages(read):
+    a, b = F.col("a"), F.col("b")
+    return read("spellings").select("doc_id", same_page(a, b).alias("page"), same_file(a, F.replace(b, F.lit("//"), F.lit("\\"))).alias("file"))
 
 
 @query(
@@ -95,10 +116,19 @@ def auto_queries(read):
     return previous_user(read("messages")).select("session", "ord", F.sha2(auto_query(F.col("text"), F.col("previous")), 256).alias("query_hash"))
 
 
-@query("excerpts_around_terms")
+_EXCERPT_SQL = f"""with p as (select doc_id, repeat(text || chr(10), 1 + (doc_id % 40)::int) as text, list_filter({tokens_sql("title")}, lambda t: length(t) > 3)[1:12] as ts from wiki_pages),
+l as (select doc_id, ts, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i, len(string_split(text, chr(10))) as n from p),
+s as (select *, len(list_filter(ts, lambda t: contains(lower(line), t))) as hits from l), b as (select doc_id, i, n from (select *, row_number() over (partition by doc_id order by hits desc, i) as r from s where hits > 0) where r <= 10),
+w as (select distinct doc_id, x as i from (select doc_id, unnest(range(greatest(0, i - 4), least(n - 1, i + 4) + 1)) as x from b)),
+g as (select w.doc_id, w.i, line, lag(w.i) over (partition by w.doc_id order by w.i) as before from w join l on l.doc_id = w.doc_id and l.i = w.i),
+o as (select doc_id, string_agg(case when before < i - 1 then '…' || chr(10) else '' end || (i + 1)::varchar || ': ' || line, chr(10) order by i) as t from g group by doc_id)
+select p.doc_id, sha256(case when len(string_split(text, chr(10))) <= 60 then text else coalesce(t, '') end) as excerpt_hash from p left join o using (doc_id)"""
+
+
+@query("excerpts_around_terms", _EXCERPT_SQL)
 def excerpts_around_terms(read):
-    t = evidence.excerpt_around(F.col("text"), tokenize(F.col("title")))
-    return read("wiki_pages").select("doc_id", F.sha2(t, 256).alias("excerpt_hash"), F.length(t).alias("n_chars"))
+    long = F.repeat(F.concat("text", F.lit("\n")), (1 + F.col("doc_id") % 40).cast("int"))
+    return read("wiki_pages").select("doc_id", F.sha2(evidence.excerpt_around(long, tokenize(F.col("title"))), 256).alias("excerpt_hash"))
 
 
 @query(

@@ -47,6 +47,25 @@ VIEWS = {
     "messages": """select cast(conv_id as string) as session, turn as ord, case when role = 'system' then 'user' else role end as role,
         case when (conv_id + turn) % 5 = 0 then 'toolUse' when (conv_id + turn) % 5 = 1 then 'aborted' when (conv_id + turn) % 5 = 2 then null else 'stop' end as stop_reason,
         concat('2026-01-', case when conv_id % 28 < 9 then '0' else '' end, cast(conv_id % 28 + 1 as string), 'T10:0', cast(turn % 10 as string)) as ts, text from {conversations}""",
+    # links from pages in folders of many depths, climbing up to seven folders
+    "deep_links": """select doc_id, concat(repeat('d/', cast(doc_id % 6 as int)), 'p', cast(doc_id as string), '.md') as page,
+        concat(case when doc_id % 4 = 0 then './' else '' end, repeat('../', cast(doc_id % 8 as int)), 'x/./y', cast(doc_id % 3 as string), '.md') as link from {documents}""",
+    # names of pages and files as different tools write them
+    "spellings": """select doc_id, concat(case when doc_id % 4 = 0 then './' when doc_id % 4 = 1 then 'wiki/' when doc_id % 4 = 2 then './wiki/' else '' end, case when doc_id % 5 = 0 then '' else 'Src/' end, 'Page', cast(doc_id % 7 as string), case when doc_id % 3 = 0 then '.md' else '' end) as a,
+        concat(case when doc_id % 6 = 0 then 'x/' when doc_id % 6 = 1 then '' else './' end, case when doc_id % 2 = 0 then 'src/' else 'SRC//' end, 'page', cast(doc_id % 5 as string), case when doc_id % 7 = 0 then '.md' else '' end) as b from {documents}""",
+    # files whose names are words, phrases, other letters, or parts of longer words
+    "raw_files": """select doc_id, concat('raw/', case when doc_id % 9 = 0 then 'sessions/' else '' end, case when doc_id % 4 = 0 then 'my notes ' when doc_id % 4 = 1 then 'Über ' when doc_id % 4 = 2 then 'plan-b_' else '注' end, cast(doc_id as string), '.md') as path,
+        concat(source, ' says (x', case when doc_id % 4 = 0 then 'my notes ' when doc_id % 4 = 1 then 'Über ' when doc_id % 4 = 2 then 'plan-b_' else '注' end, cast(doc_id + doc_id % 3 as string), '.mdx) ', text) as text from {documents}""",
+    # modules and architecture pages, some of which name them inside longer words
+    "module_rows": """select distinct concat('src/', source, case when doc_id % 2 = 0 then '-core' else '' end) as module, concat('arch/', source, '.md') as path,
+        case when doc_id % 2 = 0 then 'architecture/module' else 'concept' end as type, concat('About ', upper(source), case when doc_id % 3 = 0 then '-CORES' else '' end) as title,
+        case when doc_id % 7 = 0 then concat('src/', source, '/a.ts') else 'none' end as file from {documents} where source <> 'src0'""",
+    # pages with headings, two of which are alike
+    "headed_pages": """select concat('h', cast(doc_id as string)) as path, title, concat('intro ', body, chr(10), '## Notes on *', lang, '*', chr(10), body, chr(10), chr(10), body, chr(10), '##  Notes on ', lang, chr(10), source, chr(10), '#no heading', chr(10), '### [Link](x.md)  ', chr(10), body) as text
+        from (select doc_id, lang, source, replace(substring(text, 1, 20), chr(10), ' ') as title, text as body from {documents})""",
+    # subjects that a ledger has accepted, and what it says of claims
+    "accepted_rows": """select conv_id * 1000 + turn as id, case when turn % 5 = 0 then substring(text, 1, cast(15 + conv_id % 130 as int)) when turn % 5 = 1 then concat(text, ' and more of it') else concat('nothing like ', cast(conv_id as string)) end as subject,
+        case when turn % 7 = 3 then concat('Reviewed PAGE', cast(conv_id as string), '  claim ', cast(conv_id * 1000 + turn as string)) else 'no review' end as outcome from {conversations}""",
     # runs of an experiment with three arms
     "runs": """select concat('t', cast(o_custkey % 40 as string)) as task, case when o_orderkey % 3 = 0 then 'off' when o_orderkey % 3 = 1 then 'wiki' else 'plain' end as arm, o_orderkey % 4 as repeat,
         o_orderkey as ordinal, case when o_orderkey % 10 = 0 then null else o_totalprice * 1e-4 end as cost, case when o_orderkey % 6 = 0 then true when o_orderkey % 6 = 1 then false else null end as valid,
@@ -59,7 +78,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
-    base = text[text.index("{") + 1 : text.index("}")]
+    base = text[text.rindex("{") + 1 : text.rindex("}")]
     return spark.sql(text, **{base: spark.read.parquet(f"{sf_dir}/{base}.parquet")})
 
 
@@ -68,9 +87,12 @@ def with_views(sql: str) -> str:
     used = [n for n in VIEWS if n in sql]
     parts = [f"{n} as ({VIEWS[n].format(**{t: t for t in ('documents', 'events', 'conversations', 'orders')})})" for n in used]
     body = sql.strip()
-    if body.lower().startswith("with "):
-        return f"with {', '.join([*parts, ''])}{body[5:]}" if parts else body
-    return f"with {', '.join(parts)} {body}" if parts else body
+    if not parts:
+        return body
+    for head in ("with recursive ", "with "):
+        if body.lower().startswith(head):
+            return f"{head}{', '.join(parts)}, {body[len(head) :]}"
+    return f"with {', '.join(parts)} {body}"
 
 
 def query(name: str, sql: str | None = None):

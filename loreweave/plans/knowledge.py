@@ -21,7 +21,7 @@ def _dashed(x: str) -> str:
 
 @query(
     "slugs",
-    f"""with d as (select doc_id, lang, substring(text, 1, 90) as t, {_dashed("substring(text, 1, 90)")} as s from documents), h as (select *, substring(s, 1, 60) as c from d),
+    f"""with d as (select doc_id, lang, text as t, {_dashed("text")} as s from documents), h as (select *, substring(s, 1, 60) as c from d),
     b as (select *, length(c) - instr(reverse(c), '-') as cut from h)
     select doc_id, coalesce(nullif(case when length(s) <= 60 then s else regexp_replace(case when instr(c, '-') > 0 and cut >= 36 then substring(c, 1, cut) else c end, '-+$', '') end, ''), 'untitled') as file_slug,
     coalesce(nullif(regexp_replace(substring(s, 1, 48), '-+$', ''), ''), 'section') as section_slug,
@@ -29,7 +29,7 @@ def _dashed(x: str) -> str:
     array_to_string((list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda w: w <> ''))[1:5], '-') as slug_part from b""",
 )
 def slugs(read):
-    t = F.substring("text", 1, 90)
+    t = F.col("text")
     return read("documents").select(
         "doc_id", T.slug(t).alias("file_slug"), T.section_slug(t).alias("section_slug"), T.topic_slug(F.concat_ws(" ", "lang", t)).alias("topic_slug"), T.slug_part(t).alias("slug_part")
     )
@@ -47,13 +47,13 @@ def normalized_texts(read):
 _LITERALS_SQL = r"""
 with b as (select doc_id, regexp_replace(text, '```[\s\S]*?```', ' ', 'g') as t from documents),
 f as (select doc_id, list_transform(regexp_extract_all(t, '\b\d+(?:[.,]\d+)*(?:\s?(?:ms|s|m|h|kb|mb|gb|tok|tokens|%)|(?:\s?(?:million|billion)))?\b') || regexp_extract_all(t, 'https?://[^\s)"''\]]+') || regexp_extract_all(t, '\bv?\d+\.\d+(?:\.\d+)?\b'), lambda x: trim(x, ' ')) as xs from b)
-select doc_id, len(list_distinct(list_filter(xs, lambda x: not regexp_full_match(x, '\d') and not regexp_full_match(x, '(19|20)\d{2}'))))::int as n_literals from f
+select doc_id, array_to_string(list_sort(list_distinct(list_filter(xs, lambda x: not regexp_full_match(x, '\d') and not regexp_full_match(x, '(19|20)\d{2}')))), '|') as literals from f
 """
 
 
 @query("literals", _LITERALS_SQL)
 def literals(read):
-    return read("documents").select("doc_id", F.size(T.literals(F.col("text"))).alias("n_literals"))
+    return read("documents").select("doc_id", F.array_join(F.array_sort(T.literals(F.col("text"))), "|").alias("literals"))
 
 
 @query("page_links", """select page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) as link from pages""")
@@ -108,11 +108,12 @@ def suggested_topics(read):
 
 @query(
     "file_patterns",
-    r"""with x as (select id, file_a as f, case when id % 4 = 0 then 'src/*.py' when id % 4 = 1 then './src/' when id % 4 = 2 then 'src/3.py' else 'lib' end as p from claim_rows)
-    select id, case when id % 4 in (0, 1) then true when id % 4 = 2 then f = 'src/3.py' else false end as fits from x""",
+    r"""with x as (select id, file_a as f, case id % 8 when 0 then 'src/*.py' when 1 then './src/' when 2 then 'src/3.py' when 3 then 'lib' when 4 then '*/' || (id % 7)::varchar || '.py' when 5 then '' when 6 then 'src/3' else 's*c/?.py' end as p from claim_rows)
+    select id, case id % 8 when 0 then true when 1 then true when 2 then f = 'src/3.py' when 4 then f = 'src/' || (id % 7)::varchar || '.py' else false end as fits from x""",
 )
 def file_patterns(read):
-    p = F.when(F.col("id") % 4 == 0, "src/*.py").when(F.col("id") % 4 == 1, "./src/").when(F.col("id") % 4 == 2, "src/3.py").otherwise("lib")
+    i = F.col("id")
+    p = F.when(i % 8 == 0, "src/*.py").when(i % 8 == 1, "./src/").when(i % 8 == 2, "src/3.py").when(i % 8 == 3, "lib").when(i % 8 == 4, F.concat(F.lit("*/"), (i % 7).cast("string"), F.lit(".py"))).when(i % 8 == 5, "").when(i % 8 == 6, "src/3").otherwise("s*c/?.py")
     return read("claim_rows").select("id", T.file_matches(F.col("file_a"), p).alias("fits"))
 
 
@@ -283,10 +284,10 @@ def applied_updates(read):
     return curation.apply_to_claims(claims, claims.where("id % 6 = 0").select("id", F.lit("new").alias("lang")))
 
 
-@query("writer_groups", "select case when id % 4 = 0 then 't' || (id % 8)::varchar else coalesce(kind || ':', '') || lang end as key, count(*) as n, max(criticality) as worst, min(id) as first_id from judged group by 1")
+@query("writer_groups", "select case when id % 4 = 0 then 't' || (id % 8)::varchar else coalesce(kind || ':', '') || lang end as key, count(*) as n, max(criticality) as worst, array_to_string(list_sort(list(id)), ',') as ids from judged group by 1")
 def writer_groups(read):
     rows = read("judged").select("id", F.when(F.col("id") % 4 == 0, F.concat(F.lit("t"), (F.col("id") % 8).cast("string"))).alias("target"), F.col("kind").alias("page_type"), F.col("lang").alias("topic"), "criticality")
-    return curation.writer_groups(rows).select("key", "n", "worst", F.get("ids", 0).alias("first_id"))
+    return curation.writer_groups(rows).select("key", "n", "worst", F.array_join("ids", ",").alias("ids"))
 
 
 @query(
@@ -384,10 +385,18 @@ def page_classes(read):
     return read("documents").select("doc_id", lint.is_meta(p).alias("meta"), lint.is_generated(p).alias("generated"), lint.is_generated_root(p).alias("generated_root"), lint.is_skipped_by_sync(p).alias("skipped"))
 
 
-@query("raw_backlog", "select 'raw/' || lang || doc_id::varchar || '.md' as path from documents where doc_id % 3 <> 0")
+@query("raw_backlog", "with n as (select path, regexp_extract(path, '([^/]+)$', 1) as name from raw_files where not starts_with(path, 'raw/sessions/')) select path from n where not exists (select 1 from raw_files p where contains(p.text, n.name))")
 def raw_backlog(read):
-    d = read("documents").select("doc_id", F.concat("lang", F.col("doc_id").cast("string"), F.lit(".md")).alias("name"))
-    return lint.backlog(d.select(F.concat(F.lit("raw/"), "name").alias("path")), d.where("doc_id % 3 = 0").select(F.concat(F.lit("see ["), "name", F.lit("]")).alias("text")))
+    rows = read("raw_files")
+    return lint.backlog(rows.select("path"), rows.select("text"))
+
+
+@query(
+    "resolved_links",
+    """select page, case when doc_id % 8 <= doc_id % 6 then repeat('d/', (doc_id % 6 - doc_id % 8)::int) else repeat('../', (doc_id % 8 - doc_id % 6)::int) end || 'x/y' || (doc_id % 3)::varchar || '.md' as target from deep_links""",
+)
+def resolved_links(read):
+    return lint.resolved_links(read("deep_links").select("page", "link"))
 
 
 _FILES = "files as (select doc_id, case when doc_id % 3 = 0 then 'src/' || source else source end || '/f' || doc_id::varchar || '.ts' as path from documents)"
@@ -412,11 +421,16 @@ def import_edges(read):
 
 @query(
     "code_modules",
-    f"""with {_FILES} select case when doc_id % 3 = 0 then regexp_extract(path, '^(src/[^/]+)', 1) else split_part(path, '/', 1) end as module, count(*) as n_files from files group by 1""",
+    f"""with {_FILES}, m as (select doc_id, path, case when doc_id % 3 = 0 then regexp_extract(path, '^(src/[^/]+)', 1) else split_part(path, '/', 1) end as src, case when doc_id % 3 = 0 then 'src/src' || (doc_id % 4)::varchar else 'src' || (doc_id % 5)::varchar end as dst from files),
+    e as (select distinct src, dst from m where src <> dst and dst in (select src from m)), n as (select src as module, count(*) as n_files from m group by 1)
+    select module, n_files, coalesce((select array_to_string(list_sort(list(dst)), ',') from e where src = module), '') as imports, coalesce((select array_to_string(list_sort(list(src)), ',') from e where dst = module), '') as imported_by, false as entry from n
+    union all select 'src', 1, '', '', true union all select '(root)', 2, '', '', true""",
 )
 def code_modules(read):
     files = _files(read)
-    return lint.modules(files, import_edges(read)).select("module", "n_files")
+    more = files.sparkSession.createDataFrame([("src/cli.py",), ("main.py",), ("setup.py",)], "path string")
+    rows = lint.modules(files.select("path").unionByName(more), import_edges(read))
+    return rows.select("module", "n_files", F.array_join("imports", ",").alias("imports"), F.array_join("imported_by", ",").alias("imported_by"), "entry")
 
 
 @query("stale_references", f"with {_FILES} select 'w' || doc_id::varchar as path, case when doc_id % 4 = 0 then 'gone/' || doc_id::varchar else path end as file from files where doc_id % 4 = 0")
@@ -436,21 +450,35 @@ def raw_integrity(read):
 # --- chunks, index, catalogue ------------------------------------------------------------------------------------
 
 
-@query(
-    "page_sections",
-    r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
-    h as (select doc_id, pos, case when pos % 4 = 2 then true else false end as head, line from l)
-    select 'd' || doc_id::varchar as path, (1 + count_if(head))::bigint as n_sections from h group by doc_id""",
-)
+_SECTIONS = r"""lines as (select path, title, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from {source}),
+heads as (select *, regexp_matches(line, '^#{{1,6}}\s+\S') as head from lines), parts as (select *, sum(head::int) over (partition by path order by pos) as section from heads),
+cut as (select path, any_value(title) as title, section, max(case when head then rtrim(regexp_replace(regexp_replace(trim(regexp_replace(line, '^#{{1,6}}\s+', ''), ' '), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`]', '', 'g'), ' ') end) as h, trim(coalesce(string_agg(case when not head then line end, chr(10) order by pos), ''), ' ') as body from parts group by path, section),
+named as (select *, coalesce(h, 'overview') as heading, coalesce(nullif(regexp_replace(substring(regexp_replace(regexp_replace(lower(coalesce(h, 'overview')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-+$', ''), ''), 'section') as base from cut),
+sections as (select *, case when row_number() over (partition by path, base order by section) = 1 then base else base || '-' || (row_number() over (partition by path, base order by section))::varchar end as slug from named)"""
+
+
+@query("page_sections", f"with {_SECTIONS.format(source='headed_pages')} select path, section::bigint as section, heading, slug, sha256(body) as body_hash from sections")
 def page_sections(read):
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, F.concat(F.lit("## a"), F.substring(F.regexp_replace(x, "#", ""), 1, 20))).otherwise(F.regexp_replace(x, "^#+", "")))
-    pages = read("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.array_join(lines, "\n").alias("text"))
-    return chunking.sections(pages).groupBy("path").agg(F.count(F.lit(1)).alias("n_sections"))
+    return chunking.sections(read("headed_pages")).select("path", "section", "heading", "slug", F.sha2("body", 256).alias("body_hash"))
+
+
+# windows one after the other, each cut at the last blank line of its reach if that lies beyond its middle
+_CHUNKS_SQL = rf"""with recursive {_SECTIONS.format(source="headed_pages")},
+s as (select path, title, heading, slug, body from sections where length(body) >= 80),
+e0 as (select *, 0 as a from s), w as (
+  select path, slug, 1 as n, 0 as a, case when length(body) <= 4800 then length(body) else coalesce(case when instr(reverse(substring(body, 1, 4802)), E'\n\n') > 0 and 4802 - instr(reverse(substring(body, 1, 4802)), E'\n\n') - 1 > 2400 then 4802 - instr(reverse(substring(body, 1, 4802)), E'\n\n') - 1 end, 4800) end as b, length(body) as l, body, title, heading from e0
+  union all
+  select path, slug, n + 1, a2, case when a2 + 4800 >= l then l else coalesce(case when instr(reverse(substring(body, 1, a2 + 4802)), E'\n\n') > 0 and least(l, a2 + 4802) - instr(reverse(substring(body, 1, a2 + 4802)), E'\n\n') - 1 > a2 + 2400 then least(l, a2 + 4802) - instr(reverse(substring(body, 1, a2 + 4802)), E'\n\n') - 1 end, a2 + 4800) end, l, body, title, heading
+  from (select *, greatest(b - 640, a + 1) as a2 from w where b < l)),
+t as (select path, slug, n, title, heading, case when l <= 4800 then body else regexp_replace(substring(body, a + 1, b - a), '^\s+|\s+$', '', 'g') end as text from w),
+c as (select path, 'section:' || slug || case when n > 1 then '-' || n::varchar else '' end as key, concat_ws(' — ', coalesce(nullif(trim(title, ' '), ''), regexp_replace(path, '\.md$', '')), heading) as title, text from t where text <> ''),
+k as (select * from (select *, row_number() over (partition by path, key order by title desc, text desc) as r from c) where r = 1)
+select path, key, title, sha256(title || chr(10) || text) as hash, length(text)::int as n_chars from k"""
 
 
-@query("page_chunks")
+@query("page_chunks", _CHUNKS_SQL)
 def page_chunks(read):
-    return chunking.chunks(read("wiki_pages").select("path", "title", "text"))
+    return chunking.chunks(read("headed_pages")).select("path", "key", "title", "hash", F.length("text").alias("n_chars"))
 
 
 @query(
@@ -464,11 +492,12 @@ def index_diff(read):
     return chunking.index_diff(now, docs.where("doc_id % 7 <> 0"))
 
 
-@query("index_upsert_delete", "select source as wiki, lang as fingerprint, count(*) as chunks from documents where doc_id % 10 <> 3 group by 1, 2")
+@query("index_upsert_delete", "select source as wiki, doc_id::varchar as path, case when doc_id % 2 = 0 or doc_id % 4 = 1 then lang else 'old' end as fingerprint from documents where doc_id % 10 <> 3")
 def index_upsert_delete(read):
     rows = read("documents").select(F.col("source").alias("wiki"), F.col("doc_id").cast("string").alias("path"), F.lit("k").alias("key"), F.col("lang").alias("fingerprint"), "doc_id")
-    stored = rows.where("doc_id % 2 = 0").withColumn("fingerprint", F.lit("old"))
-    return chunking.counts(chunking.delete(chunking.upsert(stored, rows), rows.where("doc_id % 10 = 3")))
+    stored = rows.withColumn("fingerprint", F.lit("old"))
+    new = rows.withColumn("k", F.when((F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 4 == 1), F.col("key"))).where("k is not null").drop("k")
+    return chunking.delete(chunking.upsert(stored, new), rows.where("doc_id % 10 = 3")).select("wiki", "path", "fingerprint")
 
 
 def _registry(read):

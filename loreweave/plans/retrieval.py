@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import STOP_WORDS, is_continuation, token_set, tokenize
+from loreweave.functions.text import is_continuation, token_set, tokenize
 from loreweave.functions.vectors import cosine, norm
 from loreweave.operators import fusion, lexical, vector
 
 from .base import query, view
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+# written out once more, so that a word lost on one side shows
+_STOP = (
+    "['the', 'and', 'for', 'with', 'that', 'this', 'from', 'into', 'when', 'what', 'where', 'which', 'does', 'how', 'why', 'are', 'was', 'were', 'has', 'have', 'had', "
+    "'not', 'but', 'can', 'could', 'should', 'would', 'about', 'over', 'under']"
+)
 
 
 def tokens_sql(x: str) -> str:
@@ -178,7 +182,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rrf(lex, anchored, 10)
 
 
-@query("hybrid_top10")
+_HYBRID_SQL = f"""
+with {_BM25_SQL.strip()[5:].replace("select query_id, path, rank::int as rank, score from (select *, row_number()", ", lex as (select query_id, path, rank::int as rank from (select *, row_number()").replace("where rank <= 5", "where rank <= 15)")},
+knn as (select q.vec_id as query_id, c.vec_id as key, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) as sim from embeddings q, embeddings c where q.vec_id in (select item_id from benchmark)),
+near as (select query_id, path, rank from (select query_id, key, row_number() over (partition by query_id order by sim desc, key) as rank from knn) k join wiki_pages on key = doc_id where rank <= 15),
+page as (select query_id, path, sum(1.0::double / (60 + rank)) as ps, min(rank) as pr from lex group by 1, 2),
+vec as (select query_id, path, sum(1.0::double / (60 + rank)) as own, min(rank) as first from near group by 1, 2),
+fused as (select query_id, path, case when own is null then null else 'overview' end as anchor, round(coalesce(ps, 0) + coalesce(own, 0), 9) as total, case when own is null then 0 else 1 end as l, case when own is null then pr else first end as pos from page full join vec using (query_id, path))
+select query_id, path, anchor, total as score, rank::int as rank from (select *, row_number() over (partition by query_id order by total desc, l, pos, path) as rank from fused) where rank <= 10
+"""
+
+
+@query("hybrid_top10", _HYBRID_SQL)
 def hybrid_top10(read):
     pages, rows = read("wiki_pages"), read("embeddings").select(F.col("vec_id").alias("key"), "embedding")
     asked = _asked(read)

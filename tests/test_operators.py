@@ -11,6 +11,7 @@ from loreweave.functions import text as T
 from loreweave.functions.vectors import truncated
 from loreweave.models import BatchJudge, HashingEmbedder, StaticJudge, embed
 from loreweave.operators import chunking, curation, evidence, fusion, ledger, lexical, lint, sessions, similarity, stats, vector
+from loreweave.operators.containment import held_names
 
 
 def one(spark, column, **values):
@@ -141,6 +142,45 @@ def test_file_patterns_pages_and_files(spark):
     assert one(spark, T.same_file(F.lit("x/y.ts"), F.lit("z/y.ts")))
 
 
+def test_words_links_and_names_that_once_were_missed(spark):
+    assert one(spark, T.tokenize(F.lit("we had tests"))) == ["tests"]
+    assert one(spark, T.same_file(F.lit("src/A.ts"), F.lit("./SRC/a.ts"))) and one(spark, T.same_page(F.lit("wiki\\a\\B.md"), F.lit("./a/b")))
+    assert not one(spark, T.same_file(F.lit(""), F.lit("a.ts")))
+    assert one(spark, lint.resolved_path(F.lit("a/b/c/d/e/f/p.md"), F.lit("../../../../../../x.md"))) == "x.md"
+    assert one(spark, lint.resolved_path(F.lit("a/p.md"), F.lit("../../x.md"))) == "../x.md"
+    raw = spark.createDataFrame([("raw/my notes.md",), ("raw/Über.md",), ("raw/gone.md",), ("raw/sessions/x.md",)], "path string")
+    pages = spark.createDataFrame([("see (my notes.md), ÜberÜber.mdx",)], "text string")
+    assert [r.path for r in lint.backlog(raw, pages).collect()] == ["raw/gone.md"]
+    modules = spark.createDataFrame([("src/payments-core",), ("src/lost",), ("(root)",)], "module string")
+    about = spark.createDataFrame([("a.md", "architecture/module", "The Payments-Cores", "", ["x"])], "path string, type string, title string, summary string, files array<string>")
+    assert [r.module for r in evidence.undocumented(modules, about).collect()] == ["src/lost"]
+    claims = spark.createDataFrame([(1, "p", "use tls 1", "1"), (2, "p", "use tls 1 in all of it and more", "2"), (3, "q.md", "nobody said so", "c3"), (4, "q.md", "nobody said that", "c4")], "id long, page string, text string, claim_id string")
+    said = spark.createDataFrame([("Use TLS 1 in all of it",)], "subject string")
+    told = spark.createDataFrame([("looked at Q.md  claim c3",)], "text string")
+    assert sorted(r.id for r in evidence.unbacked_claims(claims, said).collect()) == [3, 4]
+    assert [r.id for r in evidence.unbacked_claims(claims, said, mentions=told).collect()] == [4]
+
+
+def test_names_held_in_texts_equal_a_plain_scan(spark):
+    import random
+
+    r = random.Random(3)
+    bits = ["ab", "abc", "c", "-", " ", "é", "_x", "9", ".md"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 9))) for _ in range(120)]
+    names = sorted({"".join(r.choice(bits) for _ in range(r.randint(1, 3))) for _ in range(60)})
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "i long, text string")
+    got = sorted((x.i, x.name) for x in held_names(rows, spark.createDataFrame([(n,) for n in names], "name string"), block=3).collect())
+    assert got == sorted((i, n) for i, t in enumerate(texts) for n in names if n in t)
+    assert held_names(rows, spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_forbidden_strings_in_blocks(spark):
+    calls = spark.createDataFrame([("s", "ls /secret/x", "canary-3"), ("t", "ls", "none")], "session string, args string, result string")
+    words = spark.createDataFrame([("canary", f"canary-{k}") for k in range(50)] + [("root", "/secret"), ("root", "/secret")], "kind string, value string")
+    for block in (7, 10_000):
+        assert [(r.session, r.reasons) for r in evidence.contaminated(calls, words, block).collect()] == [("s", ["canary:canary-3", "root:/secret"])]
+
+
 def test_texts(spark):
     assert one(spark, T.normalize_newlines(F.lit("a\r\nb\rc"))) == "a\nb\nc"
     assert one(spark, T.slug(F.lit("Hello, World!"))) == "hello-world" and one(spark, T.slug(F.lit("!!"))) == "untitled"
@@ -194,10 +234,11 @@ def test_classification(spark):
 
 
 def test_statistics(spark):
-    assert stats.wilcoxon([1.0, 2.0, 3.0]) == (3, 6.0, 0.25)
-    assert stats.wilcoxon([0.0]) == (0, 0.0, None)
+    assert stats.wilcoxon([1.0, 2.0, 3.0]) == (3, 0.0, 0.25)
+    assert stats.wilcoxon([0.0]) == (0, 0.0, 1.0)
     n, w, p = stats.wilcoxon([float(k) for k in range(1, 31)])
-    assert (n, w) == (30, 465.0) and p < 1e-4
+    assert (n, w) == (30, 0.0) and p < 1e-4
+    assert stats.wilcoxon([-float(k) for k in range(1, 31)]) == (n, w, p)
     low, high = stats.bootstrap_median([1.0, 2.0, 3.0, 4.0, 5.0])
     assert 1 <= low <= high <= 5 and stats.bootstrap_median([1.0]) == (None, None)
     assert abs(one(spark, stats.normal_two_sided_p(F.lit(1.96))) - 0.05) < 1e-3
