@@ -65,7 +65,7 @@ def _hits(pages: DataFrame, queries: DataFrame, limit: int, search: str, chunks:
     lex = lexical.bm25(pages, queries, wide)
     if search == "bm25" or chunks is None:
         return lex.where(F.col("rank") <= limit)
-    active = chunks.where(active_status(F.col("status")))
+    active = chunks.where(curation.is_active(F.col("status"), "search"))
     asked = embed(queries.withColumn("text", F.col("query")), D.embedder).select("query_id", "embedding")
     near = vector.knn(active, asked, wide).join(active.select("key", "path", "anchor"), "key")
     if search == "semantic":
@@ -94,12 +94,6 @@ def wiki_brief(hits: DataFrame, limit: int = 6, budget: int = D.budget, least: f
     return fusion.within_budget(passed.where(F.col("rank") <= limit), budget)
 
 
-def active_status(status, strict: bool = False):
-    """Claims that search may return; with ``strict`` by the one spelling that leaves user-stated ones out."""
-    kept = ["verified", "user_stated", "needs_recheck"] + ([] if strict else ["user-stated"])
-    return status.isNull() | status.isin(*kept)
-
-
 def wiki_toc(toc: DataFrame, topic: str | None = None, tag: str | None = None, query: str | None = None) -> DataFrame:
     return lint.toc_filter(toc, topic, tag, query)
 

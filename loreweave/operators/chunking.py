@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.text import section_slug, strip_inline
 
+from .curation import is_active
+
 MOST, OVERLAP, LEAST = 4800, 640, 80
 
 
@@ -69,7 +71,7 @@ def chunks(pages: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     key = F.concat(F.lit("section:"), "slug", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise(F.lit("")))
     out = cut.select("path", key.alias("key"), F.lit("section").alias("kind"), F.lit(None).cast("string").alias("claim_id"), F.lit(None).cast("string").alias("status"), F.concat_ws(" — ", "title", "heading").alias("title"), "text")
     if claims is not None:
-        active = claims.where(F.coalesce("status", F.lit("")).isin("", "verified", "user-stated", "needs_recheck") & F.col("text").isNotNull())
+        active = claims.where(is_active(F.col("status"), "index") & F.col("text").isNotNull())
         own = active.join(titled, "path").select("path", F.concat(F.lit("claim:"), "id").alias("key"), F.lit("claim").alias("kind"), F.col("id").alias("claim_id"), "status", "title", "text")
         out = out.unionByName(own)
     hashed = out.withColumn("hash", F.sha2(F.concat_ws("\n", "title", "text"), 256))

@@ -88,6 +88,21 @@ def reasons(rules: Rules = Rules()) -> Column:
     )
 
 
+def is_active(status: Column, use: str, strict: bool = False) -> Column:
+    """Whether a claim counts, by what for: ``index`` (what is cut into chunks), ``lint`` (what is checked), ``search``.
+
+    The three differ: checks count disputed claims too, and search, if ``strict``, by the one spelling that leaves
+    user-stated ones out.
+    """
+    if use == "lint":
+        return ~F.coalesce(status, F.lit("verified")).isin("superseded", "rejected")
+    if use == "index":
+        return F.coalesce(status, F.lit("")).isin("", "verified", "user-stated", "needs_recheck")
+    if use != "search":
+        raise ValueError(use)
+    return status.isNull() | status.isin(*["verified", "user_stated", "needs_recheck"] + ([] if strict else ["user-stated"]))
+
+
 def tournament(fits: DataFrame, shard: int = 250, least: float = 0.6) -> DataFrame:
     """(claim_id, target): the best page of each claim by judged fit, shard by shard and then among the shards' winners.
 
@@ -140,7 +155,7 @@ def supersede(claims: DataFrame, newer: DataFrame, today: str, least: float = 0.
 
 def _best_on_page(claims: DataFrame, met: DataFrame, least: float) -> DataFrame:
     """The claim of its page that each text overlaps most, from ``least`` up; the smallest id of equals; with the text's columns."""
-    active = claims.where(~F.coalesce("status", F.lit("verified")).isin("superseded", "rejected"))
+    active = claims.where(is_active(F.col("status"), "lint"))
     one = met.select("query_id", F.col("page").alias("_page"), F.col("tokens").alias("_tokens"), F.explode("tokens").alias("token"))
     other = active.select("id", F.col("page").alias("_page"), F.col("tokens").alias("_own"), F.explode("tokens").alias("token"))
     near = one.join(other, ["_page", "token"]).groupBy("query_id", "id").agg(F.first("_tokens").alias("_tokens"), F.first("_own").alias("_own"))

@@ -145,7 +145,7 @@ def check(pages: DataFrame, toc: DataFrame, claims: DataFrame, raw: DataFrame, l
     """
     own = pages.where(~lint.is_meta(F.col("path")))
     links = lint.resolved_links(own.select(F.col("path").alias("page"), F.explode(markdown_links(F.col("text"))).alias("link"))).distinct()
-    active = claims.where(~F.coalesce("status", F.lit("verified")).isin("superseded", "rejected") & F.col("text").isNotNull())
+    active = claims.where(curation.is_active(F.col("status"), "lint") & F.col("text").isNotNull())
     accepted = log.where(F.col("subject").isNotNull() & (((F.col("actor") == "code") & F.col("action").isin("file", "reinforce", "file_user_stated")) | ((F.col("op") == "wiki.override") & (F.col("action") == "override"))))
     said = log.select(F.explode(F.array("subject", "outcome", "reason")).alias("text")).where("text is not null")
     asked = active.select("id", "text", "page", F.col("id").cast("string").alias("claim_id"))

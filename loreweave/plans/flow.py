@@ -35,6 +35,17 @@ def _claims(read):
     )
 
 
+@query(
+    "active_claims",
+    """select id, status is null or status in ('verified', 'user-stated', 'needs_recheck') as indexed, status is null or status not in ('superseded', 'rejected') as checked, status is null or status in ('verified', 'user-stated') as found, status is null or status = 'verified' as found_strictly
+    from (select id, case when id % 9 = 0 then null else status end as status from claim_rows)""",
+)
+def active_claims(read):
+    status = F.when(F.col("id") % 9 != 0, F.col("status"))
+    kinds = {"indexed": ("index",), "checked": ("lint",), "found": ("search",), "found_strictly": ("search", True)}
+    return read("claim_rows").select("id", *[curation.is_active(status, *how).alias(name) for name, how in kinds.items()])
+
+
 _MET = f"""c as (select id, page, text, case when id % 11 = 0 then 'rejected' else status end as status, (id % 90) * 1e-2 as support, case when id % 3 <> 0 then id % 4 end as corroborations, {set_sql("text")} as ts from claim_rows),
 q as (select id as query_id, page, text, {set_sql("case when id % 2 = 0 then text else regexp_replace(text, '^[a-zA-Z]+ ', 'zzzz ') end")} as ts from claim_rows where id % 5 < 2),
 s as (select query_id, c.id, len(list_intersect(q.ts, c.ts)) / least(len(q.ts), len(c.ts))::double as score from q join c on c.page = q.page and c.status not in ('superseded', 'rejected') and least(len(q.ts), len(c.ts)) > 0),

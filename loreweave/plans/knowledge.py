@@ -173,7 +173,17 @@ def recurrence(read):
     return similarity.recurrence(read("claim_rows").select("id", T.token_set(F.col("text")).alias("tokens")))
 
 
-@query("promoted_texts")
+# text after text of a key joins the first group whose first text it resembles, or opens one
+_PROMOTED_SQL = f"""with recursive r as (select 'k' || (id % 7)::varchar as key, id as ord, text, {set_sql("text")} as ts, id % 19 = 0 as accepted, row_number() over (partition by id % 7 order by id) as n from claim_rows),
+w as (select distinct key, 0::bigint as n, []::struct(ord bigint, text varchar, ts varchar[], size bigint, barred boolean)[] as g from r
+  union all
+  select key, n, case when hit is null then list_append(g, {{'ord': ord, 'text': text, 'ts': ts, 'size': 1::bigint, 'barred': accepted}}) else list_transform(g, lambda x, i: case when i = hit then {{'ord': x.ord, 'text': x.text, 'ts': x.ts, 'size': x.size + 1, 'barred': x.barred or accepted}} else x end) end
+  from (select r.key, r.n, r.ord, r.text, r.ts, r.accepted, w.g, nullif(list_position(list_transform(w.g, lambda x: least(len(x.ts), len(r.ts)) > 0 and len(list_intersect(x.ts, r.ts)) / least(len(x.ts), len(r.ts))::double >= 0.25), true), 0) as hit from w join r on r.key = w.key and r.n = w.n + 1)),
+last as (select key, arg_max(g, n) as g from w group by key), u as (select key, unnest(g) as x from last)
+select key, x.ord as ord, x.text as text, x.size as size from u where x.size >= 3 and not x.barred"""
+
+
+@query("promoted_texts", _PROMOTED_SQL)
 def promoted_texts(read):
     rows = read("claim_rows").select(
         F.concat(F.lit("k"), (F.col("id") % 7).cast("string")).alias("key"), F.col("id").alias("ord"), "text", T.token_set(F.col("text")).alias("tokens"), (F.col("id") % 19 == 0).alias("accepted"), F.lit(False).alias("promoted")

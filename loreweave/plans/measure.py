@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loreweave import config
 from loreweave.functions import formats
 from loreweave.functions import text as T
-from loreweave.operators import harness, lint, sessions
+from loreweave.operators import harness, lint, render, sessions
 from loreweave.sources import files as listed
 from loreweave.sources import logs, markdown
 
@@ -307,6 +307,57 @@ def content_texts(read):
     return read("documents").select("doc_id", content.alias("content"), formats.speaker_line(role, content).alias("line"), formats.tail(content, 50).alias("ending"))
 
 
+@query(
+    "catalog_lines",
+    """select 's' || s_suppkey::varchar as name, '- **s' || s_suppkey::varchar || '** — ' || (s_suppkey * 2)::varchar || ' pages' || case s_suppkey % 3 when 0 then '' when 1 then ' (a 1, b 2)' else ' (a 1, b 2, c 3, +1)' end || ' · ' || case when s_suppkey % 2 = 0 then s_suppkey::varchar || ' chunks · ' || case when s_suppkey % 4 = 0 then '?' else 'm' end else 'not indexed' end
+    || case when s_suppkey % 2 = 0 then ' · updated 2026-02-01 10:30' else '' end || ' — /r/' || s_suppkey::varchar || case when s_suppkey % 5 = 0 then ' — disabled, no_toc' else '' end as line from supplier""",
+)
+def catalog_lines(read):
+    k = F.col("s_suppkey")
+    every = F.array(*[F.struct(F.lit(s).alias("slug"), F.lit(n).alias("count")) for n, s in enumerate("abcd", 1)])
+    name = F.concat(F.lit("s"), k.cast("string"))
+    rows = read("supplier").select(
+        name.alias("name"), F.concat(F.lit("/r/"), k.cast("string")).alias("root"), (k * 2).alias("pages"), F.slice(every, F.lit(1), (k % 3 * 2).cast("int")).alias("topics"), F.when(k % 2 == 0, k).alias("chunks"),
+        F.when(k % 4 != 0, "m").alias("model"), F.when(k % 2 == 0, "2026-02-01T10:30:59Z").alias("updated_at"), F.when(k % 5 == 0, F.array(F.lit("disabled"), F.lit("no_toc"))).otherwise(F.array().cast("array<string>")).alias("flags"),
+    )
+    return render.catalog_lines(rows)
+
+
+@query(
+    "episode_lines",
+    f"""with {_METRICS} select session, episode, '| E' || episode::varchar || ' | ' || replace(started, 'T', ' ') || ' | ' || case when episode % 2 = 0 then '—' else '1m05s' end || ' | ' || requests::varchar || ' | ' || case when cost = 0 then '$0' else '$' || printf('%.2f', cost) end || ' | ' || format('{{:,}}', total_tokens) || ' | '
+    || concat_ws(' | ', n_explore, n_wiki, n_act, n_verify, len(list_filter(string_split(read_files, ','), lambda x: x <> ''))) || ' | ' || read_chars::varchar || ' chars | ' || end_reason || ' |' as line from metrics join eps using (session, episode, requests) where read_chars < 1000""".replace("join eps using (session, episode, requests)", "join eps using (session, episode)"),
+)
+def episode_lines(read):
+    rows = sessions.episode_metrics(_used(read), _calls(read)).where("read_chars < 1000")
+    eps = sessions.episodes(read("messages")).select("session", "episode", "started", "end_reason").join(rows, ["session", "episode"])
+    shown = eps.withColumn("label", F.concat(F.lit("E"), F.col("episode").cast("string"))).withColumn("ms", F.when(F.col("episode") % 2 == 1, 65_000)).withColumn("n_files", F.size("read_files"))
+    keyed = shown.withColumn("label", F.concat_ws("/", "session", "label"))
+    line = F.concat(F.lit("| "), F.substring_index("line", "/", -1))
+    return render.episode_lines(keyed).select(F.split_part("label", F.lit("/"), F.lit(1)).alias("session"), F.regexp_extract("label", r"E([0-9]+)$", 1).cast("long").alias("episode"), line.alias("line"))
+
+
+@query(
+    "module_lines",
+    """select lang as module, '| `' || lang || '` | ' || count(*)::varchar || ' | ' || case when lang = 'en' then '—' else 'a, b, c, d, e' end || ' | ' || case when lang = 'en' then 'a, b' else '—' end || ' | ' || case when lang = 'fr' then 'yes' else '' end || ' |' as line from documents group by lang""",
+)
+def module_lines(read):
+    rows = read("documents").groupBy(F.col("lang").alias("module")).agg(F.count(F.lit(1)).alias("n_files"))
+    english, none = F.col("module") == "en", F.array().cast("array<string>")
+    rows = rows.withColumn("imports", F.when(english, none).otherwise(F.array(*map(F.lit, "abcdefg")))).withColumn("imported_by", F.when(english, F.array(F.lit("a"), F.lit("b"))).otherwise(none)).withColumn("entry", F.col("module") == "fr")
+    return render.module_lines(rows)
+
+
+@query(
+    "summary_lines",
+    """select source as name, '| ' || source || ' | 1,200 | ' || count(*)::varchar || ' | $0.00250 | ' || case when source = 'src1' then '—' else '$2.50' end || ' | 25.0% | ' || case when source = 'src2' then '— | — | —' else '10.0% | n/a | 50.0%' end || ' | 7 |' as line from documents group by 1""",
+)
+def summary_lines(read):
+    rows = read("documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("episodes"))
+    more = {"sessions": F.lit(1200), "cost": F.lit(0.0025), "median_cost": F.when(F.col("name") != "src1", 2.5), "explore_share": F.lit(0.25), "wiki_share": F.lit(0.1), "consultation_rate": F.lit(None).cast("double"), "rediscovery_rate": F.lit(0.5), "files_read": F.lit(7), "has_wiki": F.col("name") != "src2"}
+    return render.summary_lines(rows.withColumns(more))
+
+
 # --- pages and contents ------------------------------------------------------------------------------------------
 
 

@@ -203,6 +203,29 @@ def test_engines_fall_back(spark, tmp_path):
     assert [r.path for r in both(queries.withColumn("query", F.lit("bad")), 5).collect()] == ["plain.md"]
 
 
+def test_budgets_fail_closed_and_people_go_first(spark):
+    import threading
+    import time
+
+    from loreweave import budget
+
+    assert budget.within(spark, 30, lambda: spark.range(5).count()) == 5
+    assert budget.within(spark, 30, lambda: 1 / 0, "closed") == "closed"
+    began = time.time()
+    assert budget.within(spark, 0.5, lambda: spark.range(1 << 42).selectExpr("sum(id % 7)").collect(), "late") == "late" and time.time() - began < 20
+    queue, order, gate = budget.Queue(), [], threading.Event()
+    first = queue.submit(gate.wait, "batch")
+    time.sleep(0.1)
+    later = [queue.submit(lambda n=n: order.append(n), kind) for n, kind in enumerate(("batch", "interactive", "batch", "interactive"))]
+    one = queue.submit(lambda: "once", key="k")
+    assert queue.submit(lambda: "twice", key="k") is one
+    gate.set()
+    assert one.result(10) == "once" and first.result(10)
+    for f in later:
+        f.result(10)
+    assert order == [1, 3, 0, 2]
+
+
 def test_projects_are_analysed(spark):
     rows = [("s", 0, "user", None, "2026-01-01T10:00", None, 0.0), ("s", 1, "assistant", "stop", "2026-01-01T10:01", "m", 0.5), ("s", 2, "user", None, "2026-01-01T10:02", None, 0.0), ("s", 3, "assistant", "toolUse", "2026-01-01T10:03", "m", 0.25)]
     messages = spark.createDataFrame(rows, "session string, ord long, role string, stop_reason string, ts string, model string, cost double")
