@@ -41,9 +41,20 @@ def _host(host: str) -> Column:
     return F.coalesce(F.col(host).cast("string"), F.lit(""))
 
 
-def plain_lines(text: Column) -> Column:
-    """The lines of a text, lower-cased, with blanks collapsed; blank lines are empty and keep their place."""
-    return F.transform(F.split(F.lower(F.regexp_replace(text, INNER_BLANKS, " ")), "\n"), lambda x: F.btrim(x, F.lit(" ")))
+def collapsed_lines(text: Column) -> Column:
+    """The lines of a text with blanks collapsed."""
+    return F.split(F.regexp_replace(text, INNER_BLANKS, " "), "\n")
+
+
+def line_hash(line: Column) -> Column:
+    """Of a collapsed line, lower-cased and trimmed; null if it has no word."""
+    bare = F.btrim(line, F.lit(" "))
+    return F.when(bare != "", F.xxhash64(F.lower(bare)))
+
+
+def line_chars(line: Column) -> Column:
+    """Word characters of a collapsed line."""
+    return F.length(F.replace(line, F.lit(" "), F.lit(""))).cast("long")
 
 
 def gram_hashes(words: str) -> Column:
@@ -111,11 +122,11 @@ def statistics(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def line_rows(docs: DataFrame, host: str = "source") -> DataFrame:
-    """A row for each line that has a word: hash of the text, host, place, hash of the normalised line."""
+    """A row for each line that has a word: hash of the text, host, place, word characters, hash of the normalised line."""
     return (
-        docs.select(F.xxhash64(_text()).alias("_text"), _host(host).alias("_host"), F.posexplode(plain_lines(_text())).alias("_at", "_line"))
-        .where("_line <> ''")
-        .select("_text", "_host", "_at", F.xxhash64("_line").alias("_hash"))
+        docs.select(F.xxhash64(_text()).alias("_text"), _host(host).alias("_host"), F.posexplode(collapsed_lines(_text())).alias("_at", "_line"))
+        .select("_text", "_host", "_at", line_chars(F.col("_line")).alias("_chars"), line_hash(F.col("_line")).alias("_hash"))
+        .where("_hash is not null")
     )
 
 
@@ -127,20 +138,18 @@ def frequent_lines(docs: DataFrame, share: float, least: int, host: str = "sourc
 
 
 def _carried(docs: DataFrame, frequent: DataFrame, host: str) -> DataFrame:
-    """``docs``, each row as a struct _row, with its places of frequent lines; hosts carry their frequent lines to it."""
+    """``docs``, each row as a struct _row, with its frequent lines (place and word characters); hosts carry theirs to it."""
     by_host = frequent.groupBy("_host").agg(F.collect_list("_hash").alias("_frequent"))
     rows = docs.select(F.struct(*_all(docs)).alias("_row"), _host(host).alias("_host")).join(F.broadcast(by_host), "_host", "left")
-    listed = F.transform(plain_lines(F.coalesce(F.col("_row.text"), F.lit(""))), lambda x, i: F.when((x != "") & F.array_contains("_frequent", F.xxhash64(x)), i))
-    return rows.select("_row", F.when(F.col("_frequent").isNotNull(), F.filter(listed, lambda i: i.isNotNull())).alias("_gone"))
+    hit = lambda x: F.array_contains("_frequent", line_hash(x))
+    listed = F.transform(collapsed_lines(F.coalesce(F.col("_row.text"), F.lit(""))), lambda x, i: F.when(hit(x), F.struct(i.alias("at"), line_chars(x).alias("chars"))))
+    return rows.select("_row", F.when(F.col("_frequent").isNotNull(), F.filter(listed, lambda x: x.isNotNull())).alias("_gone"))
 
 
 def _joined(docs: DataFrame, frequent: DataFrame, host: str) -> DataFrame:
     """The same by a join of all lines with the frequent ones, whatever their number."""
-    gone = (
-        line_rows(docs, host).join(frequent, ["_host", "_hash"])
-        .groupBy("_text", "_host")
-        .agg(F.sort_array(F.collect_set("_at")).alias("_gone"))  # copies in one host have the same places
-    )
+    line = F.struct(F.col("_at").alias("at"), F.col("_chars").alias("chars"))
+    gone = line_rows(docs, host).join(frequent, ["_host", "_hash"]).groupBy("_text", "_host").agg(F.sort_array(F.collect_set(line)).alias("_gone"))  # copies in one host have the same places
     rows = docs.select(F.struct(*_all(docs)).alias("_row"), F.xxhash64(_text()).alias("_text"), _host(host).alias("_host"))
     return rows.join(gone.hint("shuffle_hash"), ["_text", "_host"], "left").select("_row", "_gone")
 
@@ -157,10 +166,8 @@ def judged(docs: DataFrame, share: float = 0.05, least: int = 5, keep: float = 0
     frequent = cut_lineage(frequent_lines(docs, share, least, host))
     sizes = frequent.groupBy("_host").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("widest")).head()
     marked = (_carried if sizes["n"] <= most and sizes["widest"] <= each else _joined)(docs, frequent, host)
-    gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    text = F.coalesce(F.col("_row.text"), F.lit(""))
-    # a line's word characters, of those that go only
-    lost = F.aggregate(gone, F.lit(0).cast("long"), lambda total, i: total + F.length(_without(F.get(F.split(text, "\n"), i), BLANKS)))
+    gone = F.coalesce(F.col("_gone"), F.array().cast("array<struct<at:int,chars:bigint>>"))
+    lost = F.aggregate(gone, F.lit(0).cast("long"), lambda total, x: total + x["chars"])
     rows = marked.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), "_row", gone.alias("_gone"), lost.alias("removed_chars"))
     base = statistics(rows, F.col("_row"), F.col("_gone"), F.col("removed_chars"))
     failed = (F.col("_figures") >= 0) & ((F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words")))
@@ -184,9 +191,10 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     Null and empty texts have no words and go. Columns of any name are kept; see ``judge`` for the rest.
     """
     rows = judged(docs, **limits).where("kept")
-    text, gone = F.col("_row.text"), F.col("_gone")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    fewer = F.size(gone) > 0
+    text, fewer = F.col("_row.text"), F.size("_gone") > 0
+    # bound once for all lines
+    both = F.array(F.struct(F.split(text, "\n").alias("lines"), F.transform("_gone", lambda x: x["at"]).alias("gone")))
+    left = F.get(F.transform(both, lambda s: F.array_join(F.filter(s["lines"], lambda x, i: ~F.array_contains(s["gone"], i)), "\n")), 0)
     new = {"text": F.when(fewer, left).otherwise(text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(fewer, F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
