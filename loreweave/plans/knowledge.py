@@ -8,6 +8,7 @@ from loreweave.functions import redact as secrets
 from loreweave.functions import text as T
 from loreweave.functions.vectors import truncated
 from loreweave.operators import catalog, chunking, curation, lint, similarity
+from loreweave.session import spread
 
 from .base import query
 from .retrieval import set_sql
@@ -85,8 +86,8 @@ for _n, _p, _m in secrets.PATTERNS:
 # the other engine's patterns know no lookahead; it only parts keys that differ in their third letter
 @query("redaction", f"select doc_id, {', '.join(_FOUND)}, sha256({_CHAIN}) as redacted from documents")
 def redaction(read):
-    found = read("documents").select("doc_id", secrets.findings(F.col("text")).alias("f"), F.sha2(secrets.redact(F.col("text")), 256).alias("redacted"))
-    return found.select("doc_id", "f.*", "redacted")
+    found = spread(read("documents").select("doc_id", "text")).select("doc_id", F.explode(F.array(secrets.redacted(F.col("text")))).alias("r"))
+    return found.select("doc_id", secrets.counts(F.col("r.counts")).alias("f"), F.sha2("r.text", 256).alias("redacted")).select("doc_id", "f.*", "redacted")
 
 
 @query(

@@ -75,7 +75,7 @@ def corpus_stats(read):
 )
 def token_counts(read):
     t = F.col("text")
-    return read("documents").select("doc_id", F.size(tokenize(t)).alias("n_tokens"), F.size(token_set(t)).alias("n_set"), F.size(token_set(t, "[^a-z0-9]+")).alias("n_plain"))
+    return read("documents").select("doc_id", F.size(tokenize(t)).alias("n_tokens"), F.size(token_set(t)).alias("n_set"), F.size(token_set(t, r"[\W_]+")).alias("n_plain"))
 
 
 @query(

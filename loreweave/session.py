@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,3 +20,13 @@ def session(app: str = "loreweave", master: str | None = None, **more: str) -> S
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(rows: DataFrame, each: int = 8 << 20) -> DataFrame:
+    """``rows`` dealt to all cores if they are few: a small file is one task, however much there is to do with its rows.
+
+    Few means an estimate under ``each`` bytes a core, so what is moved is bounded; larger tables come in parts anyway.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if cores > 1 and size < cores * each else rows

@@ -289,3 +289,33 @@ def test_ingest_twice(spark):
 def test_statistics_of_a_corpus(spark):
     docs = spark.createDataFrame([("one two three",), (None,)], "text string")
     assert lexical.corpus_stats(docs).head()["n_docs"] == 2
+
+
+def test_bm25_in_blocks_equals_a_plain_sum(spark):
+    import math
+    import random
+
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(30)]
+    pages = [(f"p{k}", r.choice(words), " ".join(r.sample(words, 2)), " ".join(r.choice(words) for _ in range(r.randint(0, 40)))) for k in range(60)]
+    asked = [(k, " ".join(r.choice([*words, "none"]) for _ in range(r.randint(0, 6)))) for k in range(25)]
+    docs = spark.createDataFrame(pages, "path string, title string, rest string, text string")
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    tokens = {p: [w for w in t.split() if len(w) > 2] for p, _, _, t in pages}  # w0 to w9 are too short
+    mean = max(1.0, sum(map(len, tokens.values())) / len(pages))
+    expected = []
+    for q, text in asked:
+        scores = {}
+        for p, title, rest, _ in pages:
+            own = tokens[p]
+            for w in text.split():
+                if len(w) > 2 and w in own:
+                    df = sum(w in x for x in tokens.values())
+                    part = own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean))
+                    scores[p] = scores.get(p, 0.0) + math.log(1 + (len(pages) - df + 0.5) / (df + 0.5)) * part * (3 if w in title else 2 if w in rest else 1)
+        best = sorted((-round(s, 6), p) for p, s in scores.items())[:4]
+        expected += [(q, p, n, -s) for n, (s, p) in enumerate(best, 1)]
+    for block in (7, 1024):
+        got = sorted((x.query_id, x.path, x["rank"], x.score) for x in lexical.bm25(docs, queries, 4, block).collect())
+        assert [(a, b, c) for a, b, c, _ in got] == sorted((a, b, c) for a, b, c, _ in expected)
+        assert all(abs(x[3] - y[3]) < 2e-6 for x, y in zip(got, sorted(expected), strict=True))
