@@ -7,14 +7,16 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loreweave.session import spread
+
 #: The ASCII whitespace that separates words in every contract here: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables, read by Spark so that any file system works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables, read by Spark so that any file system works; a small one is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_folder(spark: SparkSession) -> str:

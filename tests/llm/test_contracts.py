@@ -419,6 +419,16 @@ def test_held_out_rank_of_labelled_urls():
     assert urltrees.held_out_auc(learnable) > 0.95
     assert abs(urltrees.held_out_auc([(u, h, p, int(r.random() < 0.3)) for u, h, p, _ in learnable]) - 0.5) < 0.15
     assert urltrees.held_out_auc(learnable[:0]) is None
+    assert urltrees.best_size(learnable) > 5
+    assert urltrees.best_size([(u, h, p, int(r.random() < 0.3)) for u, h, p, _ in learnable]) < 5  # nothing to learn
+
+
+def test_generated_urls_teach_what_unwanted_hosts_look_like():
+    model = urltrees.train(urltrees.generated(2000, 5))
+    fresh = urltrees.generated(400, 6)
+    chance = model.chance(np.array([urltrees.lexical(u, h, p, model.suffixes) for u, h, p, _ in fresh]))
+    label = np.array([u[3] for u in fresh])
+    assert urltrees.ranked_right(chance, label) > 0.97 and ((chance > 0.5) == (label == 1)).mean() > 0.93
 
 
 def test_url_rules_and_trees(spark):
