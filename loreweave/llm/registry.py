@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import debruijn, fmindex, hashtree, langid, lines, pieces, semicrf, simhash, suffixes, urltrees
 from .common import table
@@ -51,6 +52,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semicrf.digest(semicrf.find(table(spark, sf_dir, "documents")))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op 7 takes from the urls alone: hosts, paths and rules."""
+    return urltrees.judge(table(spark, sf_dir, "pages"), urltrees.train([])).select("page_id", "host", "path", "rule")
+
+
+def personal_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base of op 10: the kinds' counts, and what their spans hold, kind after kind."""
+    docs = table(spark, sf_dir, "documents")
+    found = semicrf.find(docs).select(F.col("doc_id").alias("_id"), "base")
+    both = docs.select("doc_id", "text").join(found, F.col("doc_id") == F.col("_id"))
+
+    def held(kind: str):
+        own = F.array_sort(F.filter("base", lambda s: s["kind"] == kind))
+        return F.array_join(F.transform(own, lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])), "|")
+
+    return both.select("doc_id", *[held(kind).alias(kind) for kind in semicrf.KINDS])
+
+
+URL_RULES_SQL = r"""
+with u as (select page_id, case when contains(url, '://') then substring(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from u),
+p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*') as path from h)
+select page_id, host, path, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/' when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+ when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/' when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from p
+"""
+
+PERSONAL_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as (select doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') as email, regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') as ip,
+ regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+') as card, regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]') as phone from d)
+select doc_id, array_to_string(email, '|') as email,
+ array_to_string(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda q: length(ltrim(q, '0')) > 3 or coalesce(try_cast(q as bigint), 999) > 255)) = 0), '|') as ip,
+ array_to_string(list_filter(card, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) between 12 and 19 and list_sum(list_transform(range(1, length(regexp_replace(x, '[^0-9]', '', 'g')) + 1),
+   lambda i: case when i % 2 = 1 then substring(reverse(regexp_replace(x, '[^0-9]', '', 'g')), i, 1)::int else (2 * substring(reverse(regexp_replace(x, '[^0-9]', '', 'g')), i, 1)::int) // 10 + (2 * substring(reverse(regexp_replace(x, '[^0-9]', '', 'g')), i, 1)::int) % 10 end)) % 10 = 0), '|') as card,
+ array_to_string(list_filter(phone, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) between 9 and 15), '|') as phone from m
+"""
+
 OP1_SQL = r"""
 with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
 b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
@@ -127,8 +165,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_de_bruijn": op9_de_bruijn,
         "op10_pii": op10_pii,
+        "url_rules": url_rules,
+        "personal_patterns": personal_patterns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op9_de_bruijn": OP9_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op9_de_bruijn": OP9_SQL, "url_rules": URL_RULES_SQL, "personal_patterns": PERSONAL_SQL}
