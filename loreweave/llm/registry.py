@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, fmindex, hashtree, langid, lines, pieces, semicrf, simhash, suffixes, urltrees
+from . import debruijn, fmindex, hashtree, langid, lines, periods, pieces, projections, quantised, semicrf, simhash, suffixes, urltrees
 from .common import table
 
 
@@ -52,6 +52,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semicrf.digest(semicrf.find(table(spark, sf_dir, "documents")))
 
 
+def op11_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.search_every(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.planted(table(spark, sf_dir, "documents")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.mine_every(quantised.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op 7 takes from the urls alone: hosts, paths and rules."""
     return urltrees.judge(table(spark, sf_dir, "pages"), urltrees.train([])).select("page_id", "host", "path", "rule")
@@ -152,6 +164,39 @@ c as (select rid, count(*) as gone from r group by rid)
 select doc_id, len(ws)::bigint as n_words, coalesce(gone, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (rid) left join c using (rid)
 """
 
+#: Runs as stretches of places from which five words are the same some words on; the checksum is worked out bit by bit.
+OP12_SQL = r"""
+with recursive bits as (select i::bigint as i, 0 as k, i::bigint as c from range(256) t(i)
+ union all select i, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384::bigint) else c // 2 end from bits where k < 8),
+crc as (select list(c order by i) as t from bits where k = 8),
+d as (select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+h as (select rid, doc_id, ws, len(ws) as n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+  lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])), 4294967295::bigint) as h from d, crc),
+g as (select *, case when h % 10 = 0 and n > 0 then (h // 10) % n end as a, h // 10 as g from h),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from g),
+w as (select rid, doc_id, n, case when a is null then ws else list_transform(range(0, n), lambda i: case when i < a then ws[i + 1] else ws[a + (i - a) % p + 1] end) end as ws from p),
+f as (select rid, n, i, array_to_string(ws[i + 1:i + 5], ' ') as gram from (select rid, n, ws, unnest(range(0, n - 4)) as i from w where n >= 6)),
+m as (select x.rid, x.i, y.i - x.i as q from f x join f y on x.rid = y.rid and x.gram = y.gram and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+s as (select rid, q, min(i) as start, count(*) + 4 + q as length from (select *, i - row_number() over (partition by rid, q order by i) as isle from m) group by rid, q, isle),
+r as (select rid, start, length, min(q) as period from s where length >= greatest(6, 4 * q) group by rid, start, length),
+o as (select rid, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from r group by rid),
+top as (select * from r x qualify row_number() over (partition by rid order by (length::hugeint * 1000000000000 // period) desc, start, period) = 1),
+gone as (select distinct rid, unnest(range(start + period, start + length)) as i from r),
+kept as (select rid, string_agg(word, ' ' order by i) as kept from (select rid, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as i from w) anti join gone using (rid, i) group by rid)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length, period::bigint as period, (1000 * length // period)::bigint as exponent_milli,
+ sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from w left join o using (rid) left join top using (rid) left join kept using (rid)
+"""
+
+OP13_SQL = r"""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+ where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor, b.vec_id as other, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor, other, score from s where same qualify row_number() over (partition by anchor order by score desc, other) <= 5)
+select p.anchor as anchor_id, p.other as positive_id, (row_number() over (partition by p.anchor, p.other order by n.score desc, n.other))::int as rank, n.other as negative_id, p.score as positive_score, n.score as negative_score
+from p join s n on n.anchor = p.anchor and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score qualify rank <= 5
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -165,10 +210,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_de_bruijn": op9_de_bruijn,
         "op10_pii": op10_pii,
+        "op11_stable_projections": op11_stable_projections,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_hard_negatives": op13_hard_negatives,
         "url_rules": url_rules,
         "personal_patterns": personal_patterns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op9_de_bruijn": OP9_SQL, "url_rules": URL_RULES_SQL, "personal_patterns": PERSONAL_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op9_de_bruijn": OP9_SQL, "op12_periodic_runs": OP12_SQL, "op13_hard_negatives": OP13_SQL, "url_rules": URL_RULES_SQL, "personal_patterns": PERSONAL_SQL}
