@@ -97,6 +97,8 @@ def main_lorentz(line: np.ndarray, starts: np.ndarray, ends: np.ndarray, least:
     What stands between the parts must be unlike anything else, so that no agreement goes over it.
     """
     nothing = np.zeros(0, np.int64)
+    if power < 4:
+        raise ValueError("a run must hold four periods, so that two of them are on one side of any middle")
     if not len(starts):
         return nothing, nothing, nothing
     name = names(line, int((ends - starts).max()))
