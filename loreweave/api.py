@@ -230,13 +230,12 @@ class Index:
         todo = chunking.index_diff(now_, self.store.hashes(wiki, mark), paths).checkpoint()
         new = now_.join(todo.where("action = 'embed'").select("path", "key"), ["path", "key"], "left_semi")
         fixed = {"wiki": wiki, "fingerprint": mark, "model": type(self.embedder).__name__, "updated_at": now}
-        self.store.upsert(embed(new, self.embedder).withColumns({c: F.lit(v) for c, v in fixed.items()}).withColumn("dim", F.lit(self.embedder.dims)))
+        rows = embed(new, self.embedder).withColumns({c: F.lit(v) for c, v in fixed.items()}).withColumn("dim", F.lit(self.embedder.dims))
         gone = todo.where("action = 'remove'").select(F.lit(wiki).alias("wiki"), F.lit(mark).alias("fingerprint"), "path", "key")
-        if not gone.isEmpty():
-            self.store.delete(gone)
-        self.store.purge_others(wiki, mark)
-        count = self.store.hashes(wiki, mark).count()
-        self.store.set_state(pages.sparkSession.createDataFrame([(wiki, mark, fixed["model"], self.embedder.dims, count, now)], "wiki string, fingerprint string, model string, dim int, chunks long, updated_at string"))
+        held = now_ if paths is None else self.store.hashes(wiki, mark).join(todo.where("action = 'remove'"), ["path", "key"], "left_anti").select("path", "key").union(new.select("path", "key")).distinct()
+        state = held.agg(F.count(F.lit(1)).alias("chunks")).select(F.lit(wiki).alias("wiki"), F.lit(mark).alias("fingerprint"), F.lit(fixed["model"]).alias("model"), F.lit(self.embedder.dims).alias("dim"), "chunks", F.lit(now).alias("updated_at"))
+        others = [k for k in self.store.table.latest().parts if k[0] == wiki and k[1] != mark]
+        self.store.apply(rows, gone, others, state)  # chunks, removals and state in one transaction
         return todo.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
     def reset(self) -> None:

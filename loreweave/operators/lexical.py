@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import tokenize
 
-from loreweave.session import spread
+from loreweave.session import cut, spread
 
+from . import postings
 from .containment import held_names
 
-K1, B = 1.2, 0.75
-
 
 def query_tokens(queries: DataFrame) -> DataFrame:
     """(query_id, token, n): a query's tokens and how often it has them."""
@@ -24,8 +19,9 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: number of documents and average length in tokens (1 at least)."""
-    return spread(docs.select("text")).agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg(F.size(tokenize(F.coalesce("text", F.lit(""))))), F.lit(1.0)).alias("avg_len"))
+    """One row: number of documents and their average length in tokens; a document without any counts as 1."""
+    length = F.greatest(F.size(tokenize(F.coalesce("text", F.lit("")))), F.lit(1))
+    return spread(docs.select("text")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(length), F.lit(1.0)).alias("avg_len"))
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -33,87 +29,19 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return spread(docs.select("text")).select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def boost(token: Column, title: Column, rest: Column) -> Column:
-    """3 for a token of the title, 2 for one of tags or summary, else 1."""
-    return F.when(F.lower(title).contains(token), 3.0).when(F.lower(rest).contains(token), 2.0).otherwise(1.0)
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best documents of each query: query_id, path, rank, score (6 digits).
 
-    ``docs`` has path, title, rest (tags and summary) and text. The distinct tokens of the query set meet the exploded
-    tokens of the corpus in a hash join and only matches are shuffled, pre-counted by document and token; document
-    frequencies come from those counts. A common token pairs most documents with most queries, so the pairs are never
-    made as rows: the queries' weights go to the tasks in blocks of ``block`` queries, one pass each, and a task
-    multiplies its documents' weights with them and gives on its ``k`` best of each query. Ties go by path.
-    """
-    asked = query_tokens(queries)
-    wanted = asked.select("token").distinct()
-    words = spread(docs.select("path", "title", "rest", "text")).select("path", "title", "rest", tokenize(F.coalesce("text", F.lit(""))).alias("_tokens"))
-    hits = words.select("path", "title", "rest", F.size("_tokens").alias("len"), F.explode("_tokens").alias("token")).join(wanted, "token")
-    # the boost is worked out beside the page, so that titles don't move with its tokens
-    own = hits.select("path", "token", "len", boost(F.col("token"), F.col("title"), F.col("rest")).alias("boost"))
-    tf = own.groupBy("path", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), F.first("boost").alias("boost"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    total, average = corpus_stats(docs).head()
-    idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df, "token").select("query_id", "token", (idf * F.col("n")).alias("weight"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(average)))
-    weights = tf.select("path", "token", (part * F.col("boost")).alias("weight"))
-    return top(products(weights, weighed, k, -(-queries.count() // block)), k)
-
-
-def products(rows: DataFrame, weighed: DataFrame, k: int, blocks: int, wide: int = 128) -> DataFrame:
-    """(query_id, path, score): sums of products of two sparse tables over their tokens, each task's ``k`` best of a query.
-
-    The queries go to the tasks in ``blocks`` parts, and meet a batch's pages ``wide`` at a time.
-
-    ``rows``: path, token, weight; ``weighed``: query_id, token, weight. Scores are rounded to 6 digits; those that tie
-    with the last of the best stay, those of 0 and less go.
+    ``docs`` has path, title, rest (tags and summary) and text. Each distinct token of a query counts once, three times as
+    much where it is a token of the title and twice where it is one of the rest; ties go by path. The corpus is cut into
+    tokens once: blocks of the queries' tokens only, which are then searched as a kept index is (``postings``,
+    ``sources.textindex``).
     """
-    out, kind = None, weighed.schema["query_id"].dataType.simpleString()
-    for number in range(max(1, blocks)):
-        some = weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == number).toPandas()
-        ids, of = np.unique(some["query_id"].to_numpy(), return_inverse=True)
-        tokens, at = np.unique(some["token"].to_numpy(dtype=str), return_inverse=True)
-        held = rows.sparkSession.sparkContext.broadcast((ids, pd.Index(tokens), of, at, some["weight"].to_numpy(np.float64)))
-
-        def best(frame: pd.DataFrame, held=held) -> pd.DataFrame:
-            ids, tokens, of, at, weight = held.value
-            spot = tokens.get_indexer(frame["token"])
-            frame, spot = frame[spot >= 0], spot[spot >= 0]
-            row, paths = pd.factorize(frame["path"])
-            used, column = np.unique(spot, return_inverse=True)
-            left = np.zeros((len(paths), len(used)))
-            left[row, column] = frame["weight"].to_numpy()
-            place = np.searchsorted(used, at)
-            known = np.flatnonzero(used[np.minimum(place, len(used) - 1)] == at) if len(used) else np.zeros(0, np.int64)
-            parts = [(ids[:0], np.zeros(0, object), np.zeros(0))]
-            for first in range(0, len(ids) if len(used) else 0, wide):
-                mine = known[(of[known] >= first) & (of[known] < first + wide)]
-                right = np.zeros((len(used), min(wide, len(ids) - first)))
-                right[place[mine], of[mine] - first] = weight[mine]
-                score = np.round(left @ right, 6)
-                edge = np.partition(score, -k, axis=0)[-k] if len(paths) > k else np.zeros(score.shape[1])
-                x, y = np.nonzero((score >= edge) & (score > 0))
-                parts.append((ids[y + first], np.asarray(paths, object)[x], score[x, y]))
-            return pd.DataFrame(dict(zip(("query_id", "path", "score"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
-
-        def run(frames: Iterator[pd.DataFrame], best=best) -> Iterator[pd.DataFrame]:
-            rest = None
-            for frame in frames:  # a page's rows may stand in two batches
-                frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-                cut = int((frame["path"] == frame["path"].iloc[-1]).to_numpy().argmax()) if len(frame) else 0
-                rest = frame.iloc[cut:]
-                if cut:
-                    yield best(frame.iloc[:cut])
-            if rest is not None and len(rest):
-                yield best(rest)
-
-        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        part = rows.repartition(n, "path").sortWithinPartitions("path").mapInPandas(run, f"query_id {kind}, path string, score double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    spark = docs.sparkSession
+    asked = cut(postings.query_tokens(queries))
+    ranges = postings.ranges_for(docs.count(), spark.sparkContext.defaultParallelism)
+    held = cut(postings.blocks(docs.select("path", "title", "rest", "text"), ranges, asked.select("token").distinct()))
+    return postings.search(held, asked, *postings.statistics(held), k)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

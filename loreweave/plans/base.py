@@ -22,6 +22,13 @@ VIEWS = {
     "wiki_toc": """select concat(source, '/', cast(case when doc_id % 13 = 0 then doc_id + 1000000 else doc_id end as string), '.md') as path,
         case when doc_id % 7 = 0 then '2025-12-31' when doc_id % 11 = 0 then null else cast(date '2026-01-01' + cast(doc_id % 300 as int) as string) end as updated,
         replace(substring(text, 41, 60), chr(10), ' ') as summary from {documents} where doc_id % 17 <> 3""",
+    # pages as they are, and as they were when last looked at: some changed, some are new, some are gone
+    "kept_pages": """select doc_id, concat(source, '/', cast(doc_id as string), '.md') as path, case when doc_id % 4 = 0 then 'starting' else replace(substring(text, 1, 40), chr(10), ' ') end as title,
+        concat(lang, ' ', source) as rest, case when doc_id % 29 = 0 then null else text end as text from {documents} where doc_id % 19 <> 5""",
+    "stale_pages": """select doc_id, concat(source, '/', cast(doc_id as string), '.md') as path, case when doc_id % 4 = 0 then 'starting' else replace(substring(text, 1, 40), chr(10), ' ') end as title,
+        concat(lang, ' ', source) as rest, case when doc_id % 29 = 0 then null when doc_id % 23 = 1 then concat('old words ', text) else text end as text from {documents} where doc_id % 31 <> 7""",
+    # questions that say their words twice and name parts of titles
+    "asked_twice": """select item_id, concat(text, ' ', substring(text, 1, 60), ' art starting src1') as text from {benchmark}""",
     # a ledger of decisions from the event log
     "ledger_rows": """select event_id as id, ts, case when user_id % 3 = 0 then 'judge' when user_id % 3 = 1 then 'agent' else 'code' end as actor,
         case when event_type = 'view' then 'toc' when event_type = 'signup' then 'ask' else 'adjudicate' end as op,
@@ -85,7 +92,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """Oracle SQL with the views that it names put before it."""
     used = [n for n in VIEWS if n in sql]
-    parts = [f"{n} as ({VIEWS[n].format(**{t: t for t in ('documents', 'events', 'conversations', 'orders')})})" for n in used]
+    parts = [f"{n} as ({VIEWS[n].format(**{t: t for t in ('documents', 'events', 'conversations', 'orders', 'benchmark')})})" for n in used]
     body = sql.strip()
     if not parts:
         return body

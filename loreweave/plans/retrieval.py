@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import is_continuation, token_set, tokenize
 from loreweave.functions.vectors import cosine, norm
 from loreweave.operators import fusion, lexical, vector
+from loreweave.session import shared_folder
+from loreweave.sources.textindex import TextIndex
 
 from .base import query, view
 
@@ -30,15 +34,16 @@ def _asked(read) -> DataFrame:
     return read("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+# every distinct token of a query once; boosts by tokens of the title, then of tags and summary; lengths of 1 at least
 _BM25_SQL = f"""
-with asked as (select item_id as query_id, t as token, count(*) as n from (select item_id, unnest({tokens_sql("text")}) as t from benchmark) group by 1, 2),
-words as (select path, title, rest, {tokens_sql("text")} as ts from wiki_pages),
-stats as (select count(*) as n_docs, greatest(avg(len(ts)), 1.0) as avg_len from words),
-tf as (select path, token, count(*) as tf, any_value(len) as len, any_value(title) as title, any_value(rest) as rest
-       from (select path, title, rest, len(ts) as len, unnest(ts) as token from words) where token in (select token from asked) group by path, token),
+with asked as (select distinct item_id as query_id, unnest({tokens_sql("text")}) as token from benchmark),
+words as (select path, {tokens_sql("title")} as title, {tokens_sql("rest")} as rest, {tokens_sql("text")} as ts from wiki_pages),
+stats as (select count(*) as n_docs, avg(greatest(len(ts), 1)) as avg_len from words),
+tf as (select path, token, count(*) as tf, any_value(len) as len, any_value(boost) as boost
+       from (select path, greatest(len, 1) as len, token, case when list_contains(title, token) then 3.0 when list_contains(rest, token) then 2.0 else 1.0 end as boost
+             from (select path, title, rest, len(ts) as len, unnest(ts) as token from words)) where token in (select token from asked) group by path, token),
 df as (select token, count(*) as df from tf group by token),
-scored as (select query_id, path, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)))
-           * (case when contains(lower(title), token) then 3.0 when contains(lower(rest), token) then 2.0 else 1.0 end) * n), 6) as score
+scored as (select query_id, path, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) * boost), 6) as score
            from tf join df using (token) join asked using (token), stats group by query_id, path)
 select query_id, path, rank::int as rank, score from (select *, row_number() over (partition by query_id order by score desc, path) as rank from scored where score > 0) where rank <= 5
 """
@@ -49,6 +54,19 @@ def bm25_top5(read):
     return lexical.bm25(read("wiki_pages"), _asked(read), 5)
 
 
+_KEPT_SQL = _BM25_SQL.replace("benchmark", "asked_twice").replace("wiki_pages", "kept_pages")
+
+
+@query("kept_index_top5", _KEPT_SQL)
+def kept_index_top5(read):
+    """An index of stale pages, brought up to date, and asked queries that repeat their words and name titles."""
+    pages = read("stale_pages")
+    index = TextIndex(pages.sparkSession, f"{shared_folder(pages.sparkSession)}/index-{uuid.uuid4().hex}")
+    index.refresh(pages)
+    index.refresh(read("kept_pages"))
+    return index.search(read("asked_twice").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5)
+
+
 @query(
     "index_search_top5",
     f"""with q as (select item_id as query_id, {tokens_sql("text")} as ts from benchmark),
@@ -64,7 +82,7 @@ def document_frequency(read):
     return lexical.document_frequency(read("documents"))
 
 
-@query("corpus_stats", f"select count(*) as n_docs, round(greatest(avg(len({tokens_sql('text')})), 1.0), 6) as avg_len from documents")
+@query("corpus_stats", f"select count(*) as n_docs, round(avg(greatest(len({tokens_sql('text')}), 1)), 6) as avg_len from documents")
 def corpus_stats(read):
     return lexical.corpus_stats(read("documents")).withColumn("avg_len", F.round("avg_len", 6))
 

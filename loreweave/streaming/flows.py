@@ -136,8 +136,6 @@ def refresh_index(pages: DataFrame, store, wiki: str, embedder, checkpoint: str,
         fixed = {"wiki": wiki, "fingerprint": embedder.fingerprint(), "model": "hashing", "updated_at": ""}
         rows = embed(new, embedder).withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("dim", F.lit(embedder.dims))
         gone = todo.where("action = 'remove'").select(F.lit(wiki).alias("wiki"), F.lit(embedder.fingerprint()).alias("fingerprint"), "path", "key")
-        store.upsert(rows)
-        if not gone.isEmpty():
-            store.delete(gone)
+        store.apply(rows, gone)
 
     return pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
