@@ -29,38 +29,33 @@ def ranges_for(count: int, cores: int, size: int = RANGE) -> int:
     return max(1, -(-count // size), min(2 * cores, -(-count // 256)))
 
 
-def boost(token: Column, title: Column, rest: Column) -> Column:
-    """3 for a token of the title, 2 for one of tags or summary, else 1; ``title`` and ``rest`` are arrays of tokens."""
-    return F.when(F.array_contains(title, token), 3.0).when(F.array_contains(rest, token), 2.0).otherwise(1.0)
-
-
 def blocks(docs: DataFrame, ranges: int, wanted: DataFrame | None = None, first: int = 0) -> DataFrame:
     """The blocks of ``docs`` (path, title, rest, text; hash, if it is there), of all tokens or those of ``wanted`` (token).
 
-    Texts move once, to their range; counting and gathering happen there. A text's length is its number of tokens, 1 at
-    least. Null texts have no tokens. Ranges are numbered from ``first``.
+    A token of the title weighs 3, one of ``rest`` (tags, summary) 2, any other 1. Texts move once, to their range; counting
+    and gathering happen there. A text's length is its number of tokens, 1 at least. Null texts have no tokens. Ranges are
+    numbered from ``first``.
     """
     own = docs if "hash" in docs.columns else docs.withColumn("hash", F.lit(None).cast("string"))
     placed = own.select("path", "hash", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "rest", "text")], (F.pmod(F.xxhash64("path"), F.lit(ranges)) + first).alias("range"))
     spark = docs.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = Window.partitionBy("range").orderBy("path")
+    order = Window.partitionBy("range").orderBy("path", "hash")
     numbered = placed.repartition(parts, "range").withColumn("slot", F.row_number().over(order) - 1)
-    cut = numbered.select("range", "slot", "path", "hash", tokenize(F.col("title")).alias("title"), tokenize(F.col("rest")).alias("rest"), tokenize(F.col("text")).alias("tokens"))
-    sized = cut.withColumn("len", F.greatest(F.size("tokens"), F.lit(1)))
-    each = sized.select("range", "slot", "len", "title", "rest", F.explode("tokens").alias("token"))
+    # words of the title and the rest come marked; only one array is opened, and nothing else is carried along with it
+    marked = lambda c, mark: F.transform(F.array_distinct(tokenize(F.col(c))), lambda t: F.concat(F.lit(mark), t))
+    sized = numbered.select("range", "slot", tokenize(F.col("text")).alias("tokens"), marked("title", "3:").alias("title"), marked("rest", "2:").alias("rest"))
+    each = sized.select("range", "slot", F.greatest(F.size("tokens"), F.lit(1)).alias("len"), F.explode(F.concat("tokens", "title", "rest", F.array(F.lit(EVERY)))).alias("word"))
+    mark = F.substring("word", 1, 2)
+    named = each.select("range", "slot", "len", F.when(mark == "3:", 3.0).when(mark == "2:", 2.0).otherwise(1.0).alias("boost"), F.when(mark.isin("3:", "2:"), F.substring("word", 3, 1 << 30)).otherwise(F.col("word")).alias("token"))
     if wanted is not None:
-        each = each.join(wanted, "token", "left_semi")
-    tf = each.groupBy("range", "slot", "len", "token", boost(F.col("token"), F.col("title"), F.col("rest")).alias("boost")).agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    none = F.lit(None).cast("string")
-    every = sized.select("range", "slot", "len", F.lit(EVERY).alias("token"), F.lit(1.0).alias("boost"), F.lit(1).alias("tf"), "path", "hash")
-    rows = tf.select("range", "slot", "len", "token", "boost", "tf", none.alias("path"), none.alias("hash")).unionByName(every)
-    held = rows.groupBy("range", "token").agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.max("boost").alias("boost"), F.sort_array(F.collect_list(F.struct("slot", "tf", "len", "boost", "path", "hash"))).alias("e")
-    )
-    lists = [F.col(f"e.{c}").alias(f"{c}s") for c in ("slot", "tf", "len", "boost", "path", "hash")]
-    full = held.select("range", "token", "n", "most", "least", "boost", *lists)
-    return full.select("range", "token", "n", "most", "least", "boost", "slots", "tfs", "lens", "boosts", *[F.when(F.col("token") == EVERY, F.col(c)).alias(c) for c in ("paths", "hashs")]).withColumnRenamed("hashs", "hashes")
+        named = named.join(wanted.select("token").unionByName(spark.createDataFrame([(EVERY,)], "token string")), "token", "left_semi")
+    tf = named.groupBy("range", "slot", "token").agg(F.sum(F.when(F.col("boost") == 1.0, 1).otherwise(0)).cast("int").alias("tf"), F.max("boost").alias("boost"), F.max("len").alias("len")).where("tf > 0")
+    gathered = F.sort_array(F.collect_list(F.struct("slot", "tf", "len", "boost")))
+    held = tf.groupBy("range", "token").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.max("boost").alias("boost"), gathered.alias("e"))
+    listed = numbered.groupBy("range").agg(F.sort_array(F.collect_list(F.struct("slot", "path", "hash"))).alias("p")).select("range", F.lit(EVERY).alias("token"), F.col("p.path").alias("paths"), F.col("p.hash").alias("hashes"))
+    lists = [F.col(f"e.{c}").alias(f"{c}s") for c in ("slot", "tf", "len", "boost")]
+    return held.select("range", "token", "n", "most", "least", "boost", *lists).join(listed, ["range", "token"], "left")
 
 
 def statistics(held: DataFrame) -> tuple[int, float]:
@@ -85,7 +80,8 @@ def search(held: DataFrame, asked: DataFrame, documents: int, length: float, k:
     ``held``: blocks of the asked tokens, and those that list documents or what no longer counts; ``asked``: query_id,
     token; ``less`` (token, n): postings that no longer count. ``documents`` and ``length`` are those of the collection.
     """
-    scored = score(held, weights(held, asked, documents, less), length / max(1, documents), k)
+    shares = max(1, -(-asked.select("query_id").distinct().count() // QUERIES))
+    scored = score(held, weights(held, asked, documents, less), length / max(1, documents), k, shares)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "path", "rank", "score")
 
@@ -105,31 +101,30 @@ def bounds(held: DataFrame, weighed: DataFrame, average: float) -> DataFrame:
     return weighed.join(most, "token").groupBy("query_id", "range").agg(F.sum(F.col("idf") * F.col("top")).alias("bound"))
 
 
-def score(held: DataFrame, weighed: DataFrame, average: float, k: int) -> DataFrame:
+def score(held: DataFrame, weighed: DataFrame, average: float, k: int, shares: int = 1) -> DataFrame:
     """(query_id, path, score): of each opened range the ``k`` best documents of a query."""
     from loreweave.session import cut
 
     weighed = cut(weighed)
     reach = cut(bounds(held, weighed, average))
     best = reach.groupBy("query_id").agg(F.max_by("range", F.struct("bound", "range")).alias("range"))
-    first = cut(_open(held, best, weighed, average, k))
+    first = cut(_open(held, best, weighed, average, k, shares))
     kth = Window.partitionBy("query_id").orderBy(F.desc("score"))
     edge = first.withColumn("at", F.row_number().over(kth)).where(F.col("at") == k).select("query_id", F.col("score").alias("edge"))
     left = reach.join(best, ["query_id", "range"], "left_anti").join(edge, "query_id", "left").where(F.col("edge").isNull() | (F.col("bound") + 1e-5 >= F.col("edge"))).select("query_id", "range")
-    return first.unionByName(_open(held, left, weighed, average, k))
+    return first.unionByName(_open(held, left, weighed, average, k, shares))
 
 
-def _open(held: DataFrame, pairs: DataFrame, weighed: DataFrame, average: float, k: int) -> DataFrame:
-    """Score the queries in the ranges that they are paired with, ``QUERIES`` or so to a task's range at once."""
-    spread = max(1, -(-weighed.select("query_id").distinct().count() // QUERIES))
-    share = F.pmod(F.xxhash64("query_id"), F.lit(spread))
+def _open(held: DataFrame, pairs: DataFrame, weighed: DataFrame, average: float, k: int, shares: int) -> DataFrame:
+    """Score the queries in the ranges that they are paired with, in ``shares`` parts, each by itself in a range."""
+    share = F.pmod(F.xxhash64("query_id"), F.lit(shares))
     wanted = pairs.join(weighed, "query_id").select(F.col("range").alias("at"), share.alias("part"), "query_id", "token", "idf")
     opened = pairs.select("range", share.alias("share")).distinct()
     needed = wanted.select(F.col("at").alias("range"), "token").distinct()
     listed = held.where(F.col("token").isin(EVERY, DEAD))
     used = held.where(~F.col("token").isin(EVERY, DEAD)).join(needed, ["range", "token"], "left_semi").unionByName(listed)
     blocks_ = used.join(opened, "range").select("range", "share", "token", "slots", "tfs", "lens", "boosts", "paths")
-    kind = weighed.schema["query_id"].dataType.simpleString()
+    kind = pairs.schema["query_id"].dataType.simpleString()
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         nothing = pd.DataFrame({"query_id": right["query_id"].iloc[:0], "path": np.zeros(0, object), "score": np.zeros(0)})
