@@ -29,6 +29,12 @@ VIEWS = {
         concat(lang, ' ', source) as rest, case when doc_id % 29 = 0 then null when doc_id % 23 = 1 then concat('old words ', text) else text end as text from {documents} where doc_id % 31 <> 7""",
     # questions that say their words twice and name parts of titles
     "asked_twice": """select item_id, concat(text, ' ', substring(text, 1, 60), ' art starting src1') as text from {benchmark}""",
+    # events that come in as streams: numbers of messages, questions, changes of a review queue, messages with their times
+    "capture_events": "select concat('u', cast(user_id % 40 as string)) as session, cast(ts as timestamp) as ts, event_id * 7 % 3 as messages from {events}",
+    "asks_in_time": "select concat('u', cast(user_id % 40 as string)) as session, cast(ts as timestamp) as ts, event_type as query from {events}",
+    "review_events": "select concat('k', cast(user_id as string)) as key, cast(ts as timestamp) as ts, case when event_type in ('click', 'purchase') then 'resolve' else 'enqueue' end as op, cast(event_id as string) as id from {events}",
+    "timed_messages": """select cast(conv_id as string) as session, turn as ord, cast('2026-01-01 10:00:00' as timestamp) + cast(turn * 60 + conv_id % 60 as int) * interval '1' second as ts, case when role = 'system' then 'user' else role end as role,
+        case when (conv_id + turn) % 5 = 0 then 'toolUse' when (conv_id + turn) % 5 = 1 then 'aborted' when (conv_id + turn) % 5 = 2 then null else 'stop' end as stop_reason from {conversations}""",
     # a ledger of decisions from the event log
     "ledger_rows": """select event_id as id, ts, case when user_id % 3 = 0 then 'judge' when user_id % 3 = 1 then 'agent' else 'code' end as actor,
         case when event_type = 'view' then 'toc' when event_type = 'signup' then 'ask' else 'adjudicate' end as op,

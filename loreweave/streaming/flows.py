@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -28,90 +29,173 @@ def once(rows: DataFrame, *keys: str, ts: str = "ts", late: str = "1 hour") -> D
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def open_reviews(items: DataFrame) -> DataFrame:
-    """Events (key, ts, op, id) of a review queue as they change it: an item opens unless its key is open already; a
-    resolution closes its key, so that it may open again."""
+#: The store that event-time timers need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+Step = Callable[[Any, Row], tuple[Any, list[tuple]]]
 
-    def step(state, frame: pd.DataFrame):
-        now, done = bool(state[0]) if state else False, []
-        for r in frame.sort_values("ts").itertuples():
-            if r.op == "enqueue" and not now:
-                now = True
-                done.append((r.key, r.ts, "opened", r.id))
-            elif r.op == "resolve" and now:
-                now = False
-                done.append((r.key, r.ts, "closed", r.id))
-        return (now,), pd.DataFrame(done, columns=["key", "ts", "change", "id"])
 
-    return _stateful(items, "key", "key string, ts timestamp, change string, id string", "open boolean", step)
+class InOrder(StatefulProcessor):
+    """Walks each key's rows in order, however they were dealt over batches.
 
+    With event time a row waits until the watermark has reached it, so everything before it has come; rows go through
+    ``step`` by time and then ``order``. A key that has been silent for ``idle`` milliseconds of event time is ended:
+    ``finish`` gives its last rows and its state goes, as it does at once where ``spent`` says that the state is as good as none.
+    Without event time a batch's rows are sorted and taken as they come, and state stays.
+    """
+
+    def __init__(self, held: StructType, state: StructType, out: StructType, step: Step, order: tuple[str, ...], ts: str | None, idle: int | None, finish: Callable | None, spent: Callable | None) -> None:
+        self.held_schema, self.state_schema, self.out = held, state, out.names
+        self.step, self.order, self.ts, self.idle, self.finish, self.spent = step, order, ts, idle, finish, spent
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_schema)
+        self.now = handle.getValueState("state", self.state_schema)
+        self.last = handle.getValueState("last", "ms long")
+
+    def _ms(self, row: Row) -> int:
+        return row["_ms"] or 0
+
+    def _sorted(self, rows: list[Row]) -> list[Row]:
+        names = ((self.ts,) if self.ts else ()) + self.order
+        return sorted(rows, key=lambda r: tuple((r[n] is not None, r[n]) for n in names))
+
+    def _walk(self, key: tuple, rows: list[Row]) -> Iterator[Row]:
+        state = tuple(self.now.get()) if self.now.exists() else None
+        for row in rows:
+            state, made = self.step(state, row)
+            for values in made:
+                yield Row(**dict(zip(self.out, key + values, strict=True)))
+        if rows:
+            self.now.update(state)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = list(rows)
+        if self.ts is None:
+            yield from self._walk(key, self._sorted(rows))
+            return
+        self.held.appendList([tuple(r[n] for n in self.held_schema.names) for r in rows])
+        self.handle.registerTimer(max(min(map(self._ms, rows)), timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        reached = timerValues.getCurrentWatermarkInMs()
+        held = [Row(**dict(zip(self.held_schema.names, r, strict=True))) for r in self.held.get()] if self.held.exists() else []
+        ready, later = [r for r in held if self._ms(r) <= reached], [r for r in held if self._ms(r) > reached]
+        yield from self._walk(key, self._sorted(ready))
+        if ready:
+            self.last.update((max(map(self._ms, ready)),))
+        if later:
+            if ready:
+                self.held.put([tuple(r) for r in later])
+            self.handle.registerTimer(min(map(self._ms, later)))
+            return
+        self.held.clear()
+        if not self.now.exists():
+            return
+        state = tuple(self.now.get())
+        end = None if self.idle is None else self.last.get()[0] + self.idle
+        if self.spent is not None and self.spent(state):
+            self.now.clear()
+            self.last.clear()
+        elif end is not None and end <= reached:
+            for values in self.finish(state) if self.finish else ():
+                yield Row(**dict(zip(self.out, key + values, strict=True)))
+            self.now.clear()
+            self.last.clear()
+        elif end is not None:
+            self.handle.registerTimer(end)
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(rows: DataFrame, key: str, out: str, state: str, step: Step, order: tuple[str, ...] = (), late: str = "0 seconds", idle: str | None = None, finish: Callable | None = None, spent: Callable | None = None) -> DataFrame:
+    """``rows`` by key through ``InOrder``; event time is the column ts where there is one."""
+    timed = "ts" in rows.columns
+    if timed:
+        rows = rows.withColumn("_ms", F.unix_millis("ts"))  # as Spark counts, whatever the time zone of a worker
+    made, kept = StructType.fromDDL(out), StructType([f for f in rows.schema.fields if f.name != key])
+    # as Spark reads the interval, so that months and years are refused as it refuses them for watermarks
+    pause = None if idle is None else int(rows.sparkSession.sql("select interval " + idle).head()[0].total_seconds() * 1000)
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    walker = InOrder(kept, StructType.fromDDL(state), made, step, order, "ts" if timed else None, pause, finish, spent)
+    if not timed:
+        return rows.groupBy(key).transformWithState(walker, made, "Append", "None")
+    return rows.withWatermark("ts", late).groupBy(key).transformWithState(walker, made, "Append", "EventTime")
+
+
+def open_reviews(items: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Events (key, ts, op, id) of a review queue as they change it: an item opens unless its key is open already; a
+    resolution closes its key, so that it may open again. Only open keys have state; rows over ``late`` behind are lost."""
 
-def _stateful(rows: DataFrame, key: str, out: str, state: str, step: Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame]]) -> DataFrame:
-    def run(group: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        now = held.get if held.exists else None
-        for frame in frames:
-            now, result = step(now, frame)
-            if len(result):
-                yield result
-        held.update(now)
+    def step(state, r: Row):
+        now = bool(state[0]) if state else False
+        if r.op == "enqueue" and not now:
+            return (True,), [(r.ts, "opened", r.id)]
+        if r.op == "resolve" and now:
+            return (False,), [(r.ts, "closed", r.id)]
+        return (now,), []
 
-    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", "NoTimeout")
+    return _stateful(items, "key", "key string, ts timestamp, change string, id string", "open boolean", step, ("id",), late, spent=lambda state: not state[0])
 
 
-def changed_queries(asks: DataFrame) -> DataFrame:
-    """Asks (session, ts, query) whose query differs from the session's previous one."""
+def changed_queries(asks: DataFrame, late: str = "0 seconds", idle: str | None = "1 day") -> DataFrame:
+    """Asks (session, ts, query) whose query differs from the session's previous one; after ``idle`` a session starts anew."""
 
-    def step(state, frame: pd.DataFrame):
-        frame = frame.sort_values("ts")
-        before = frame["query"].shift()
-        before.iloc[0] = state[0] if state else None
-        return (frame["query"].iloc[-1],), frame[frame["query"] != before][["session", "ts", "query"]]
+    def step(state, r: Row):
+        return (r.query,), [] if state and state[0] == r.query else [(r.ts, r.query)]
 
-    return _stateful(asks, "session", "session string, ts timestamp, query string", "query string", step)
+    return _stateful(asks, "session", "session string, ts timestamp, query string", "query string", step, ("query",), late, idle)
 
 
-def debounced(events: DataFrame, minutes: int = 10) -> DataFrame:
-    """Events (session, ts, messages) that may start a capture: a new number of messages, and the pause since the last one kept."""
+def debounced(events: DataFrame, minutes: int = 10, late: str = "0 seconds", idle: str | None = "1 day") -> DataFrame:
+    """Events (session, ts, messages) that may start a capture: a new number of messages, and the pause since the last one
+    kept. After ``idle`` a session starts anew."""
 
-    def step(state, frame: pd.DataFrame):
+    def step(state, r: Row):
         last, count = state if state else (None, -1)
-        kept = []
-        for r in frame.sort_values("ts").itertuples():
-            now = int(r.ts.timestamp())
-            if r.messages != count and (last is None or now - last >= minutes * 60):
-                kept.append((r.session, r.ts, r.messages))
-                last, count = now, int(r.messages)
-        return (last, count), pd.DataFrame(kept, columns=["session", "ts", "messages"])
+        now = r._ms // 1000
+        if r.messages != count and (last is None or now - last >= minutes * 60):
+            return (now, r.messages), [(r.ts, r.messages)]
+        return (last, count), []
 
-    return _stateful(events, "session", "session string, ts timestamp, messages long", "last long, count long", step)
+    return _stateful(events, "session", "session string, ts timestamp, messages long", "last long, count long", step, ("messages",), late, idle)
 
 
-def live_episodes(messages: DataFrame) -> DataFrame:
-    """Episodes (session, episode, end_reason) as they close, from messages (session, ord, role, stop_reason) in order."""
+def live_episodes(messages: DataFrame, late: str = "0 seconds", idle: str | None = "1 day") -> DataFrame:
+    """Episodes (session, episode, end_reason) as they close, from messages (session, ord, role, stop_reason; ts).
 
-    def step(state, frame: pd.DataFrame):
+    With ts, messages are taken in that order once the watermark is past them, and a session that is silent for ``idle``
+    ends, its open episode as ``eof``. Without it a batch's messages are taken by ord as they come.
+    """
+
+    def step(state, r: Row):
         episode, opened, closed = state if state else (0, False, True)
         done = []
-        for r in frame.sort_values("ord").itertuples():
-            if r.role == "user":
-                if opened:
-                    done.append((r.session, episode, "steered"))
-                episode, opened, closed = episode + 1, True, False
-            elif r.role == "assistant":
-                if closed:
-                    episode, opened = episode + 1, True
-                stop = r.stop_reason if isinstance(r.stop_reason, str) else "stop"
-                closed = stop not in ("toolUse", "pending")
-                if closed:
-                    done.append((r.session, episode, "settled" if stop == "stop" else "interrupted"))
-                    opened = False
-        return (episode, opened, closed), pd.DataFrame(done, columns=["session", "episode", "end_reason"])
-
-    return _stateful(messages, "session", "session string, episode long, end_reason string", "episode long, opened boolean, closed boolean", step)
+        if r.role == "user":
+            if opened:
+                done.append((episode, "steered"))
+            episode, opened, closed = episode + 1, True, False
+        elif r.role == "assistant":
+            if closed:
+                episode, opened = episode + 1, True
+            stop = "stop" if r.stop_reason is None else r.stop_reason
+            closed = stop not in ("toolUse", "pending")
+            if closed:
+                done.append((episode, "settled" if stop == "stop" else "interrupted"))
+                opened = False
+        return (episode, opened, closed), done
+
+    return _stateful(messages, "session", "session string, episode long, end_reason string", "episode long, opened boolean, closed boolean", step, ("ord",), late, idle, finish=lambda state: [(state[0], "eof")] if state[1] else [])
 
 
 def attributed(events: DataFrame, spans: DataFrame, late: str = "1 hour", longest: str = "3 hours") -> DataFrame:
-    """Stream-stream interval join: events within the spans of their session. Both sides have watermarks, so state ends."""
+    """Stream-stream interval join: events within the spans of their session, up to ``longest`` after a span's start.
+
+    Both sides have watermarks and spans a greatest length, so state ends. A span's events after ``longest`` are not
+    attributed: name one that no span exceeds.
+    """
     e = events.withWatermark("ts", late).alias("e")
     s = spans.withWatermark("started", late).alias("s")
     inside = F.expr(f"e.session = s.session and e.ts >= s.started and e.ts <= s.ended and e.ts <= s.started + interval {longest}")
