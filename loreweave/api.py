@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loreweave import config
 from loreweave.functions.redact import findings, redact
 from loreweave.functions.text import html_links, markdown_links, normalize_newlines, token_set, tokenize
-from loreweave.models import HashingEmbedder, embed
+from loreweave.models import Embedder, HashingEmbedder, embed
 from loreweave.operators import catalog as cat
 from loreweave.operators import chunking, curation, evidence, fusion, ledger, lexical, lint, sessions, similarity, vector, workflow
 
@@ -39,11 +39,12 @@ class Defaults:
 D = Defaults()
 
 
-def wiki_ask(pages: DataFrame, queries: DataFrame, limit: int = D.limit, search: str = "auto", chunks: DataFrame | None = None, toc: DataFrame | None = None, judge: Step | None = None, rerank: str = "auto") -> DataFrame:
+def wiki_ask(pages: DataFrame, queries: DataFrame, limit: int = D.limit, search: str = "auto", chunks: DataFrame | None = None, toc: DataFrame | None = None, judge: Step | None = None, rerank: str = "auto", embedder: Embedder = D.embedder) -> DataFrame:
     """Ranked hits of each query. ``search``: keyword (index search), bm25, semantic, hybrid, or auto.
 
     ``pages``: path, title, rest, text (with ``toc``, the contents, path and text are enough); ``queries``: query_id,
-    query; ``chunks``: key, path, anchor, embedding, status. With a ``judge`` (it adds relevance to each hit shown, and
+    query; ``chunks``: as a chunk store holds them, embedded by ``embedder`` (path, key, kind, claim_id, status, embedding), or
+    with an anchor of their own. With a ``judge`` (it adds relevance to each hit shown, and
     sufficiency to each query) hits carry excerpt, relevance, sufficiency and note, and are reranked always, never, or
     where vectors took part (auto).
     """
@@ -52,22 +53,28 @@ def wiki_ask(pages: DataFrame, queries: DataFrame, limit: int = D.limit, search:
         pages = lint.with_contents(pages, toc)
     if search == "auto":
         search = "hybrid" if chunks is not None else "bm25"
-    hits = _hits(pages, queries, limit, search, chunks)
+    hits = _hits(pages, queries, limit, search, chunks, embedder)
     if judge is None:
         return hits
     return judged_hits(pages, queries, hits, judge, rerank == "always" or (rerank == "auto" and search in ("semantic", "hybrid")))
 
 
-def _hits(pages: DataFrame, queries: DataFrame, limit: int, search: str, chunks: DataFrame | None) -> DataFrame:
+def _hits(pages: DataFrame, queries: DataFrame, limit: int, search: str, chunks: DataFrame | None, embedder: Embedder) -> DataFrame:
     if search == "keyword":
         return lexical.index_search(pages, queries, limit)
     wide = max(limit, 3 * limit)
-    lex = lexical.bm25(pages, queries, wide)
+    if search != "semantic" or chunks is None:
+        lex = lexical.bm25(pages, queries, wide)
     if search == "bm25" or chunks is None:
         return lex.where(F.col("rank") <= limit)
     active = chunks.where(curation.is_active(F.col("status"), "search"))
-    asked = embed(queries.withColumn("text", F.col("query")), D.embedder).select("query_id", "embedding")
-    near = vector.knn(active, asked, wide).join(active.select("key", "path", "anchor"), "key")
+    if "anchor" not in active.columns:
+        active = active.withColumn("anchor", chunking.anchor(F.col("key"), F.col("kind"), F.col("claim_id")))
+    asked = embed(queries.withColumn("text", F.col("query")), embedder).select("query_id", "embedding")
+    # a chunk's key is its own within its page only
+    keyed = active.withColumn("key", F.concat_ws("\0", "path", "key"))
+    near = vector.knn(keyed, asked, wide).join(keyed.select("key", "path", "anchor"), "key")
+    near = near.select("query_id", "path", "anchor", F.expr("substring(key, length(path) + 2)").alias("key"), "rank", "score")
     if search == "semantic":
         return near.where(F.col("rank") <= limit)
     return fusion.rrf(lex, near.select("query_id", "path", "anchor", "rank"), limit)

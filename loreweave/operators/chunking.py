@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import section_slug, strip_inline
+from loreweave.functions.text import BLANKS, section_slug, strip_inline, trim_blanks
 
 from .curation import is_active
 
@@ -18,17 +18,21 @@ MOST, OVERLAP, LEAST = 4800, 640, 80
 def sections(pages: DataFrame) -> DataFrame:
     """(path, section, heading, slug, body): a page cut at its headings; what stands before the first is ``overview``.
 
-    Repeated slugs of a page get -2, -3 and so on. ``pages``: path, text. A line of one to six # and a blank is a
-    heading, in code fences too.
+    A line of one to six # and white space is a heading, in code fences too; one without a text is named ``overview``.
+    Headings lose emphasis and code marks; the lines between them lose those, links' targets and trailing white space.
+    Sections without a text go before slugs are numbered: repeated slugs of a page get -2, -3 and so on. ``section``
+    counts headings. ``pages``: path, text.
     """
-    lines = pages.select("path", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    head = F.col("line").rlike(r"^#{1,6}\s+\S")
+    lines = pages.select("path", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
+    mark = f"^#{{1,6}}[{BLANKS}]+"
+    head = F.col("line").rlike(mark + r"[^\n\r\u2028\u2029]*\z")
     order = Window.partitionBy("path").orderBy("at")
     numbered = lines.withColumn("section", F.sum(F.when(head, 1).otherwise(0)).over(order)).withColumn("head", head)
-    label = F.max(F.when(F.col("head"), strip_inline(F.trim(F.regexp_replace("line", r"^#{1,6}\s+", "")))))
-    body = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("at", "line"))))
-    grouped = numbered.groupBy("path", "section").agg(label.alias("heading"), F.trim(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"))
-    named = grouped.withColumn("heading", F.coalesce("heading", F.lit("overview"))).withColumn("base", section_slug(F.col("heading")))
+    title = trim_blanks(F.regexp_replace(F.regexp_replace("line", mark, ""), r"[*_`]", ""))
+    label = F.max(F.when(F.col("head"), F.coalesce(F.nullif(title, F.lit("")), F.lit("overview"))))
+    body = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("at", strip_inline(F.col("line")).alias("line")))))
+    grouped = numbered.groupBy("path", "section").agg(label.alias("heading"), trim_blanks(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"))
+    named = grouped.where("body <> ''").withColumn("heading", F.coalesce("heading", F.lit("overview"))).withColumn("base", section_slug(F.col("heading")))
     nth = F.row_number().over(Window.partitionBy("path", "base").orderBy("section"))
     return named.withColumn("slug", F.when(nth == 1, F.col("base")).otherwise(F.concat_ws("-", "base", nth))).select("path", "section", "heading", "slug", "body")
 
@@ -43,7 +47,7 @@ def cut_windows(text: str, most: int = MOST, overlap: int = OVERLAP) -> list[str
         if end < len(text):
             at = text.rfind("\n\n", 0, end + 2)
             end = at if at > start + most * 0.5 else end
-        out.append(text[start:end].strip())
+        out.append(text[start:end].strip(BLANKS))
         if end >= len(text):
             return [x for x in out if x]
         start = max(end - overlap, start + 1)
@@ -57,28 +61,37 @@ def windows(parts: DataFrame, most: int = MOST, overlap: int = OVERLAP) -> DataF
             rows = [(r.path, r.slug, r.heading, n, x) for r in frame.itertuples() for n, x in enumerate(cut_windows(r.body, most, overlap), 1)]
             yield pd.DataFrame(rows, columns=["path", "slug", "heading", "n", "text"])
 
-    return parts.select("path", "slug", "heading", "body").mapInPandas(run, "path string, slug string, heading string, n int, text string")
+    rows = parts.select("path", "slug", "heading", "body")
+    whole = rows.where(F.length("body") <= most).select("path", "slug", "heading", F.lit(1).alias("n"), F.col("body").alias("text"))
+    return whole.unionByName(rows.where(F.length("body") > most).mapInPandas(run, "path string, slug string, heading string, n int, text string"))
 
 
 def chunks(pages: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """(path, key, kind, claim_id, status, title, text, hash): a page's active claims and its sections' windows.
 
-    ``claims``: path, id, text, status. Sections under 80 characters are left out. The hash is of title and text. Where
-    a window's key and a later section's key fall together, the later one stays.
+    ``claims``: path, id, text, status; one without an id is keyed by a slug of its text, blank ones are left out. Windows
+    under 80 characters are left out. The title is the page's, and the hash is of title and text. Where keys of a page
+    fall together, the one last in the order of text stays.
     """
+    none = F.lit(None).cast("string")
     titled = pages.select("path", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.regexp_replace("path", r"\.md$", "")).alias("title"))
-    cut = windows(sections(pages).where(F.length("body") >= LEAST)).join(titled, "path")
+    cut = windows(sections(pages)).where(F.length("text") >= LEAST).join(titled, "path")
     key = F.concat(F.lit("section:"), "slug", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise(F.lit("")))
-    out = cut.select("path", key.alias("key"), F.lit("section").alias("kind"), F.lit(None).cast("string").alias("claim_id"), F.lit(None).cast("string").alias("status"), F.concat_ws(" — ", "title", "heading").alias("title"), "text")
+    out = cut.select("path", key.alias("key"), F.lit("page-section").alias("kind"), none.alias("claim_id"), none.alias("status"), "title", "text")
     if claims is not None:
-        active = claims.where(is_active(F.col("status"), "index") & F.col("text").isNotNull())
-        own = active.join(titled, "path").select("path", F.concat(F.lit("claim:"), "id").alias("key"), F.lit("claim").alias("kind"), F.col("id").alias("claim_id"), "status", "title", "text")
-        out = out.unionByName(own)
+        active = claims.where(is_active(F.col("status"), "index")).withColumn("text", trim_blanks(F.col("text"))).where("text <> ''").join(titled, "path")
+        own = F.concat(F.lit("claim:"), F.coalesce("id", section_slug(F.col("text"))))
+        out = out.unionByName(active.select("path", own.alias("key"), F.lit("claim").alias("kind"), F.nullif("id", F.lit("")).alias("claim_id"), F.nullif("status", F.lit("")).alias("status"), "title", "text"))
     hashed = out.withColumn("hash", F.sha2(F.concat_ws("\n", "title", "text"), 256))
-    last = Window.partitionBy("path", "key").orderBy(F.desc("title"), F.desc("text"))
+    last = Window.partitionBy("path", "key").orderBy(F.desc("text"))
     return hashed.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
+def anchor(chunk_key: Column, kind: Column, claim_id: Column) -> Column:
+    """What a hit in a chunk points to on its page: the claim's id, else the section's slug, else the key."""
+    return F.coalesce(claim_id, F.when(kind == "page-section", F.regexp_replace(chunk_key, "^section:", "")), chunk_key)
+
+
 def index_diff(current: DataFrame, stored: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """(path, key, action): embed new or changed chunks, skip equal ones, remove what is gone; ``paths`` limits both sides."""
     if paths is not None:

@@ -16,10 +16,13 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) ->
     ``chunks`` has key and embedding, ``queries`` query_id and embedding. Queries go to the tasks in blocks of
     ``block`` vectors (a bounded broadcast, one pass a block); every task keeps its ``k`` best of each query by matrix
     products, and a window takes the best of those. Vectors of no length or of another size are left out; ties go by key.
+    Keys and query_ids may be numbers or texts.
     """
     spark, out = chunks.sparkSession, None
     rows = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").orderBy("query_id")
     count = rows.count()
+    key, query = (df.schema[c].dataType.simpleString() for df, c in ((chunks, "key"), (rows, "query_id")))
+    kinds, plain = f"query_id {query}, key {key}, score double", object if key == "string" else np.int64
     for start in range(0, max(1, count), block):
         own = rows.offset(start).limit(block).toPandas()
         dims = len(own["embedding"].iloc[0]) if len(own) else 0
@@ -30,7 +33,7 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) ->
 
         def near(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             ids, q, dims = held.value
-            best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]  # of each query: scores and keys, k at most
+            best = [(np.zeros(0), np.zeros(0, plain)) for _ in ids]  # of each query: scores and keys, k at most
             for frame in frames:
                 frame = frame[frame["embedding"].map(lambda e: e is not None and len(e) == dims)]
                 if not len(frame) or not len(ids):
@@ -44,11 +47,11 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) ->
                     edge = np.partition(score[i], len(keys) - keep)[len(keys) - keep]
                     at = np.flatnonzero(score[i] >= edge)  # ties at the edge stay until keys decide
                     s, own = np.concatenate([best[i][0], score[i][at]]), np.concatenate([best[i][1], keys[at]])
-                    order = np.lexsort((own, -s))[:k]
+                    order = np.lexsort((own if plain is np.int64 else pd.factorize(own, sort=True)[0], -s))[:k]
                     best[i] = s[order], own[order]
             yield pd.DataFrame({"query_id": np.repeat(ids, [len(s) for s, _ in best]), "key": np.concatenate([x[1] for x in best]), "score": np.concatenate([x[0] for x in best])} if len(ids) else {"query_id": [], "key": [], "score": []})
 
-        part = chunks.select("key", "embedding").mapInPandas(near, "query_id long, key long, score double")
+        part = chunks.select("key", "embedding").mapInPandas(near, kinds)
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "key", "rank", "score")

@@ -74,7 +74,7 @@ VIEWS = {
         case when doc_id % 2 = 0 then 'architecture/module' else 'concept' end as type, concat('About ', upper(source), case when doc_id % 3 = 0 then '-CORES' else '' end) as title,
         case when doc_id % 7 = 0 then concat('src/', source, '/a.ts') else 'none' end as file from {documents} where source <> 'src0'""",
     # pages with headings, two of which are alike
-    "headed_pages": """select concat('h', cast(doc_id as string)) as path, title, concat('intro ', body, chr(10), '## Notes on *', lang, '*', chr(10), body, chr(10), chr(10), body, chr(10), '##  Notes on ', lang, chr(10), source, chr(10), '#no heading', chr(10), '### [Link](x.md)  ', chr(10), body) as text
+    "headed_pages": """select concat('h', cast(doc_id as string)) as path, title, concat('intro ', body, chr(10), '## Notes on *', lang, '*', chr(10), body, chr(10), chr(10), body, chr(10), '##  Notes on ', lang, chr(10), source, chr(10), '#no heading', chr(10), '### [Link](x.md)  ', chr(10), body, chr(13), chr(10), '## ', chr(10), 'a `b` [c](d) [](e)  ', chr(13), chr(10), '##', chr(10), '## Empty', chr(10), ' ', chr(10), '## Empty', chr(10), body, chr(10), '## Empty', chr(10), body) as text
         from (select doc_id, lang, source, replace(substring(text, 1, 20), chr(10), ' ') as title, text as body from {documents})""",
     # subjects that a ledger has accepted, and what it says of claims
     "accepted_rows": """select conv_id * 1000 + turn as id, case when turn % 5 = 0 then substring(text, 1, cast(15 + conv_id % 130 as int)) when turn % 5 = 1 then concat(text, ' and more of it') else concat('nothing like ', cast(conv_id as string)) end as subject,

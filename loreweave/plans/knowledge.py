@@ -461,30 +461,56 @@ def raw_integrity(read):
 # --- chunks, index, catalogue ------------------------------------------------------------------------------------
 
 
-_SECTIONS = r"""lines as (select path, title, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from {source}),
-heads as (select *, regexp_matches(line, '^#{{1,6}}\s+\S') as head from lines), parts as (select *, sum(head::int) over (partition by path order by pos) as section from heads),
-cut as (select path, any_value(title) as title, section, max(case when head then rtrim(regexp_replace(regexp_replace(trim(regexp_replace(line, '^#{{1,6}}\s+', ''), ' '), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`]', '', 'g'), ' ') end) as h, trim(coalesce(string_agg(case when not head then line end, chr(10) order by pos), ''), ' ') as body from parts group by path, section),
-named as (select *, coalesce(h, 'overview') as heading, coalesce(nullif(regexp_replace(substring(regexp_replace(regexp_replace(lower(coalesce(h, 'overview')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-+$', ''), ''), 'section') as base from cut),
+_WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+# headings keep links and lose marks; lines lose both; sections without a text go before slugs are numbered
+_SECTIONS = (
+    r"""lines as (select path, title, unnest(regexp_split_to_array(text, '\r?\n')) as line, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) as pos from <source>),
+heads as (select *, regexp_matches(line, '^#{1,6}<ws>+[^\n\r\x{2028}\x{2029}]*$') as head from lines), parts as (select *, sum(head::int) over (partition by path order by pos) as section from heads),
+bare as (select *, case when head then regexp_replace(regexp_replace(regexp_replace(line, '^#{1,6}<ws>+', ''), '[*_`]', '', 'g'), '^<ws>+|<ws>+$', '', 'g') end as h,
+ case when not head then regexp_replace(regexp_replace(regexp_replace(line, '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '[*_`]', '', 'g'), '<ws>+$', '') end as l from parts),
+cut as (select path, any_value(title) as title, section, coalesce(nullif(max(h), ''), 'overview') as heading, regexp_replace(coalesce(string_agg(l, chr(10) order by pos), ''), '^<ws>+|<ws>+$', '', 'g') as body from bare group by path, section),
+named as (select *, coalesce(nullif(regexp_replace(substring(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-+$', ''), ''), 'section') as base from cut where body <> ''),
 sections as (select *, case when row_number() over (partition by path, base order by section) = 1 then base else base || '-' || (row_number() over (partition by path, base order by section))::varchar end as slug from named)"""
+).replace("<ws>", _WS)
 
 
-@query("page_sections", f"with {_SECTIONS.format(source='headed_pages')} select path, section::bigint as section, heading, slug, sha256(body) as body_hash from sections")
+@query("page_sections", f"with {_SECTIONS.replace('<source>', 'headed_pages')} select path, section::bigint as section, heading, slug, sha256(body) as body_hash from sections")
 def page_sections(read):
     return chunking.sections(read("headed_pages")).select("path", "section", "heading", "slug", F.sha2("body", 256).alias("body_hash"))
 
 
 # windows one after the other, each cut at the last blank line of its reach if that lies beyond its middle
-_CHUNKS_SQL = rf"""with recursive {_SECTIONS.format(source="headed_pages")},
-s as (select path, title, heading, slug, body from sections where length(body) >= 80),
+_CHUNKS = (
+    r"""<sections>,
+s as (select path, title, heading, slug, body from sections),
 e0 as (select *, 0 as a from s), w as (
-  select path, slug, 1 as n, 0 as a, case when length(body) <= 4800 then length(body) else coalesce(case when instr(reverse(substring(body, 1, 4802)), E'\n\n') > 0 and 4802 - instr(reverse(substring(body, 1, 4802)), E'\n\n') - 1 > 2400 then 4802 - instr(reverse(substring(body, 1, 4802)), E'\n\n') - 1 end, 4800) end as b, length(body) as l, body, title, heading from e0
+  select path, slug, 1 as n, 0 as a, case when length(body) <= 4800 then length(body) else coalesce(case when instr(reverse(substring(body, 1, 4802)), E'\n\n') > 0 and 4802 - instr(reverse(substring(body, 1, 4802)), E'\n\n') - 1 > 2400 then 4802 - instr(reverse(substring(body, 1, 4802)), E'\n\n') - 1 end, 4800) end as b, length(body) as l, body, title from e0
   union all
-  select path, slug, n + 1, a2, case when a2 + 4800 >= l then l else coalesce(case when instr(reverse(substring(body, 1, a2 + 4802)), E'\n\n') > 0 and least(l, a2 + 4802) - instr(reverse(substring(body, 1, a2 + 4802)), E'\n\n') - 1 > a2 + 2400 then least(l, a2 + 4802) - instr(reverse(substring(body, 1, a2 + 4802)), E'\n\n') - 1 end, a2 + 4800) end, l, body, title, heading
+  select path, slug, n + 1, a2, case when a2 + 4800 >= l then l else coalesce(case when instr(reverse(substring(body, 1, a2 + 4802)), E'\n\n') > 0 and least(l, a2 + 4802) - instr(reverse(substring(body, 1, a2 + 4802)), E'\n\n') - 1 > a2 + 2400 then least(l, a2 + 4802) - instr(reverse(substring(body, 1, a2 + 4802)), E'\n\n') - 1 end, a2 + 4800) end, l, body, title
   from (select *, greatest(b - 640, a + 1) as a2 from w where b < l)),
-t as (select path, slug, n, title, heading, case when l <= 4800 then body else regexp_replace(substring(body, a + 1, b - a), '^\s+|\s+$', '', 'g') end as text from w),
-c as (select path, 'section:' || slug || case when n > 1 then '-' || n::varchar else '' end as key, concat_ws(' — ', coalesce(nullif(trim(title, ' '), ''), regexp_replace(path, '\.md$', '')), heading) as title, text from t where text <> ''),
-k as (select * from (select *, row_number() over (partition by path, key order by title desc, text desc) as r from c) where r = 1)
-select path, key, title, sha256(title || chr(10) || text) as hash, length(text)::int as n_chars from k"""
+t as (select path, slug, title, case when l <= 4800 then body else regexp_replace(substring(body, a + 1, b - a), '^<ws>+|<ws>+$', '', 'g') end as text, n from w),
+u as (select path, slug, title, text, row_number() over (partition by path, slug order by n) as n from t where text <> ''),
+c as (select path, 'section:' || slug || case when n > 1 then '-' || n::varchar else '' end as key, coalesce(nullif(trim(title, ' '), ''), regexp_replace(path, '\.md$', '')) as title, text from u where length(text) >= 80),
+k as (select path, key, title, text from (select *, row_number() over (partition by path, key order by text desc) as r from c) where r = 1)"""
+).replace("<sections>", _SECTIONS.replace("<source>", "headed_pages")).replace("<ws>", _WS)
+_CHUNKS_SQL = f"with recursive {_CHUNKS} select path, key, title, sha256(title || chr(10) || text) as hash, length(text)::int as n_chars from k"
+
+# a page's claims: some with an id, some without, some blank, some that no longer hold
+_CLAIMS_SQL = rf"""with c as (select page, case when id % 3 = 0 then null when id % 7 = 0 then '' else id::varchar end as id, case when id % 11 = 0 then ' ' || chr(9) else '  ' || text || chr(10) end as text, status from claim_rows where status in ('verified', 'user-stated')),
+t as (select page, id, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') as text, status from c),
+k as (select page, 'claim:' || coalesce(id, coalesce(nullif(regexp_replace(substring(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-+$', ''), ''), 'section')) as key, nullif(id, '') as claim_id, status, text from t where text <> '')
+select page as path, key, claim_id, status, sha256('T ' || page || chr(10) || text) as hash from (select *, row_number() over (partition by page, key order by text desc) as r from k) where r = 1"""
+
+
+@query("claim_chunks", _CLAIMS_SQL)
+def claim_chunks(read):
+    own = read("claim_rows")
+    pages = own.select(F.col("page").alias("path"), F.concat(F.lit("T "), "page").alias("title"), F.lit("").alias("text")).distinct()
+    id_ = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 7 == 0, "").otherwise(F.col("id").cast("string"))
+    text = F.when(F.col("id") % 11 == 0, F.lit(" \t")).otherwise(F.concat(F.lit("  "), "text", F.lit("\n")))
+    claims = own.select(F.col("page").alias("path"), id_.alias("id"), text.alias("text"), "status")
+    return chunking.chunks(pages, claims).select("path", "key", "claim_id", "status", "hash")
 
 
 @query("page_chunks", _CHUNKS_SQL)

@@ -416,7 +416,7 @@ def contents_rows(read):
 
 @query(
     "inline_texts",
-    r"""select doc_id, rtrim(regexp_replace(regexp_replace('*' || text || '* [la_b](u(x) `c` ', '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`]', '', 'g'), ' ') as bare from documents""",
+    r"""select doc_id, rtrim(regexp_replace(regexp_replace('*' || text || '* [la_b](u(x) `c` ', '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '[*_`]', '', 'g'), ' ') as bare from documents""",
 )
 def inline_texts(read):
     return read("documents").select("doc_id", T.strip_inline(F.concat(F.lit("*"), "text", F.lit("* [la_b](u(x) `c` "))).alias("bare"))

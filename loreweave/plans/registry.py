@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import activity, backing, flow, formats, knowledge, measure, retrieval, streams  # noqa: F401  (they register their queries)
+from . import activity, asked, backing, flow, formats, knowledge, measure, retrieval, streams  # noqa: F401  (they register their queries)
 from .base import ORACLES, QUERIES
 
 
