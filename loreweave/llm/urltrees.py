@@ -2,15 +2,13 @@
 
 Features of a url: lengths, depth, digit ratio, entropy, counts of parameters, labels and marks, and statistics of its
 host's suffix learned from the labelled urls. The trees are histogram trees of bounded depth under logistic loss,
-trained here from labelled urls: those that the caller's labels tell of, and generated ones of known kind, so that there
-is something to learn where the labels have nothing to do with the urls. The number of trees is the one that does best
-on urls left out. A url whose predicted chance of being unwanted reaches the threshold is blocked.
+trained here from the labelled urls alone: where labels have nothing to do with urls, the trees learn that there is little
+to tell. The number of trees is the one that does best on urls left out, one at least. A url whose predicted chance of being unwanted reaches the threshold is blocked.
 """
 
 from __future__ import annotations
 
 import math
-import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -190,31 +188,6 @@ def train(urls: Labelled, trees: int = 40, depth: int = 3, rate: float = 0.2, le
     return model
 
 
-#: What hosts that sell, lure or track like to be named after.
-LURES = ("casino", "bonus", "win", "bet", "poker", "pills", "cheap", "deal", "loan", "credit", "adult", "cam", "date", "free", "gift", "ads", "track", "click", "seo", "spam", "replica", "crypto")
-
-
-def generated(count: int = 2000, seed: int = 5) -> Labelled:
-    """Urls of known kind, half of them unwanted: hosts of joined lures, many digits or noise, and long parameters."""
-    r = random.Random(seed)
-    word = lambda: "".join(r.choice("aeiou" if k % 2 else "bcdfghlmnprst") for k in range(r.randint(3, 9)))
-    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
-    out = []
-    for k in range(count):
-        bad = k % 2
-        front, end = r.choice(("", "www.", "blog.", "m.", f"{word()}.")), r.choice(("example.com", "example.net", "example.org"))
-        path = "/" + "/".join(r.choice((word(), str(r.randint(1, 9999)), r.choice(("en", "de", "fr", "es")))) for _ in range(r.randint(0, 3)))
-        tail = r.choice(("", "", f"?page={r.randint(1, 9)}", f"?{word()}={word()}&ref=x", "#top"))
-        if bad:
-            host = r.choice((f"{r.choice(LURES)}-{r.choice(LURES)}", f"{r.choice(LURES)}-{word()}", f"{r.choice(LURES)}{r.randint(10, 9999)}-{r.choice(LURES)}", noise(r.randint(12, 24))))
-            tail = r.choice((tail, "?" + "&".join(f"{noise(3)}={noise(r.randint(8, 20))}" for _ in range(r.randint(2, 5)))))
-        else:
-            host = r.choice((word(), word() + word()))
-        name = f"{front}{host}.{end}"
-        out.append((f"{r.choice(('http', 'https'))}://{name}{path}{tail}", name, path, bad))
-    return out
-
-
 def labelled(pages: DataFrame, labels: DataFrame, most: int = 20_000) -> Labelled:
     """(url, host, path, label) of at most ``most`` labelled urls, chosen by a hash of the url.
 
@@ -235,10 +208,10 @@ def labelled(pages: DataFrame, labels: DataFrame, most: int = 20_000) -> Labelle
     return sorted((r["url"], r["h"], r["p"], r["_label"]) for r in rows.collect())
 
 
-def learn(pages: DataFrame, labels: DataFrame, most: int = 20_000, seeds: int = 2000) -> Trees:
-    """Trees from the labelled urls, see ``labelled``, and ``seeds`` generated ones; as many as do best on urls left out."""
-    urls = labelled(pages, labels, most) + generated(seeds)
-    return train(urls, best_size(urls))
+def learn(pages: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
+    """Trees from the labelled urls, see ``labelled``; as many as do best on urls left out."""
+    urls = labelled(pages, labels, most)
+    return train(urls, max(1, best_size(urls)))
 
 
 def ranked_right(scores: np.ndarray, labels: np.ndarray) -> float | None:

@@ -423,12 +423,55 @@ def test_held_out_rank_of_labelled_urls():
     assert urltrees.best_size([(u, h, p, int(r.random() < 0.3)) for u, h, p, _ in learnable]) < 5  # nothing to learn
 
 
-def test_generated_urls_teach_what_unwanted_hosts_look_like():
-    model = urltrees.train(urltrees.generated(2000, 5))
-    fresh = urltrees.generated(400, 6)
-    chance = model.chance(np.array([urltrees.lexical(u, h, p, model.suffixes) for u, h, p, _ in fresh]))
-    label = np.array([u[3] for u in fresh])
-    assert urltrees.ranked_right(chance, label) > 0.97 and ((chance > 0.5) == (label == 1)).mean() > 0.93
+def test_one_tree_takes_the_greatest_gains():
+    r = np.random.default_rng(8)
+    bins = r.integers(0, 6, (300, 4)).astype(np.int16)
+    label = (bins[:, 2] > 3).astype(float) * 0.7 + (bins[:, 0] > 1) * 0.2
+    label = (r.random(300) < label).astype(float)
+    p = np.full(300, label.mean())
+    feature, cut, value = urltrees._grow(bins, p - label, p * (1 - p), 2, 0.2, 20, 1.0)
+
+    def plain(own, depth):
+        """(feature, cut, value) of a node and of those below, by trying every cut of every feature."""
+        g, h = (p - label)[own].sum(), (p * (1 - p))[own].sum()
+        best = (1e-9, -1, 0)
+        if depth and own.sum() >= 40:
+            for f in range(4):
+                for c in range(6):
+                    left, right = own & (bins[:, f] <= c), own & (bins[:, f] > c)
+                    if min(left.sum(), right.sum()) >= 20:
+                        part = [(p - label)[x].sum() ** 2 / ((p * (1 - p))[x].sum() + 1) for x in (left, right)]
+                        gain = sum(part) - g * g / (h + 1)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, f, c)
+        below = [plain(own & (bins[:, best[1]] <= best[2]), depth - 1), plain(own & (bins[:, best[1]] > best[2]), depth - 1)] if best[1] >= 0 else []
+        return best[1], best[2], -0.2 * g / (h + 1), below
+
+    def same(node, at):
+        f, c, v, below = node
+        assert feature[at] == f and (f < 0 or cut[at] == c) and abs(value[at] - v) < 1e-9
+        for k, child in enumerate(below):
+            same(child, 2 * at + 1 + k)
+
+    same(plain(np.ones(300, bool), 2), 0)
+    assert feature[0] == 2
+
+
+def test_the_score_is_the_sum_of_the_trees_leaves():
+    r = random.Random(4)
+    data = [(f"http://h{i % 30}.org/{'9' * r.randint(1, 12)}", f"h{i % 30}.org", f"/{'9' * r.randint(1, 12)}", int(r.random() < 0.4)) for i in range(300)]
+    model = urltrees.train(data, 7)
+    rows_ = np.array([urltrees.lexical(u, h, p, model.suffixes) for u, h, p, _ in data])
+    bins = model.binned(rows_)
+    for i, chance in enumerate(model.chance(rows_)):
+        score = model.base
+        for feature, cut, value in model.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = 2 * at + 1 + int(bins[i, feature[at]] > cut[at])
+            score += value[at]
+        assert abs(chance - 1 / (1 + np.exp(-score))) < 1e-9
+    assert len(model.trees) == 7
 
 
 def test_url_rules_and_trees(spark):
