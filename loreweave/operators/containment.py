@@ -1,44 +1,75 @@
-"""Which texts hold which names, as substrings, without comparing all pairs."""
+"""Which texts hold which strings: an automaton over all strings at once, in one pass over each text."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Characters of strings that go into one automaton (some 40 bytes each in a task), and bytes of texts that meet it at once.
+STRINGS, TEXTS = 2 << 20, 64 << 20
+
+
+class Finder:
+    """All strings of a set that a text holds, in time linear in the text, however many strings there are."""
+
+    def __init__(self, strings: list[str]) -> None:
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for s in strings:
+            self.automaton.add_word(s, s)
+        self.any = len(self.automaton) > 0
+        if self.any:
+            self.automaton.make_automaton()
+
+    def held(self, text: str | None) -> list[str]:
+        return sorted({s for _, s in self.automaton.iter(text)}) if self.any and text else []
 
-TOKEN = r"([A-Za-z0-9_]+)"
 
+@lru_cache(maxsize=2)
+def _finder(strings: tuple[str, ...]) -> Finder:
+    """A worker's tasks share the automaton of a block of strings."""
+    return Finder(list(strings))
 
-def held_names(texts: DataFrame, names: DataFrame, text: str = "text", block: int = 1_000) -> DataFrame:
-    """The rows of ``texts`` with each ``name`` of ``names`` that their text holds; names are distinct and not empty.
 
-    A name's longest token must stand inside a token of the text. So the tokens of all texts, each once, give their
-    substrings of the lengths that the names' tokens have, and meet the names on equality; only texts with such a token
-    are searched in full. Names without a token of ASCII letters and digits go to the tasks in blocks of ``block``.
+def held_names(texts: DataFrame, names: DataFrame, text: str = "text", block: int = STRINGS) -> DataFrame:
+    """The rows of ``texts`` with each ``name`` of ``names`` that their text holds, once; empty names aren't looked for.
+
+    While the names' characters, which are counted, are ``block`` at most, they are broadcast and texts stay where they
+    are. Beyond that names are dealt into blocks of about that size, and parts of the texts meet each block in a group of
+    its own; nothing goes through the driver.
     """
     listed = names.select("name").where("name <> ''").distinct()
-    tokens = F.regexp_extract_all("name", F.lit(TOKEN), F.lit(1))
-    longest = F.get(F.sort_array(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 0)["t"]
-    keyed = listed.withColumn("_key", longest)
-    lengths = sorted(r["n"] for r in keyed.where("_key is not null").select(F.length("_key").alias("n")).distinct().collect())
-    rows = texts.where(F.col(text).isNotNull()).withColumn("_hash", F.xxhash64(text))
-    found = None
-    if lengths:
-        held = rows.select("_hash", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)))).alias("_token"))
-
-        def cut(n):
-            return F.transform(F.sequence(F.lit(1), F.length("_token") - n + 1), lambda at: F.substring(F.col("_token"), at, n))
-
-        parts = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("_token"))
-        cuts = F.array_distinct(F.flatten(F.transform(parts, cut)))
-        met = held.select("_token").distinct().select("_token", F.explode(cuts).alias("_key")).join(keyed.where("_key is not null"), "_key").select("_token", "name")
-        candidates = held.join(met, "_token").select("_hash", "name").distinct()
-        found = rows.join(candidates, "_hash").where(F.contains(F.col(text), F.col("name")))
-    bare = keyed.where("_key is null").select("name")
-    count = bare.count()
-    for k in range(-(-count // block)):
-        own = bare.where(F.pmod(F.xxhash64("name"), F.lit(-(-count // block))) == k).agg(F.collect_list("name").alias("_names"))
-        some = rows.crossJoin(F.broadcast(own)).withColumn("name", F.explode(F.filter("_names", lambda n: F.contains(F.col(text), n)))).drop("_names")
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        found = rows.withColumn("name", F.lit("")).where(F.lit(False))
-    return found.drop("_hash")
+    size = listed.agg(F.sum(F.length("name"))).head()[0] or 0
+    rows = texts.where(F.col(text).isNotNull())
+    order = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("name", T.StringType())])
+
+    def matched(frame: pd.DataFrame, finder: Finder) -> pd.DataFrame:
+        found = [finder.held(t) for t in frame[text]]
+        out = frame[order].loc[frame.index.repeat([len(f) for f in found])].reset_index(drop=True)
+        return out.assign(name=[n for f in found for n in f])
+
+    if size <= block:
+        held = rows.sparkSession.sparkContext.broadcast(tuple(sorted(r["name"] for r in listed.collect())))
+
+        def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            finder = _finder(held.value)
+            for frame in frames:
+                yield matched(frame.reset_index(drop=True), finder)
+
+        return rows.mapInPandas(near, schema)
+    blocks = -(-size // block)
+    parts = max(1, -(-(rows.agg(F.sum(F.octet_length(text))).head()[0] or 0) // TEXTS))
+    dealt = listed.select("name", F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    spread = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"), F.pmod(F.xxhash64(text), F.lit(parts)).cast("int").alias("_part"))
+
+    def met(own: pd.DataFrame, strings: pd.DataFrame) -> pd.DataFrame:
+        return matched(own, Finder(strings["name"].tolist()))
+
+    return spread.groupBy("_block", "_part").cogroup(dealt.groupBy("_block", "_part")).applyInPandas(met, schema)

@@ -9,7 +9,7 @@ from loreweave.functions.formats import truncated_text
 from loreweave.functions.redact import redact
 from loreweave.functions.text import bare_page, base_name, clean_path, file_matches, fold_quotes, normalize, overlap, same_file, same_page, token_set
 
-from .containment import held_names
+from .containment import STRINGS, held_names
 
 LEAST = 12
 
@@ -51,22 +51,15 @@ def insight_evidence(items: DataFrame, files: DataFrame, commits: DataFrame, exc
     return joined.select("id", redact(F.coalesce(F.nullif("text", F.lit("")), F.lit("(no evidence attached)"))).alias("evidence"))
 
 
-def contaminated(calls: DataFrame, forbidden: DataFrame, block: int = 10_000) -> DataFrame:
+def contaminated(calls: DataFrame, forbidden: DataFrame, block: int = STRINGS) -> DataFrame:
     """(session, reasons): sessions whose calls name a forbidden root or whose results hold a canary.
 
-    ``calls``: session, args, result; ``forbidden``: kind (root or canary), value. The forbidden strings go to the
-    tasks in blocks of about ``block``, each in one row; what the blocks find is put together at the end.
+    ``calls``: session, args, result; ``forbidden``: kind (root or canary), value. Roots are looked for in the arguments and
+    canaries in the results, all at once, in blocks of ``block`` characters, see ``held_names``.
     """
-    blocks = max(1, -(-forbidden.count() // block))
-    found = None
-    for k in range(blocks):
-        own = forbidden.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k) if blocks > 1 else forbidden
-        listed = own.agg(F.collect_set(F.struct("kind", "value")).alias("f"))
-        rows = calls.crossJoin(F.broadcast(listed))
-        held = F.filter("f", lambda x: F.when(x["kind"] == "root", F.contains("args", x["value"])).otherwise(F.contains("result", x["value"])))
-        part = rows.select("session", F.explode(held).alias("x")).select("session", F.concat_ws(":", "x.kind", "x.value").alias("reason"))
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("session").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    sides = (("root", "args"), ("canary", "result"))
+    parts = [held_names(calls.select("session", F.col(column).alias("text")), forbidden.where(F.col("kind") == kind).select(F.col("value").alias("name")), block=block).select("session", F.concat(F.lit(f"{kind}:"), "name").alias("reason")) for kind, column in sides]
+    return parts[0].unionByName(parts[1]).groupBy("session").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
 
 
 def affected_claims(claims: DataFrame, changed: DataFrame, most: int = 40) -> DataFrame:
