@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Characters of strings that go into one automaton (some 40 bytes each in a task), and bytes of texts that meet it at once.
 STRINGS, TEXTS = 2 << 20, 64 << 20
+#: Characters that are given on at once.
+OUT = 32 << 20
 
 
 class Finder:
@@ -37,9 +40,11 @@ def _finder(strings: tuple[str, ...]) -> Finder:
     return Finder(list(strings))
 
 
-def held_names(texts: DataFrame, names: DataFrame, text: str = "text", block: int = STRINGS) -> DataFrame:
+def held_names(texts: DataFrame, names: DataFrame, text: str = "text", block: int = STRINGS, keep: list[str] | None = None) -> DataFrame:
     """The rows of ``texts`` with each ``name`` of ``names`` that their text holds, once; empty names aren't looked for.
 
+    Of the rows the columns ``keep`` come back (all), which spares texts that hold many names from being repeated.
+
     While the names' characters, which are counted, are ``block`` at most, they are broadcast and texts stay where they
     are. Beyond that names are dealt into blocks of about that size, and parts of the texts meet each block in a group of
     its own; nothing goes through the driver.
@@ -47,13 +52,20 @@ def held_names(texts: DataFrame, names: DataFrame, text: str = "text", block: in
     listed = names.select("name").where("name <> ''").distinct()
     size = listed.agg(F.sum(F.length("name"))).head()[0] or 0
     rows = texts.where(F.col(text).isNotNull())
-    order = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("name", T.StringType())])
-
-    def matched(frame: pd.DataFrame, finder: Finder) -> pd.DataFrame:
-        found = [finder.held(t) for t in frame[text]]
-        out = frame[order].loc[frame.index.repeat([len(f) for f in found])].reset_index(drop=True)
-        return out.assign(name=[n for f in found for n in f])
+    order = rows.columns if keep is None else keep
+    rows = rows.select(*dict.fromkeys([*order, text]))
+    schema = T.StructType([*[rows.schema[c] for c in order], T.StructField("name", T.StringType())])
+
+    def matched(frame: pd.DataFrame, finder: Finder) -> Iterator[pd.DataFrame]:
+        frame, start, found, size = frame.reset_index(drop=True), 0, [], 0
+        for at, own in enumerate(frame[text]):
+            found.append(finder.held(own))
+            size += len(found[-1]) * (len(own) + 64 if text in order and own else 64)
+            if size > OUT or at == len(frame) - 1:
+                part = frame[order].iloc[start : at + 1]
+                out = part.loc[part.index.repeat([len(f) for f in found])].reset_index(drop=True)
+                yield out.assign(name=np.array([n for f in found for n in f], object))
+                start, found, size = at + 1, [], 0
 
     if size <= block:
         held = rows.sparkSession.sparkContext.broadcast(tuple(sorted(r["name"] for r in listed.collect())))
@@ -61,7 +73,7 @@ def held_names(texts: DataFrame, names: DataFrame, text: str = "text", block: in
         def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             finder = _finder(held.value)
             for frame in frames:
-                yield matched(frame.reset_index(drop=True), finder)
+                yield from matched(frame, finder)
 
         return rows.mapInPandas(near, schema)
     blocks = -(-size // block)
@@ -70,6 +82,6 @@ def held_names(texts: DataFrame, names: DataFrame, text: str = "text", block: in
     spread = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"), F.pmod(F.xxhash64(text), F.lit(parts)).cast("int").alias("_part"))
 
     def met(own: pd.DataFrame, strings: pd.DataFrame) -> pd.DataFrame:
-        return matched(own, Finder(strings["name"].tolist()))
+        return pd.concat([pd.DataFrame({c: own[c].iloc[:0] for c in order} | {"name": np.zeros(0, object)}), *matched(own, Finder(strings["name"].tolist()))], ignore_index=True)
 
     return spread.groupBy("_block", "_part").cogroup(dealt.groupBy("_block", "_part")).applyInPandas(met, schema)

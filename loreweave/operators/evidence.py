@@ -58,7 +58,7 @@ def contaminated(calls: DataFrame, forbidden: DataFrame, block: int = STRINGS) -
     canaries in the results, all at once, in blocks of ``block`` characters, see ``held_names``.
     """
     sides = (("root", "args"), ("canary", "result"))
-    parts = [held_names(calls.select("session", F.col(column).alias("text")), forbidden.where(F.col("kind") == kind).select(F.col("value").alias("name")), block=block).select("session", F.concat(F.lit(f"{kind}:"), "name").alias("reason")) for kind, column in sides]
+    parts = [held_names(calls.select("session", F.col(column).alias("text")), forbidden.where(F.col("kind") == kind).select(F.col("value").alias("name")), block=block, keep=["session"]).select("session", F.concat(F.lit(f"{kind}:"), "name").alias("reason")) for kind, column in sides]
     return parts[0].unionByName(parts[1]).groupBy("session").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
 
 
@@ -125,7 +125,7 @@ def undocumented(modules: DataFrame, pages: DataFrame) -> DataFrame:
     parts = F.split("file", "/")
     under = about.select(F.explode("files").alias("file")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("module")).distinct()
     named = modules.where("module not in ('.', '(root)')").withColumn("name", F.lower(base_name(F.col("module"))))
-    known = held_names(text, named.select("name").distinct(), "text").select("name").distinct()
+    known = held_names(text, named.select("name").distinct(), "text", keep=[]).select("name").distinct()
     return named.join(known, "name", "left_anti").join(under, "module", "left_anti").select("module")
 
 

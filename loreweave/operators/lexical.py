@@ -57,7 +57,7 @@ def index_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     asked = query_tokens(queries)
     hay = docs.select("path", F.lower(F.concat_ws(" ", "title", "rest")).alias("hay"))
-    held = held_names(hay, asked.select(F.col("token").alias("name")).distinct(), "hay").select("path", F.col("name").alias("token"))
+    held = held_names(hay, asked.select(F.col("token").alias("name")).distinct(), "hay", keep=["path"]).select("path", F.col("name").alias("token"))
     scored = held.join(asked, "token").groupBy("query_id", "path").agg(F.sum("n").alias("score"))
     return top(scored, k)
 

@@ -181,7 +181,7 @@ def backlog(raw: DataFrame, pages: DataFrame, text: str = "text") -> DataFrame:
     Names are looked up as substrings, see ``held_names``.
     """
     own = raw.where(~F.col("path").startswith("raw/sessions/")).withColumn("name", base_name(F.col("path")))
-    named = held_names(pages.select(text), own.select("name").distinct(), text).select("name").distinct()
+    named = held_names(pages.select(text), own.select("name").distinct(), text, keep=[]).select("name").distinct()
     return own.join(named, "name", "left_anti").select("path")
 
 
