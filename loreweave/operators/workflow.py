@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loreweave.functions.formats import truncated_text
 from loreweave.functions.redact import findings, redact
 from loreweave.functions.text import markdown_links, normalize_newlines, token_set
+from loreweave.session import cut
 
 from . import catalog, curation, evidence, ledger, lint, similarity
 
@@ -166,6 +167,11 @@ def check(pages: DataFrame, toc: DataFrame, claims: DataFrame, raw: DataFrame, l
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
+    # counted while they are written: each check runs once
+    kinds = ("toc_added", "toc_missing_file", "toc_updated", "broken_link", "orphan", "raw_backlog", "unbacked_claim", "contradiction", "duplicate")
+    seen = Observation()
+    found = cut(found.observe(seen, *[F.count_if(F.col("finding") == k).alias(k) for k in kinds]))
+    counts = found.sparkSession.createDataFrame([(k, seen.get[k]) for k in kinds], "finding string, n long")
     entries = lint.toc_entry(own.join(reconciled.where("finding in ('added', 'updated')").select("path"), "path", "left_semi"), today)
     mended = catalog.union_keep_last(toc.select(*[c for c in entries.columns if c in toc.columns]), entries.select(*[c for c in entries.columns if c in toc.columns]), "path")
     item = lambda df, kind, finding, reason, confidence: df.join(claims.select("id", "page", F.col("text").alias("claim_text")), "id").select(
@@ -180,8 +186,7 @@ def check(pages: DataFrame, toc: DataFrame, claims: DataFrame, raw: DataFrame, l
         after = curation.apply_to_claims(claims, sides.select("id", F.lit("disputed").alias("status")))
         again = told.where((F.col("finding") == "duplicate") & (F.col("merge") >= same)).select(F.col("a").alias("id"), F.col("merge").alias("c")).groupBy("id").agg(F.max("c").alias("c"))
         reviews = reviews.unionByName(item(sides, "dispute", "contradiction", "lint: contradicts another page", F.col("c"))).unionByName(item(again, "claim_review", "duplicate", "possible duplicate", F.col("c")))
-    kinds = ("toc_added", "toc_missing_file", "toc_updated", "broken_link", "orphan", "raw_backlog", "unbacked_claim", "contradiction", "duplicate")
-    return {"findings": found, "toc": mended, "claims": after, "reviews": reviews, "counts": lint.finding_counts(found, kinds)}
+    return {"findings": found, "toc": mended, "claims": after, "reviews": reviews, "counts": counts}
 
 
 def shown_hits(hits: DataFrame, most: int = 700) -> DataFrame:

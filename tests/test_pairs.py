@@ -2,7 +2,7 @@
 
 import random
 
-from loreweave.operators import similarity
+from loreweave.operators import sessions, similarity
 from loreweave.operators.containment import held_names
 
 
@@ -74,3 +74,32 @@ def test_many_strings_in_one_pass(spark):
     wanted = spark.createDataFrame([(n,) for n in [*names, "", None]], "name string")
     for block in (1 << 20, 100):
         assert sorted((x.i, x.name) for x in held_names(df, wanted, block=block).collect()) == expected
+
+
+def _up(rows):
+    """The way up of one session, step by step."""
+    rows = sorted(rows, key=lambda r: r[1])
+    parent = {r[2]: r[3] for r in rows}
+    at, seen = rows[-1][2], set()
+    while at is not None and at not in seen:
+        if at not in parent:
+            return [(r[0], r[1], r[2], True) for r in rows]
+        seen.add(at)
+        at = parent[at]
+    return [(r[0], r[1], r[2], False) for r in rows if r[2] in seen]
+
+
+def test_the_way_up_by_doubling(spark):
+    r = random.Random(3)
+    rows = [("chain", i, f"e{i}", f"e{i - 1}" if i else None) for i in range(300)]
+    for s in range(40):
+        n = r.randint(1, 12)
+        for i in range(n):
+            up = r.choice([None, f"e{r.randrange(n)}", f"e{max(0, i - 1)}", f"e{max(0, i - 1)}", "gone" if r.random() < 0.2 else f"e{max(0, i - 2)}"])
+            rows.append((f"s{s}", i, f"e{i % max(1, n - 1)}", up))
+    rows += [(None, 0, "a", None), (None, 1, "b", "a"), ("nothing", 0, "a", None), ("nothing", 1, None, "a"), ("empty", 0, "", None), ("self", 0, "a", "a")]
+    df = spark.createDataFrame(rows, "session string, ord long, id string, parent_id string").repartition(3)
+    got = sorted((tuple(x) for x in sessions.active_branch(df).collect()), key=repr)
+    expected = [x for s in {r[0] for r in rows} for x in _up([r for r in rows if r[0] == s])]
+    assert got == sorted(expected, key=repr)
+    assert sessions.active_branch(df.limit(0)).count() == 0
