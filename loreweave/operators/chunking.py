@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import BLANKS, section_slug, strip_inline, trim_blanks
+from loreweave.functions.text import BLANKS, section_slug, strip_inline, trim_blanks, without_marks
 
 from .curation import is_active
 
@@ -23,12 +23,15 @@ def sections(pages: DataFrame) -> DataFrame:
     Sections without a text go before slugs are numbered: repeated slugs of a page get -2, -3 and so on. ``section``
     counts headings. ``pages``: path, text.
     """
-    lines = pages.select("path", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
+    parts = pages.select("path", F.split("text", "\n").alias("parts"))
+    each = parts.select("path", (F.size("parts") - 1).alias("end"), F.posexplode("parts").alias("at", "line"))
+    own = F.when((F.col("at") < F.col("end")) & F.endswith("line", F.lit("\r")), F.substring("line", F.lit(1), F.length("line") - 1)).otherwise(F.col("line"))
+    lines = each.select("path", "at", own.alias("line"))
     mark = f"^#{{1,6}}[{BLANKS}]+"
     head = F.col("line").rlike(mark + r"[^\n\r\u2028\u2029]*\z")
     order = Window.partitionBy("path").orderBy("at")
     numbered = lines.withColumn("section", F.sum(F.when(head, 1).otherwise(0)).over(order)).withColumn("head", head)
-    title = trim_blanks(F.regexp_replace(F.regexp_replace("line", mark, ""), r"[*_`]", ""))
+    title = trim_blanks(without_marks(F.regexp_replace("line", mark, "")))
     label = F.max(F.when(F.col("head"), F.coalesce(F.nullif(title, F.lit("")), F.lit("overview"))))
     body = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("at", strip_inline(F.col("line")).alias("line")))))
     grouped = numbered.groupBy("path", "section").agg(label.alias("heading"), trim_blanks(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"))
