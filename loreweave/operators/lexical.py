@@ -29,19 +29,19 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return spread(docs.select("text")).select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, block: int = postings.QUERIES) -> DataFrame:
     """The ``k`` best documents of each query: query_id, path, rank, score (6 digits).
 
     ``docs`` has path, title, rest (tags and summary) and text. Each distinct token of a query counts once, three times as
     much where it is a token of the title and twice where it is one of the rest; ties go by path. The corpus is cut into
     tokens once: blocks of the queries' tokens only, which are then searched as a kept index is (``postings``,
-    ``sources.textindex``).
+    ``sources.textindex``), about ``block`` queries at a time.
     """
     spark = docs.sparkSession
     asked = cut(postings.query_tokens(queries))
     ranges = postings.ranges_for(docs.count(), spark.sparkContext.defaultParallelism)
     held = cut(postings.blocks(docs.select("path", "title", "rest", "text"), ranges, asked.select("token").distinct()))
-    return postings.search(held, asked, *postings.statistics(held), k)
+    return postings.search(held, asked, *postings.statistics(held), k, block=block)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

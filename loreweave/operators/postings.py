@@ -74,13 +74,14 @@ def _part(tf: Column, length: Column, average: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
 
 
-def search(held: DataFrame, asked: DataFrame, documents: int, length: float, k: int, less: DataFrame | None = None) -> DataFrame:
+def search(held: DataFrame, asked: DataFrame, documents: int, length: float, k: int, less: DataFrame | None = None, block: int = QUERIES) -> DataFrame:
     """The ``k`` best documents of each query: query_id, path, rank, score (6 digits); ties go by path.
 
     ``held``: blocks of the asked tokens, and those that list documents or what no longer counts; ``asked``: query_id,
-    token; ``less`` (token, n): postings that no longer count. ``documents`` and ``length`` are those of the collection.
+    token; ``less`` (token, n): postings that no longer count. ``documents`` and ``length`` are those of the collection. A range
+    meets about ``block`` queries at once.
     """
-    shares = max(1, -(-asked.select("query_id").distinct().count() // QUERIES))
+    shares = max(1, -(-asked.select("query_id").distinct().count() // block))
     scored = score(held, weights(held, asked, documents, less), length / max(1, documents), k, shares)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "path", "rank", "score")

@@ -302,17 +302,17 @@ def test_bm25_in_blocks_equals_a_plain_sum(spark):
     docs = spark.createDataFrame(pages, "path string, title string, rest string, text string")
     queries = spark.createDataFrame(asked, "query_id long, query string")
     tokens = {p: [w for w in t.split() if len(w) > 2] for p, _, _, t in pages}  # w0 to w9 are too short
-    mean = max(1.0, sum(map(len, tokens.values())) / len(pages))
+    mean = sum(max(1, len(t)) for t in tokens.values()) / len(pages)
     expected = []
     for q, text in asked:
         scores = {}
         for p, title, rest, _ in pages:
             own = tokens[p]
-            for w in text.split():
+            for w in set(text.split()):  # each word of a query once
                 if len(w) > 2 and w in own:
                     df = sum(w in x for x in tokens.values())
                     part = own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean))
-                    scores[p] = scores.get(p, 0.0) + math.log(1 + (len(pages) - df + 0.5) / (df + 0.5)) * part * (3 if w in title else 2 if w in rest else 1)
+                    scores[p] = scores.get(p, 0.0) + math.log(1 + (len(pages) - df + 0.5) / (df + 0.5)) * part * (3 if w in title.split() else 2 if w in rest.split() else 1)
         best = sorted((-round(s, 6), p) for p, s in scores.items())[:4]
         expected += [(q, p, n, -s) for n, (s, p) in enumerate(best, 1)]
     for block in (7, 1024):
