@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import cut_lineage, map_rows
 
 WINDOW = 10
 #: Bytes to A-Z lower-cased, and all bytes that are no word bytes to a blank: 0-9, a-z and every byte of a non-ASCII character stay.
@@ -248,8 +248,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str],
     """``docs`` with three columns more, named by ``names`` (no column of docs): its number of words, its merged spans
     (word positions, end exclusive) and the item ids found, each once.
 
-    The benchmark is cut into blocks of ``block_bytes`` of text, so that what goes to the tasks stays bounded; each block
-    is one more pass over the rows as they stream by, without a shuffle. Null texts have no words; a text of any length
+    The benchmark is cut into blocks of some ``block_bytes`` of text. Each block is one pass over the rows, without a
+    shuffle, and but for the last one its rows are written before the next block's phrases are made: driver and tasks
+    hold the phrases of one block at a time, however large the benchmark. Null texts have no words; a text of any length
     is indexed whole; repeated rows get equal answers; an empty table gives no rows. An item without an id is searched
     like any other, its hits count, and it is not listed.
     """
@@ -257,9 +258,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str],
     from pyspark.sql.pandas.types import to_arrow_type
 
     at = docs.columns.index("text")
-    sizes = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).head()["n"]
+    keyed = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()  # copies would all fall into one block
+    sizes = keyed.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64), F.lit(0)).alias("n")).head()["n"]
     blocks = max(1, -(-int(sizes) // block_bytes))
-    keyed = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     kinds = [to_arrow_type(t) for t in FOUND]
     rows = docs
     for block in range(blocks):
@@ -282,6 +283,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str],
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
 
         rows = map_rows(rows, run, [*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, FOUND, strict=True))])
+        if block + 1 < blocks:
+            rows = cut_lineage(rows)
+            held.destroy()
     return rows
 
 

@@ -215,49 +215,83 @@ def _worded(text: str) -> bool:
 
 
 class Words:
-    """The ids of words met before, and whether the other library agrees on each; emptied when it holds ``most`` words."""
+    """The ids of words met before, and whether the other library agrees on each.
 
-    def __init__(self, raw: bytes, most: int = 1 << 18, run: int = 2000) -> None:
-        self.raw, self.most, self.run = raw, most, run
+    Words of over ``longest`` characters are encoded anew each time. The store is emptied when the others would come to
+    more than ``most`` words or ``chars`` characters; only the words of one batch may exceed that, until the next one. A
+    character gives at most four ids of four bytes, so the defaults come to some 100 MB at worst, whatever the texts.
+    """
+
+    def __init__(self, raw: bytes, most: int = 1 << 18, run: int = 2000, chars: int = 1 << 22, longest: int = 64) -> None:
+        self.raw, self.most, self.run, self.chars, self.longest = raw, most, run, chars, longest
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.ids, self.begin, self.agree = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.held, self.ids, self.begin, self.agree = 0, np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def by_both(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The words' ids laid end to end, where each word's begin, and the other library's agreement.
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words by both libraries, in runs of words parted by blanks."""
+        Words go through the libraries in runs parted by blanks. None if a run doesn't give a first piece for each word,
+        as then nothing tells the ids of one word from the next one's.
+        """
         runs = [words[k : k + self.run] for k in range(0, len(words), self.run)]
         texts = [" ".join(r) for r in runs]
         own, theirs = encode_batch(texts, self.raw), _standard(self.raw).encode(texts, num_threads=1)
+        first = _first_of_word(self.raw)
+        starts = [np.flatnonzero(first[np.array(a, np.int64)]) for a in own]
+        if any(len(s) != len(r) or s[0] for s, r in zip(starts, runs, strict=True)):
+            return None
         ids = np.fromiter(chain.from_iterable(own), np.int32, sum(map(len, own)))
-        begin = np.flatnonzero(_first_of_word(self.raw)[ids])
+        before = np.cumsum([0, *map(len, own)])
         agree = [[True] * len(r) if a == b else [encode_batch([w], self.raw)[0] == _standard(self.raw).encode(w) for w in r] for r, a, b in zip(runs, own, theirs, strict=True)]
+        return ids, np.concatenate([s + n for s, n in zip(starts, before, strict=False)]), np.fromiter(chain.from_iterable(agree), bool)
+
+    def learn(self, words: list[str]) -> bool:
+        """Put new words into the store; False if they can't be told apart."""
+        got = self.by_both(words)
+        if got is None:
+            return False
+        ids, begin, agree = got
         self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.held += sum(map(len, words))
         self.begin = np.concatenate([self.begin[:-1], begin + len(self.ids), [len(self.ids) + len(ids)]])
         self.ids = np.concatenate([self.ids, ids])
-        self.agree = np.concatenate([self.agree, np.fromiter(chain.from_iterable(agree), bool)])
+        self.agree = np.concatenate([self.agree, agree])
+        return True
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """(ids, agreement) of texts of which ``_worded`` holds."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]] | None:
+        """(ids, agreement) of texts of which ``_worded`` holds; None if their words can't be told apart by first pieces."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
         told = lists.flatten().dictionary_encode()
         words = told.dictionary.to_pylist()
-        new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > self.most:
+        short = [w for w in words if len(w) <= self.longest]
+        new = [w for w in short if w not in self.at]
+        if len(self.at) + len(new) > self.most or self.held + sum(map(len, new)) > self.chars:
             self.clear()
-            new = words
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))[told.indices.to_numpy()]
-        length = (self.begin[1:] - self.begin[:-1])[at]
+            new = short
+        if new and not self.learn(new):
+            return None
+        place, ids, begin, agrees = self.at, self.ids, self.begin, self.agree
+        if len(short) < len(words):  # words for this batch alone, behind the store's
+            long = [w for w in words if len(w) > self.longest]
+            got = self.by_both(long)
+            if got is None:
+                return None
+            place = dict(zip(long, range(len(self.at), len(self.at) + len(long)), strict=True))
+            place.update((w, self.at[w]) for w in short)
+            begin = np.concatenate([begin[:-1], got[1] + len(ids), [len(ids) + len(got[0])]])
+            ids, agrees = np.concatenate([ids, got[0]]), np.concatenate([agrees, got[2]])
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))[told.indices.to_numpy()]
+        length = (begin[1:] - begin[:-1])[at]
         ends = np.cumsum(length)
-        flat = self.ids[np.repeat(self.begin[at] - ends + length, length) + np.arange(ends[-1])]
+        flat = ids[np.repeat(begin[at] - ends + length, length) + np.arange(ends[-1])]
         first = lists.offsets.to_numpy()
-        agree = np.logical_and.reduceat(self.agree[at], first[:-1])
+        agree = np.logical_and.reduceat(agrees[at], first[:-1])
         return list(zip(np.split(flat, ends[first[1:-1] - 1]), agree.tolist(), strict=True))
 
 
@@ -271,8 +305,11 @@ def _encoded(texts: list[str], raw: bytes) -> list[tuple[np.ndarray, bool]]:
     by_words = _can_cut(raw)
     kinds = [by_words and _worded(t) for t in texts]
     own = [t for t, k in zip(texts, kinds, strict=True) if k]
+    told = _words(raw).encode(own) if own else []
+    if told is None:
+        kinds, told = [False] * len(texts), []
     other = [t for t, k in zip(texts, kinds, strict=True) if not k]
-    found = iter(_words(raw).encode(own) if own else [])
+    found = iter(told)
     ids = encode_batch(other, raw) if other else []
     rest = iter([(np.fromiter(a, np.int32, len(a)), a == b) for a, b in zip(ids, _standard(raw).encode(other, num_threads=1) if other else [], strict=True)])
     return [next(found) if k else next(rest) for k in kinds]

@@ -84,6 +84,17 @@ def test_decontamination_by_items_without_an_id(spark):
     assert rows(fmindex.digest(fmindex.find(df, alone)), "doc_id", "n_hit", "n_items", "items_sha256")[0] == (1, 3, 0, none)
 
 
+def test_decontamination_by_many_blocks_takes_them_in_turn(spark, docs):
+    texts = [r[1] for r in corpus() if r[1] and len(r[1].split()) > 12]
+    items = [(k, " ".join(texts[k % len(texts)].split()[k % 3 : k % 3 + 11])) for k in range(150)] + [(7, "zzz"), (7, "zzz")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = fmindex.find(docs, bench, block_bytes=sum(len(t.encode()) + 64 for _, t in items) // 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the other passes are written and done
+    assert rows(found) == rows(fmindex.find(docs, bench))
+    assert sum(len(r.items) > 0 for r in found.collect()) > 10
+
+
 def test_decontamination_of_nothing(spark, docs, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not any(r[5] for r in rows(fmindex.digest(fmindex.find(docs, bench))))
@@ -520,6 +531,34 @@ def test_tokens(docs, none):
     assert not next(pieces.encode_texts(["a▁b"], raw))[1]  # the marker itself comes back as a blank
 
 
+def test_the_store_of_words_is_bounded_whatever_the_texts():
+    pytest.importorskip("sentencepiece")
+    raw = open(pieces.MODEL, "rb").read()
+    r = random.Random(4)
+    texts = ["".join(r.choice("天地玄黄宇宙洪荒abc") for _ in range(n)) for n in (4000, 20, 70, 64, 65, 900)] * 3
+    texts = [t + f"x{k}" for k, t in enumerate(texts)] + ["ab " + "q" * 500 + " cd", "ab cd"]
+    store = pieces.Words(raw, chars=200)
+    for k in range(0, len(texts), 2):
+        some = texts[k : k + 2]
+        assert [(x.tolist(), agree) for x, agree in store.encode(some)] == [(x, True) for x in pieces._standard(raw).encode(some)]
+        assert store.held == sum(map(len, store.at)) <= 200 and all(len(w) <= 64 for w in store.at)
+        assert len(store.ids) <= 4 * 200 + len(store.at)
+
+
+def test_words_without_a_first_piece_send_their_texts_whole(monkeypatch):
+    pytest.importorskip("sentencepiece")
+    raw = open(pieces.MODEL, "rb").read()
+    texts = ["the cat and the dog", "a dog", "", "no  single blanks"]
+    whole = pieces._standard(raw).encode(texts)
+    first = pieces._first_of_word(raw).copy()
+    first[whole[0][0]] = False  # as if the first word of all had been normalised away
+    monkeypatch.setattr(pieces, "_first_of_word", lambda raw: first)
+    pieces._words.cache_clear()
+    assert pieces.Words(raw).encode(texts[:1]) is None
+    assert [(x[0].tolist(), *x[1:]) for x in pieces.encode_texts(texts, raw)] == [(x, True, True) for x in whole]
+    pieces._words.cache_clear()
+
+
 def test_the_registered_query_returns_the_ids(docs, tmp_path):
     sentencepiece = pytest.importorskip("sentencepiece")
     docs.limit(20).write.parquet(str(tmp_path / "documents.parquet"))
