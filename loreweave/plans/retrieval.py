@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions.text import is_continuation, token_set, tokenize
 from loreweave.functions.vectors import cosine, norm
-from loreweave.operators import fusion, lexical, vector
+from loreweave.operators import cells, fusion, lexical, vector
 from loreweave.session import shared_folder
 from loreweave.sources.textindex import TextIndex
 
@@ -106,17 +106,24 @@ def bm25_excerpts(read):
     return read("wiki_pages").select("doc_id", lexical.excerpt(F.col("text"), tokenize(F.col("title"))).alias("excerpt"))
 
 
-@query(
-    "knn_top5",
-    """with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 20 = 0), c as (select vec_id as key, embedding::double[] as e from embeddings),
+_KNN_SQL = """with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 20 = 0), c as (select vec_id as key, embedding::double[] as e from embeddings),
     s as (select query_id, key, round(list_cosine_similarity(q.e, c.e), 6) as score from q, c)
-    select query_id, key, rank::int as rank, score from (select *, row_number() over (partition by query_id order by score desc, key) as rank from s) where rank <= 5""",
-)
+    select query_id, key, rank::int as rank, score from (select *, row_number() over (partition by query_id order by score desc, key) as rank from s) where rank <= 5"""
+
+
+@query("knn_top5", _KNN_SQL)
 def knn_top5(read):
     rows = read("embeddings").select(F.col("vec_id").alias("key"), "embedding")
     return vector.knn(rows, rows.where("key % 20 = 0").select(F.col("key").alias("query_id"), "embedding"), 5)
 
 
+@query("knn_by_cells_top5", _KNN_SQL)
+def knn_by_cells_top5(read):
+    rows = read("embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    asked = rows.where("key % 20 = 0").select(F.col("key").alias("query_id"), "embedding")
+    return cells.build(rows).search(asked, 5).drop("opened")
+
+
 @query("vector_norms", "select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as length, round(list_cosine_similarity(embedding::double[], list_reverse(embedding::double[])), 6) as mirrored from embeddings")
 def vector_norms(read):
     return read("embeddings").select("vec_id", F.round(norm(F.col("embedding")), 6).alias("length"), F.round(cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("mirrored"))
