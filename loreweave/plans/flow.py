@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loreweave import api, models
 from loreweave.functions.text import token_set
 from loreweave.operators import catalog, curation, evidence, workflow
-from loreweave.sources import git
+from loreweave.sources import changes, git
 
 from .base import query
 from .knowledge import _LADDER
@@ -340,3 +340,15 @@ def checked_collection(read):
     raw = rows.select(F.concat(F.lit("raw/r"), d.cast("string"), F.lit(".txt")).alias("path"))
     log = rows.limit(0).select(*[F.lit("").alias(c) for c in ("actor", "op", "action", "subject", "outcome", "reason")])
     return workflow.check(pages, read("wiki_toc").withColumn("title", F.lit("t")), claims, raw, log, "2026-02-01")["counts"]
+
+
+# --- changes of a folder of pages ----------------------------------------------------------------------------------
+
+
+@query(
+    "page_changes",
+    """select coalesce(a.path, b.path) as path, b.path is null as gone from stale_pages a full join kept_pages b on a.path = b.path
+    where a.path is null or b.path is null or a.text is distinct from b.text""",
+)
+def page_changes(read):
+    return changes.differences(*[read(t).select("path", F.md5("text").alias("stamp")) for t in ("stale_pages", "kept_pages")])

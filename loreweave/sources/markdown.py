@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from datetime import datetime
 from typing import Any
 
 import pandas as pd
@@ -21,9 +22,14 @@ _PLAIN = re.compile(r"[A-Za-z0-9_./@ -]+$")
 PAGE = "path string, title string, type string, topic string, summary string, tags array<string>, updated string, sources array<string>, files array<string>, claims array<map<string,string>>, body string, meta string"
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text): all Markdown files under a folder, but for skipped and hidden folders; paths relative to it."""
+def scan(spark: SparkSession, root: str, since: datetime | None = None) -> DataFrame:
+    """(path, text): all Markdown files under a folder, but for skipped and hidden folders; paths relative to it.
+
+    With ``since`` only files changed at that time or later are opened.
+    """
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    if since is not None:
+        files = files.where(F.col("_metadata.file_modification_time") >= F.lit(since))
     base = root.rstrip("/").split("://")[-1] + "/"
     file = F.col("_metadata.file_path")
     path = F.url_decode(F.right(file, F.length(file) - F.instr(file, base) - (len(base) - 1)))

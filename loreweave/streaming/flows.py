@@ -206,20 +206,31 @@ def refresh_index(pages: DataFrame, store, wiki: str, embedder, checkpoint: str,
     """A streaming query that keeps a chunk store current: each batch embeds only new or changed chunks.
 
     ``claims`` (a table: path, id, text, status) are read anew with each batch, for its pages; without them the claims'
-    chunks in the store stay as they are.
+    chunks in the store stay as they are. ``pages`` may be a log of changes (``sources.changes``: path, seq, gone, text):
+    of each path the batch's last change counts, and all chunks of pages that are gone go, their claims' too.
     """
     from loreweave.models import embed
     from loreweave.operators.chunking import chunks, index_diff
+    from loreweave.sources.changes import latest
+    from loreweave.sources.markdown import pages as page_rows
 
     def apply(batch: DataFrame, _: int) -> None:
+        left = None
+        if {"gone", "seq"} <= set(batch.columns):
+            last = latest(batch).checkpoint()
+            read, left = page_rows(last.where("not gone").select("path", "text")), last.where("gone").select("path")
+            batch = read.select("path", "title", F.col("body").alias("text"))
         now = chunks(batch, claims)
-        stored = store.hashes(wiki, embedder.fingerprint()).join(batch.select("path").distinct(), "path", "left_semi")
+        kept = store.hashes(wiki, embedder.fingerprint())
+        stored = kept.join(batch.select("path").distinct(), "path", "left_semi")
         # settled before anything is written: a plan cannot read the files that its own changes replace
         todo = index_diff(now, stored if claims is not None else stored.where("kind <> 'claim'")).checkpoint()
         new = now.join(todo.where("action = 'embed'").select("path", "key"), ["path", "key"], "left_semi")
         fixed = {"wiki": wiki, "fingerprint": embedder.fingerprint(), "model": "hashing", "updated_at": ""}
         rows = embed(new, embedder).withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("dim", F.lit(embedder.dims))
         gone = todo.where("action = 'remove'").select(F.lit(wiki).alias("wiki"), F.lit(embedder.fingerprint()).alias("fingerprint"), "path", "key")
+        if left is not None:
+            gone = gone.unionByName(kept.join(left, "path", "left_semi").select(F.lit(wiki).alias("wiki"), F.lit(embedder.fingerprint()).alias("fingerprint"), "path", "key"))
         store.apply(rows, gone)
 
     return pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
