@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from loreweave.operators import sessions, similarity
 from loreweave.operators.containment import held_names
 
@@ -103,3 +105,18 @@ def test_the_way_up_by_doubling(spark):
     expected = [x for s in {r[0] for r in rows} for x in _up([r for r in rows if r[0] == s])]
     assert got == sorted(expected, key=repr)
     assert sessions.active_branch(df.limit(0)).count() == 0
+
+
+def _given(monkeypatch):
+    """What similar_pairs is asked for, while it does its work."""
+    asked, work = [], similarity.similar_pairs
+    monkeypatch.setattr(similarity, "similar_pairs", lambda rows, *a, **k: asked.append(rows) or work(rows, *a, **k))
+    return asked
+
+
+def test_pairs_of_groups_carry_no_texts(spark, monkeypatch):
+    asked = _given(monkeypatch)
+    rows = [("k", 1, "b", ["x", "y"], False, False), ("k", 1, "a", ["x", "z"], False, False), ("k", 2, "c", ["x", "y", "z"], False, False)]
+    df = spark.createDataFrame(rows, "key string, ord long, text string, tokens array<string>, accepted boolean, promoted boolean")
+    assert [tuple(r) for r in similarity.promote_recurring(df, 0.5, 2).collect()] == [("k", 1, "a", 3)]
+    assert "text" not in asked[0].schema["id"].dataType.simpleString()
