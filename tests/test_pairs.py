@@ -120,3 +120,12 @@ def test_pairs_of_groups_carry_no_texts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "key string, ord long, text string, tokens array<string>, accepted boolean, promoted boolean")
     assert [tuple(r) for r in similarity.promote_recurring(df, 0.5, 2).collect()] == [("k", 1, "a", 3)]
     assert "text" not in asked[0].schema["id"].dataType.simpleString()
+
+
+def test_pairs_that_share_a_key_but_too_little_are_not_taken_on(spark):
+    # all hold one word, that nothing is rarer than in the small ones
+    rows = [(i, ["all", f"a{i // 2}", f"b{i // 2}", f"c{i // 2}"]) for i in range(60)]
+    known = similarity._signed_words(spark.createDataFrame(rows, "id long, tokens array<string>"))
+    met = similarity._met(known, known, 0.25, F.col("x") < F.col("y"))
+    some = similarity._met(known, known, 0.5, F.col("x") < F.col("y"))
+    assert met.distinct().count() == 60 * 59 // 2 and some.distinct().count() < 60
