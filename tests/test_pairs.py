@@ -129,3 +129,11 @@ def test_pairs_that_share_a_key_but_too_little_are_not_taken_on(spark):
     met = similarity._met(known, known, 0.25, F.col("x") < F.col("y"))
     some = similarity._met(known, known, 0.5, F.col("x") < F.col("y"))
     assert met.distinct().count() == 60 * 59 // 2 and some.distinct().count() < 60
+
+
+def test_rows_of_the_same_words_recur_without_pairs(spark, monkeypatch):
+    asked = _given(monkeypatch)
+    rows = [(i, ["x", "y"]) for i in range(300)] + [(400, ["x", "y", "z"]), (401, ["w"]), (402, []), (403, None)]
+    got = {r.id: r.n for r in similarity.recurrence(spark.createDataFrame(rows, "id long, tokens array<string>")).collect()}
+    assert got == {i: 300 for i in range(300)} | {400: 300, 401: 0, 402: 0, 403: 0}
+    assert asked[0].count() == 3
