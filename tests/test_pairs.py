@@ -137,3 +137,13 @@ def test_rows_of_the_same_words_recur_without_pairs(spark, monkeypatch):
     got = {r.id: r.n for r in similarity.recurrence(spark.createDataFrame(rows, "id long, tokens array<string>")).collect()}
     assert got == {i: 300 for i in range(300)} | {400: 300, 401: 0, 402: 0, 403: 0}
     assert asked[0].count() == 3
+
+
+def test_first_duplicates_come_without_all_pairs(spark):
+    r = random.Random(5)
+    rows = [(i, f"p{r.randrange(3)}", r.sample("abcdefgh", r.randint(0, 5))) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, page string, tokens array<string>")
+    all_ = [(a, b) for a, p, x in rows for b, q, y in rows if a < b and p != q and _like(set(x), set(y), 0.72)]
+    for first in (256, 2):
+        assert [(p.a, p.b) for p in similarity.duplicate_candidates(df, 0.72, 6, first).collect()] == all_[:6]
+    assert [(p.a, p.b) for p in similarity.duplicate_candidates(df.where("id >= 80"), 0.72, 1000, 4).collect()] == [(a, b) for a, b in all_ if a >= 80]
