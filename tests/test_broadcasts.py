@@ -27,6 +27,6 @@ def _broadcast_words(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["confirmed_claims", "superseded_claims"])
+@pytest.mark.parametrize("name", ["confirmed_claims", "superseded_claims", "unbacked_claims"])
 def test_exploded_words_are_not_broadcast(spark, name):
     assert _broadcast_words(registry.queries()[name](spark, str(SF))) == []
