@@ -147,3 +147,18 @@ def test_first_duplicates_come_without_all_pairs(spark):
     for first in (256, 2):
         assert [(p.a, p.b) for p in similarity.duplicate_candidates(df, 0.72, 6, first).collect()] == all_[:6]
     assert [(p.a, p.b) for p in similarity.duplicate_candidates(df.where("id >= 80"), 0.72, 1000, 4).collect()] == [(a, b) for a, b in all_ if a >= 80]
+
+
+def test_best_matches_take_on_no_pairs_below_what_was_found(spark, monkeypatch):
+    r = random.Random(6)
+    some = lambda n: [(i, r.sample("abcdefghij", r.randint(0, 7))) for i in range(n)]
+    asked, claims = some(40), some(60)
+    levels, work = [], similarity._met
+    monkeypatch.setattr(similarity, "_met", lambda a, b, level, twins: levels.append(level) or work(a, b, level, twins))
+    best = {}
+    for q, x in asked:
+        scored = [(-len(set(x) & set(y)) / min(len(x), len(y)), i) for i, y in claims if x and y]
+        best |= {q: min(scored)[1]} if scored and min(scored)[0] <= -0.3 else {}
+    got = similarity.best_match(spark.createDataFrame(asked, "query_id long, tokens array<string>"), spark.createDataFrame(claims, "id long, tokens array<string>"), 0.3)
+    assert {m.query_id: m.id for m in got.collect()} == best
+    assert levels[0] == 1.0 and levels[-1] == 0.3
