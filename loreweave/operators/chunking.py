@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,29 +13,28 @@ from .curation import is_active
 MOST, OVERLAP, LEAST = 4800, 640, 80
 
 
-def sections(pages: DataFrame) -> DataFrame:
+def sections(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, section, heading, slug, body): a page cut at its headings; what stands before the first is ``overview``.
 
     A line of one to six # and white space is a heading, in code fences too; one without a text is named ``overview``.
     Headings lose emphasis and code marks; the lines between them lose those, links' targets and trailing white space.
     Sections without a text go before slugs are numbered: repeated slugs of a page get -2, -3 and so on. ``section``
-    counts headings. ``pages``: path, text.
+    counts headings. ``pages``: path, text, and columns to ``keep``. Pages move once, by path, and are cut where they are.
     """
-    parts = pages.select("path", F.split("text", "\n").alias("parts"))
-    each = parts.select("path", (F.size("parts") - 1).alias("end"), F.posexplode("parts").alias("at", "line"))
-    own = F.when((F.col("at") < F.col("end")) & F.endswith("line", F.lit("\r")), F.substring("line", F.lit(1), F.length("line") - 1)).otherwise(F.col("line"))
-    lines = each.select("path", "at", own.alias("line"))
-    mark = f"^#{{1,6}}[{BLANKS}]+"
-    head = F.col("line").rlike(mark + r"[^\n\r\u2028\u2029]*\z")
-    order = Window.partitionBy("path").orderBy("at")
-    numbered = lines.withColumn("section", F.sum(F.when(head, 1).otherwise(0)).over(order)).withColumn("head", head)
-    title = trim_blanks(without_marks(F.regexp_replace("line", mark, "")))
-    label = F.max(F.when(F.col("head"), F.coalesce(F.nullif(title, F.lit("")), F.lit("overview"))))
-    body = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("at", strip_inline(F.col("line")).alias("line")))))
-    grouped = numbered.groupBy("path", "section").agg(label.alias("heading"), trim_blanks(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"))
-    named = grouped.where("body <> ''").withColumn("heading", F.coalesce("heading", F.lit("overview"))).withColumn("base", section_slug(F.col("heading")))
-    nth = F.row_number().over(Window.partitionBy("path", "base").orderBy("section"))
-    return named.withColumn("slug", F.when(nth == 1, F.col("base")).otherwise(F.concat_ws("-", "base", nth))).select("path", "section", "heading", "slug", "body")
+    mark = f"#{{1,6}}[{BLANKS.replace(chr(10), '')}]+"
+    head = rf"{mark}[^\n\r\u2028\u2029]*(?![^\n])"
+    plain = F.concat(F.lit("\n"), F.replace("text", F.lit("\r\n"), F.lit("\n")))  # so that the first part has no heading
+    each = pages.repartition("path").select("path", *keep, F.posexplode(F.split(plain, f"\n(?={head})")).alias("at", "part"))
+    numbered = each.select("path", *keep, F.col("at").cast("long").alias("section"), F.split("part", "\n").alias("lines"))
+    title = F.when(F.col("section") > 0, trim_blanks(without_marks(F.regexp_replace(F.get("lines", F.lit(0)), "^" + mark, ""))))
+    own = F.slice("lines", F.when(F.col("section") > 0, 2).otherwise(1), F.size("lines"))
+    body = trim_blanks(F.array_join(F.transform(own, strip_inline), "\n"))
+    cut = numbered.select("path", *keep, "section", F.coalesce(F.nullif(title, F.lit("")), F.lit("overview")).alias("heading"), body.alias("body"))
+    # filtered after the window only, as a filter before it would make each body twice
+    full, order = F.col("body") != "", Window.partitionBy("path", "base").orderBy("section")
+    nth = F.sum(F.when(full, 1).otherwise(0)).over(order)
+    named = cut.withColumn("base", section_slug(F.col("heading"))).withColumn("nth", nth).where(full)
+    return named.withColumn("slug", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "nth"))).select("path", *keep, "section", "heading", "slug", "body")
 
 
 def cut_windows(text: str, most: int = MOST, overlap: int = OVERLAP) -> list[str]:
@@ -56,17 +53,16 @@ def cut_windows(text: str, most: int = MOST, overlap: int = OVERLAP) -> list[str
         start = max(end - overlap, start + 1)
 
 
-def windows(parts: DataFrame, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
-    """(path, slug, heading, n, text): the windows of each section."""
+def windows(parts: DataFrame, most: int = MOST, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, slug, heading, n, text): the windows of each section, and columns to ``keep``. Only long ones go to Python."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(r.path, r.slug, r.heading, n, x) for r in frame.itertuples() for n, x in enumerate(cut_windows(r.body, most, overlap), 1)]
-            yield pd.DataFrame(rows, columns=["path", "slug", "heading", "n", "text"])
+    @F.pandas_udf("array<string>")
+    def run(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda b: cut_windows(b, most, overlap) if isinstance(b, str) else None)
 
-    rows = parts.select("path", "slug", "heading", "body")
-    whole = rows.where(F.length("body") <= most).select("path", "slug", "heading", F.lit(1).alias("n"), F.col("body").alias("text"))
-    return whole.unionByName(rows.where(F.length("body") > most).mapInPandas(run, "path string, slug string, heading string, n int, text string"))
+    rows = parts.withColumn("_cut", run(F.when(F.length("body") > most, F.col("body"))))
+    each = rows.select("path", "slug", "heading", *keep, F.posexplode(F.coalesce("_cut", F.array("body"))).alias("n", "text"))
+    return each.select("path", "slug", "heading", *keep, (F.col("n") + 1).alias("n"), "text")
 
 
 def chunks(pages: DataFrame, claims: DataFrame | None = None) -> DataFrame:
@@ -77,12 +73,13 @@ def chunks(pages: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     fall together, the one last in the order of text stays.
     """
     none = F.lit(None).cast("string")
-    titled = pages.select("path", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.regexp_replace("path", r"\.md$", "")).alias("title"))
-    cut = windows(sections(pages)).where(F.length("text") >= LEAST).join(titled, "path")
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.regexp_replace("path", r"\.md$", ""))
+    own = pages.where("path is not null").select("path", "text", title.alias("title"))
+    cut = windows(sections(own, ("title",)), keep=("title",)).where(F.length("text") >= LEAST)
     key = F.concat(F.lit("section:"), "slug", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise(F.lit("")))
     out = cut.select("path", key.alias("key"), F.lit("page-section").alias("kind"), none.alias("claim_id"), none.alias("status"), "title", "text")
     if claims is not None:
-        active = claims.where(is_active(F.col("status"), "index")).withColumn("text", trim_blanks(F.col("text"))).where("text <> ''").join(titled, "path")
+        active = claims.where(is_active(F.col("status"), "index")).withColumn("text", trim_blanks(F.col("text"))).where("text <> ''").join(pages.select("path", title.alias("title")), "path")
         own = F.concat(F.lit("claim:"), F.coalesce("id", section_slug(F.col("text"))))
         out = out.unionByName(active.select("path", own.alias("key"), F.lit("claim").alias("kind"), F.nullif("id", F.lit("")).alias("claim_id"), F.nullif("status", F.lit("")).alias("status"), "title", "text"))
     hashed = out.withColumn("hash", F.sha2(F.concat_ws("\n", "title", "text"), 256))

@@ -5,7 +5,19 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
-from loreweave.operators import vector
+from loreweave.operators import chunking, vector
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_cut_where_they_are_and_only_once(spark):
+    pages = spark.createDataFrame([("a.md", "T", "intro\r\n# One\n" + "word " * 40 + "\n#\r\n# One\r\n" + "more " * 2000)], "path string, title string, text string")
+    plan = _plan(chunking.chunks(pages))
+    assert plan.count("Exchange hashpartitioning(") == 2  # pages by path, chunks by key
+    assert plan.count("Generate posexplode(split(") == 1
+    assert [r[1:] for r in chunking.sections(pages.select("path", "text")).where("section > 0").select("path", "section", "heading", "slug").collect()] == [(1, "One", "one"), (2, "One", "one-2")]
 
 
 def test_a_task_scores_tiles_of_queries_and_rows():
