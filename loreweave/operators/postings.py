@@ -21,6 +21,8 @@ K1, B = 1.2, 0.75
 EVERY, DEAD = "", " "
 #: Documents in a range, at most about; queries that meet a range at once.
 RANGE, QUERIES = 4096, 256
+#: Distinct tokens of queries that are broadcast, at most.
+WANTED = 1 << 18
 BLOCK = "range long, token string, n long, most int, least int, boost double, slots array<int>, tfs array<int>, lens array<int>, boosts array<double>, paths array<string>, hashes array<string>"
 
 
@@ -49,7 +51,9 @@ def blocks(docs: DataFrame, ranges: int, wanted: DataFrame | None = None, first:
     mark = F.substring("word", 1, 2)
     named = each.select("range", "slot", "len", F.when(mark == "3:", 3.0).when(mark == "2:", 2.0).otherwise(1.0).alias("boost"), F.when(mark.isin("3:", "2:"), F.substring("word", 3, 1 << 30)).otherwise(F.col("word")).alias("token"))
     if wanted is not None:
-        named = named.join(wanted.select("token").unionByName(spark.createDataFrame([(EVERY,)], "token string")), "token", "left_semi")
+        # few tokens go to the words: else every word of the texts would move to them, and once more to its range
+        held_ = wanted.select("token").unionByName(spark.createDataFrame([(EVERY,)], "token string")).distinct()
+        named = named.join(F.broadcast(held_) if held_.count() <= WANTED else held_, "token", "left_semi")
     tf = named.groupBy("range", "slot", "token").agg(F.sum(F.when(F.col("boost") == 1.0, 1).otherwise(0)).cast("int").alias("tf"), F.max("boost").alias("boost"), F.max("len").alias("len")).where("tf > 0")
     gathered = F.sort_array(F.collect_list(F.struct("slot", "tf", "len", "boost")))
     held = tf.groupBy("range", "token").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.max("boost").alias("boost"), gathered.alias("e"))

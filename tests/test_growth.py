@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
-from loreweave.operators import chunking, vector
+from loreweave.operators import chunking, postings, vector
 
 
 def _plan(df) -> str:
@@ -33,3 +33,11 @@ def test_a_task_scores_tiles_of_queries_and_rows():
     score = np.round(q @ (m / np.linalg.norm(m, axis=1)[:, None]).T, 6)
     for i in (0, 700, 1499):
         assert best[i][1].tolist() == np.lexsort((np.arange(9000), -score[i]))[:3].tolist()
+
+
+def test_words_of_texts_stay_in_their_range_while_few_are_asked(spark):
+    docs = spark.createDataFrame([("a", "t", "", "one two two three")], "path string, title string, rest string, text string")
+    wanted = spark.range(1).selectExpr("'two' as token").checkpoint()
+    plan = _plan(postings.blocks(docs, 3, wanted))
+    assert "BroadcastHashJoin [token" in plan and "SortMergeJoin" not in plan.split("BroadcastHashJoin [token")[1]
+    assert [(r.token, r.n, r.tfs) for r in postings.blocks(docs, 3, wanted).where("token <> ''").collect()] == [("two", 1, [2])]
