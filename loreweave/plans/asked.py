@@ -25,7 +25,8 @@ class Letters:
         return "letters"
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        return np.array([[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], np.float32).reshape(len(texts), 26)
+        counts = [np.bincount(np.frombuffer(t.lower().encode(), np.uint8), minlength=123)[97:123] for t in texts]
+        return np.array(counts, np.float32).reshape(len(texts), 26)
 
 
 _LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length({0}) - length(replace(lower({0}), c, '')))::double)"
@@ -35,8 +36,8 @@ near as (select query_id, path, key, replace(key, 'section:', '') as anchor, sco
 
 
 def _store(read) -> DataFrame:
-    """The chunks of the headed pages as a store holds them."""
-    return cut(embed(chunks(read("headed_pages")), Letters()))
+    """The chunks of the headed pages as a search takes them from a store: without their texts."""
+    return cut(embed(chunks(read("headed_pages")), Letters()).select("path", "key", "kind", "claim_id", "status", "embedding"))
 
 
 @query("asked_semantic", f"with recursive {_CHUNKS}, {_NEAR} select query_id, path, key, anchor, rank::int as rank, score from near where rank <= 5")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 
 from loreweave.operators import chunking, postings, vector
+from loreweave.plans import asked
 
 
 def _plan(df) -> str:
@@ -41,3 +42,11 @@ def test_words_of_texts_stay_in_their_range_while_few_are_asked(spark):
     plan = _plan(postings.blocks(docs, 3, wanted))
     assert "BroadcastHashJoin [token" in plan and "SortMergeJoin" not in plan.split("BroadcastHashJoin [token")[1]
     assert [(r.token, r.n, r.tfs) for r in postings.blocks(docs, 3, wanted).where("token <> ''").collect()] == [("two", 1, [2])]
+
+
+def test_a_store_that_is_searched_holds_no_texts(spark):
+    pages = spark.createDataFrame([("a.md", "T", "Kelvin K é " * 20)], "path string, title string, text string")
+    rows = asked._store(lambda name: pages)
+    assert rows.columns == ["path", "key", "kind", "claim_id", "status", "embedding"]
+    text = chunking.chunks(pages).head()["text"]
+    assert rows.head()["embedding"] == [float(text.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"]
