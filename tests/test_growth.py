@@ -7,6 +7,7 @@ import pandas as pd
 
 from loreweave.operators import chunking, postings, vector
 from loreweave.plans import asked
+from loreweave.streaming import flows
 
 
 def _plan(df) -> str:
@@ -50,3 +51,58 @@ def test_a_store_that_is_searched_holds_no_texts(spark):
     assert rows.columns == ["path", "key", "kind", "claim_id", "status", "embedding"]
     text = chunking.chunks(pages).head()["text"]
     assert rows.head()["embedding"] == [float(text.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"]
+
+
+class _Held(list):
+    """A list state that notes what it is told."""
+
+    def appendValue(self, value):
+        self.append(value)
+
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return iter(self)
+
+
+class _Handle:
+    def __init__(self):
+        self.list, self.values, self.timers = _Held(), {}, []
+
+    def getListState(self, name, schema):
+        return self.list
+
+    def getValueState(self, name, schema):
+        values = self.values
+        return type("Value", (), {"exists": lambda _: name in values, "get": lambda _: values[name], "update": lambda _, v: values.update({name: v}), "clear": lambda _: values.pop(name, None)})()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_rows_that_wait_are_kept_in_blocks_and_keys_in_buckets():
+    step = lambda state, r: ((r.n,), [(r.ts, r.n)] if not state or r.n is None or state[0] is None or r.n > state[0] else [])
+    walker = flows.InOrder(["k", "ts", "n"], {"ts": "ts__null", "n": "n__null"}, ["k", "ts", "n"], step, ("n",), True, None, None, lambda state: state[0] is None)
+    walker.init(handle := _Handle())
+    n, keys, start = 50_000, 100, 1_700_000_000_000
+    at = np.random.default_rng(3).permutation(n)
+    none = at % 7 == 0
+    frame = pd.DataFrame({"k": [f"k{x % keys}" for x in at], "ts": (start + at) * 1000 + 1, "n": np.where(none, 0, at + (1 << 60)), "ts__null": False, "n__null": none})
+    assert list(walker.handleInputRows((0,), iter([frame[:30_000], frame[30_000:]]), _Watermark(-1))) == []
+    assert len(handle.list) == 1 and handle.timers == [start]  # before: a value for each row, and calls for each key
+    first = pd.concat(list(walker.handleExpiredTimer((0,), _Watermark(start + n // 2 - 1), None)))
+    assert len(handle.list) == 1 and handle.timers[-1] == start + n // 2
+    out = pd.concat([first, *walker.handleExpiredTimer((0,), _Watermark(start + n), None)])
+    assert handle.list == [] and list(handle.values) == ["states"]
+    assert {(k, t, None if x is None else x - (1 << 60)) for k, t, x in out.itertuples(index=False)} == {(f"k{x % keys}", (start + x) * 1000 + 1, None if x % 7 == 0 else x) for x in range(n)}
+    for _, own in out.groupby("k"):
+        assert own["ts"].is_monotonic_increasing
