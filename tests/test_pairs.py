@@ -1,6 +1,7 @@
 """Greedy groups, first pairs and held strings against plain walks."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -78,6 +79,16 @@ def test_many_strings_in_one_pass(spark):
         assert sorted((x.i, x.name) for x in held_names(df, wanted, block=block).collect()) == expected
 
 
+def test_texts_stay_where_they_are_however_many_strings_there_are(spark):
+    texts = spark.range(20).selectExpr("id", "concat('see file', id, '.md and ', repeat('long text ', 50)) as text")
+    names = spark.range(3000).selectExpr("concat('file', id, '.md') as name")
+    got = held_names(texts, names, block=100, keep=["id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # before: every text moved once for each block of strings
+    assert "FlatMapCoGroupsInPandas" not in plan and "Generate" not in plan and not re.search(r"Exchange hashpartitioning\(.*text#", plan)
+    assert sorted(map(tuple, got.collect())) == [(i, f"file{i}.md") for i in range(20)]
+
+
 def _up(rows):
     """The way up of one session, step by step."""
     rows = sorted(rows, key=lambda r: r[1])
