@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,14 +48,16 @@ def blocks(docs: DataFrame, ranges: int, wanted: DataFrame | None = None, first:
     numbered = placed.repartition(parts, "range").withColumn("slot", F.row_number().over(order) - 1)
     # words of the title and the rest come marked; only one array is opened, and nothing else is carried along with it
     marked = lambda c, mark: F.transform(F.array_distinct(tokenize(F.col(c))), lambda t: F.concat(F.lit(mark), t))
+    if wanted is None:
+        words = numbered.select("range", "slot", "path", "hash", tokenize(F.col("text")).alias("tokens"), *[F.array_distinct(tokenize(F.col(c))).alias(c) for c in ("title", "rest")])
+        return words.groupBy("range").applyInArrow(gathered_range, BLOCK)
     sized = numbered.select("range", "slot", tokenize(F.col("text")).alias("tokens"), marked("title", "3:").alias("title"), marked("rest", "2:").alias("rest"))
     each = sized.select("range", "slot", F.greatest(F.size("tokens"), F.lit(1)).alias("len"), F.explode(F.concat("tokens", "title", "rest", F.array(F.lit(EVERY)))).alias("word"))
     mark = F.substring("word", 1, 2)
     named = each.select("range", "slot", "len", F.when(mark == "3:", 3.0).when(mark == "2:", 2.0).otherwise(1.0).alias("boost"), F.when(mark.isin("3:", "2:"), F.substring("word", 3, 1 << 30)).otherwise(F.col("word")).alias("token"))
-    if wanted is not None:
-        # few tokens go to the words: else every word of the texts would move to them, and once more to its range
-        held_ = wanted.select("token").unionByName(spark.createDataFrame([(EVERY,)], "token string")).distinct()
-        named = named.join(F.broadcast(held_) if held_.count() <= WANTED else held_, "token", "left_semi")
+    # few tokens go to the words: else every word of the texts would move to them, and once more to its range
+    held_ = wanted.select("token").unionByName(spark.createDataFrame([(EVERY,)], "token string")).distinct()
+    named = named.join(F.broadcast(held_) if held_.count() <= WANTED else held_, "token", "left_semi")
     tf = named.groupBy("range", "slot", "token").agg(F.sum(F.when(F.col("boost") == 1.0, 1).otherwise(0)).cast("int").alias("tf"), F.max("boost").alias("boost"), F.max("len").alias("len")).where("tf > 0")
     gathered = F.sort_array(F.collect_list(F.struct("slot", "tf", "len", "boost")))
     held = tf.groupBy("range", "token").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.max("boost").alias("boost"), gathered.alias("e"))
@@ -62,6 +66,49 @@ def blocks(docs: DataFrame, ranges: int, wanted: DataFrame | None = None, first:
     return held.select("range", "token", "n", "most", "least", "boost", *lists).join(listed, ["range", "token"], "left")
 
 
+def gathered_range(docs: pa.Table) -> pa.Table:
+    """The blocks of one range (range, slot, path, hash, tokens, title, rest), of all tokens: numbered, sorted and cut as arrays."""
+    docs = docs.sort_by("slot").combine_chunks()
+    count = docs.num_rows
+    column = lambda c: docs[c].combine_chunks() if isinstance(docs[c], pa.ChunkedArray) else docs[c]
+    lists = [column(c) for c in ("tokens", "title", "rest")]
+    sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+    flat = [x.flatten() for x in lists]
+    numbered = pa.concat_arrays([*flat, pa.array([EVERY], flat[0].type)]).dictionary_encode()
+    code = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.cumsum([len(x) for x in flat])
+    doc = np.arange(count)
+    text, title, rest = (c * count + np.repeat(doc, n) for c, n in zip(np.split(code[:-1], at[:-1]), sizes, strict=True))
+    key, tf = np.unique(np.concatenate([text, code[-1] * count + doc]), return_counts=True)
+    boost = np.ones(len(key))
+    for more, weight in ((rest, 2.0), (title, 3.0)):
+        place = np.minimum(np.searchsorted(key, more), len(key) - 1)
+        boost[place[key[place] == more]] = weight
+    token, own = key // count, key % count
+    length = np.maximum(sizes[0], 1)[own]
+    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    ends = pa.array(np.append(start, len(key)), pa.int32())
+    ids = token[start]
+    every = ids == code[-1]
+    whole = lambda c: pa.array([docs[c].to_pylist() if e else None for e in every.tolist()], pa.list_(pa.string()))
+    listed = lambda values, kind: pa.ListArray.from_arrays(ends, pa.array(values, kind))
+    kept = {
+        "range": pa.array(np.full(len(ids), docs["range"][0].as_py()), pa.int64()),
+        "token": numbered.dictionary.take(pa.array(ids)).cast(pa.string()),
+        "n": pa.array(np.diff(np.append(start, len(key))), pa.int64()),
+        "most": pa.array(np.maximum.reduceat(tf, start), pa.int32()),
+        "least": pa.array(np.minimum.reduceat(length, start), pa.int32()),
+        "boost": pa.array(np.maximum.reduceat(boost, start), pa.float64()),
+        "slots": listed(column("slot").to_numpy(zero_copy_only=False)[own], pa.int32()),
+        "tfs": listed(tf, pa.int32()),
+        "lens": listed(length, pa.int32()),
+        "boosts": listed(boost, pa.float64()),
+        "paths": whole("path"),
+        "hashes": whole("hash"),
+    }
+    return pa.table(kept)
+
+
 def statistics(held: DataFrame) -> tuple[int, float]:
     """(documents, their lengths together), of the blocks that list documents."""
     total = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
