@@ -9,13 +9,14 @@ from itertools import groupby
 from operator import itemgetter
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import BooleanType, LongType, NumericType, StructField, StructType, TimestampType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -39,22 +40,54 @@ def once(rows: DataFrame, *keys: str, ts: str = "ts", late: str = "1 hour") -> D
 #: The store that event-time timers need.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-#: Rows that are kept as one value of the state, rows that are given on at once, and buckets of keys.
-HELD, OUT, BUCKETS = 1 << 16, 1 << 16, 1024
+#: Rows that are kept as one value of the state, rows that are given on at once, bytes that are packed at once, and buckets of keys.
+HELD, OUT, PACKED, BUCKETS = 1 << 16, 1 << 16, 32 << 20, 1024
 
 #: A step takes a state and a row (a named tuple; ts in microseconds) and gives the state after it and the rows it makes.
 Step = Callable[[Any, Any], tuple[Any, list[tuple]]]
 
 
+def _block(table: pa.Table) -> bytes:
+    """Rows as one value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> Iterator[pa.Table]:
+    """The rows of one value: blocks, one after the other."""
+    source = pa.BufferReader(value)
+    while source.tell() < source.size():
+        yield pa.ipc.open_stream(source).read_all()
+
+
+def _blocks(parts: list[pa.RecordBatch], timed: bool) -> pa.RecordBatch:
+    """(bucket, first, last, rows) of each bucket in ``parts``: its rows as a block, its first time (0 if a row has none) and its last."""
+    table = pa.Table.from_batches(parts)
+    table = table.take(pc.sort_indices(table, sort_keys=[("bucket__", "ascending")])).combine_chunks()
+    bucket, own = table["bucket__"].to_numpy(), table.drop_columns(["bucket__"])
+    start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    first = last = pa.nulls(len(start), pa.int64())
+    if timed:
+        none = pc.is_null(own["ts"]).to_numpy()
+        ts = pc.fill_null(own["ts"], 0).to_numpy()
+        first = pa.array(np.where(np.logical_or.reduceat(none, start), 0, np.minimum.reduceat(ts, start)))
+        last = pa.array(np.maximum.reduceat(np.where(none, np.iinfo(np.int64).min, ts), start), mask=np.logical_and.reduceat(none, start))
+    rows = [_block(own.slice(at, end - at)) for at, end in zip(start.tolist(), [*start[1:].tolist(), len(bucket)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[start]), first, last, pa.array(rows, pa.binary())], names=["bucket__", "first__", "last__", "rows__"])
+
+
 class InOrder(StatefulProcessor):
     """Walks each key's rows in order, however they were dealt over batches.
 
     With event time a row waits until the watermark has reached it, so everything before it has come; rows go through
     ``step`` by time and then ``order``. A key that has been silent for ``idle`` milliseconds of event time is ended:
     ``finish`` gives its last rows and its state goes, as it does at once where ``spent`` says that the state is as good as none.
-    Without event time a batch's rows are sorted and taken as they come, and state stays. Keys stand together in buckets and
-    rows wait as packed blocks of columns, so neither a row nor a key costs messages to the store. ``held``: the columns,
-    the key first; ``nulls``: of columns that frames can't hold nulls in, the column that says where they were.
+    Without event time a batch's rows are sorted and taken as they come, and state stays. Keys stand together in buckets;
+    rows come, move and wait as packed blocks of columns (see ``_blocks``), so neither a row nor a key costs messages to the
+    store or a conversion before it is walked. ``held``: the columns, the key first; ``nulls``: where rows come as they are, of
+    columns that frames can't hold nulls in, the column that says where they were.
     """
 
     def __init__(self, held: list[str], nulls: dict[str, str], out: list[str], step: Step, order: tuple[str, ...], timed: bool, idle: int | None, finish: Callable | None, spent: Callable | None) -> None:
@@ -64,89 +97,83 @@ class InOrder(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.row = namedtuple("row", self.names, rename=True)
-        self.places = [self.names.index(n) for n in self.order]
         self.when = self.names.index("ts") if self.timed else None
         self.held = handle.getListState("held", "rows binary")
-        self.now = handle.getValueState("states", "packed binary")  # of each key its state and its last row's milliseconds
+        self.now = handle.getValueState("states", "packed binary")  # how far the bucket was walked; of each key its state and its last row's milliseconds
 
     def _ms(self, row: tuple) -> int:
         return 0 if row[self.when] is None else row[self.when] // 1000
 
-    def _rows(self, table: pa.Table) -> list[tuple]:
-        columns = []
-        for name in self.names:
-            values = table[name].to_pylist()
-            if name in self.nulls and pc.any(table[self.nulls[name]]).as_py():
-                values = [None if no else v for v, no in zip(values, table[self.nulls[name]].to_pylist(), strict=True)]
-            columns.append(values)
-        return list(map(self.row._make, zip(*columns, strict=True)))
-
-    def _sorted(self, rows: list[tuple]) -> list[tuple]:
-        try:
-            return sorted(rows, key=itemgetter(*self.places))
-        except TypeError:  # nulls come first
-            return sorted(rows, key=lambda r: tuple((r[i] is not None, r[i]) for i in self.places))
+    def _sorted(self, table: pa.Table) -> Iterator[tuple]:
+        """The rows in order, nulls first; a part of them at a time is Python's."""
+        table = table.take(pc.sort_indices(table, sort_keys=[(n, "ascending") for n in self.order], null_placement="at_start"))
+        for at in range(0, table.num_rows, OUT):
+            yield from map(self.row._make, zip(*[table[n].slice(at, OUT).to_pylist() for n in self.names], strict=True))
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(self.out, zip(*rows, strict=True), strict=True)})
 
-    def _walk(self, states: dict, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    def _walk(self, states: dict, rows: pa.Table) -> Iterator[pd.DataFrame]:
         made: list[tuple] = []
         for key, own in groupby(self._sorted(rows), itemgetter(0)):
             state, row = states.get(key, (None,))[0], None
             for row in own:
                 state, new = self.step(state, row)
-                made += [(key, *values) for values in new]
-                if len(made) >= OUT:
-                    yield self._frame(made)
-                    made = []
+                if new:
+                    made += [(key, *values) for values in new]
+                    if len(made) >= OUT:
+                        yield self._frame(made)
+                        made = []
             states[key] = (state, self._ms(row) if self.timed else None)
         if made:
             yield self._frame(made)
 
-    def _states(self) -> dict:
-        return pickle.loads(self.now.get()[0]) if self.now.exists() else {}
+    def _states(self) -> tuple[int | None, dict]:
+        return pickle.loads(self.now.get()[0]) if self.now.exists() else (None, {})
 
-    def _save(self, states: dict) -> None:
+    def _save(self, walked: int | None, states: dict) -> None:
         if states:
-            self.now.update((pickle.dumps(states),))
+            self.now.update((pickle.dumps((walked, states)),))
         else:
             self.now.clear()
 
-    def _keep(self, table: pa.Table) -> None:
-        for at in range(0, table.num_rows, HELD):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
-                out.write_table(table.slice(at, HELD))
-            self.held.appendValue((sink.getvalue().to_pybytes(),))
+    def _came(self, rows: pd.DataFrame) -> tuple[bytes, int]:
+        """What came, rows or blocks of them, as one value, and its first time in microseconds."""
+        if "rows__" in rows.columns:
+            return b"".join(rows["rows__"]), int(rows["first__"].min()) if self.timed else 0
+        table = pa.table({n: pa.array(rows[n], mask=rows[self.nulls[n]].to_numpy() if n in self.nulls else None, from_pandas=True) for n in self.names})
+        first = pc.min(pc.fill_null(table["ts"], 0)).as_py() if self.timed else 0
+        return b"".join(_block(table.slice(at, HELD)) for at in range(0, table.num_rows, HELD)), first
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        columns = [*self.names, *self.nulls.values()]
-        parts = [pa.Table.from_pandas(frame[columns], preserve_index=False).replace_schema_metadata() for frame in rows if len(frame)]
-        if not parts:
+        frames = [frame for frame in rows if len(frame)]
+        if not frames:
             return
-        table = pa.concat_tables(parts, promote_options="permissive").combine_chunks()
-        if not self.timed:
-            states = self._states()
-            yield from self._walk(states, self._rows(table))
-            self._save(states)
-            return
-        self._keep(table)
-        first = pc.min(table["ts"]).as_py() if not pc.any(table[self.nulls["ts"]]).as_py() else 0
-        self.handle.registerTimer(max(first // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        value, first = self._came(pd.concat(frames))
+        if self.timed:
+            self.held.appendValue((value,))
+            self.handle.registerTimer(max(first // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            _, states = self._states()
+            yield from self._walk(states, pa.concat_tables(_unpacked(value)).combine_chunks())
+            self._save(None, states)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         reached = timerValues.getCurrentWatermarkInMs()
-        blocks = [pa.ipc.open_stream(r[0]).read_all() for r in self.held.get()] if self.held.exists() else []
-        states, waiting, timers = self._states(), set(), []
+        blocks = [table for r in self.held.get() for table in _unpacked(r[0])] if self.held.exists() else []
+        (walked, states), waiting, timers = self._states(), set(), []
         if blocks:
-            held = pa.concat_tables(blocks, promote_options="permissive")
-            due = pc.or_(held[self.nulls["ts"]], pc.less(held["ts"], (reached + 1) * 1000))
-            ready, later = held.filter(due), held.filter(pc.invert(due))
-            yield from self._walk(states, self._rows(ready))
-            if ready.num_rows:
+            held = pa.concat_tables(blocks).combine_chunks()
+            none = pc.is_null(held["ts"])
+            due = pc.fill_null(pc.less(held["ts"], (reached + 1) * 1000), True)
+            later = held.filter(pc.invert(due))
+            if later.num_rows < held.num_rows:
+                # what the bucket was walked past before it came is late
+                ready = held.filter(due if walked is None else pc.and_(due, pc.or_(none, pc.fill_null(pc.greater(held["ts"], walked * 1000), True))))
+                yield from self._walk(states, ready)
                 self.held.clear()
-                self._keep(later.combine_chunks())
+                for at in range(0, later.num_rows, HELD):
+                    self.held.appendValue((_block(later.slice(at, HELD)),))
             if later.num_rows:
                 waiting = set(pc.unique(later[self.names[0]]).to_pylist())
                 timers.append(pc.min(later["ts"]).as_py() // 1000)
@@ -163,7 +190,7 @@ class InOrder(StatefulProcessor):
                 timers.append(last + self.idle)
         if ended:
             yield self._frame(ended)
-        self._save(states)
+        self._save(reached, states)
         if timers:
             self.handle.registerTimer(min(timers))
 
@@ -174,7 +201,8 @@ class InOrder(StatefulProcessor):
 def _stateful(rows: DataFrame, key: str, out: str, step: Step, order: tuple[str, ...] = (), late: str = "0 seconds", idle: str | None = None, finish: Callable | None = None, spent: Callable | None = None) -> DataFrame:
     """``rows`` by key through ``InOrder``; event time is the column ts where there is one.
 
-    Inside, times are microseconds as Spark counts them, whatever the time zone of a worker.
+    Inside, times are microseconds as Spark counts them, whatever the time zone of a worker. Each task packs its rows by
+    bucket before they are dealt: what Spark hands to Python one by one is blocks, not rows. No row within ``late`` is lost.
     """
     timed = "ts" in rows.columns
     made = StructType.fromDDL(out)
@@ -183,22 +211,30 @@ def _stateful(rows: DataFrame, key: str, out: str, step: Step, order: tuple[str,
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     named = [key, *[n for n in kinds if n != key]]
-    # numbers with nulls would come as floats
-    plain = [n for n in named if isinstance(kinds[n], NumericType | BooleanType | TimestampType)]
-    nulls = {n: f"{n}__null" for n in plain}
 
     def value(n: str) -> Column:
-        if n not in nulls:
-            return F.col(n)
-        time = isinstance(kinds[n], TimestampType)
-        return F.coalesce(F.unix_micros(n) if time else F.col(n), F.lit(0).cast("long" if time else kinds[n])).alias(n)
+        return F.unix_micros(n).alias(n) if isinstance(kinds[n], TimestampType) else F.col(n)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                parts.append(batch)
+                size += batch.nbytes
+            if size > PACKED:
+                yield _blocks(parts, timed)
+                parts, size = [], 0
+        if parts:
+            yield _blocks(parts, timed)
 
     times = {f.name for f in made.fields if isinstance(f.dataType, TimestampType)}
     inner = StructType([StructField(f.name, LongType() if f.name in times else f.dataType) for f in made.fields])
-    seen = rows.withWatermark("ts", late).withColumn("ts__time", F.col("ts")) if timed else rows
-    inside = seen.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket__"), *map(value, named), *[F.col(n).isNull().alias(no) for n, no in nulls.items()], *(["ts__time"] if timed else []))
-    walker = InOrder(named, nulls, inner.names, step, order, timed, pause, finish, spent)
-    walked = inside.groupBy("bucket__").transformWithStateInPandas(walker, inner, "Append", "EventTime" if timed else "None")
+    inside = rows.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket__"), *map(value, named))
+    packed = inside.mapInArrow(pack, "bucket__ long, first__ long, last__ long, rows__ binary")
+    if timed:
+        packed = packed.withColumn("last__", F.timestamp_micros("last__")).withWatermark("last__", late)
+    walker = InOrder(named, {}, inner.names, step, order, timed, pause, finish, spent)
+    walked = packed.groupBy("bucket__").transformWithStateInPandas(walker, inner, "Append", "EventTime" if timed else "None")
     return walked.select(*[F.timestamp_micros(f.name).alias(f.name) if f.name in times else F.col(f.name) for f in made.fields])
 
 

@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from loreweave.operators import chunking, postings, vector
 from loreweave.plans import asked
@@ -106,3 +107,34 @@ def test_rows_that_wait_are_kept_in_blocks_and_keys_in_buckets():
     assert {(k, t, None if x is None else x - (1 << 60)) for k, t, x in out.itertuples(index=False)} == {(f"k{x % keys}", (start + x) * 1000 + 1, None if x % 7 == 0 else x) for x in range(n)}
     for _, own in out.groupby("k"):
         assert own["ts"].is_monotonic_increasing
+
+
+def test_rows_are_packed_before_they_are_dealt_to_their_buckets(spark, tmp_path):
+    spark.createDataFrame([], "key string, ts timestamp, op string, id string").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("key string, ts timestamp, op string, id string").parquet(str(tmp_path / "in"))
+    assert "MapInArrow" in flows.open_reviews(source)._jdf.queryExecution().analyzed().toString()
+    rng, n = np.random.default_rng(4), 6000
+    at = rng.permutation(n)
+    none = pa.array(at % 50 == 0).to_numpy(zero_copy_only=False)
+    rows = pa.table({"bucket__": pa.array(at % 3), "k": pa.array([f"k{x % 30}" for x in at]), "ts": pa.array(at * 1000, mask=none), "n": pa.array(at, mask=at % 7 == 0)})
+    parts = [flows._blocks(rows.slice(x, 2000).to_batches(), True) for x in range(0, n, 2000)]
+    assert [p.num_rows for p in parts] == [3, 3, 3]  # before: each row went to the step by itself
+    packed = pa.Table.from_batches(parts).to_pandas()
+    assert set(packed["first__"]) == {0} and packed["last__"].max() == (n - 1) * 1000
+    out = {}
+    for bucket, own in packed.groupby("bucket__"):
+        walker = flows.InOrder(["k", "ts", "n"], {}, ["k", "ts", "n"], lambda state, r: (True, [(r.ts, r.n)]), ("n",), True, None, None, None)
+        walker.init(handle := _Handle())
+        assert list(walker.handleInputRows((bucket,), iter([own[:2], own[2:]]), _Watermark(-1))) == [] and len(handle.list) == 1
+        got = [r for f in walker.handleExpiredTimer((bucket,), _Watermark(3000), None) for r in f.itertuples(index=False, name=None)]
+        # a row that comes after its bucket was walked past it is late; one without a time isn't
+        late = pa.table({"bucket__": [bucket] * 3, "k": ["late"] * 3, "ts": pa.array([2_000_000, None, 4_000_500]), "n": [0, 1, 2]})
+        list(walker.handleInputRows((bucket,), iter([flows._blocks(late.to_batches(), True).to_pandas()]), _Watermark(3000)))
+        out[bucket] = got + [r for f in walker.handleExpiredTimer((bucket,), _Watermark(n), None) for r in f.itertuples(index=False, name=None)]
+        assert handle.list == []
+    value = lambda x: None if x is None or x != x else int(x)
+    for bucket, got in out.items():
+        assert [(value(t), value(x)) for k, t, x in got if k == "late"] == [(None, 1), (4_000_500, 2)]
+        for key in {r[0] for r in got} - {"late"}:
+            own = sorted((int(x) for x in at if f"k{x % 30}" == key), key=lambda x: (x % 50 != 0, x if x % 50 else -1, x % 7 != 0, x))
+            assert [(value(t), value(x)) for k, t, x in got if k == key] == [(None if x % 50 == 0 else x * 1000, None if x % 7 == 0 else x) for x in own]
