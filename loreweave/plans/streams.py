@@ -24,12 +24,13 @@ def streamed(rows: DataFrame, flow: Callable[[DataFrame], DataFrame], key: str)
     spark = rows.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = rows.where("ts is not null")
-    rows.repartition(3, F.xxhash64(*rows.columns)).write.parquet(f"{folder}/in")
+    each = spark.sparkContext.defaultParallelism  # files of a batch
+    rows.repartition(3 * each, F.xxhash64(*rows.columns)).write.parquet(f"{folder}/in")
     time.sleep(0.1)  # files are taken by their time
     last = spark.read.parquet(f"{folder}/in").agg(F.max("ts").alias("ts")).where("ts is not null")
     end = last.select(*[(F.col("ts") + F.expr(f"interval {AFTER}") if c == "ts" else F.lit("~end" if c == key else None).cast(t)).alias(c) for c, t in rows.dtypes])
     end.select(rows.columns).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/in")
     made = flow(source).where(F.col(key) != "~end")
     made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{folder}/out")
