@@ -3,9 +3,10 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loreweave.operators import sessions, similarity
+from loreweave.operators import founders, sessions, similarity
 from loreweave.operators.containment import held_names
 
 
@@ -45,6 +46,34 @@ def test_greedy_groups_are_those_of_a_walk(spark):
     assert similarity.promote_recurring(df.limit(0)).count() == 0
 
 
+def test_greedy_groups_of_many_texts_come_in_blocks_and_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "FEW", 0)
+    monkeypatch.setattr(similarity, "BLOCK", 23)
+    monkeypatch.setattr(similarity, "similar_pairs", None)  # before, this made all pairs
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(16)]
+    rows = [(r.choice(["k", "", "one", "one"]), i // 2, f"t{i}", r.sample(words, r.randint(0, 6)), r.random() < 0.02, False) for i in range(240)]
+    df = spark.createDataFrame([*rows, (None, 0, "a", ["w1"], False, False), (None, 1, "b", ["w1", "w2"], False, False)], "key string, ord long, text string, tokens array<string>, accepted boolean, promoted boolean").repartition(3)
+    df = df.withColumn("tokens", F.filter(F.split(F.array_join("tokens", " "), " "), lambda t: t != ""))  # words that can't be null, as those of texts
+    for threshold, least in ((0.7, 3), (0.3, 1)):
+        got = [tuple(x) for x in similarity.promote_recurring(df, threshold, least).collect()]
+        assert sorted(x for x in got if x[0] is not None) == _walk(rows, threshold, least)
+        assert [x for x in got if x[0] is None] == ([(None, 0, "a", 2)] if least == 1 else [])
+
+
+def test_founders_of_a_block_are_those_of_a_walk(monkeypatch):
+    monkeypatch.setattr(founders, "FEW", 5)
+    monkeypatch.setattr(founders, "HELD", 50)
+    r = random.Random(1)
+    sets = [r.sample([f"w{i}" for i in range(20)], r.randint(1, 7)) for _ in range(300)]
+    first, expected = [], []
+    for i, own in enumerate(sets):
+        met = next((j for j in first if _like(set(own), set(sets[j]), 0.4)), i)
+        first += [i] if met == i else []
+        expected.append(met)
+    assert founders.founders(pa.array(sets), 0.4).tolist() == expected
+
+
 def _first(claims, most, identical):
     out = []
     for i, (a, page, files, tokens) in enumerate(sorted(claims)):
