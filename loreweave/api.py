@@ -18,7 +18,7 @@ from loreweave.functions.redact import findings, redact
 from loreweave.functions.text import html_links, markdown_links, normalize_newlines, token_set, tokenize
 from loreweave.models import Embedder, HashingEmbedder, embed
 from loreweave.operators import catalog as cat
-from loreweave.operators import chunking, curation, evidence, fusion, ledger, lexical, lint, sessions, similarity, vector, workflow
+from loreweave.operators import chunking, curation, evidence, fusion, ledger, lexical, lint, postings, sessions, similarity, vector, workflow
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -73,7 +73,9 @@ def _hits(pages: DataFrame, queries: DataFrame, limit: int, search: str, chunks:
     asked = embed(queries.withColumn("text", F.col("query")), embedder).select("query_id", "embedding")
     # a chunk's key is its own within its page only
     keyed = active.withColumn("key", F.concat_ws("\0", "path", "key"))
-    near = vector.knn(keyed, asked, wide).join(keyed.select("key", "path", "anchor"), "key")
+    # few hits go to the chunks: else the keys of all chunks would move to them
+    near = vector.knn(keyed, asked, wide)
+    near = keyed.select("key", "path", "anchor").join(F.broadcast(near) if queries.count() * wide <= postings.WANTED else near, "key")
     near = near.select("query_id", "path", "anchor", F.expr("substring(key, length(path) + 2)").alias("key"), "rank", "score")
     if search == "semantic":
         return near.where(F.col("rank") <= limit)

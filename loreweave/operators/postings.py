@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions.text import tokenize
+from loreweave.session import spread
 
 K1, B = 1.2, 0.75
 EVERY, DEAD = "", " "
@@ -36,34 +37,29 @@ def ranges_for(count: int, cores: int, size: int = RANGE) -> int:
 def blocks(docs: DataFrame, ranges: int, wanted: DataFrame | None = None, first: int = 0) -> DataFrame:
     """The blocks of ``docs`` (path, title, rest, text; hash, if it is there), of all tokens or those of ``wanted`` (token).
 
-    A token of the title weighs 3, one of ``rest`` (tags, summary) 2, any other 1. Texts move once, to their range; counting
-    and gathering happen there. A text's length is its number of tokens, 1 at least. Null texts have no tokens. Ranges are
+    A token of the title weighs 3, one of ``rest`` (tags, summary) 2, any other 1. Where all tokens are kept, texts move once,
+    to their range; else they are counted where they are, and only counts of asked tokens move. A text's length is its number of tokens, 1 at least. Null texts have no tokens. Ranges are
     numbered from ``first``.
     """
     own = docs if "hash" in docs.columns else docs.withColumn("hash", F.lit(None).cast("string"))
     placed = own.select("path", "hash", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "rest", "text")], (F.pmod(F.xxhash64("path"), F.lit(ranges)) + first).alias("range"))
     spark = docs.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = Window.partitionBy("range").orderBy("path", "hash")
-    numbered = placed.repartition(parts, "range").withColumn("slot", F.row_number().over(order) - 1)
-    # words of the title and the rest come marked; only one array is opened, and nothing else is carried along with it
-    marked = lambda c, mark: F.transform(F.array_distinct(tokenize(F.col(c))), lambda t: F.concat(F.lit(mark), t))
     if wanted is None:
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        numbered = placed.repartition(parts, "range").withColumn("slot", F.row_number().over(Window.partitionBy("range").orderBy("path", "hash")) - 1)
         words = numbered.select("range", "slot", "path", "hash", tokenize(F.col("text")).alias("tokens"), *[F.array_distinct(tokenize(F.col(c))).alias(c) for c in ("title", "rest")])
         return words.groupBy("range").applyInArrow(gathered_range, BLOCK)
-    sized = numbered.select("range", "slot", tokenize(F.col("text")).alias("tokens"), marked("title", "3:").alias("title"), marked("rest", "2:").alias("rest"))
-    each = sized.select("range", "slot", F.greatest(F.size("tokens"), F.lit(1)).alias("len"), F.explode(F.concat("tokens", "title", "rest", F.array(F.lit(EVERY)))).alias("word"))
-    mark = F.substring("word", 1, 2)
-    named = each.select("range", "slot", "len", F.when(mark == "3:", 3.0).when(mark == "2:", 2.0).otherwise(1.0).alias("boost"), F.when(mark.isin("3:", "2:"), F.substring("word", 3, 1 << 30)).otherwise(F.col("word")).alias("token"))
+    # words of the title and the rest come marked; only one array is opened, and only the row that lists a document has its path
+    marked = lambda c, mark: F.transform(F.array_distinct(tokenize(F.col(c))), lambda t: F.concat(F.lit(mark), t))
+    sized = spread(placed).select("range", F.monotonically_increasing_id().alias("doc"), "path", "hash", tokenize(F.col("text")).alias("tokens"), marked("title", "3:").alias("title"), marked("rest", "2:").alias("rest"))
+    each = sized.select("range", "doc", "path", "hash", F.greatest(F.size("tokens"), F.lit(1)).alias("len"), F.explode(F.concat("tokens", "title", "rest", F.array(F.lit(EVERY)))).alias("word"))
+    mark, lists = F.substring("word", 1, 2), F.col("word") == EVERY
+    named = each.select("range", "doc", F.when(lists, F.col("path")).alias("path"), F.when(lists, F.col("hash")).alias("hash"), "len", F.when(mark == "3:", 3.0).when(mark == "2:", 2.0).otherwise(1.0).alias("boost"), F.when(mark.isin("3:", "2:"), F.substring("word", 3, 1 << 30)).otherwise(F.col("word")).alias("token"))
     # few tokens go to the words: else every word of the texts would move to them, and once more to its range
     held_ = wanted.select("token").unionByName(spark.createDataFrame([(EVERY,)], "token string")).distinct()
     named = named.join(F.broadcast(held_) if held_.count() <= WANTED else held_, "token", "left_semi")
-    tf = named.groupBy("range", "slot", "token").agg(F.sum(F.when(F.col("boost") == 1.0, 1).otherwise(0)).cast("int").alias("tf"), F.max("boost").alias("boost"), F.max("len").alias("len")).where("tf > 0")
-    gathered = F.sort_array(F.collect_list(F.struct("slot", "tf", "len", "boost")))
-    held = tf.groupBy("range", "token").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.max("boost").alias("boost"), gathered.alias("e"))
-    listed = numbered.groupBy("range").agg(F.sort_array(F.collect_list(F.struct("slot", "path", "hash"))).alias("p")).select("range", F.lit(EVERY).alias("token"), F.col("p.path").alias("paths"), F.col("p.hash").alias("hashes"))
-    lists = [F.col(f"e.{c}").alias(f"{c}s") for c in ("slot", "tf", "len", "boost")]
-    return held.select("range", "token", "n", "most", "least", "boost", *lists).join(listed, ["range", "token"], "left")
+    tf = named.groupBy("range", "doc", "token", "path", "hash").agg(F.sum(F.when(F.col("boost") == 1.0, 1).otherwise(0)).cast("int").alias("tf"), F.max("boost").alias("boost"), F.max("len").alias("len")).where("tf > 0")
+    return tf.groupBy("range").applyInArrow(packed_range, BLOCK)
 
 
 def gathered_range(docs: pa.Table) -> pa.Table:
@@ -86,25 +82,45 @@ def gathered_range(docs: pa.Table) -> pa.Table:
         boost[place[key[place] == more]] = weight
     token, own = key // count, key % count
     length = np.maximum(sizes[0], 1)[own]
+    return _gathered(docs["range"][0].as_py(), numbered.dictionary, token, column("slot").to_numpy(zero_copy_only=False)[own], tf, length, boost, docs["path"].to_pylist(), docs["hash"].to_pylist())
+
+
+def packed_range(counts: pa.Table) -> pa.Table:
+    """The blocks of one range (range, doc, token, path, hash, tf, boost, len): documents are numbered as their paths sort."""
+    counts = counts.combine_chunks()
+    column = lambda c: counts[c].combine_chunks() if isinstance(counts[c], pa.ChunkedArray) else counts[c]
+    coded = column("token").dictionary_encode()
+    listed = counts.filter(pc.equal(counts["token"], EVERY)).sort_by([(c, "ascending") for c in ("path", "hash", "doc")])
+    docs = listed["doc"].to_numpy()
+    order = np.argsort(docs)
+    slot = order[np.searchsorted(docs, column("doc").to_numpy(zero_copy_only=False), sorter=order)]
+    token = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    by = np.lexsort((slot, token))
+    tf, length, boost = (column(c).to_numpy(zero_copy_only=False)[by] for c in ("tf", "len", "boost"))
+    return _gathered(counts["range"][0].as_py(), coded.dictionary, token[by], slot[by], tf, length, boost, listed["path"].to_pylist(), listed["hash"].to_pylist())
+
+
+def _gathered(range_: int, words: pa.Array, token: np.ndarray, slot: np.ndarray, tf: np.ndarray, length: np.ndarray, boost: np.ndarray, paths: list, hashes: list) -> pa.Table:
+    """The blocks of one range, cut as arrays where another token begins; postings are sorted by token and slot."""
     start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    ends = pa.array(np.append(start, len(key)), pa.int32())
-    ids = token[start]
-    every = ids == code[-1]
-    whole = lambda c: pa.array([docs[c].to_pylist() if e else None for e in every.tolist()], pa.list_(pa.string()))
+    ends = pa.array(np.append(start, len(token)), pa.int32())
+    ids = words.take(pa.array(token[start])).cast(pa.string())
+    every = pc.equal(ids, EVERY).to_pylist()
+    whole = lambda values: pa.array([values if e else None for e in every], pa.list_(pa.string()))
     listed = lambda values, kind: pa.ListArray.from_arrays(ends, pa.array(values, kind))
     kept = {
-        "range": pa.array(np.full(len(ids), docs["range"][0].as_py()), pa.int64()),
-        "token": numbered.dictionary.take(pa.array(ids)).cast(pa.string()),
-        "n": pa.array(np.diff(np.append(start, len(key))), pa.int64()),
+        "range": pa.array(np.full(len(ids), range_), pa.int64()),
+        "token": ids,
+        "n": pa.array(np.diff(np.append(start, len(token))), pa.int64()),
         "most": pa.array(np.maximum.reduceat(tf, start), pa.int32()),
         "least": pa.array(np.minimum.reduceat(length, start), pa.int32()),
         "boost": pa.array(np.maximum.reduceat(boost, start), pa.float64()),
-        "slots": listed(column("slot").to_numpy(zero_copy_only=False)[own], pa.int32()),
+        "slots": listed(slot, pa.int32()),
         "tfs": listed(tf, pa.int32()),
         "lens": listed(length, pa.int32()),
         "boosts": listed(boost, pa.float64()),
-        "paths": whole("path"),
-        "hashes": whole("hash"),
+        "paths": whole(paths),
+        "hashes": whole(hashes),
     }
     return pa.table(kept)
 

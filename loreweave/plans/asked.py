@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loreweave import api
 from loreweave.models import embed
-from loreweave.operators.chunking import chunks
+from loreweave.operators.chunking import chunks, unique_paths
 from loreweave.session import cut
 
 from .base import query
@@ -37,7 +37,8 @@ near as (select query_id, path, key, replace(key, 'section:', '') as anchor, sco
 
 def _store(read) -> DataFrame:
     """The chunks of the headed pages as a search takes them from a store: without their texts."""
-    return cut(embed(chunks(read("headed_pages")), Letters()).select("path", "key", "kind", "claim_id", "status", "embedding"))
+    pages = read("headed_pages")
+    return cut(embed(chunks(pages, unique=unique_paths(pages)), Letters()).select("path", "key", "kind", "claim_id", "status", "embedding"))
 
 
 @query("asked_semantic", f"with recursive {_CHUNKS}, {_NEAR} select query_id, path, key, anchor, rank::int as rank, score from near where rank <= 5")

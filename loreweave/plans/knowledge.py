@@ -477,7 +477,8 @@ sections as (select *, case when row_number() over (partition by path, base orde
 
 @query("page_sections", f"with {_SECTIONS.replace('<source>', 'headed_pages')} select path, section::bigint as section, heading, slug, sha256(body) as body_hash from sections")
 def page_sections(read):
-    return chunking.sections(read("headed_pages")).select("path", "section", "heading", "slug", F.sha2("body", 256).alias("body_hash"))
+    pages = read("headed_pages")
+    return chunking.sections(pages, unique=chunking.unique_paths(pages)).select("path", "section", "heading", "slug", F.sha2("body", 256).alias("body_hash"))
 
 
 # windows one after the other, each cut at the last blank line of its reach if that lies beyond its middle
@@ -515,7 +516,8 @@ def claim_chunks(read):
 
 @query("page_chunks", _CHUNKS_SQL)
 def page_chunks(read):
-    return chunking.chunks(read("headed_pages")).select("path", "key", "title", "hash", F.length("text").alias("n_chars"))
+    pages = read("headed_pages")
+    return chunking.chunks(pages, unique=chunking.unique_paths(pages)).select("path", "key", "title", "hash", F.length("text").alias("n_chars"))
 
 
 @query(

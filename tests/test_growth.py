@@ -138,3 +138,28 @@ def test_rows_are_packed_before_they_are_dealt_to_their_buckets(spark, tmp_path)
         for key in {r[0] for r in got} - {"late"}:
             own = sorted((int(x) for x in at if f"k{x % 30}" == key), key=lambda x: (x % 50 != 0, x if x % 50 else -1, x % 7 != 0, x))
             assert [(value(t), value(x)) for k, t, x in got if k == key] == [(None if x % 50 == 0 else x * 1000, None if x % 7 == 0 else x) for x in own]
+
+
+def test_pages_of_unique_paths_are_cut_without_moving_their_texts(spark):
+    texts = [
+        "intro\r\n# One\n" + "word " * 40 + "\n#\r\n# One\r\n" + "more text\n\n" * 2000 + "\n# One-2\n" + "x" * 90 + "\n### *Deep* [l](u)\n\n",
+        "", None, "\n\n  \n", "# only\n", "plain `code` [label](target) **bold** " * 9, "```\n# in code\n" + "y " * 3000 + "\n```\n#no heading\n####### seven\n# a b\n" + "z" * 100, "# A\n" + "p\n\n" * 2500 + "# A\n" + "q " * 60 + "# A-2\n# a 2\n" + "r " * 60,
+    ]
+    pages = spark.createDataFrame([(f"p{i}.md", [f"T{i}", " ", None][i % 3], t) for i, t in enumerate(texts)] + [(None, "t", "w " * 90)], "path string, title string, text string")
+    claims = spark.createDataFrame([("p0.md", "c1", "a claim", None), ("p0.md", None, "said twice", None), ("p0.md", None, "said twice", None), ("p5.md", "", " ", None)], "path string, id string, text string, status string")
+    assert chunking.unique_paths(pages) and not chunking.unique_paths(pages.union(pages.limit(1)))
+    rows = lambda df: sorted(map(str, df.collect()))
+    known = pages.where("path is not null").select("path", "title", "text")
+    assert rows(chunking.sections(known, ("title",), unique=True)) == rows(chunking.sections(known, ("title",)))
+    plain = chunking.chunks(pages, claims)
+    assert rows(chunking.chunks(pages, claims, unique=True).select(plain.columns)) == rows(plain)
+    assert "hashpartitioning" not in _plan(chunking.chunks(pages, unique=True))  # small tables are dealt to all cores only
+
+
+def test_texts_stay_where_they_are_while_asked_tokens_are_counted(spark):
+    docs = spark.createDataFrame([("a", "t", "", "one two two three"), ("a", "two", "x", "two"), ("b", None, None, None)], "path string, title string, rest string, text string")
+    wanted = spark.range(1).selectExpr("'two' as token").checkpoint()
+    plan = _plan(postings.blocks(docs, 1, wanted))
+    assert "Exchange hashpartitioning(" not in plan.split("Generate explode")[1].split("BroadcastExchange")[0]  # before, texts went to their range first
+    got = {r.token: (r.n, r.tfs, r.paths) for r in postings.blocks(docs, 1, wanted).collect()}
+    assert got == {"": (3, [1, 1, 1], ["a", "a", "b"]), "two": (2, got["two"][1], None)} and sorted(got["two"][1]) == [1, 2]
